@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards by minimax contiguous partition."""
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_minimax_sharding": op3_minimax_sharding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op3_minimax_sharding": op3_minimax_sharding,
+}
 
 ORACLES: dict[str, str] = {}
