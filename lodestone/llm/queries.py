@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, sharding, simhash
+from . import bpe, packing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document, by rules learned from labels."""
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -37,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_minimax_sharding": op3_minimax_sharding,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_decision_list": op7_decision_list,
     "op10_linear_grouping": op10_linear_grouping,
 }
 
