@@ -122,21 +122,33 @@ def _feature_table(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {name: np.nan_to_num(f(column), nan=0.0) for name, f in FEATURES.items()}
 
 
+def _best(name: str, x: np.ndarray, bad: np.ndarray, cuts: np.ndarray, best: Condition | None, gain: float) -> tuple[Condition | None, float]:
+    p, n = bad.sum(), len(bad)
+    for cut in cuts:
+        up = x >= cut
+        for at_least, m in ((True, up), (False, ~up)):
+            k, hit = m.sum(), bad[m].sum()
+            if hit and k < n:
+                g = hit * (math.log2(hit / k) - math.log2(p / n))
+                if g > gain + 1e-9:
+                    best, gain = Condition(name, at_least, float(cut)), g
+    return best, gain
+
+
 def _grow(table: dict, bad: np.ndarray) -> list[Condition]:
     rule, inside = [], np.ones(len(bad), bool)
     while len(rule) < CONDITIONS and bad[inside].sum() < inside.sum():
-        p, n = bad[inside].sum(), inside.sum()
         best, gain = None, 0.0
         for name in sorted(table):
             x = table[name][inside]
-            for cut in np.unique(np.quantile(x, np.linspace(0, 1, CUTS + 2)[1:-1])):
-                for at_least in (True, False):
-                    m = x >= cut if at_least else x < cut
-                    k, hit = m.sum(), bad[inside][m].sum()
-                    if hit and k < n:
-                        g = hit * (math.log2(hit / k) - math.log2(p / n))
-                        if g > gain + 1e-9:
-                            best, gain = Condition(name, at_least, float(cut)), g
+            best, gain = _best(name, x, bad[inside], np.unique(np.quantile(x, np.linspace(0, 1, CUTS + 2)[1:-1])), best, gain)
+        if best is None:
+            break
+        x = np.sort(np.unique(table[best.feature][inside]))  # the exact cut, half-way between two values near the coarse one
+        at, step = np.searchsorted(x, best.threshold), len(x) // CUTS + 2
+        near = x[max(0, at - step) : at + step]
+        near = near[:: max(1, len(near) // (4 * CUTS))]
+        best, gain = _best(best.feature, table[best.feature][inside], bad[inside], (near[1:] + near[:-1]) / 2, None, -1.0)
         if best is None:
             break
         rule.append(best)
