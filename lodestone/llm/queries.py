@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, sharding, simhash
+from . import bpe, packing, pii, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, plain and disguised."""
+    return pii.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minimax_sharding": op3_minimax_sharding,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_decision_list": op7_decision_list,
+    "op9_deobfuscated_pii": op9_deobfuscated_pii,
     "op10_linear_grouping": op10_linear_grouping,
 }
 
