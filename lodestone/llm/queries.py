@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pii, quality, sharding, simhash
+from . import bpe, packing, pii, quality, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document by the patterns and by the test battery."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document, by rules learned from labels."""
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_minimax_sharding": op3_minimax_sharding,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_randomness_battery": op5_randomness_battery,
     "op7_decision_list": op7_decision_list,
     "op9_deobfuscated_pii": op9_deobfuscated_pii,
     "op10_linear_grouping": op10_linear_grouping,
