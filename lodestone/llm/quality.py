@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -86,9 +87,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(_count_batches, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def base_failed() -> Column:
+def base_failed(prefix: str = "") -> Column:
     """The fixed rule: under 50 words, or more than half the words in repeated windows."""
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    words, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (words < 50) | (100 * repeats > 50 * words)
 
 
 @dataclass(frozen=True)
@@ -101,17 +103,17 @@ class Condition:
         x = table[self.feature]
         return x >= self.threshold if self.at_least else x < self.threshold
 
-    def column(self) -> Column:
-        x = feature_column(self.feature)
+    def column(self, prefix: str = "") -> Column:
+        x = feature_column(self.feature, prefix)
         return x >= F.lit(self.threshold) if self.at_least else x < F.lit(self.threshold)
 
     def __str__(self) -> str:
         return f"{self.feature} {'>=' if self.at_least else '<'} {self.threshold:.6g}"
 
 
-def feature_column(name: str) -> Column:
+def feature_column(name: str, prefix: str = "") -> Column:
     """A statistic as a Spark expression; 0 where its divisor is 0."""
-    return F.coalesce(FEATURES[name](lambda c: F.nullif(F.col(c), F.lit(0))), F.lit(0.0))
+    return F.coalesce(FEATURES[name](lambda c: F.nullif(F.col(prefix + c), F.lit(0))), F.lit(0.0))
 
 
 def _feature_table(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -200,25 +202,29 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray) -> list[list[Condition]]
     return rules
 
 
-def expression(rules: list[list[Condition]]) -> Column:
+def expression(rules: list[list[Condition]], prefix: str = "") -> Column:
     """The list as an ordered conditional: the number of the first rule that covers the row, else 0."""
     out = None
     for k, rule in enumerate(rules, 1):
-        test = rule[0].column()
+        test = rule[0].column(prefix)
         for c in rule[1:]:
-            test &= c.column()
+            test &= c.column(prefix)
         out = F.when(test, F.lit(k)) if out is None else out.when(test, F.lit(k))
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
-    """Learn the list from labels (doc_id, quality: 0 is bad) joined to statistics of rows that the base rule passes.
+def sample_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of at most SAMPLE labelled documents, those with the smallest id hashes."""
+    seen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+
 
-    At most SAMPLE rows reach the driver.
+def fit(stats: DataFrame, sample: DataFrame) -> list[list[Condition]]:
+    """Learn the list from sampled labels (doc_id, quality: 0 is bad) joined to statistics of rows that the base rule passes.
+
+    At most SAMPLE rows reach the driver: repeated ids are one row.
     """
-    seen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    one = stats.where(~base_failed()).join(sample, "doc_id").groupBy("doc_id").agg(*[F.min(c).alias(c) for c in [*COUNTS, "quality"]])
+    one = stats.where(~base_failed()).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(*[F.min(c).alias(c) for c in [*COUNTS, "quality"]])
     got = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toPandas()
     return learn({c: got[c].to_numpy() for c in COUNTS}, got["quality"].to_numpy() == 0)
 
@@ -231,7 +237,28 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     or without a quality is not used; clashing extra columns are not read. Without labels only the base rule rejects.
     """
     stats = common.durable(statistics(docs, id_col, text_col), "statistics")
-    rule = expression(fit(stats, labels))
+    rule = expression(fit(stats, sample_labels(labels)))
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), rule.cast("int").alias("rule")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("rule") == 0)
     )
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that judge() keeps, with their own columns. Texts are not shuffled: rows are counted where they are.
+
+    The sample's statistics are taken in a pass of their own over the sampled documents only.
+    """
+    sample = common.durable(sample_labels(labels), "labels")
+    seen = docs.join(F.broadcast(sample.select(F.col("doc_id").alias(id_col))), id_col, "left_semi")
+    rules = fit(statistics(seen, id_col, text_col), sample)
+    names, prefix = docs.columns, "__count_"
+    at = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            rows = [counts(t.as_py()) for t in batch.column(at)]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in cols)], [*names, *(prefix + c for c in COUNTS)])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + c, T.LongType()) for c in COUNTS)])
+    return docs.mapInArrow(run, schema).where(~base_failed(prefix) & (expression(rules, prefix) == 0)).select(*names)

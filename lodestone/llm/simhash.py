@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -176,6 +177,11 @@ def links(fps: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _roots(fps: DataFrame) -> DataFrame:
+    """(fp, root) of the distinct fingerprints in column fp; root names the component."""
+    return fps.join(common.components(links(fps)).toDF("fp", "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
 
@@ -184,8 +190,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = common.durable(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = common.durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = common.components(links(classes.select("fp")))
-    whole = classes.join(roots.toDF("fp", "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    whole = common.durable(whole, "roots")
+    whole = common.durable(classes.join(_roots(classes.select("fp")), "fp"), "roots")
     named = whole.join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, its own columns: the one with the least doc_id, of repeated rows any one.
+
+    Null ids come last within a component. Fingerprints are taken once; texts are shuffled once, by row number.
+    """
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            fps = [_signed(fingerprint(t.as_py())) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*names, "__fp"])
+
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])).withColumn("__row", F.monotonically_increasing_id())
+    rows = common.durable(rows, "rows")  # row numbers hold from here on
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    classes = common.durable(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(first).alias("first")), "classes")
+    kept = classes.join(_roots(classes.select("fp")), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*names)
