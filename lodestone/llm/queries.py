@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, packing, pii, quality, secrets, sharding, simhash
+from . import ann, bpe, html_extract, packing, pii, quality, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op5_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document, by rules learned from labels."""
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minimax_sharding": op3_minimax_sharding,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_randomness_battery": op5_randomness_battery,
+    "op6_kmeans_tree": op6_kmeans_tree,
     "op7_decision_list": op7_decision_list,
     "op9_deobfuscated_pii": op9_deobfuscated_pii,
     "op10_linear_grouping": op10_linear_grouping,
