@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_extract, packing, pii, quality, secrets, sharding, simhash
+from . import ann, bpe, html_extract, packing, pii, quality, secrets, sharding, simhash, token_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written as fixed-stride shards in a keyed order; the index of every sequence."""
+    return token_shards.materialise(_table(spark, sf_dir, "documents"))
+
+
 def op9_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, plain and disguised."""
     return pii.scan(_table(spark, sf_dir, "documents"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_randomness_battery": op5_randomness_battery,
     "op6_kmeans_tree": op6_kmeans_tree,
     "op7_decision_list": op7_decision_list,
+    "op8_training_order": op8_training_order,
     "op9_deobfuscated_pii": op9_deobfuscated_pii,
     "op10_linear_grouping": op10_linear_grouping,
 }
