@@ -1,0 +1,89 @@
+"""Contexts from selected parent groups: the whole parent where it fits, else the hits grown by their neighbours."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scoring
+from ..functions.text import context_label, query_tokens
+from .recall import ranked
+
+_CONTEXT = "query_id long, document_id long, parent_id long, context_text string, start_offset int, end_offset int, child_ids array<long>, truncated boolean"
+
+
+def anchors(hits: DataFrame, max_children: int = 7) -> DataFrame:
+    """hits (query_id, query_text, parent_id, chunk_id, heading, content, ranks...) with anchor_score and anchor_rank up to the limit."""
+    score = scoring.anchor_score(F.col("query_text"), query_tokens(F.col("query_text")), F.col("heading"), F.col("content"))
+    late = lambda c: F.coalesce(F.col(c), F.lit(1_000_000))
+    order = [F.desc("anchor_score"), late("rrf_rank"), late("vector_rank"), late("fts_rank"), "child_index", "chunk_id"]
+    return ranked(hits.withColumn("anchor_score", score), ["query_id", "parent_id"], order, "anchor_rank", max_children)
+
+
+def parents(children: DataFrame) -> DataFrame:
+    """One row per parent: its children in order, span, merged text and length."""
+    child = F.struct("child_index", "chunk_id", "start_offset", "end_offset", "structure_kind", "content")
+    out = children.groupBy("document_id", "parent_id").agg(F.sort_array(F.collect_list(child)).alias("children"), F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"))
+    text = F.array_join(F.transform("children", lambda c: c["content"]), "\n\n")
+    return out.withColumn("parent_text", text).withColumn("char_count", F.length(text))
+
+
+def grow(kinds: list[str], texts: list[str], anchors_at: list[int], blocked: list[int], max_chars: int) -> list[int]:
+    """Children to keep: the anchors and, for table anchors, their run of tables; then one neighbour at a time while the
+    merged text fits, text before tables, left before right; blocked children stop growth."""
+    keep = set(anchors_at)
+    for i in anchors_at:
+        if kinds[i] == "table":
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < len(kinds) and kinds[j] == "table" and j not in blocked:
+                    keep.add(j)
+                    j += step
+    size = lambda s: len("\n\n".join(texts[i] for i in sorted(s)))
+    if size(keep) > max_chars:
+        return sorted(set(anchors_at))
+    grew = True
+    while grew:
+        grew = False
+        near = [j for j in (min(keep) - 1, max(keep) + 1) if 0 <= j < len(kinds) and j not in blocked and j not in keep]
+        near += [j for i in sorted(keep) for j in (i - 1, i + 1) if min(keep) < j < max(keep) and j not in keep and j not in blocked]
+        for j in sorted(set(near), key=lambda j: (kinds[j] != "text", near.index(j))):
+            if size(keep | {j}) <= max_chars:
+                keep.add(j)
+                grew = True
+                break
+    return sorted(keep)
+
+
+def _materialise(max_chars: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in pdf.itertuples(index=False):
+            kids = r.children
+            at = {k["chunk_id"]: i for i, k in enumerate(kids)}
+            chosen = [at[c] for c in r.anchor_ids if c in at]
+            kept = grow([k["structure_kind"] for k in kids], [k["content"] for k in kids], chosen, [at[c] for c in r.dropped_ids if c in at], max_chars)
+            text = "\n\n".join(kids[i]["content"] for i in kept)
+            spans = [kids[i] for i in kept]
+            out.append((r.query_id, r.document_id, r.parent_id, text[:max_chars], min(k["start_offset"] for k in spans), max(k["end_offset"] for k in spans), [k["chunk_id"] for k in spans], len(text) > max_chars))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _CONTEXT.split(", ")])
+
+    return run
+
+
+def contexts(selected: DataFrame, anchored: DataFrame, parent_rows: DataFrame, max_chars: int = 3000, source: Column | None = None) -> DataFrame:
+    """Contexts of selected groups (query_id, document_id, parent_id, select_rank, hits): context_index, label, text, span, children.
+
+    A parent within the budget is one projection; only longer ones go through the bounded per-parent growth.
+    """
+    picks = anchored.groupBy("query_id", "parent_id").agg(F.sort_array(F.collect_list(F.struct("anchor_rank", "chunk_id"))).alias("a"))
+    rows = selected.join(parent_rows, ["document_id", "parent_id"]).join(picks, ["query_id", "parent_id"], "left")
+    rows = rows.withColumn("anchor_ids", F.transform("a", lambda x: x["chunk_id"])).withColumn("dropped_ids", F.array_except(F.transform("hits", lambda x: x["chunk_id"]), "anchor_ids"))
+    small = rows.where(F.col("char_count") <= max_chars).select(
+        "query_id", "document_id", "parent_id", F.col("parent_text").alias("context_text"), "start_offset", "end_offset", F.transform("children", lambda c: c["chunk_id"]).alias("child_ids"), F.lit(False).alias("truncated")
+    )
+    large = rows.where(F.col("char_count") > max_chars).select("query_id", "document_id", "parent_id", "children", "anchor_ids", "dropped_ids")
+    made = small.unionByName(large.mapInPandas(lambda it: map(_materialise(max_chars), it), _CONTEXT))
+    index = (F.col("select_rank") - 1).cast("int")
+    return made.join(selected.select("query_id", "parent_id", "select_rank"), ["query_id", "parent_id"]).withColumn("context_index", index).withColumn("context_label", context_label(index))

@@ -1,0 +1,5 @@
+"""Query modules; importing the package fills the catalog."""
+
+from . import catalog, retrieval
+
+__all__ = ["catalog", "retrieval"]

@@ -1,4 +1,4 @@
-"""Registry of queries with their oracle SQL; operators' query modules add to it."""
+"""Registry of queries with their oracle SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "hybrid_retrieval_eval"
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under a name, with SQL that gives the same rows where SQL can."""
+
+    def add(query: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLES[name] = sql
+        return query
+
+    return add
