@@ -47,7 +47,7 @@ def white_tokens(c: Column) -> Column:
 
 def ordered_distinct(items: Column) -> Column:
     """Trimmed non-empty strings, first occurrences in order."""
-    return F.array_distinct(F.filter(F.transform(items, F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda t: t != ""))
 
 
 def preview(c: Column, chars: int = 120) -> Column:
@@ -74,7 +74,7 @@ def truncated(c: Column, chars: int, suffix: str = "...") -> Column:
 
 def merge_texts(contents: Column) -> Column:
     """Trimmed non-blank parts joined by blank lines."""
-    return F.array_join(F.filter(F.transform(contents, F.trim), lambda t: t != ""), "\n\n")
+    return F.array_join(F.filter(F.transform(contents, lambda x: F.trim(x)), lambda t: t != ""), "\n\n")
 
 
 def merge_tables(contents: Column) -> Column:
@@ -82,7 +82,7 @@ def merge_tables(contents: Column) -> Column:
 
     A later part with fewer than three lines is added whole.
     """
-    parts = F.filter(F.transform(contents, F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(contents, lambda x: F.trim(x)), lambda t: t != "")
 
     def tail(t: Column, i: Column) -> Column:
         lines = F.split(t, "\n")
@@ -154,18 +154,18 @@ def phrase_hits(c: Column, han: list[str], latin: list[str]) -> Column:
 def sentences(c: Column, lang: Column) -> Column:
     """Sentences: after a full stop, question or exclamation mark and white space, or after a Han full stop."""
     parts = F.when(lang == "zh-TW", F.split(c, "(?<=[。！？；])")).otherwise(F.split(c, r"(?<=[.!?])\s+"))
-    return F.filter(F.transform(parts, F.trim), lambda t: t != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda t: t != "")
 
 
 def clean_pdf_markdown(c: Column) -> Column:
     """Page labels and rules dropped, runs of blank lines as one, trimmed."""
     lines = F.filter(F.split(c, "\n"), lambda x: ~F.trim(x).rlike(r"(?i)^page\s+\d+(\s+of\s+\d+)?$") & ~F.trim(x).rlike(r"^(-{3,}|_{3,}|\*{3,})$"))
-    return F.trim(F.regexp_replace(F.array_join(F.transform(lines, F.rtrim), "\n"), r"\n{3,}", "\n\n"))
+    return F.trim(F.regexp_replace(F.array_join(F.transform(lines, lambda x: F.rtrim(x)), "\n"), r"\n{3,}", "\n\n"))
 
 
 def answer_blocks(answer: Column) -> Column:
     """array of (text, labels): paragraphs of an answer with their [[C1,C2]] marks taken out."""
-    paragraphs = F.filter(F.transform(F.split(answer, r"\n\s*\n"), F.trim), lambda t: t != "")
+    paragraphs = F.filter(F.transform(F.split(answer, r"\n\s*\n"), lambda x: F.trim(x)), lambda t: t != "")
     marks = r"\[\[\s*(C\d+(?:\s*,\s*C\d+)*)\s*\]\]"
 
     def block(t: Column) -> Column:
