@@ -79,7 +79,14 @@ def test_walk_reaches_every_leaf(n):
     x = clustered(n, dim=5, seed=n)
     tree = ann.build(x, float(np.sqrt((x * x).sum(axis=1)).max()), n * 20)
     assert set(tree.assign(x)) <= set(range(tree.leaves))
-    assert sorted(tree.visits(x[0], 10**9)) == list(range(tree.leaves))
+    reach = tree.reach(0.5)
+    assert sorted(tree.visits(x[0], reach, 10**9)) == list(range(tree.leaves))
+    promise = tree.centres[:, :-1] @ x[0] + np.sqrt(x[0] @ x[0]) * reach
+    by_leaf = {int(m): promise[i] for i, m in enumerate(tree.leaf) if m >= 0}
+    walk = [by_leaf[m] for m in tree.visits(x[0], reach, 10**9)]
+    assert walk == sorted(walk, reverse=True)
+    least = float(np.median(walk))
+    assert set(tree.visits(x[0], reach, 10**9, least)) == {m for m, v in by_leaf.items() if v >= least}
 
 
 def test_exact(spark):
