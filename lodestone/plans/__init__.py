@@ -1,5 +1,5 @@
 """Query modules; importing the package fills the catalog."""
 
-from . import catalog, retrieval, texts
+from . import catalog, evaluation, retrieval, texts
 
-__all__ = ["catalog", "retrieval", "texts"]
+__all__ = ["catalog", "evaluation", "retrieval", "texts"]
