@@ -160,7 +160,8 @@ def sentences(c: Column, lang: Column) -> Column:
 def clean_pdf_markdown(c: Column) -> Column:
     """Page labels and rules dropped, runs of blank lines as one, trimmed."""
     lines = F.filter(F.split(c, "\n"), lambda x: ~F.trim(x).rlike(r"(?i)^page\s+\d+(\s+of\s+\d+)?$") & ~F.trim(x).rlike(r"^(-{3,}|_{3,}|\*{3,})$"))
-    return F.trim(F.regexp_replace(F.array_join(F.transform(lines, lambda x: F.rtrim(x)), "\n"), r"\n{3,}", "\n\n"))
+    joined = F.regexp_replace(F.array_join(F.transform(lines, lambda x: F.rtrim(x)), "\n"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(joined, r"^\s+|\s+$", "")
 
 
 def answer_blocks(answer: Column) -> Column:
@@ -170,6 +171,6 @@ def answer_blocks(answer: Column) -> Column:
 
     def block(t: Column) -> Column:
         labels = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(t, F.lit(marks), F.lit(1)), lambda m: F.split(m, r"\s*,\s*"))))
-        return F.struct(squeeze(F.regexp_replace(t, r"\s*" + marks, "")).alias("text"), labels.alias("labels"))
+        return F.struct(F.trim(F.regexp_replace(t, r"\s*" + marks, "")).alias("text"), labels.alias("labels"))
 
     return F.transform(paragraphs, block)

@@ -12,6 +12,10 @@ from ..functions import scoring
 
 #: Queries that one pass over the chunks scores, at most.
 QUERY_BLOCK = 10_000
+#: Tokens up to so many characters are counted by a scan each, longer ones by the automaton.
+SHORT = 3
+#: Chunks whose token counts are held at a time.
+_ROWS = 2048
 
 
 def gate(chunks: DataFrame, areas: list[str] | None = None, document_ids: list[int] | None = None, parent_ids: list[int] | None = None) -> DataFrame:
@@ -56,51 +60,67 @@ def vector_recall(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chu
             norm = np.sqrt((x * x).sum(axis=1))
             d = np.round(1 - (x / np.where(norm == 0, 1, norm)[:, None]) @ unit.T, 12) + 0.0
             for i in range(len(qids)):
-                best = np.lexsort((ids, d[:, i]))[:k]
+                near = np.flatnonzero(d[:, i] <= np.partition(d[:, i], k - 1)[k - 1]) if len(ids) > k else np.arange(len(ids))
+                best = near[np.lexsort((ids[near], d[near, i]))[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[i])), pa.array(ids[best]), pa.array(d[best, i])], ["query_id", key, "distance"])
 
     found = chunks.where("embedding is not null").select(F.col(key).cast("long"), "embedding").mapInArrow(run, f"query_id long, {key} long, distance double")
     return ranked(found, ["query_id"], ["distance", key], "vector_rank", k)
 
 
-def text_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
+def text_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "content", k: int | None = None) -> DataFrame:
     """(query_id, key, score) where the score is positive: occurrences of the query's tokens, repeats counted again.
 
-    One automaton of all queries' tokens reads every chunk once; occurrences of a token do not overlap.
+    Occurrences of a token do not overlap. Tokens of all queries are counted in one reading of each chunk: long ones
+    by one automaton, the few short ones that occur everywhere by a scan each. With k every batch of chunks returns
+    only its k best for each query, ties to the smaller key.
     """
-    weights: dict[str, dict[int, int]] = {}
+    asked: dict[int, dict[str, int]] = {}
     for r in _bounded(queries, ["query_id", "query_text"]):
+        mine = asked.setdefault(r[0], {})
         for token in (r[1] or "").lower().split():
-            mine = weights.setdefault(token, {})
-            mine[r[0]] = mine.get(r[0], 0) + 1
+            mine[token] = mine.get(token, 0) + 1
+    tokens = sorted({t for mine in asked.values() for t in mine})
+    place = {t: i for i, t in enumerate(tokens)}
+    weights = [(q, np.array([place[t] for t in mine], np.int64), np.array(list(mine.values()), np.int64)) for q, mine in asked.items() if mine]
 
     def run(batches):
         automaton = ahocorasick.Automaton()
-        for token in weights:
-            automaton.add_word(token, token)
-        if weights:
+        for t in tokens:
+            if len(t) > SHORT:
+                automaton.add_word(t, (place[t], len(t)))
+        if len(automaton):
             automaton.make_automaton()
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for chunk, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                last: dict[str, int] = {}
-                score: dict[int, int] = {}
-                for end, token in automaton.iter((content.as_py() or "").lower()) if weights else ():
-                    if end - len(token) >= last.get(token, -1):
-                        last[token] = end
-                        for query, n in weights[token].items():
-                            score[query] = score.get(query, 0) + n
-                for query, n in score.items():
-                    for column, value in zip(out, (query, chunk, n), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["query_id", key, "score"])
+            for at in range(0, batch.num_rows if weights else 0, _ROWS):
+                part = batch.slice(at, _ROWS)
+                ids = np.asarray(part.column(0), np.int64)
+                low = [(t or "").lower() for t in part.column(1).to_pylist()]
+                count = np.zeros((len(tokens), len(ids)), np.int32)
+                for t in tokens:
+                    if len(t) <= SHORT:
+                        count[place[t]] = [x.count(t) for x in low]
+                for row, x in enumerate(low if len(automaton) else ()):
+                    last: dict[int, int] = {}
+                    for end, (token, n) in automaton.iter(x):
+                        if end - n >= last.get(token, -1):
+                            last[token] = end
+                            count[token, row] += 1
+                for query, at_tokens, n in weights:
+                    score = n @ count[at_tokens]
+                    rows = np.flatnonzero(score)
+                    if k is not None and len(rows) > k:
+                        rows = rows[score[rows] >= np.partition(score[rows], len(rows) - k)[len(rows) - k]]
+                        rows = rows[np.lexsort((ids[rows], -score[rows]))[:k]]
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), query)), pa.array(ids[rows]), pa.array(score[rows].astype(np.int32))], ["query_id", key, "score"])
 
     return chunks.select(F.col(key).cast("long"), text).mapInArrow(run, f"query_id long, {key} long, score int")
 
 
 def text_recall(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """(query_id, key, score, fts_rank): the k best by score, ties to the smaller key."""
-    return ranked(text_scores(chunks, queries, key, text), ["query_id"], [F.desc("score"), key], "fts_rank", k)
+    return ranked(text_scores(chunks, queries, key, text, k), ["query_id"], [F.desc("score"), key], "fts_rank", k)
 
 
 def fuse(vector: DataFrame, text: DataFrame, details: DataFrame, k: int = 60, limit: int = 30, key: str = "chunk_id", ties: list[str] | None = None) -> DataFrame:

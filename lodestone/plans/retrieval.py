@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scoring, text
 from ..operators import assemble, metrics, recall, rerank, selection
 from ..sources import adapters
 from .catalog import register
@@ -134,11 +135,11 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stage_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Relevance of the candidates of the three stages: recall by child, rerank by hit group, assembled by parent."""
-    gold = _gold(spark, sf)
+    gold = _gold(spark, sf).persist()  # a few rows a question; read by every stage
     cols = ["query_id", "document_id", "item", "rank", "start_offset", "end_offset"]
-    policy = _policy(spark, sf)
+    policy = _policy(spark, sf).persist()  # at most max_candidates rows a question; read by every stage
     first = policy.select("query_id", "document_id", F.col("chunk_id").alias("item"), F.col("policy_rank").alias("rank"), "start_offset", "end_offset", F.lit("recall").alias("stage"))
-    groups = _compare(spark, sf)
+    groups = selection.select_compare(rerank.apply_rerank(rerank.parent_groups(policy)), 9)
     second = groups.select("query_id", "document_id", F.explode("hits").alias("h"), F.col("select_rank").alias("rank"), F.lit("rerank").alias("stage")).select(
         "query_id", "document_id", F.col("h.chunk_id").alias("item"), "rank", "h.start_offset", "h.end_offset", "stage"
     )
@@ -313,8 +314,8 @@ def span_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
 @register("gold_scope_recall", adapters.sql("SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS fts_rank FROM scores JOIN children USING (chunk_id) JOIN (SELECT DISTINCT query_id, document_id FROM gold) USING (query_id, document_id) JOIN questions USING (query_id) WHERE dataset = 'drcd-gold' QUALIFY fts_rank <= 10", _TEXT))
 def gold_scope_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Text recall of the datasets that scope each question to its gold documents."""
-    kids = recall.gate(adapters.children(_docs(spark, sf)))
-    asked = adapters.questions(spark, sf).where("dataset = 'drcd-gold'")
-    scope = _gold(spark, sf).select("query_id", "document_id").distinct()
-    found = recall.text_scores(kids, asked).join(kids.select("chunk_id", "document_id"), "chunk_id").join(scope, ["query_id", "document_id"])
+    kids = recall.gate(adapters.children(_docs(spark, sf))).select("document_id", "chunk_id", "content")
+    asked = adapters.questions(spark, sf).where("dataset = 'drcd-gold'").select("query_id", text.white_tokens(F.col("query_text")).alias("tokens"))
+    scope = _gold(spark, sf).select("query_id", "document_id").distinct().join(F.broadcast(asked), "query_id")  # a bounded query set
+    found = kids.join(scope, "document_id").withColumn("score", scoring.fts_score(F.col("tokens"), F.col("content"))).where("score > 0")
     return recall.ranked(found, ["query_id"], [F.desc("score"), "chunk_id"], "fts_rank", 10).select("query_id", "chunk_id", "score", "fts_rank")

@@ -18,6 +18,8 @@ GROUP, PARENT_BASE = 4, 50_000
 VECTORS = 500
 #: Characters of a passage that make its question.
 QUESTION = 60
+#: Bytes up to which a scan is dealt over all cores.
+SMALL = 64 << 20
 #: Passages that one automaton holds, at most.
 PATTERNS = 200_000
 
@@ -26,9 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan dealt over all cores: a file of one row group is one task however many cores there are.
+
+    Scans above SMALL bytes have row groups enough and are left as they are, without a shuffle.
+    """
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, area_id, file_name, status, display_text, heading, lang."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("document_id"),
         F.col("source").alias("area_id"),
         F.concat("lang", F.lit("-"), "doc_id", F.lit(".md")).alias("file_name"),
