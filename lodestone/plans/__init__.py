@@ -1,5 +1,5 @@
 """Query modules; importing the package fills the catalog."""
 
-from . import catalog, evaluation, ingest, retrieval, texts
+from . import catalog, evaluation, ingest, retrieval, serving, texts
 
-__all__ = ["catalog", "evaluation", "ingest", "retrieval", "texts"]
+__all__ = ["catalog", "evaluation", "ingest", "retrieval", "serving", "texts"]

@@ -14,7 +14,7 @@ def plain(v):
     if isinstance(v, bool):
         return str(v).lower()
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 6) + 0.0) if v != int(v) or abs(v) > 1e15 else repr(float(int(v)))
+        return "nan" if math.isnan(v) else repr(v + 0.0)  # every bit: queries round on both sides
     if isinstance(v, int):
         return repr(float(v))
     if isinstance(v, (list, tuple)):

@@ -269,3 +269,26 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.document_id: (r.status, r.events) for r in spark.read.parquet(str(last)).collect()}
     batch = events.groupBy("user_id").agg(ingest.job_status(F.max_by("event_type", F.struct("ts", "event_id"))).alias("s"), F.count("*").alias("n"))
     assert got == {r.user_id: (r.s, r.n) for r in batch.collect()}
+
+
+def test_serving(spark):
+    import uuid
+
+    from lodestone.operators import serving
+
+    r = one(
+        spark,
+        serving.stable_uuid(F.lit("https://example.org/ä")),
+        serving.slug(F.lit(" a b/ü "), ".md"),
+        serving.slug(F.lit("//"), ".md"),
+        serving.resolve_span(F.lit("hello world"), F.lit("world"), F.lit(None).cast("int"), F.lit(None).cast("int")),
+        serving.resolve_span(F.lit("hello"), F.lit("x"), F.lit(2), F.lit(9)),
+        serving.answer(F.lit("q"), F.array().cast("array<string>"), F.array().cast("array<string>")),
+        serving.synopsis(F.lit("a.md"), F.lit("Heading: H1\nHeading: H2\nExcerpt: body")),
+        serving.group_source(F.array(F.lit("vector"), F.lit("fts"))),
+        serving.group_source(F.array().cast("array<string>")),
+    )
+    assert r[0] == str(uuid.uuid5(uuid.NAMESPACE_URL, "https://example.org/ä"))
+    assert r[1] == "a-b.md" and r[2] == "document.md"
+    assert tuple(r[3]) == (6, 11, None) and tuple(r[4]) == (None, None, "unresolved")
+    assert r[5].startswith("目前") and r[6].split("\n")[1] == "Key sections: H1; H2" and r[7] == "hybrid" and r[8] == "fts"
