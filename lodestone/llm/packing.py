@@ -6,8 +6,10 @@ Only a histogram of piece lengths (at most `capacity` rows) reaches the driver,
    its group;
 2. over these few sizes the number of sequences of each configuration (which sizes share a sequence) is optimised
    by a linear program with column generation, and rounded down;
-3. actual lengths replace the rounded ones, which frees room;
-4. what is left, large remainders first and then the small pieces by falling length, goes where it fits best.
+3. actual lengths replace the rounded ones, which frees room; sequences left with more than capacity / LOOSE_SHARE
+   free tokens are opened again;
+4. what is left, pieces of opened sequences, large remainders and small pieces by falling length, goes where it fits
+   best.
 Sequences with equal contents are kept as one run with a count, so the plan has a bounded number of entries
 whatever the number of documents. Each piece then finds its place from its length and its rank among the pieces of
 that length; ranks are counted in a distributed way, so a length that a third of all rows share is no hot spot.
@@ -39,6 +41,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 GROUPS = 96
 #: Pieces up to capacity / SMALL_SHARE are small.
 SMALL_SHARE = 8
+#: Sequences keep their configuration if at most capacity / LOOSE_SHARE tokens of them are free.
+LOOSE_SHARE = 256
 #: The linear program stops within this share of its optimum.
 GAP = 5e-4
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -200,9 +204,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
                             inside.append((length, rank + a - at))
                         at += c
                 runs.append([b - a, capacity - sum(x for x, _ in inside), inside])
-    rest = sorted(((n, r, c) for pool in merged.values() for n, r, c in pool.segments), reverse=True)
-    rest += [(n, 0, c) for n, c in small]
-    _best_fit(runs, rest, capacity)
+    rest = [(n, r, c) for pool in merged.values() for n, r, c in pool.segments] + [(n, 0, c) for n, c in small]
+    rest += [(n, r, run[0]) for run in runs if run[1] > capacity // LOOSE_SHARE for n, r in run[2]]
+    runs = [run for run in runs if run[1] <= capacity // LOOSE_SHARE]
+    _best_fit(runs, sorted(rest, reverse=True), capacity)
     out, first = [], 0
     for count, _, inside in runs:
         at = 0
