@@ -330,3 +330,45 @@ def ingest_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
     e = _T(spark, sf, "events").groupBy(F.col("user_id").alias("document_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.count(F.lit(1)).alias("events"), F.max("ts").alias("updated_at"))
     return e.select("document_id", job_status(F.col("last_type")).alias("status"), "events", "updated_at")
+
+
+@register("evidence_alignment")
+def evidence_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages against the documents that hold their first words: exact after normalising, else fuzzy lines."""
+    from ..operators import align
+
+    docs = adapters.documents(spark, sf).where("status = 'ready'")
+    asked = _T(spark, sf, "benchmark").select("item_id", F.col("text").alias("evidence"))
+    heads = [(r.item_id, " ".join(r.evidence.split(" ")[:4])) for r in asked.limit(adapters.PATTERNS).collect()]
+    near = adapters.exact_matches(docs, "document_id", "display_text", heads).select(F.col("id").alias("document_id"), F.col("passage_id").alias("item_id")).distinct()
+    pairs = near.join(docs.select("document_id", "display_text"), "document_id").join(F.broadcast(asked), "item_id")
+    return align.align(pairs.withColumn("signal", F.substring("evidence", 1, 60)))
+
+
+_SNIPPETS = "(SELECT conv_id AS query_id, arg_min(text, turn) AS query, CASE WHEN conv_id % 3 = 0 THEN ['[]'] WHEN conv_id % 3 = 1 THEN ['well ' || conv_id] ELSE [] END AS well_formed, CASE WHEN conv_id % 2 = 0 THEN ['No Answer Present.'] ELSE ['short'] END AS answers, list({text: text, selected: (turn % 2)::INT} ORDER BY turn) AS p FROM conversations GROUP BY ALL)"
+
+
+@register("prepare_snippets", f"SELECT query_id AS source_document_id, 'msmarco-' || query_id || '.md' AS file_name, CASE WHEN query_id % 3 = 1 THEN 'well_formed_answer' ELSE 'short_answer' END AS answer_type, len(list_filter(p, lambda x: x.selected = 1))::INT AS selected_passages, least(len(list_filter(p, lambda x: x.selected <> 1)), 3)::INT AS context_passages FROM {_SNIPPETS} WHERE trim(query) <> '' AND (query_id % 3 = 1 OR query_id % 2 = 1) AND len(list_filter(p, lambda x: x.selected = 1)) > 0")
+def prepare_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """Snippet bundles with an answer and a selected passage."""
+    from ..operators import prepare
+
+    passage = F.struct("turn", F.struct("text", F.lit("http://x").alias("url"), (F.col("turn") % 2).cast("int").alias("selected")).alias("p"))
+    g = _T(spark, sf, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("query"), F.sort_array(F.collect_list(passage)).alias("l"))
+    none = F.array().cast("array<string>")
+    well = F.when(F.col("query_id") % 3 == 0, F.array(F.lit("[]"))).when(F.col("query_id") % 3 == 1, F.array(F.concat(F.lit("well "), F.col("query_id").cast("string")))).otherwise(none)
+    answers = F.when(F.col("query_id") % 2 == 0, F.array(F.lit(prepare.NO_ANSWER))).otherwise(F.array(F.lit("short")))
+    rows = g.select("query_id", "query", well.alias("well_formed"), answers.alias("answers"), F.transform("l", lambda x: x["p"]).alias("passages"))
+    return prepare.snippet_bundles(rows).select("source_document_id", "file_name", "answer_type", "selected_passages", "context_passages")
+
+
+@register("prepare_reading", "SELECT doc_id AS source_document_id, s AS answer_start, substr(text, s + 1, 12) AS answer_text, trim(substr(text, greatest(s - 80, 0) + 1, least(s + 12 + 80, length(text)) - greatest(s - 80, 0))) AS evidence FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 100 ELSE 40 END::INT AS s FROM documents WHERE length(text) > 400)")
+def prepare_reading(spark: SparkSession, sf: str) -> DataFrame:
+    """Reading-comprehension questions: the answer by vote (100 twice against 40 once, or a tie to the earlier), evidence around it."""
+    from ..operators import prepare
+
+    a = lambda s: F.struct(F.substring("text", s + 1, 12).alias("text"), F.lit(s).alias("start"))
+    answers = F.when(F.col("doc_id") % 2 == 0, F.array(a(40), a(100), a(100))).otherwise(F.array(a(100), a(40)))
+    qas = F.array(F.struct(F.lit("q").alias("id"), F.lit("what?").alias("question"), answers.alias("answers")))
+    d = _T(spark, sf, "documents").where(F.length("text") > 400).select(F.col("doc_id").alias("article_id"), F.lit(0).alias("paragraph_id"), F.col("text").alias("context"), qas.alias("qas"))
+    return prepare.reading_items(d).select("source_document_id", "answer_start", "answer_text", "evidence")

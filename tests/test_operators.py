@@ -292,3 +292,49 @@ def test_serving(spark):
     assert r[1] == "a-b.md" and r[2] == "document.md"
     assert tuple(r[3]) == (6, 11, None) and tuple(r[4]) == (None, None, "unresolved")
     assert r[5].startswith("目前") and r[6].split("\n")[1] == "Key sections: H1; H2" and r[7] == "hybrid" and r[8] == "fts"
+
+
+def test_alignment(spark):
+    from lodestone.operators import align
+
+    assert align.normalised("Ａ  b­c\nexam-\nple ") == ("a bc example", [0, 1, 3, 5, 6, 7, 8, 9, 10, 13, 14, 15])
+    text = "The exam-\nple  Ｔext stands here. An example text."
+    spans = align.exact_spans(text, "Example  text")
+    assert [text[a:b] for a, b in spans] == ["exam-\nple  Ｔext", "example text"]
+    assert align.exact_spans("aXaXa", "axa") == [(0, 3), (2, 5)]
+    far = "apple pie " + "x " * 200 + "target words near " + "y " * 200 + "apple pie"
+    assert align.choose(far.replace("target", "apple pie target"), align.exact_spans(far.replace("target", "apple pie target"), "apple pie"), "target words near")[0] > 100
+    assert align.choose("a b a b", [(0, 1), (4, 5)], "zzz") is None
+    lines = "one line of text here\nthe quick brown fox jumps over it\nother"
+    assert align.fuzzy_line(lines, "the quick brown fox jumps over it", "quick brown fox jumps over it the")[:2] == (22, 55)
+    assert align.fuzzy_line(lines, "nothing alike", "no") is None
+    pairs = spark.createDataFrame([(1, 5, lines, "Quick brown", "s"), (2, 5, lines, "zzz", "s"), (3, 5, "ab ab", "ab", ""), (4, 5, None, None, None)], "item_id long, document_id long, display_text string, evidence string, signal string")
+    assert {r.item_id: r.status for r in align.align(pairs).collect()} == {1: "auto_matched", 2: "rejected", 3: "needs_review", 4: "rejected"}
+
+
+def test_providers(spark):
+    from lodestone.operators import providers
+
+    calls, waits = [], []
+
+    def flaky(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise providers.TransientError(429, 1.0)
+        return x
+
+    assert providers.retried(flaky, 7, sleep=waits.append) == 7 and len(waits) == 2 and all(0.75 <= w <= 1.25 for w in waits)
+    with pytest.raises(providers.TransientError):
+        providers.retried(lambda: (_ for _ in ()).throw(providers.TransientError(401)), sleep=waits.append)
+
+    def small(part):
+        if len(part) > 2:
+            raise providers.TooLarge
+        return [len(t) for t in part]
+
+    assert providers.in_batches(small, ["a", "bb", "ccc", "", "eeeee"], 5) == [1, 2, 3, 0, 5]
+    df = spark.createDataFrame([("ab",), (None,)], "t string")
+    embed = providers.embedding_udf(lambda: lambda texts: [[float(len(t))] for t in texts], 3)
+    assert sorted(r[0] for r in df.select(embed("t")).collect()) == [[0.0, 0.0, 0.0], [2.0, 0.0, 0.0]]
+    score = providers.score_udf(lambda: lambda pairs: [len(a or "") + len(b or "") for a, b in pairs])
+    assert sorted(r[0] for r in df.select(score("t", F.lit("x"))).collect()) == [1.0, 3.0]
