@@ -49,6 +49,23 @@ def release(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch of texts; a worker and its JVM hold a few batches at a time.
+BATCH = 8 << 20
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are at most BATCH bytes; a smaller limit of the session's own stays.
+
+    A batch always holds at least one row, so texts of any length pass whole.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    held = conf.get(key, None)
+    if held is None or not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH:
+        conf.set(key, f"{BATCH}b")
+    return df
+
+
 def salt(*cols: str, n: int) -> Column:
     """A bucket from 0 to n-1 by the hash of cols, to split groups of any size."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Depth of the tree and blocks of a leaf at least.
 DEPTH, LEAF = 6, 1
 
@@ -265,4 +267,4 @@ def _extract(batches):
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text (empty if none), n_chars (code points) of every row; nulls and repeats are kept; other columns are not read."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return common.lean(rows).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -276,7 +276,7 @@ def _place(table: np.ndarray):
 def pieces(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids followed by END, cut to the capacity."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(path, capacity), _SCHEMA)
+    return common.lean(rows).mapInArrow(_pieces(path, capacity), _SCHEMA)
 
 
 def pack(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -84,7 +84,7 @@ def _count_batches(batches):
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the counts of every row's whole text; one row per input row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_count_batches, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return common.lean(rows).mapInArrow(_count_batches, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed(prefix: str = "") -> Column:

@@ -87,7 +87,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long; one row per input row, other columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return common.lean(rows).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _remainder(v: int, poly: int) -> int:
@@ -208,7 +208,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             fps = [_signed(fingerprint(t.as_py())) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*names, "__fp"])
 
-    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])).withColumn("__row", F.monotonically_increasing_id())
+    rows = common.lean(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])).withColumn("__row", F.monotonically_increasing_id())
     rows = common.durable(rows, "rows")  # row numbers hold from here on
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
     classes = common.durable(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(first).alias("first")), "classes")

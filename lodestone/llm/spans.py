@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 Span = tuple[str, int, int]
 
 
@@ -37,4 +39,4 @@ def scan_rows(docs: DataFrame, find: Callable[[str], tuple[list[Span], list[Span
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *(f"n_{k}" for k in counted), "base_sha256", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in counted) + ", base_sha256 string, spans string")
+    return common.lean(rows).mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in counted) + ", base_sha256 string, spans string")

@@ -196,7 +196,7 @@ def materialise(docs: DataFrame, out: str | None = None, tokenizer: str = packin
     fs, path = _open(out)
     fs.create_dir(path, recursive=True)
     shards = max(1, -(-total // shard_text))
-    made = rows.mapInArrow(_sequences(tokenizer, length, first, size, shards, key), "shard int, order long, doc_id long, piece int, start long, raw binary")
+    made = common.lean(rows).mapInArrow(_sequences(tokenizer, length, first, size, shards, key), "shard int, order long, doc_id long, piece int, start long, raw binary")
     dealt = made.repartitionById(shards, "shard").sortWithinPartitions("shard", "order")
     index = common.durable(dealt.mapInArrow(_write(out, length), _INDEX), "token-index")
     sizes = index.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
