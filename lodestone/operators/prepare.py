@@ -78,3 +78,58 @@ def reading_items(paragraphs: DataFrame) -> DataFrame:
         F.col("a.start").alias("answer_start"),
         evidence_window(F.col("context"), F.col("a.text"), F.col("a.start")).alias("evidence"),
     )
+
+
+def newlines(c: Column) -> Column:
+    """Line ends as single newlines, no blanks before them, at most one blank line, trimmed."""
+    t = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), r"[ \t]+\n", "\n")
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def paper_markdown(title: Column, abstract: Column, sections: Column) -> Column:
+    """A paper as markdown: title, abstract, and the sections (array of name, text) that have text."""
+    filled = F.filter(sections, lambda s: F.trim(F.coalesce(s["text"], F.lit(""))) != "")
+    body = F.array_join(F.transform(filled, lambda s: F.concat(F.lit("\n\n## "), F.coalesce(F.nullif(F.trim(s["name"]), F.lit("")), F.lit("Section")), F.lit("\n\n"), F.trim(s["text"]))), "")
+    head = F.when(F.trim(F.coalesce(abstract, F.lit(""))) != "", F.concat(F.lit("\n\n## Abstract\n\n"), F.trim(abstract))).otherwise("")
+    return F.concat(newlines(F.concat(F.lit("# "), F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit("Untitled Paper")), head, body)), F.lit("\n"))
+
+
+#: Tags that break a rendered token stream into paragraphs (fixed values).
+BREAKS = "P DIV TR LI UL OL TABLE TBODY THEAD TD TH DD DT SECTION ARTICLE H1 H2 H3 H4 H5 H6 BR HR".split()
+
+
+def rendered_tokens(tokens: Column) -> Column:
+    """Text of a token stream (array of token, is_html): words by single spaces, paragraphs at block tags, punctuation
+    moved to its word."""
+    tag = lambda t: F.upper(F.regexp_extract(F.trim(t), r"^<\s*/?\s*([A-Za-z0-9]+)", 1))
+    parts = F.transform(tokens, lambda t: F.when(t["is_html"], F.when(tag(t["token"]).isin(BREAKS), "\n\n").otherwise("")).otherwise(F.trim(t["token"])))
+    t = F.array_join(F.filter(parts, lambda x: x != ""), " ")
+    t = newlines(F.regexp_replace(t, r" *(?:\n\n *)+", "\n\n"))
+    for pattern, to in ((r"[ \t]+([,.;:!?%)\]}])", "$1"), (r"([(\[{])\s+", "$1"), (r"\s+([’'])\s*", "$1"), (r"([A-Za-z])\s+([’']s\b)", "$1$2"), (r" {2,}", " ")):
+        t = F.regexp_replace(t, pattern, to)
+    return F.trim(t)
+
+
+def first_acceptable(answers: Column, longest: int = 240) -> Column:
+    """The first annotator's answer (unanswerable, yes_no, spans, evidence, text) that can be used: struct(text, evidence,
+    kind), null if none can."""
+    clean = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    usable = F.filter(
+        answers,
+        lambda a: ~F.coalesce(a["unanswerable"], F.lit(False)) & a["yes_no"].isNull() & ((F.size(clean(a["spans"])) > 0) | (F.size(clean(a["evidence"])) > 0)) & (F.length(F.coalesce(a["text"], F.lit(""))) <= longest),
+    )
+    shaped = F.transform(
+        usable,
+        lambda a: F.struct(
+            F.coalesce(a["text"], F.lit("")).alias("text"),
+            F.when(F.size(clean(a["spans"])) > 0, clean(a["spans"])).otherwise(clean(a["evidence"])).alias("evidence"),
+            F.when(F.size(clean(a["spans"])) > 0, "extractive").otherwise("evidence_only").alias("kind"),
+        ),
+    )
+    return F.try_element_at(shaped, F.lit(1))
+
+
+def token_window(tokens: Column, first: Column, last: Column, around: int = 48) -> Column:
+    """Tokens of an answer [first, last) with so many on either side, clamped to the stream."""
+    a = F.greatest(first - around, F.lit(0))
+    return F.slice(tokens, a + 1, F.greatest(F.least(last + around, F.size(tokens)) - a, F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +62,31 @@ def profiles(spark: SparkSession, s: Settings = DEFAULTS) -> DataFrame:
     return spark.createDataFrame(rows, "query_type string, summary_scope string, document_recall boolean, document_recall_top_k int, vector_top_k int, fts_top_k int, max_candidates int, rerank_top_n int, max_contexts int, max_chars int, max_children int")
 
 
-def gate_overrides(s: Settings = DEFAULTS) -> dict[str, int]:
-    """Settings lowered for the deterministic gate (fixed values)."""
-    return {"vector_top_k": min(s.vector_top_k, 4), "fts_top_k": min(s.fts_top_k, 6), "max_candidates": min(s.max_candidates, 6), "rerank_top_n": min(s.rerank_top_n, 8), "assembler_max_contexts": min(s.assembler_max_contexts, 4), "assembler_max_children": min(s.assembler_max_children, 2)}
+#: Deepest rerank of the guarded profiles (fixed value).
+GUARDED_DEPTH = 100
+
+
+def _gate(s: Settings) -> Settings:
+    return replace(s, rerank_top_n=min(s.rerank_top_n, 4), vector_top_k=min(s.vector_top_k, 6), fts_top_k=min(s.fts_top_k, 6), max_candidates=min(s.max_candidates, 8), assembler_max_contexts=min(s.assembler_max_contexts, 4), assembler_max_children=min(s.assembler_max_children, 2))
+
+
+def _guarded(s: Settings, rerank: int, contexts: int, chars: int, children: int) -> Settings:
+    depth = min(max(s.rerank_top_n, rerank), GUARDED_DEPTH)
+    return replace(s, rerank_top_n=depth, assembler_max_contexts=max(s.assembler_max_contexts, contexts), assembler_max_chars=max(s.assembler_max_chars, chars), assembler_max_children=max(s.assembler_max_children, children))
+
+
+def evaluation_settings(profile: str, s: Settings = DEFAULTS) -> tuple[Settings, bool]:
+    """(settings, whether reranking is deterministic) of an evaluation profile; gates inherit from their base."""
+    base = profile.removesuffix("_gate")
+    if base == "generic_guarded_assembler_v1":
+        return _guarded(s, 8, 8, 3200, 4), profile != base
+    if base == "generic_guarded_assembler_v2":
+        return _guarded(s, 10, 10, 3600, 5), profile != base
+    if profile == "deterministic_gate_v1":
+        return _gate(s), True
+    if profile == "production_like_v1":
+        return s, False
+    raise ValueError(f"unknown evaluation profile {profile}")
 
 
 def mention_scores(queries: DataFrame, names: DataFrame) -> DataFrame:

@@ -338,3 +338,29 @@ def test_providers(spark):
     assert sorted(r[0] for r in df.select(embed("t")).collect()) == [[0.0, 0.0, 0.0], [2.0, 0.0, 0.0]]
     score = providers.score_udf(lambda: lambda pairs: [len(a or "") + len(b or "") for a, b in pairs])
     assert sorted(r[0] for r in df.select(score("t", F.lit("x"))).collect()) == [1.0, 3.0]
+
+
+def test_preparation(spark):
+    from lodestone.operators import prepare
+
+    tokens = [("<P>", True), ("It", False), ("is", False), ("(", False), ("a", False), (")", False), ("dog", False), ("'s", False), (".", False), ("</P>", True), ("<B>", True), ("Two", False)]
+    df = spark.createDataFrame([(tokens, [(True, None, [], [], ""), (None, "yes", ["x"], [], ""), (None, None, [" "], ["e1"], "t"), (None, None, ["s"], [], "u")])], "t array<struct<token:string,is_html:boolean>>, a array<struct<unanswerable:boolean,yes_no:string,spans:array<string>,evidence:array<string>,text:string>>")
+    r = df.select(
+        prepare.rendered_tokens(F.col("t")).alias("text"),
+        prepare.first_acceptable(F.col("a")).alias("answer"),
+        F.size(prepare.token_window(F.col("t"), F.lit(2), F.lit(3), 1)).alias("n"),
+        prepare.paper_markdown(F.lit("T"), F.lit(""), F.array(F.struct(F.lit("").alias("name"), F.lit("body\r\n").alias("text")), F.struct(F.lit("x").alias("name"), F.lit(" ").alias("text")))).alias("md"),
+        prepare.newlines(F.lit("a  \r\nb\n\n\n\nc ")).alias("nl"),
+        prepare.evidence_window(F.lit("0123456789"), F.lit("45"), F.lit(4), 2).alias("w"),
+    ).first()
+    assert r.text == "It is (a) dog's.\n\nTwo" and tuple(r.answer) == ("t", ["e1"], "evidence_only") and r.n == 3
+    assert r.md == "# T\n\n## Section\n\nbody\n" and r.nl == "a\nb\n\nc" and r.w == "234567"
+
+
+def test_evaluation_profiles():
+    gate, deterministic = routing.evaluation_settings("deterministic_gate_v1")
+    assert deterministic and (gate.rerank_top_n, gate.vector_top_k, gate.fts_top_k, gate.max_candidates, gate.assembler_max_contexts, gate.assembler_max_children) == (4, 6, 6, 8, 4, 2)
+    v2, gated = routing.evaluation_settings("generic_guarded_assembler_v2_gate")
+    assert gated and (v2.rerank_top_n, v2.assembler_max_contexts, v2.assembler_max_chars, v2.assembler_max_children) == (30, 10, 3600, 7)
+    with pytest.raises(ValueError):
+        routing.evaluation_settings("x")
