@@ -364,3 +364,22 @@ def test_evaluation_profiles():
     assert gated and (v2.rerank_top_n, v2.assembler_max_contexts, v2.assembler_max_chars, v2.assembler_max_children) == (30, 10, 3600, 7)
     with pytest.raises(ValueError):
         routing.evaluation_settings("x")
+
+
+def test_layout(spark):
+    from lodestone.operators import layout
+
+    payload = json.dumps({"kids": [
+        {"type": "heading", "content": "Title", "page number": 1, "heading level": 1, "bbox": [0, 1, 2, 3]},
+        {"type": "table", "content": "a b", "page": 2, "boxes": [{"x0": 1, "y0": 2, "x1": 3, "y1": 4}, {"x0": 1}]},
+        {"type": "paragraph", "text": "first half", "page": 3},
+        {"type": "paragraph", "text": "second half", "page": 4},
+    ]})
+    found = layout.elements(payload)
+    assert [e["text"] for e in found] == ["Title", "a b", "first half", "second half"] and len(found[1]["boxes"]) == 1
+    own = layout.match([("text", "Title"), ("table", "| a b |"), ("text", "first half second half"), ("text", "second half")], found)
+    assert [[e["text"] for e in x] for x in own] == [["Title"], ["a b"], ["first half"], ["second half"]]
+    assert layout.elements("not json") == [] and layout.match([("text", "x")], []) == [[]]
+    df = spark.createDataFrame([(1, [("text", "Title"), ("table", "| a b |")], payload), (2, None, None)], "document_id long, blocks array<struct<block_kind:string,content:string>>, payload string")
+    got = layout.enrich(df).orderBy("block_index").collect()
+    assert [(r.page_start, r.page_end, r.heading_level, len(r.regions)) for r in got] == [(1, 1, 1, 1), (2, 2, None, 1)]
