@@ -116,8 +116,10 @@ _AT_WORD, _DOT_WORD = r"(?:at|ät|arroba|arobase)", r"(?:dot|punkt|punto|point)"
 _BRACKET_AT = re.compile(rf"\s?[\[({{<]\s?(?:@|{_AT_WORD})\s?[\])}}>]\s?", re.I)
 _BRACKET_DOT = re.compile(rf"\s?[\[({{<]\s?(?:\.|{_DOT_WORD})\s?[\])}}>]\s?", re.I)
 _LABEL = r"[A-Za-z0-9_%+-]+"
-#: Plain words count only together: name at host dot tld (the host's own dots may be real, one must be spelled).
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LABEL}(?:(?:\.|\s{_DOT_WORD}\s){_LABEL}){{0,4}}(?:\s?@\s?|\s{_AT_WORD}\s)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{0,4}}(?:\s{_DOT_WORD}\s[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{0,4}}){{1,4}}", re.I)
+#: Stands in for a dot rewritten from a bracketed form while _SPOKEN is sought; a lone surrogate, so in no valid text.
+_MARK = "\udc2e"
+#: Plain words count only together: name at host dot tld (the host's own dots may be real, one must be spelled or bracketed).
+_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LABEL}(?:(?:[.{_MARK}]|\s{_DOT_WORD}\s){_LABEL}){{0,4}}(?:\s?@\s?|\s{_AT_WORD}\s)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{0,4}}(?:(?:{_MARK}|\s{_DOT_WORD}\s)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{0,4}}){{1,4}}", re.I)
 _SPOKEN_AT = re.compile(rf"\s?@\s?|\s{_AT_WORD}\s", re.I)
 _SPOKEN_DOT = re.compile(rf"\s{_DOT_WORD}\s", re.I)
 _SPOKEN_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\.|\s?{_DOT_WORD}\s?)[0-9]{{1,3}}){{3}}(?![\w])", re.I)
@@ -222,12 +224,14 @@ def _unmask_digits(t: Traced) -> list[tuple[int, int]]:
 
 
 def _unmask_at_dot(t: Traced) -> None:
+    spoken = ""
     for pattern, new in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
         edits = [(m.start(), m.end(), new) for m in pattern.finditer(t.text)]
         if edits:
+            spoken = pattern.sub(_MARK, t.text) if new == "." else ""  # as long as the rewritten text
             t.rewrite(edits)
     edits = []
-    for m in _SPOKEN.finditer(t.text):
+    for m in _SPOKEN.finditer(spoken or t.text):
         at = _SPOKEN_AT.search(t.text, *m.span())
         marks = [(at.start(), at.end(), "@")] if at.group() != "@" else []
         marks += [(d.start(), d.end(), ".") for part in ((m.start(), at.start()), (at.end(), m.end())) for d in _SPOKEN_DOT.finditer(t.text, *part)]
@@ -251,8 +255,8 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
         _unmask_characters(t)
     found: set[Span] = set()
     for s, e in _unmask_digits(t):
-        number = t.text[s:e]
-        if 9 <= len(number.lstrip("+")) <= 15 and not luhn(number.lstrip("+")):
+        number = t.text[s:e].lstrip("+")
+        if 9 <= len(number) <= 15 and not (len(number) >= 12 and luhn(number)):  # such are cards
             found.add(("phone", *t.source(s, e)))
     _unmask_at_dot(t)
     for k, s, e in base_spans(t.text):

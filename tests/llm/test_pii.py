@@ -78,6 +78,28 @@ def test_clean_texts_stay(text):
     assert pii.find(text)[1] == []
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("call four one five five five five zero one zero eight ok", "phone", "four one five five five five zero one zero eight"),
+        ("mail john at example [dot] com now", "email", "john at example [dot] com"),
+        ("mail jo.doe at mail (dot) example.co dot uk now", "email", "jo.doe at mail (dot) example.co dot uk"),
+        ("bob@host [.] net", "email", "bob@host [.] net"),
+    ],
+)
+def test_short_luhn_numbers_and_bracketed_dots(text, kind, part):
+    assert (kind, text.index(part), text.index(part) + len(part)) in pii.find(text)[1]
+
+
+def test_spelled_numbers_of_every_length_are_found():
+    words = "zero one two three four five six seven eight nine".split()
+    rng = random.Random(2)
+    for n in [*range(9, 16)] * 60:
+        digits = "".join(rng.choice("0123456789") for _ in range(n))
+        text = "x: " + " ".join(words[int(d)] for d in digits) + "."
+        assert (("card" if n >= 12 and luhn(digits) else "phone"), 3, len(text) - 1) in pii.find(text)[1], digits
+
+
 def test_query(spark):
     docs = [(i, t, "x", 1) for i, t in enumerate(texts()[:400])] + [(None, "a@b.co", None, None), (3, "ann(at)host(dot)org, a@b.co", "x", 1), (3, "ann(at)host(dot)org, a@b.co", "x", 1)]
     got = pii.scan(spark.createDataFrame(docs, SCHEMA)).collect()
