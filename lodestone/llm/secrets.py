@@ -38,7 +38,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}(?![A-Za-z0-9+/_-])")
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 _CASE = re.compile(r"[a-z][A-Z]|[A-Z][a-z]")
-#: Alphabets from the smallest on (fixed values).
+#: Alphabets from the smallest on (fixed values); the last holds every run, so that none goes untested.
 ALPHABETS = {
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
@@ -49,6 +49,7 @@ ALPHABETS = {
     "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "base64any": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 _VALUES = [(name, {c: i for i, c in enumerate(a)}) for name, a in ALPHABETS.items()]
 

@@ -37,6 +37,24 @@ def test_battery_tells_random_from_words():
         assert secrets.battery(x) < 1e-3, x
 
 
+PATHS = ["com/news/2024/some-article-title", "org/wiki/List_of_things-2024/part", "com/blog/2023/10/how-to-bake-bread"]
+
+
+def test_every_run_has_an_encoding():
+    assert set("+/-_") < secrets.encoding("a+/-_").keys()
+    for x in PATHS:
+        assert secrets.battery(x) < 1e-3, x
+    rng = random.Random(6)
+    made = ["".join(rng.choice(secrets.ALPHABETS["base62"] + "+/-_") for _ in range(40)) + "/-" for _ in range(300)]
+    assert sum(secrets.battery(x) < 0.05 for x in made) < 45
+
+
+def test_paths_are_no_secrets(spark):
+    docs = [(i, f"see https://example.{p} for more", "x", 1) for i, p in enumerate(PATHS * 3)]
+    assert [r.spans for r in secrets.scan(spark.createDataFrame(docs, SCHEMA)).collect()] == [""] * len(docs)
+    assert {r.text for r in secrets.redact(spark.createDataFrame(docs, SCHEMA)).collect()} == {t for _, t, *_ in docs}
+
+
 def test_chi_tail():
     for x, k, want in [(3.841459, 1, 0.05), (18.307038, 10, 0.05), (30.0, 6, 3.94e-5), (0.5, 4, 0.9735)]:
         assert abs(secrets.chi_tail(x, k) - want) < 2e-4 * max(1, want)
