@@ -27,6 +27,14 @@ _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe"
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr"}
+#: Open elements that the start of a part of a table ends, within the innermost table.
+_CELL = {"td", "th", "caption"}
+_ROW = _CELL | {"tr"}
+_PART = _ROW | {"tbody", "thead", "tfoot"}
+_ENDS = {"td": _CELL, "th": _CELL, "tr": _ROW, "caption": _PART, "tbody": _PART, "thead": _PART, "tfoot": _PART}
+#: Open items that the start of another item ends, unless an element other than _LOOSE stands between.
+_ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+_LOOSE = {"address", "div", "p", "dialog", "legend"}
 _OTHER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "dir", "fieldset", "label"}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 # Words in class names and roles of parts that are not the article (fixed values).
@@ -75,10 +83,58 @@ def _end_of_tag(page: str, at: int, last: dict[str, bool]) -> int:
     return end + 1
 
 
+class Open:
+    """The open block elements, with the positions of each tag, so that closing costs what it closes, however deep it is."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int]] = []  # tag, article, other
+        self.at: dict[str, list[int]] = {}
+        self.firm: list[int] = []  # positions of elements other than _LOOSE
+        self.articles = self.others = 0
+
+    def push(self, tag: str, article: int, other: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag not in _LOOSE:
+            self.firm.append(len(self.stack))
+        self.stack.append((tag, article, other))
+        self.articles += article
+        self.others += other
+
+    def cut(self, position: int) -> None:
+        """Close the element at a position and all inside it."""
+        while len(self.stack) > position:
+            tag, article, other = self.stack.pop()
+            self.at[tag].pop()
+            if tag not in _LOOSE:
+                self.firm.pop()
+            self.articles -= article
+            self.others -= other
+
+    def last(self, tag: str) -> int:
+        """Position of the innermost element of a tag, -1 if none is open."""
+        return self.at[tag][-1] if self.at.get(tag) else -1
+
+    def close(self, tag: str) -> None:
+        if (i := self.last(tag)) >= 0:
+            self.cut(i)
+
+    def imply_ends(self, tag: str) -> None:
+        """End what the start of a tag ends where end tags are left out."""
+        while self.stack and self.stack[-1][0] in _PARAGRAPHS and self.stack[-1][0] in ("p", tag):
+            self.cut(len(self.stack) - 1)
+        table = self.last("table")
+        if tag in _ENDS and table >= 0:
+            if inside := [i for t in _ENDS[tag] if (i := self.last(t)) > table]:
+                self.cut(min(inside))
+        elif ends := _ENDS.get(tag) or _ITEMS.get(tag):  # parts of a table outside any are taken as items
+            while self.firm and self.stack[self.firm[-1]][0] in ends:
+                self.cut(self.firm[-1])
+
+
 def blocks(page: str) -> list[Block]:
     """The flat blocks of a page that have any text, in order. Linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, article, other
+    opened = Open()
     parts: list[str] = []
     spans: list[tuple[int, int]] = []
     link, at, heading, last = 0, 0, 0, {}
@@ -90,7 +146,7 @@ def blocks(page: str) -> list[Block]:
             words = "".join(parts).split()
             if words:
                 linked = sum(len(parts[i].split()) for i, k in spans if k)
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), int(any(a for _, a, _ in stack)), int(any(o for _, _, o in stack)), heading))
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), int(opened.articles > 0), int(opened.others > 0), heading))
             parts, spans = [], []
 
     def text(s: str) -> None:
@@ -133,17 +189,11 @@ def blocks(page: str) -> list[Block]:
             flush()
             heading = int(not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
             if closing:
-                for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                opened.close(tag)
             else:
-                while stack and stack[-1][0] in _PARAGRAPHS and (tag not in _PARAGRAPHS or stack[-1][0] == tag or stack[-1][0] == "p") and stack[-1][0] in ("p", tag):
-                    stack.pop()
+                opened.imply_ends(tag)
                 if tag not in _VOID:
-                    stack.append((tag, *_place(tag, page[m.end() : at], stack)))
-                    if len(stack) > 400:  # nested beyond reason: forget the paragraphs
-                        stack = [s for s in stack if s[0] not in _PARAGRAPHS][-300:]
+                    opened.push(tag, *_place(tag, page[m.end() : at], opened.articles > 0))
     flush()
     return out
 
@@ -151,10 +201,10 @@ def blocks(page: str) -> list[Block]:
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
 
 
-def _place(tag: str, attributes: str, stack: list) -> tuple[int, int]:
+def _place(tag: str, attributes: str, in_article: bool) -> tuple[int, int]:
     """Whether the tag opens an article or something that is not one."""
     article = int(tag in ("article", "main"))
-    other = int(tag in _OTHER_TAGS or (tag == "header" and not any(a for _, a, _ in stack)))
+    other = int(tag in _OTHER_TAGS or (tag == "header" and not in_article))
     if "=" in attributes:
         names = [v.strip("\"'") for _, v in _ATTRIBUTE.findall(attributes)]
         if any(_OTHER_NAMES.search(n) for n in names) and tag not in ("body", "html", "main"):

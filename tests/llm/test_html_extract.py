@@ -83,3 +83,70 @@ def test_query(spark):
     assert [(r.text, r.n_chars) for r in got if r.page_id is None] == [("", 0)]
     assert len([r for r in got if re.match("u1$", r.url or "")]) == 2
     assert H.main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+ARTICLE = "<article><p>one two three</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<aside><table>" + "<tr><td>x" * 500 + "</table></aside>" + ARTICLE, "one two three"),
+        ("<form><table>" + "<tr><th>x<td>y" * 500 + "</form>" + ARTICLE, "one two three"),
+        ("<nav><dl>" + "<dt>x<dd>y" * 500 + "</dl></nav>" + ARTICLE, "one two three"),
+        ("<aside>" + "<tr><td>x" * 500 + "</aside>" + ARTICLE, "one two three"),
+        ("<aside>" + "<div>x" * 500 + "</aside>" + ARTICLE, "one two three"),
+        (ARTICLE + '<div class="comments">' + "<div>" * 600 + "<p>" + "word " * 60, "one two three"),
+        ("<article>" + "<div>" * 600 + "<p>one two three", "one two three"),
+    ],
+)
+def test_deep_and_unclosed(page, want):
+    assert H.extract(page) == want
+
+
+def test_implied_ends_keep_to_their_table_and_list():
+    def tags(page):
+        opened = H.Open()
+        for m in re.finditer(r"<(/?)([a-z0-9]+)>", page):
+            if m.group(1):
+                opened.close(m.group(2))
+            else:
+                opened.imply_ends(m.group(2))
+                opened.push(m.group(2), 0, 0)
+        assert opened.firm == [i for i, (t, *_) in enumerate(opened.stack) if t not in H._LOOSE]
+        return " ".join(t for t, *_ in opened.stack)
+
+    assert tags("<table><tr><td><div><tr><th>") == "table tr th"
+    assert tags("<table><tbody><tr><td><tbody><tr>") == "table tbody tr"
+    assert tags("<table><tr><td><table><tr><td><td>") == "table tr td table tr td"
+    assert tags("<table><tr><td><table><tr></table><td>") == "table tr td"
+    assert tags("<dl><dt><div><dd><p><dt>") == "dl dt"
+    assert tags("<dl><dd><dl><dt>") == "dl dd dl dt"
+    assert tags("<ul><li><div><li><ul><li>") == "ul li ul li"
+
+
+def test_open_elements_like_brute_force():
+    rng = random.Random(9)
+    names = ["div", "aside", "article", "section", "nav", "form", "ul", "table"]
+    for _ in range(30):
+        page, stack, want = [], [], []
+        for i in range(1500):
+            tag = rng.choice(names)
+            if rng.random() < 0.4:
+                page.append(f"</{tag}>w{i}")
+                if tag in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+            else:
+                page.append(f"<{tag}>w{i}")
+                stack.append(tag)
+            want.append((f"w{i}", int("article" in stack), int(any(t in H._OTHER_TAGS for t in stack))))
+        assert [(b.text, b.in_article, b.in_other) for b in H.blocks("".join(page))] == want
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    H.blocks("<dl><dd>" * 50_000 + "<div><dt>" * 50_000 + "x</p>" * 50_000)
+    H.blocks("<table><tr><td>" * 50_000 + "<div>x" * 50_000 + "</nav>" * 50_000)
+    assert time.process_time() - began < 20
