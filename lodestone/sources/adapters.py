@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Lines of a parent; parents' numbers within a document start here.
 GROUP, PARENT_BASE = 4, 50_000
-#: Vectors that children and questions use.
+#: Rows of embeddings that the oracle SQL counts on (those of sf0.001 and sf0.01); the queries use all rows there are.
 VECTORS = 500
 #: Characters of a passage that make its question.
 QUESTION = 60
@@ -86,23 +86,25 @@ def children(docs: DataFrame) -> DataFrame:
         "content",
         "start_offset",
         "end_offset",
-        ((F.col("document_id") * 31 + F.col("position")) % VECTORS).alias("vec_id"),
+        (F.col("document_id") * 31 + F.col("position")).alias("vec_key"),
     )
 
 
 def with_vectors(chunks: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with their embedding."""
-    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < VECTORS).select("vec_id", "embedding")
-    return chunks.join(F.broadcast(vectors), "vec_id")  # VECTORS rows
+    """Chunks or questions with their embedding: vec_key modulo the number of rows of embeddings is its vec_id."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    size = F.broadcast(vectors.agg(F.count(F.lit(1)).alias("vectors")))  # one row
+    keyed = chunks.crossJoin(size).withColumn("vec_id", F.col("vec_key") % F.nullif("vectors", F.lit(0)))
+    return keyed.drop("vec_key", "vectors").join(vectors, "vec_id")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, query_text, dataset, vec_id."""
+    """query_id, query_text, dataset, vec_key."""
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
         F.substring("text", 1, QUESTION).alias("query_text"),
         F.when(F.col("item_id") % 2 == 0, "drcd-gold").otherwise("nq-open").alias("dataset"),
-        (F.col("item_id") % VECTORS).alias("vec_id"),
+        F.col("item_id").alias("vec_key"),
     )
 
 

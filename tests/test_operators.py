@@ -383,3 +383,16 @@ def test_layout(spark):
     df = spark.createDataFrame([(1, [("text", "Title"), ("table", "| a b |")], payload), (2, None, None)], "document_id long, blocks array<struct<block_kind:string,content:string>>, payload string")
     got = layout.enrich(df).orderBy("block_index").collect()
     assert [(r.page_start, r.page_end, r.heading_level, len(r.regions)) for r in got] == [(1, 1, 1, 1), (2, 2, None, 1)]
+
+
+@pytest.mark.parametrize("n", [3, 700])
+def test_every_vector_is_used(spark, tmp_path, n):
+    from lodestone.sources import adapters
+
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(n)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, "some words") for i in range(1500)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(d, "a", "ready", "h", "x\n" * 40) for d in range(30)], "document_id long, area_id string, status string, heading string, display_text string")
+    asked = adapters.with_vectors(adapters.questions(spark, str(tmp_path)), spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.embedding[0]) for r in asked) == [(i, i % n) for i in range(1500)]
+    kids = adapters.with_vectors(adapters.children(docs), spark, str(tmp_path)).collect()
+    assert sorted((r.document_id, r.position, r.embedding[0]) for r in kids) == [(d, p, (d * 31 + p) % n) for d in range(30) for p in range(40)]
