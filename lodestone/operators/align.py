@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 ACCEPT, MARGIN = 0.92, 0.05
 #: Characters around a match that its context score reads.
 AROUND = 120
+#: Words of an anchor.
+ANCHOR = 4
 _OUT = "item_id long, document_id long, status string, start_offset int, end_offset int, match_type string, score double, candidates int"
 
 
@@ -41,6 +43,24 @@ def normalised(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
+def anchors(evidence: str) -> list[str]:
+    """Runs of ANCHOR words of the normalised evidence that cover all of it; a text that aligns well holds one of them."""
+    w = normalised(evidence)[0].strip().split(" ")
+    starts = [*range(0, len(w) - ANCHOR, ANCHOR), max(0, len(w) - ANCHOR)]
+    return [a for a in dict.fromkeys(" ".join(w[s : s + ANCHOR]) for s in starts) if a]
+
+
+def flat(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, flat) with the normalised texts."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [normalised(t.as_py() or "")[0] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "flat"])
+
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"{id_col} long, flat string")
+
+
 def words(text: str) -> frozenset[str]:
     return frozenset(re.findall(r"[A-Za-z0-9一-鿿]+", text.lower()))
 

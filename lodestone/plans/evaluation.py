@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -334,13 +336,18 @@ def ingest_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("evidence_alignment")
 def evidence_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages against the documents that hold their first words: exact after normalising, else fuzzy lines."""
+    """Passages against the documents that hold any of their anchors: exact after normalising, else fuzzy lines."""
     from ..operators import align
 
     docs = adapters.documents(spark, sf).where("status = 'ready'")
     asked = _T(spark, sf, "benchmark").select("item_id", F.col("text").alias("evidence"))
-    heads = [(r.item_id, " ".join(r.evidence.split(" ")[:4])) for r in asked.limit(adapters.PATTERNS).collect()]
-    near = adapters.exact_matches(docs, "document_id", "display_text", heads).select(F.col("id").alias("document_id"), F.col("passage_id").alias("item_id")).distinct()
+    passages = adapters.passages(spark, sf)
+    if len(passages) > adapters.PATTERNS:
+        raise ValueError(f"more than {adapters.PATTERNS} passages: align them in blocks")
+    anchors = [(item, a) for item, evidence in passages for a in align.anchors(evidence or "")]
+    flat = align.flat(docs, "document_id", "display_text")
+    blocks = [adapters.exact_matches(flat, "document_id", "flat", anchors[k : k + adapters.PATTERNS]) for k in range(0, len(anchors) or 1, adapters.PATTERNS)]
+    near = functools.reduce(DataFrame.union, blocks).select(F.col("id").alias("document_id"), F.col("passage_id").alias("item_id")).distinct()
     pairs = near.join(docs.select("document_id", "display_text"), "document_id").join(F.broadcast(asked), "item_id")
     return align.align(pairs.withColumn("signal", F.substring("evidence", 1, 60)))
 

@@ -396,3 +396,21 @@ def test_every_vector_is_used(spark, tmp_path, n):
     assert sorted((r.query_id, r.embedding[0]) for r in asked) == [(i, i % n) for i in range(1500)]
     kids = adapters.with_vectors(adapters.children(docs), spark, str(tmp_path)).collect()
     assert sorted((r.document_id, r.position, r.embedding[0]) for r in kids) == [(d, p, (d * 31 + p) % n) for d in range(30) for p in range(40)]
+
+
+def test_alignment_candidates_need_no_literal_beginning(spark, tmp_path):
+    from lodestone.plans import catalog
+
+    evidence = "The quick brown fox jumps over the lazy dog near home"
+    held = {
+        1: "x\nTHE QUICK BROWN fox jumps over the lazy dog near home",
+        2: "x\nthe  quick br\u00adown fox jumps over the lazy dog near home",
+        3: "x\nThe quick bro-\nwn fox jumps over the lazy dog near home",
+        4: "x\nThe quack brown fox jumps over the lazy dog near home",
+        5: "x\nnothing of the kind",
+    }
+    spark.createDataFrame([(d, "src", "en", t) for d, t in held.items()], "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, evidence)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.document_id: (r.status, r.match_type) for r in catalog.QUERIES["evidence_alignment"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[2] == got[3] == ("auto_matched", "exact")
+    assert got[4][1] in ("fuzzy", None) and 5 not in got
