@@ -92,7 +92,7 @@ def evaluation_settings(profile: str, s: Settings = DEFAULTS) -> tuple[Settings,
 def mention_scores(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, document_id, score) of document names against queries.
 
-    queries: query_id, query_text (a bounded set); names: document_id, name. Documents meet a query only through a
+    queries: query_id, query_text; names: document_id, name. Documents meet a query only through a
     token they share or, for whole names, through the name's first token, so no query meets every document.
     """
     q = queries.select("query_id", text.fold(text.reference_query(F.col("query_text"))).alias("q"))
@@ -102,7 +102,7 @@ def mention_scores(queries: DataFrame, names: DataFrame) -> DataFrame:
     shared = q.select("query_id", F.explode("q_tokens").alias("token")).join(d.select("document_id", F.explode(F.array_distinct("d_tokens")).alias("token")), "token").join(frequency, "token")
     bonus = F.when(F.col("df") == 1, 0.12).when(F.col("df") == 2, 0.06).otherwise(0.01)
     pairs = shared.groupBy("query_id", "document_id").agg(F.least(F.sum(bonus), F.lit(0.3)).alias("bonus"))
-    j = pairs.join(F.broadcast(q), "query_id").join(d, "document_id")  # q: a bounded query set
+    j = pairs.join(q, "query_id").join(d, "document_id")
     specific = text.specific_phrase(F.col("name"))
     score = F.greatest(
         F.when(F.contains("q", F.col("name")) & specific, 0.96).otherwise(0.0),

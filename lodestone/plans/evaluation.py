@@ -300,9 +300,9 @@ def routing_decision(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("mention_resolution")
 def mention_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that questions name (here: questions made from every 25th document's name)."""
+    """Documents that questions name (here: questions made from every document's name)."""
     docs = adapters.documents(spark, sf).where("status = 'ready'").select("document_id", text.document_name(F.col("file_name")).alias("name"))
-    asked = docs.where("document_id % 25 = 1").select(F.col("document_id").alias("query_id"), F.concat(F.lit("summarize "), "name").alias("query_text"))
+    asked = docs.select(F.col("document_id").alias("query_id"), F.concat(F.lit("summarize "), "name").alias("query_text"))
     return routing.resolve_mentions(routing.mention_scores(asked, docs))
 
 

@@ -414,3 +414,12 @@ def test_alignment_candidates_need_no_literal_beginning(spark, tmp_path):
     got = {r.document_id: (r.status, r.match_type) for r in catalog.QUERIES["evidence_alignment"](spark, str(tmp_path)).collect()}
     assert got[1] == got[2] == got[3] == ("auto_matched", "exact")
     assert got[4][1] in ("fuzzy", None) and 5 not in got
+
+
+def test_every_name_is_resolved(spark, tmp_path):
+    from lodestone.plans import catalog
+
+    spark.createDataFrame([(d, "src", "en", "some text") for d in range(60)], "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.query_id, list(r.resolved)) for r in catalog.QUERIES["mention_resolution"](spark, str(tmp_path)).collect())
+    want = [d for d in range(60) if d % 17]
+    assert [q for q, _ in got] == want and all(q in found for q, found in got)
