@@ -3,9 +3,9 @@
 A text is split by the public pattern; the distinct pieces of a chunk are encoded together. Pieces of similar
 length form one padded matrix of token ids. Each round every row merges its leftmost minimum-rank pair: pair
 ranks come from a hashed pair table, the merged column is dropped by compaction (each live row loses exactly one
-element, so the matrix just gets narrower), and rows without a pair to merge leave. Pieces of more than LONG bytes
-would make as many rounds as they have bytes; they use a heap over a linked list with the same merge order.
-Encoded pieces are kept in a bounded cache per Python worker.
+element, so the matrix just gets narrower), and rows without a pair to merge leave. In wide matrices a row merges the
+repeats of its pair in the same round. A match of the pattern always ends before a space that follows a character other
+than white space, so texts are cut there and the ids of such chunks are kept in a bounded cache per Python worker.
 """
 
 from __future__ import annotations
@@ -13,9 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,19 +27,20 @@ from . import common
 
 #: Default rank file; a parameter of every function that encodes.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Bytes of a piece beyond which the heap is used.
-LONG = 192
-#: Pieces in a worker's cache at most; it starts anew beyond that.
-CACHE = 700_000
+#: Bytes of a piece beyond which a round merges all repeats of a row's pair at once; the ids are the same.
+WIDE = 192
+#: Characters that a worker's cache holds, about; it starts anew beyond that.
+CACHE = 6_000_000
 #: Characters of text that are split at a time.
 SPAN = 1 << 20
-_ROWS = 1 << 13
+_ROWS, _CELLS = 1 << 13, 1 << 21
 _PAD, _NONE = 0xFFFF, np.int32(2**31 - 1)
 
 _EXACT = regex.compile(public_tokenizers.PATTERN)
 #: The same split in the faster standard module, for texts of characters on which both agree.
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_LOOSE = re.compile(r"\s ")
 
 
 @functools.cache
@@ -52,16 +51,7 @@ def _odd() -> re.Pattern:
     return re.compile("[" + "".join(map(re.escape, bad)) + "　-\U0010ffff]")
 
 
-def pieces(text: str) -> Iterator[list[str]]:
-    """The matches of the pattern, in order, in lists of bounded size."""
-    at = 0
-    while at < len(text):
-        end = len(text)
-        if end - at > SPAN and (m := _CUT.search(text, at + SPAN)):  # a match always ends before such a space
-            end = m.start()
-        part = text[at:end] if at or end < len(text) else text
-        yield (_EXACT if _odd().search(part) else _FAST).findall(part)
-        at = end
+_CHUNK_CUT = re.compile(r"(?<=\S) ")
 
 
 class Vocabulary:
@@ -126,22 +116,28 @@ class Vocabulary:
             whole = self.ranks.get(w)
             if whole is not None:
                 out[i] = whole.to_bytes(4, "little")
-            elif len(w) > LONG:
-                out[i] = self._encode_long(w)
             else:
-                todo.setdefault((len(w) + 3) // 4 * 4 if len(w) > 16 else len(w), []).append(i)
+                n = len(w)
+                step = 1 if n <= 16 else 4 if n <= WIDE else 1 << (n.bit_length() - 3)
+                todo.setdefault(-(-n // step) * step, []).append(i)
         for width, members in todo.items():
-            for k in range(0, len(members), _ROWS):
-                self._encode_bucket(words, members[k : k + _ROWS], width, out)
+            rows, bucket = max(1, min(_ROWS, _CELLS // width)), self._encode_bucket if width <= WIDE else self._encode_wide
+            for k in range(0, len(members), rows):
+                bucket(words, members[k : k + rows], width, out)
         return out
 
-    def _encode_bucket(self, words: list[bytes], members: list[int], width: int, out: list[bytes]) -> None:
-        rows = np.array(members)
+    def _matrix(self, words: list[bytes], members: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Padded byte ids of the pieces, a row each, and their sizes."""
         raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in members), np.uint8).reshape(-1, width)
         size = np.array([len(words[i]) for i in members])
         ids = self.single[raw]
         if size.min() < width:
             ids[np.arange(width) >= size[:, None]] = _PAD
+        return ids, size
+
+    def _encode_bucket(self, words: list[bytes], members: list[int], width: int, out: list[bytes]) -> None:
+        rows = np.array(members)
+        ids, size = self._matrix(words, members, width)
         ranks = self.pair_ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(rows), width - 1)
         while True:
             j = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
@@ -171,30 +167,70 @@ class Vocabulary:
                 right = np.flatnonzero(j < w - 2)
                 ranks[right, j[right]] = self.pair_ranks(ids[right, j[right]], ids[right, j[right] + 1])
 
-    def _encode_long(self, word: bytes) -> bytes:
-        ids = self.single[np.frombuffer(word, np.uint8)]
-        first = self.pair_ranks(ids[:-1], ids[1:]).tolist()
-        ids, n = ids.tolist(), len(word)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = [*first, int(_NONE)]
-        heap = [(r, i) for i, r in enumerate(first) if r != _NONE]
-        heapq.heapify(heap)
-        one = lambda a, b: int(self.pair_ranks(np.array([a]), np.array([b]))[0])
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or rank[i] != r:
-                continue
-            k = after[i]
-            ids[i], ids[k] = r, -1
-            after[i] = after[k]
-            if after[k] < n:
-                before[after[k]] = i
-            for p, q in ((i, after[i]), (before[i], i)):
-                if p >= 0:
-                    rank[p] = one(ids[p], ids[q]) if q < n else int(_NONE)
-                    if rank[p] != _NONE:
-                        heapq.heappush(heap, (rank[p], p))
-        return array("I", [x for x in ids if x >= 0]).tobytes()
+    def _encode_wide(self, words: list[bytes], members: list[int], width: int, out: list[bytes]) -> None:
+        """The same rounds for long pieces: a row merges, with its leftmost minimum-rank pair, the pair's repeats.
+
+        The repeats are what the following rounds would merge, up to and with the first merge that makes a pair of
+        lower rank beside it. Merged cells are left out by links, and the matrix is compacted once a quarter is out.
+        """
+        rows = np.array(members)
+        ids, size = self._matrix(words, members, width)
+        while len(rows):
+            w = int(size.max())
+            n = len(rows)
+            cells = np.full((n, w + 1), _PAD, np.int32)
+            cells[:, :w] = ids[:, :w]
+            after = np.tile(np.arange(1, w + 2, dtype=np.int32), (n, 1))
+            after[np.arange(n), size - 1] = w
+            before = np.tile(np.arange(-1, w, dtype=np.int32), (n, 1))
+            before[:, 0] = w
+            ranks = np.full((n, w + 1), _NONE, np.int32)
+            ranks[:, :-2] = self.pair_ranks(cells[:, :-2].ravel(), cells[:, 1:-1].ravel()).reshape(n, w - 1)
+            dead = np.zeros((n, w), bool)
+            dead[np.arange(w) >= size[:, None]] = True
+            live = np.ones(n, bool)
+            while live.any() and int(size[live].max()) * 4 > 3 * w:
+                best = ranks.min(axis=1)
+                live = best != _NONE
+                r, j = np.nonzero((ranks == best[:, None]) & live[:, None])
+                if not len(r):
+                    break
+                # of hits that share a cell every second one stands, from the left
+                chained = np.zeros(len(r), bool)
+                chained[1:] = (r[1:] == r[:-1]) & (after[r[:-1], j[:-1]] == j[1:])
+                at = np.arange(len(r))
+                stand = (at - np.maximum.accumulate(np.where(chained, 0, at))) % 2 == 0
+                r, j = r[stand], j[stand]
+                k, new = after[r, j], best[r]
+                left, right = before[r, j], after[r, k]
+                joined = np.zeros(len(r), bool)  # the left neighbour is the merge before
+                joined[1:] = (r[1:] == r[:-1]) & (k[:-1] == left[1:])
+                lower = np.minimum(self.pair_ranks(np.where(joined, new, cells[r, left]), new), self.pair_ranks(new, cells[r, right])) < new
+                count = np.cumsum(lower) - lower  # lower pairs made by earlier merges, then only those of the same row
+                first = np.maximum.accumulate(np.where(np.r_[True, r[1:] != r[:-1]], np.arange(len(r)), 0))
+                go = count == count[first]
+                r, j, k, new, right = r[go], j[go], k[go], new[go], right[go]
+                cells[r, j], ranks[r, k], dead[r, k] = new, _NONE, True
+                after[r, j] = right
+                inside = right < w
+                before[r[inside], right[inside]] = j[inside]
+                ranks[r, j] = self.pair_ranks(new, cells[r, after[r, j]])
+                left = before[r, j]
+                inside = left < w
+                ranks[r[inside], left[inside]] = self.pair_ranks(cells[r[inside], left[inside]], cells[r[inside], j[inside]])
+                size = size - np.bincount(r, minlength=n)
+            kept = ~dead
+            flat = cells[:, :w][kept]
+            ends = np.cumsum(size)
+            for i in np.flatnonzero(~live):
+                out[rows[i]] = flat[ends[i] - size[i] : ends[i]].astype("<u4").tobytes()
+            width_left = int(size[live].max()) if live.any() else 0
+            ids = np.full((n, max(1, width_left)), _PAD, np.int32)
+            row = np.repeat(np.arange(n), size)
+            place = np.arange(len(flat)) - np.repeat(ends - size, size)
+            fits = place < ids.shape[1]
+            ids[row[fits], place[fits]] = flat[fits]
+            rows, ids, size = rows[live], ids[live], size[live]
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of a list of ids."""
@@ -207,18 +243,36 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Texts to ids with a bounded cache of pieces."""
+    """Texts to ids with a bounded cache of chunks: what stands before the first cut, and what follows a space."""
 
     def __init__(self, path: str = RANKS):
         self.vocabulary = vocabulary(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in set(words) if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(set(words))
-        self.cache.update(zip(new, self.vocabulary.encode([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
+        self.caches: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.held = 0
+
+    def _chunks(self, text: str) -> list[str] | None:
+        """The text cut at spaces after other characters; None if characters need the exact split."""
+        if _odd().search(text):
+            return None
+        return _CHUNK_CUT.split(text) if _LOOSE.search(text) else text.split(" ")
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        """Encode the chunks that the caches do not hold, all their pieces together."""
+        if self.held > CACHE:
+            self.caches, self.held = ({}, {}), 0
+        head, tail = self.caches
+        firsts = {parts[0] for parts in texts}.difference(head)
+        rest: set[str] = set()
+        for parts in texts:
+            rest.update(parts[1:])
+        rest.difference_update(tail)
+        split = [_FAST.findall(c) for c in firsts] + [_FAST.findall(" " + c) for c in rest]
+        words = list({w for parts in split for w in parts})
+        ids = dict(zip(words, self.vocabulary.encode([w.encode("utf-8", "surrogatepass") for w in words]), strict=True))
+        made = [ids[parts[0]] if len(parts) == 1 else b"".join([ids[w] for w in parts]) for parts in split]
+        head.update(zip(firsts, made, strict=False))
+        tail.update(zip(rest, made[len(firsts) :], strict=True))
+        self.held += sum(map(len, firsts)) + sum(map(len, rest))
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """The little-endian 32-bit ids of each text, in order; a null text is empty. Texts are taken in groups of bounded size."""
@@ -228,23 +282,33 @@ class Encoder:
             if text and len(text) > SPAN:  # alone, a span at a time
                 yield from self._drain(group)
                 group, held = [], 0
-                out = []
-                for part in pieces(text):
-                    self._learn(part)
-                    out.append(b"".join(map(self.cache.__getitem__, part)))
-                yield b"".join(out)
+                yield b"".join(b"".join(self._drain([[part]])) for part in self._parts(text))
                 continue
-            group.append([*pieces(text)] if text else [])
+            group.append([*self._parts(text or "")])
             held += len(text or "")
             if held > SPAN:
                 yield from self._drain(group)
                 group, held = [], 0
         yield from self._drain(group)
 
-    def _drain(self, group: list[list[list[str]]]) -> Iterator[bytes]:
-        self._learn([w for parts in group for part in parts for w in part])
+    def _parts(self, text: str) -> Iterator[list]:
+        """Spans of bounded size, each as [chunks, None] or [None, pieces]."""
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > SPAN and (m := _CUT.search(text, at + SPAN)):  # a match always ends before such a space
+                end = m.start()
+            part = text[at:end] if at or end < len(text) else text
+            chunks = self._chunks(part)
+            yield [chunks, None if chunks is not None else _EXACT.findall(part)]
+            at = end
+    def _drain(self, group: list[list[list]]) -> Iterator[bytes]:
+        self._learn([chunks for parts in group for chunks, _ in parts if chunks is not None])
+        head, tail = self.caches
+        odd = list({w for parts in group for _, pieces in parts if pieces is not None for w in pieces})
+        ids = dict(zip(odd, self.vocabulary.encode([w.encode("utf-8", "surrogatepass") for w in odd]), strict=True))
         for parts in group:
-            yield b"".join(self.cache[w] for part in parts for w in part) if len(parts) != 1 else b"".join(map(self.cache.__getitem__, parts[0]))
+            yield b"".join([head[c[0]] + b"".join(map(tail.__getitem__, c[1:])) if c is not None else b"".join(map(ids.__getitem__, pieces)) for c, pieces in parts])
 
 
 @functools.cache

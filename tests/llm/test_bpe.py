@@ -43,6 +43,28 @@ def test_spans_and_cache(reference, monkeypatch):
         assert np.frombuffer(raw, "<u4").tolist() == reference.encode_ordinary(t)
 
 
+def test_long_pieces_like_tiktoken(reference):
+    rng = random.Random(10)
+    makers = [lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), lambda n: "".join(rng.choice("ab") for _ in range(n)), lambda n: "".join(rng.choice("thein") for _ in range(n)), lambda n: "é" * n, lambda n: "ha" * n, lambda n: "=" * n, lambda n: "".join(rng.choice("!?.,-=#*") for _ in range(n)), lambda n: "aaab" * n]
+    data = [m(n) for m in makers for n in (190, 193, 255, 300, 511, 777, 2000, 5000)] + [" ".join(makers[2](400) for _ in range(30))]
+    got = [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder().encode_all(data)]
+    for t, ids in zip(data, got, strict=True):
+        assert ids == reference.encode_ordinary(t)
+
+
+def test_cuts_at_spaces(reference):
+    rng = random.Random(11)
+    bits = ["a", " ", "  ", "\n", " \n", "\n ", "\t", "b'", "s", "1", ".", "\u3000", "\xa0", "é"]
+    data = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder().encode_all(data)]
+    assert got == [reference.encode_ordinary(t) for t in data]
+
+
+def test_very_long_text(reference):
+    text = "word, and\nanother  one " * 60_000 + "x" * 100_000
+    assert np.frombuffer(next(bpe.Encoder().encode_all([text])), "<u4").tolist() == reference.encode_ordinary(text)
+
+
 def test_code_points_split_alike(reference):
     for start in range(0, 0x3400, 64):
         t = "".join(f"a{chr(c)}1 {chr(c)}{chr(c)} b{chr(c)}" for c in range(start, start + 64))
