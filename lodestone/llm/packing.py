@@ -45,28 +45,31 @@ SMALL_SHARE = 8
 LOOSE_SHARE = 256
 #: The linear program stops within this share of its optimum.
 GAP = 5e-4
+#: Buckets that the pieces of one length are ranked in.
+BUCKETS = 1024
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @functools.cache
-def fast_encoding(path: str = TOKENIZER) -> tiktoken.Encoding:
+def fast_encoding(path: str = TOKENIZER, special: bool = True) -> tiktoken.Encoding:
     """The vocabulary of a byte-level BPE file of the tokenizers library, in the encoder that returns arrays.
 
-    Special tokens are not recognised: their strings in a text are ordinary text.
+    As in the library once the file is loaded, the strings of its added tokens are split off first and get their own
+    ids. With special=False they are ordinary text (the library's encode_special_tokens).
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-    special = {t["content"] for t in spec["added_tokens"]}
-    ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
+    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added if special else {})
 
 
 def token_ids(text: str | None, encoding: tiktoken.Encoding) -> np.ndarray:
     """Ids of one text as little-endian 32-bit numbers."""
-    return encoding.encode_to_numpy(text or "", disallowed_special=()).astype("<u4", copy=False)
+    return encoding.encode_to_numpy(text or "", allowed_special="all", disallowed_special=()).astype("<u4", copy=False)
 
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -285,8 +288,8 @@ def pack(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, id_co
     A null text is empty and still has its end id. Repeated rows are packed each for itself; null ids are kept;
     other columns are not read. Empty input gives no rows.
     """
-    rows = common.durable(pieces(docs, path, capacity, id_col, text_col), "pieces")
+    rows = common.durable(pieces(docs, path, capacity, id_col, text_col).withColumn("bucket", common.by_row(BUCKETS)), "pieces")
     histogram = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     table, _ = plan(histogram, capacity)
-    ranked = common.numbered(rows, ["length"], ["doc_id", "piece"], "rank")
+    ranked = common.numbered(rows, ["length"], ["doc_id", "piece"], "rank", "bucket")
     return ranked.mapInArrow(_place(table), f"{_SCHEMA}, sequence_id long, offset long")

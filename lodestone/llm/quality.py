@@ -252,6 +252,8 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     seen = docs.join(F.broadcast(sample.select(F.col("doc_id").alias(id_col))), id_col, "left_semi")
     rules = fit(statistics(seen, id_col, text_col), sample)
     names, prefix = docs.columns, "__count_"
+    while any(x.lower().startswith(prefix) for x in names):
+        prefix += "_"
     at = names.index(text_col)
 
     def run(batches):

@@ -118,7 +118,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("grp"))
-    rows = common.durable(rows.withColumn("sub", common.salt("doc_id", n=SUBS)), "shard-rows")
+    rows = common.durable(rows.withColumn("sub", common.by_row(SUBS)), "shard-rows")
     part = rows.groupBy("grp", "sub").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
     sizes = part.groupBy("grp").agg(F.sum("c").alias("n_rows"), F.sum("s").alias("bytes"))
     groups = common.durable(prefix_groups(sizes).sortWithinPartitions("p"), "shard-groups")

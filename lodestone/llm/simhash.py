@@ -179,7 +179,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def _roots(fps: DataFrame) -> DataFrame:
     """(fp, root) of the distinct fingerprints in column fp; root names the component."""
-    return fps.join(common.components(links(fps)).toDF("fp", "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return fps.join(common.components(links(fps)).toDF("fp", "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))  # fp is unique on both sides
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,8 +191,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = common.durable(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = common.durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     whole = common.durable(classes.join(_roots(classes.select("fp")), "fp"), "roots")
-    named = whole.join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = common.durable(whole.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = common.durable(common.hot_join(whole, least, "root").select("fp", "component_id"), "named")  # a component may hold any share
+    return common.hot_join(rows, named, "fp").select(  # and so may a text
+"doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,15 +205,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     names = docs.columns
     at = names.index(text_col)
+    mark, number = common.fresh(names, "__fp"), common.fresh(names, "__row")
 
     def run(batches):
         for batch in batches:
             fps = [_signed(fingerprint(t.as_py())) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*names, mark])
 
-    rows = common.lean(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])).withColumn("__row", F.monotonically_increasing_id())
+    rows = common.lean(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])).withColumn(number, F.monotonically_increasing_id())
     rows = common.durable(rows, "rows")  # row numbers hold from here on
-    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    classes = common.durable(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(first).alias("first")), "classes")
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(number).alias("row"))
+    classes = common.durable(rows.groupBy(F.col(mark).alias("fp")).agg(F.min(first).alias("first")), "classes")
     kept = classes.join(_roots(classes.select("fp")), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    return rows.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*names)
+    return rows.join(kept.select(F.col("first.row").alias(number)), number, "left_semi").select(*names)

@@ -1,24 +1,24 @@
 """Training-order materialisation of token ids in fixed-stride binary shards.
 
-Documents become sequences of at most `length` ids. Every sequence has a key index, and a keyed Feistel network with
-cycle-walking permutes the index domain, which gives a training order that anyone with the key can recompute. A
-range of the permuted domain is one shard: one shuffle brings each range to one task, which sorts it and writes it
-front to back as fixed-stride records. A reader finds any global slot by arithmetic, reads on from there, and can
-resume anywhere.
-
-How many sequences a document has is known only once it is tokenised. So that texts are tokenised and moved once, the
-domain is laid out before with an upper bound (a byte-level vocabulary has at most one id a byte): partitions of the
-scan get their part of the domain from one cheap sum of text lengths. Indices that no sequence uses leave gaps in the
-permuted order; a shard is written without them, and global slots are gapless: the shard's first slot (the sequences
-in all shards before it) plus the place in the shard.
-
-A shard is written under a name of the task attempt and then renamed, so lost executors and repeated tasks leave whole
-shards only. Files are written and read through pyarrow's file systems by URI (file, s3, hdfs...).
+Documents become sequences of at most `length` ids. Sequences are numbered from 0 to N - 1 in the order of doc_id, text
+hash and place in the document (null ids last), which is the same however the table's files are laid out. A keyed
+Feistel network with cycle-walking permutes exactly that range, and its output is the sequence's global slot: whoever has
+the manifest (key, N) computes the slot of any sequence, and `restore` turns a slot back into the number. A range of slots
+is one shard of a fixed number of records: one shuffle brings each range to one task, which sorts it and writes it front
+to back. A reader finds any slot by arithmetic, reads on from there, and can resume anywhere.
+
+How many sequences a document has is known once it is tokenised, so texts are tokenised once into a durable table of
+compressed ids. The small rows (scan partition, place in it, doc_id, hash, count) are ranged into the numbering; each
+document's first number goes to a side file of its scan partition, where the pass that cuts the sequences looks it up.
+Ids thus cross the network once and texts never do.
+
+Shards and side files are written under a name of the task attempt and then renamed, so lost executors and repeated
+tasks leave whole files only. They are written and read through pyarrow's file systems by URI (file, s3, hdfs...).
 """
 
 from __future__ import annotations
 
-import bisect
+import io
 import json
 import struct
 import uuid
@@ -28,6 +28,8 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,14 +40,15 @@ from . import common, packing
 LENGTH = 512
 #: The free id after the ranks, used as padding.
 PAD = 50_256
-#: Text bytes that one shard takes, about.
-SHARD_TEXT = 16 << 20
+#: Sequences of a shard; the last one may hold fewer.
+SHARD = 16_384
 #: Rounds of the network.
 ROUNDS = 6
 KEY = 0x5EED_0F_0DE5
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-_INDEX = "shard int, place long, doc_id long, piece int, start long, length int, ids_crc32 long"
+_TOKENS = "pid int, pos int, doc_id long, hash long, n int, ids binary"
+_INDEX = "slot long, shard int, place long, doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
 def _round(x: np.ndarray, key: int) -> np.ndarray:
@@ -99,64 +102,123 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if ":/" in uri else (pafs.LocalFileSystem(), uri)
 
 
-def _sequences(tokenizer: str, length: int, first: dict[int, tuple[int, int]], size: int, shards: int, key: int):
-    """Rows (shard, order, doc_id, piece, start, raw ids) of the documents of one scan partition."""
+def _save(uri: str, name: str, data: bytes) -> None:
+    """A whole file or none: written under a name of its own, then renamed."""
+    fs, path = _open(uri)
+    temporary = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(temporary) as f:
+        f.write(data)
+    fs.move(temporary, f"{path}/{name}")
+
+
+def _tokenise(tokenizer: str, length: int):
+    """Rows _TOKENS: where the document stands in the scan, its hash, how many sequences it has, its 16-bit ids."""
 
     def run(batches):
         encoding = packing.fast_encoding(tokenizer)
-        at, end = first.get(TaskContext.get().partitionId(), (0, 0))
+        pid, pos = TaskContext.get().partitionId(), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                index, doc_ids, piece, start, raw = [], [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                hashes, n, raw = [], [], []
+                for text in part.column(1):
                     t = text.as_py() or ""
-                    ids = np.append(packing.token_ids(t, encoding), packing.END).astype("<u2")
-                    for j, s in enumerate(range(0, len(ids), length)):
-                        index.append(at + j)
-                        doc_ids.append(doc)
-                        piece.append(j)
-                        start.append(s)
-                        raw.append(ids[s : s + length].tobytes())
-                    at += _bound(len(t.encode("utf-8", "surrogatepass")), length)
-                if at > end:
-                    raise RuntimeError("the scan's partitions are not those that were counted; give a stable table")
-                order = permute(np.array(index, np.int64), size, key)
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                cols = [_shard_of(order, shards, size), order, doc_ids, piece, start, raw]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "order", "doc_id", "piece", "start", "raw"])
+                    ids = np.append(packing.token_ids(t, encoding), packing.END)
+                    hashes.append(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63))
+                    n.append(-(-len(ids) // length))
+                    raw.append(ids.astype("<u2").tobytes())
+                size = part.num_rows
+                cols = [np.full(size, pid), np.arange(pos, pos + size), part.column(0), hashes, n, raw]
+                pos += size
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["pid", "pos", "doc_id", "hash", "n", "ids"])
 
     return run
 
 
-def _bound(n_bytes: int, length: int) -> int:
-    """Sequences of a text of so many bytes, at most."""
-    return n_bytes // length + 1
+def _write_starts(out: str):
+    """First numbers of the documents of each scan partition, in the order of the scan, a file a partition."""
+
+    def run(batches):
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for pid, group in groupby(rows, key=lambda r: r[0]):
+            held = io.BytesIO()
+            np.save(held, np.fromiter((start for _, start in group), np.int64))
+            _save(out, f"{pid}.npy", held.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32())], ["pid"])
+
+    return run
+
+
+def _starts(tokens: DataFrame, out: str) -> int:
+    """Number all sequences, write the side files, and return how many there are."""
+    order = ["none", "doc_id", "hash", "pid", "pos"]
+    keyed = tokens.select(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "pid", "pos", "n")
+    ranged = common.durable(keyed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "token-order")
+    before, total = {}, 0
+    for r in sorted(ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # a row a range
+        before[r.part] = total
+        total += r.n
+    if total:
+        offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part"))
+        inner = F.sum("n").over(Window.partitionBy("part").orderBy(*order)) - F.col("n")
+        starts = ranged.select("pid", "pos", (inner + offset).cast("long").alias("start"))
+        fs, path = _open(out)
+        fs.create_dir(path, recursive=True)
+        starts.repartition("pid").sortWithinPartitions("pid", "pos").select("pid", "start").mapInArrow(_write_starts(out), "pid int").count()
+    return total
+
 
+def _sequences(starts: str, length: int, size: int, per: int, key: int):
+    """Rows (shard, slot, doc_id, piece, start, compressed ids) of the documents of the durable table."""
 
-def _shard_of(order: np.ndarray, shards: int, size: int) -> np.ndarray:
-    """Ranges of the permuted domain, even to one."""
-    return order // -(-size // shards)
+    def run(batches):
+        fs, path = _open(starts)
+        pack, held = zstandard.ZstdCompressor(level=1), (-1, np.zeros(0, np.int64))
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                index, doc_ids, piece, start, raw = [], [], [], [], []
+                for pid, pos, doc, ids in zip(*(part.column(c).to_pylist() for c in ("pid", "pos", "doc_id", "ids")), strict=True):
+                    if pid != held[0]:
+                        with fs.open_input_stream(f"{path}/{pid}.npy") as f:
+                            held = pid, np.load(io.BytesIO(f.read()))
+                    number = int(held[1][pos])
+                    for j, s in enumerate(range(0, len(ids), 2 * length)):
+                        index.append(number + j)
+                        doc_ids.append(doc)
+                        piece.append(j)
+                        start.append(s // 2)
+                        raw.append(pack.compress(ids[s : s + 2 * length]))
+                slot = permute(np.array(index, np.int64), size, key)
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([slot // per, slot, doc_ids, piece, start, raw], kinds, strict=True)], ["shard", "slot", "doc_id", "piece", "start", "raw"])
+
+    return run
 
 
 def _name(path: str, shard: int) -> str:
     return f"{path}/shard-{shard:08d}.bin"
 
 
-def _write(out: str, length: int):
+def _write(out: str, length: int, per: int):
     """Writes the sorted rows of each shard and returns its index rows."""
 
     def run(batches):
         fs, path = _open(out)
         pad = np.full(length, PAD, "<u2").tobytes()
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "piece", "start", "raw")), strict=True))
+        unpack = zstandard.ZstdDecompressor()
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("shard", "slot", "doc_id", "piece", "start", "raw")), strict=True))
         for shard, group in groupby(rows, key=lambda r: r[0]):
             temporary, place, held = f"{path}/.{shard:08d}-{uuid.uuid4().hex}", 0, []
             with fs.open_output_stream(temporary) as f:
-                for _, doc, piece, start, raw in group:
+                for _, slot, doc, piece, start, packed in group:
+                    if slot != shard * per + place:
+                        raise RuntimeError(f"slot {slot} stands where {shard * per + place} belongs; the token table changed between its reads")
+                    raw = unpack.decompress(packed)
                     n = len(raw) // 2
                     f.write(struct.pack("<H", n) + raw + pad[len(raw) :])
-                    held.append((shard, place, doc, piece, start, n, zlib.crc32(raw)))
+                    held.append((slot, shard, place, doc, piece, start, n, zlib.crc32(raw)))
                     place += 1
                     if len(held) == 4096:
                         yield _index_batch(held)
@@ -169,45 +231,37 @@ def _write(out: str, length: int):
 
 
 def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _INDEX.split(", ")])
 
 
-def materialise(docs: DataFrame, out: str | None = None, tokenizer: str = packing.TOKENIZER, length: int = LENGTH, key: int = KEY, shard_text: int = SHARD_TEXT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, out: str | None = None, tokenizer: str = packing.TOKENIZER, length: int = LENGTH, key: int = KEY, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards and manifest.json to `out` (default: the shared folder) and return the index.
 
     Index: slot (global, gapless from 0), shard, place (in the shard), doc_id, piece, start (ids of the document
     before it), length, ids_crc32 (of the little-endian 16-bit ids). A document's ids end with id 0; a null text is
     empty and still has that id. Repeated rows and null ids have sequences of their own; other columns are not read.
-    Empty input writes a manifest without shards. docs must scan alike twice (a table); a change is detected.
-    The path of the shards is the result's attribute `shards_path`.
+    Empty input writes a manifest without shards. The same rows and key give the same slots in any file layout (rows
+    equal in doc_id and text may stand for each other). The path of the shards is the result's attribute `shards_path`.
     """
     spark = docs.sparkSession
     out = out or common.scratch_path(spark, "token-shards")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n_bytes = F.octet_length(F.coalesce("text", F.lit("")))
-    bound = F.floor(n_bytes / length) + 1
-    counted = rows.select(F.spark_partition_id().alias("p"), n_bytes.alias("b"), bound.alias("s")).groupBy("p").agg(F.sum("b").alias("b"), F.sum("s").alias("s"))
-    first, size, total = {}, 0, 0
-    for r in sorted(counted.collect()):  # a row a partition of the scan
-        first[r.p] = (size, size + r.s)
-        size += r.s
-        total += r.b
+    tokens = common.durable(common.lean(rows).mapInArrow(_tokenise(tokenizer, length), _TOKENS), "tokens", "zstd")
+    starts = common.scratch_path(spark, "token-starts")
+    size = _starts(tokens, starts)
     fs, path = _open(out)
     fs.create_dir(path, recursive=True)
-    shards = max(1, -(-total // shard_text))
-    made = common.lean(rows).mapInArrow(_sequences(tokenizer, length, first, size, shards, key), "shard int, order long, doc_id long, piece int, start long, raw binary")
-    dealt = made.repartitionById(shards, "shard").sortWithinPartitions("shard", "order")
-    index = common.durable(dealt.mapInArrow(_write(out, length), _INDEX), "token-index")
-    sizes = index.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
-    starts = common.durable(sizes.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))), "token-shards")
-    manifest = {"length": length, "stride": 2 + 2 * length, "pad": PAD, "key": key, "shards": [[r.shard, r.first, r.n] for r in starts.orderBy("shard").collect()]}
+    shards = -(-size // shard)
+    made = common.lean(tokens.select("pid", "pos", "doc_id", "ids")).mapInArrow(_sequences(starts, length, size, shard, key), "shard int, slot long, doc_id long, piece int, start long, raw binary")
+    dealt = made.repartitionById(max(1, shards), "shard").sortWithinPartitions("shard", "slot")
+    index = common.durable(dealt.mapInArrow(_write(out, length, shard), _INDEX), "token-index")
+    common.release(tokens)
+    manifest = {"length": length, "stride": 2 + 2 * length, "pad": PAD, "key": key, "rounds": ROUNDS, "size": size, "shard": shard, "shards": shards, "order": ["doc_id, nulls last", "xxh64 of the text", "piece"]}
     with fs.open_output_stream(f"{path}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
-    result = index.join(starts, "shard").select((F.col("first") + F.col("place")).cast("long").alias("slot"), *[x.split()[0] for x in _INDEX.split(", ")])
-    result.shards_path = out
-    return result
+    index.shards_path = out
+    return index
 
 
 class Reader:
@@ -217,21 +271,27 @@ class Reader:
         self.fs, self.path = _open(uri)
         with self.fs.open_input_stream(f"{self.path}/manifest.json") as f:
             self.manifest = json.loads(f.read())
-        self.firsts = [s[1] for s in self.manifest["shards"]]
 
     def __len__(self) -> int:
-        return sum(s[2] for s in self.manifest["shards"])
+        return self.manifest["size"]
+
+    def slot(self, number: int) -> int:
+        """Where the sequence of this number in the order of the documents stands."""
+        return int(permute(np.array([number]), len(self), self.manifest["key"])[0])
+
+    def number(self, slot: int) -> int:
+        """Which sequence, in the order of the documents, stands in a slot."""
+        return int(restore(np.array([slot]), len(self), self.manifest["key"])[0])
 
     def read(self, slot: int = 0, count: int | None = None):
         """Yield the ids of the sequences from this slot on; the state to resume with is the next slot."""
         stop = len(self) if count is None else min(len(self), slot + count)
-        stride = self.manifest["stride"]
+        stride, per = self.manifest["stride"], self.manifest["shard"]
         while slot < stop:
-            k = bisect.bisect_right(self.firsts, slot) - 1
-            shard, first, n = self.manifest["shards"][k]
-            upto = min(stop, first + n)
+            shard = slot // per
+            upto = min(stop, (shard + 1) * per)
             with self.fs.open_input_file(_name(self.path, shard)) as f:
-                f.seek((slot - first) * stride)
+                f.seek((slot - shard * per) * stride)
                 while slot < upto:
                     m = min(1024, upto - slot)
                     block = f.read(m * stride)
@@ -244,7 +304,8 @@ class Reader:
 
 def read_table(spark: SparkSession, uri: str) -> DataFrame:
     """(slot, ids) of all shards, a task reading whole shards; ids as array<int>."""
-    shards = Reader(uri).manifest["shards"]
+    manifest = Reader(uri).manifest
+    size, per = manifest["size"], manifest["shard"]
 
     def run(batches):
         reader = Reader(uri)
@@ -254,5 +315,5 @@ def read_table(spark: SparkSession, uri: str) -> DataFrame:
                     ids = list(reader.read(at, min(1024, first + n - at)))
                     yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(ids)), pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["slot", "ids"])
 
-    frame = spark.createDataFrame([(s[1], s[2]) for s in shards], "first long, n long").repartition(max(1, len(shards)))
+    frame = spark.range(0, manifest["shards"], numPartitions=max(1, manifest["shards"])).select((F.col("id") * per).alias("first"), F.least(F.lit(per), F.lit(size) - F.col("id") * per).alias("n"))
     return frame.mapInArrow(run, "slot long, ids array<int>")

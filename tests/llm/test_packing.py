@@ -13,9 +13,17 @@ SCHEMA = "doc_id long, text string, piece string, rank int, offset int"
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(packing.TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.TOKENIZER)
+
+
+def test_added_tokens_like_the_library(tokenizer):
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>y  <|endoftext|>\n z", "<|endoftext", "plain"]
+    for t in texts:
+        assert packing.token_ids(t, packing.fast_encoding()).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    plain = Tokenizer.from_file(packing.TOKENIZER)
+    plain.encode_special_tokens = True
+    for t in texts:
+        assert packing.token_ids(t, packing.fast_encoding(special=False)).tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 def layout(rows, capacity):

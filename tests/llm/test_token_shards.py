@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from lodestone.llm import packing, token_shards
@@ -32,7 +33,7 @@ def test_round_trip(spark, tmp_path):
     data = docs()
     table = spark.createDataFrame(data, SCHEMA).repartition(3)
     table.write.parquet(f"{tmp_path}/docs")
-    index = token_shards.materialise(spark.read.parquet(f"{tmp_path}/docs"), out=f"file://{tmp_path}/shards", length=64, shard_text=20_000)
+    index = token_shards.materialise(spark.read.parquet(f"{tmp_path}/docs"), out=f"file://{tmp_path}/shards", length=64, shard=40)
     rows = sorted(index.collect())
     assert [r.slot for r in rows] == list(range(len(rows)))
     tokenizer = Tokenizer.from_file(packing.TOKENIZER)
@@ -45,7 +46,7 @@ def test_round_trip(spark, tmp_path):
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     reader = token_shards.Reader(index.shards_path)
     read = list(reader.read())
-    assert len(read) == len(reader) == len(rows) and len(reader.manifest["shards"]) > 3
+    assert len(read) == len(reader) == len(rows) and reader.manifest["shards"] > 3 and reader.manifest["size"] == len(rows)
     for r, ids in zip(rows, read, strict=True):
         assert len(ids) == r.length and zlib.crc32(ids.tobytes()) == r.ids_crc32
     for at in (0, 1, 17, len(rows) - 1):
@@ -63,6 +64,39 @@ def test_round_trip(spark, tmp_path):
     assert not [p for p in (tmp_path / "shards").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
 
 
+def test_slots_are_the_permutation_of_a_stable_order_in_any_layout(spark, tmp_path):
+    data = docs()
+    got = []
+    for n, seed in ((1, 0), (3, 1), (7, 2)):
+        rows = data[:]
+        random.Random(seed).shuffle(rows)
+        spark.createDataFrame(rows, SCHEMA).repartition(n).write.parquet(f"{tmp_path}/docs{n}")
+        index = token_shards.materialise(spark.read.parquet(f"{tmp_path}/docs{n}"), length=64, shard=40)
+        got.append(sorted((r.slot, r.doc_id, r.piece, r.ids_crc32) for r in index.collect()))
+        reader = token_shards.Reader(index.shards_path)
+    assert got[0] == got[1] == got[2]
+    seen = {(d, p, c): s for s, d, p, c in got[0]}
+    hashed = lambda t: xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63)
+    number, encoding = 0, packing.fast_encoding()
+    for d, t, *_ in sorted(data, key=lambda r: (r[0] is None, r[0] or 0, hashed(r[1]))):
+        ids = np.append(packing.token_ids(t, encoding), 0).astype("<u2")
+        for k, s in enumerate(range(0, len(ids), 64)):
+            slot = reader.slot(number)
+            assert reader.number(slot) == number
+            if d != 5:
+                assert seen[(d, k, zlib.crc32(ids[s : s + 64].tobytes()))] == slot
+            number += 1
+    assert number == len(reader)
+
+
+def test_very_long_text(spark):
+    text = "long words and numbers 12345 " * 40_000
+    index = token_shards.materialise(spark.createDataFrame([(1, text, 1, "x"), (2, "short", 1, "x")], SCHEMA))
+    rows = sorted(index.collect())
+    ids = [x for _, x in sorted(zip([r.start for r in rows if r.doc_id == 1], [x.tolist() for r, x in zip(rows, token_shards.Reader(index.shards_path).read(), strict=True) if r.doc_id == 1], strict=True))]
+    assert [i for x in ids for i in x] == [*packing.token_ids(text, packing.fast_encoding()).tolist(), 0]
+
+
 def test_order_follows_the_key(spark, tmp_path):
     spark.createDataFrame(docs(), SCHEMA).write.parquet(f"{tmp_path}/docs")
     table = spark.read.parquet(f"{tmp_path}/docs")
