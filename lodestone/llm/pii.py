@@ -8,6 +8,7 @@ across a rewritten place is mapped back to source characters and added.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from functools import cache
@@ -115,13 +116,14 @@ _TOKEN = re.compile(rf"plus|{_WORD}", re.I)
 _AT_WORD, _DOT_WORD = r"(?:at|ät|arroba|arobase)", r"(?:dot|punkt|punto|point)"
 _BRACKET_AT = re.compile(rf"\s?[\[({{<]\s?(?:@|{_AT_WORD})\s?[\])}}>]\s?", re.I)
 _BRACKET_DOT = re.compile(rf"\s?[\[({{<]\s?(?:\.|{_DOT_WORD})\s?[\])}}>]\s?", re.I)
-_LABEL = r"[A-Za-z0-9_%+-]+"
-#: Stands in for a dot rewritten from a bracketed form while _SPOKEN is sought; a lone surrogate, so in no valid text.
+#: Stands in for a dot rewritten from a bracketed form while _spoken seeks it; a lone surrogate, so in no valid text.
 _MARK = "\udc2e"
-#: Plain words count only together: name at host dot tld (the host's own dots may be real, one must be spelled or bracketed).
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LABEL}(?:(?:[.{_MARK}]|\s{_DOT_WORD}\s){_LABEL}){{0,4}}(?:\s?@\s?|\s{_AT_WORD}\s)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{0,4}}(?:(?:{_MARK}|\s{_DOT_WORD}\s)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{0,4}}){{1,4}}", re.I)
 _SPOKEN_AT = re.compile(rf"\s?@\s?|\s{_AT_WORD}\s", re.I)
 _SPOKEN_DOT = re.compile(rf"\s{_DOT_WORD}\s", re.I)
+_DOT_BEFORE = re.compile(rf"\s{_DOT_WORD}\s$", re.I)
+#: The host's own dots may be real, one must be spelled or bracketed.
+_SPOKEN_HOST = re.compile(rf"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:(?:{_MARK}|\s{_DOT_WORD}\s)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)+", re.I)
+_IN_LABEL = _LOCAL - {"."}
 _SPOKEN_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\.|\s?{_DOT_WORD}\s?)[0-9]{{1,3}}){{3}}(?![\w])", re.I)
 _ANY_DOT = re.compile(rf"\s?{_DOT_WORD}\s?", re.I)
 _BRACKETED = re.compile(rf"[\[({{<]\s?(?:@|\.|{_AT_WORD}|{_DOT_WORD})\s?[\])}}>]", re.I)
@@ -223,6 +225,37 @@ def _unmask_digits(t: Traced) -> list[tuple[int, int]]:
     return runs
 
 
+def _spoken_local(text: str, end: int, floor: int) -> int:
+    """Where the local part that ends at `end` starts: labels joined by real, bracketed or spelled dots, however many."""
+    start = end
+    while start > floor and text[start - 1] in _IN_LABEL:
+        start -= 1
+    while end > start > floor:
+        m = _DOT_BEFORE.search(text, max(floor, start - 9), start)
+        joint = start - 1 if text[start - 1] in (".", _MARK) else m.start() if m else start
+        before = joint
+        while before > floor and text[before - 1] in _IN_LABEL:
+            before -= 1
+        if before == joint:
+            break
+        start = before
+    return start
+
+
+def _spoken(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, at's start, at's end, end) of addresses whose at or dots are words: name at host dot tld."""
+    out, done = [], 0
+    for at in _SPOKEN_AT.finditer(text):
+        if at.start() < done:
+            continue
+        host = _SPOKEN_HOST.match(text, at.end())
+        start = _spoken_local(text, at.start(), done) if host else at.start()
+        if start < at.start():
+            out.append((start, at.start(), at.end(), host.end()))
+            done = host.end()
+    return out
+
+
 def _unmask_at_dot(t: Traced) -> None:
     spoken = ""
     for pattern, new in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
@@ -230,15 +263,17 @@ def _unmask_at_dot(t: Traced) -> None:
         if edits:
             spoken = pattern.sub(_MARK, t.text) if new == "." else ""  # as long as the rewritten text
             t.rewrite(edits)
-    edits = []
-    for m in _SPOKEN.finditer(spoken or t.text):
-        at = _SPOKEN_AT.search(t.text, *m.span())
-        marks = [(at.start(), at.end(), "@")] if at.group() != "@" else []
-        marks += [(d.start(), d.end(), ".") for part in ((m.start(), at.start()), (at.end(), m.end())) for d in _SPOKEN_DOT.finditer(t.text, *part)]
-        edits += sorted(marks)
-    taken = [(s, e) for s, e, _ in edits]
+    edits, taken = [], []
+    for start, s, e, end in _spoken(spoken or t.text):
+        edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(t.text, start, s)]
+        edits += [(s, e, "@")] if t.text[s:e] != "@" else []
+        edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(t.text, e, end)]
+        taken.append((start, end))
+    k = 0
     for m in _SPOKEN_IP.finditer(t.text):
-        if not any(s < m.end() and m.start() < e for s, e in taken):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or taken[k][0] >= m.end():
             edits += [(d.start(), d.end(), ".") for d in _ANY_DOT.finditer(t.text, *m.span())]
     if edits:
         t.rewrite(sorted(edits))
@@ -259,11 +294,19 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
         if 9 <= len(number) <= 15 and not (len(number) >= 12 and luhn(number)):  # such are cards
             found.add(("phone", *t.source(s, e)))
     _unmask_at_dot(t)
+    before = np.concatenate([[0], np.cumsum(t.changed)])
     for k, s, e in base_spans(t.text):
-        if t.changed[s:e].any():
+        if before[e] > before[s]:
             found.add((k, *t.source(s, e)))
-    added = [(k, s, e) for k, s, e in found if not any(k == b and x <= s and e <= y for b, x, y in base)]
-    return base, sorted(added, key=lambda x: (x[1], x[2], x[0]))
+    of_kind = {k: ([s for b, s, _ in base if b == k], [e for b, _, e in base if b == k]) for k in KINDS}
+
+    def known(k: str, s: int, e: int) -> bool:
+        """Whether a base span of the kind holds it; those of a kind are in order and do not overlap."""
+        starts, ends = of_kind[k]
+        i = bisect.bisect_right(starts, s) - 1
+        return i >= 0 and e <= ends[i]
+
+    return base, sorted((x for x in found if not known(*x)), key=lambda x: (x[1], x[2], x[0]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,6 +100,70 @@ def test_spelled_numbers_of_every_length_are_found():
         assert (("card" if n >= 12 and luhn(digits) else "phone"), 3, len(text) - 1) in pii.find(text)[1], digits
 
 
+def test_spelled_telephone_numbers_are_not_lost():
+    words = "zero one two three four five six seven eight nine".split()
+    rng = random.Random(21)
+    for _ in range(2000):
+        number = "".join(rng.choice("0123456789") for _ in range(10))
+        text = "ring " + " ".join(words[int(d)] for d in number) + " today"
+        assert ("phone", 5, len(text) - 6) in pii.find(text)[1], number
+
+
+def test_addresses_of_many_spelled_labels_are_whole():
+    for n in (1, 5, 9, 40):
+        local = " dot ".join(f"b{i}" for i in range(n))
+        host = " dot ".join(["mail", *(f"h{i}" for i in range(n)), "com"])
+        text = f"to {local} at {host}."
+        assert pii.find(text)[1] == [("email", 3, len(text) - 1)]
+
+
+def _disguise(rng, kind):
+    """A plain identifier, and how it is written."""
+    spell = lambda number: " ".join("zero one two three four five six seven eight nine".split()[int(d)] for d in number)
+    if kind == "email":
+        local, host = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))), rng.choice(["mail.example.com", "host.org", "a-b.co.uk"])
+        style = rng.randrange(5)
+        if style == 0:
+            return f"{local} at {host.replace('.', ' dot ')}"
+        if style == 1:
+            return f"{local}[at]{host.replace('.', '[dot]')}"
+        if style == 2:
+            return f"{local} (at) {host.replace('.', ' (dot) ')}"
+        if style == 3:
+            return f"{local}@{host}".replace("a", "а").replace("e", "е").replace("o", "о")
+        return "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in f"{local}@{host}")
+    if kind == "ip":
+        return " dot ".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "phone":
+        return "plus " + spell("4" + "".join(rng.choice("0123456789") for _ in range(rng.randint(8, 10))))
+    while True:
+        number = "".join(rng.choice("0123456789") for _ in range(16))
+        if luhn(number):
+            return spell(number)
+
+
+def test_planted_disguises_are_caught():
+    """Recall of the added spans on generated disguises; every one that holds something to rewrite is found whole."""
+    rng = random.Random(31)
+    for _ in range(3000):
+        kind = rng.choice(["email", "ip", "phone", "card"])
+        made = _disguise(rng, kind)
+        text = f"please write to: {made} ; thank you"
+        base, added = pii.find(text)
+        at = text.index(made)
+        assert (kind, at, at + len(made)) in [*base, *added], text
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    began = time.process_time()
+    pii.find("x one two three four five six seven eight nine zero a@b.co 10.0.0.1 c at d dot e " * 8000)
+    pii.find("a dot " * 60_000 + "at b")
+    pii.find("a at b " * 40_000 + "dot")
+    assert time.process_time() - began < 40
+
+
 def test_query(spark):
     docs = [(i, t, "x", 1) for i, t in enumerate(texts()[:400])] + [(None, "a@b.co", None, None), (3, "ann(at)host(dot)org, a@b.co", "x", 1), (3, "ann(at)host(dot)org, a@b.co", "x", 1)]
     got = pii.scan(spark.createDataFrame(docs, SCHEMA)).collect()
