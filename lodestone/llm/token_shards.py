@@ -7,10 +7,11 @@ the manifest (key, N) computes the slot of any sequence, and `restore` turns a s
 is one shard of a fixed number of records: one shuffle brings each range to one task, which sorts it and writes it front
 to back. A reader finds any slot by arithmetic, reads on from there, and can resume anywhere.
 
-How many sequences a document has is known once it is tokenised, so texts are tokenised once into a durable table of
-compressed ids. The small rows (scan partition, place in it, doc_id, hash, count) are ranged into the numbering; each
-document's first number goes to a side file of its scan partition, where the pass that cuts the sequences looks it up.
-Ids thus cross the network once and texts never do.
+How many sequences a document has is known once it is tokenised. Keeping all ids on disk until the numbering is known
+would take more room than tokenising twice takes time, so a first pass only counts: its small rows (scan partition, place
+in it, doc_id, hash, count) are ranged into the numbering, and each document's first number goes to a side file of its
+scan partition, where the second pass, which tokenises again and cuts the sequences, looks it up. Ids cross the network
+once and texts never do. The hash stands in the side file too: a table that scans otherwise the second time is noticed.
 
 Shards and side files are written under a name of the task attempt and then renamed, so lost executors and repeated
 tasks leave whole files only. They are written and read through pyarrow's file systems by URI (file, s3, hdfs...).
@@ -47,7 +48,7 @@ ROUNDS = 6
 KEY = 0x5EED_0F_0DE5
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-_TOKENS = "pid int, pos int, doc_id long, hash long, n int, ids binary"
+_COUNTS = "pid int, pos int, doc_id long, hash long, n int"
 _INDEX = "slot long, shard int, place long, doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -111,49 +112,46 @@ def _save(uri: str, name: str, data: bytes) -> None:
     fs.move(temporary, f"{path}/{name}")
 
 
-def _tokenise(tokenizer: str, length: int):
-    """Rows _TOKENS: where the document stands in the scan, its hash, how many sequences it has, its 16-bit ids."""
+def _hash(text: str) -> int:
+    """XXH64 of a text, moved to a signed long."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _count(tokenizer: str, length: int):
+    """Rows _COUNTS: where the document stands in the scan, its hash, how many sequences it has."""
 
     def run(batches):
         encoding = packing.fast_encoding(tokenizer)
         pid, pos = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                hashes, n, raw = [], [], []
-                for text in part.column(1):
-                    t = text.as_py() or ""
-                    ids = np.append(packing.token_ids(t, encoding), packing.END)
-                    hashes.append(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63))
-                    n.append(-(-len(ids) // length))
-                    raw.append(ids.astype("<u2").tobytes())
-                size = part.num_rows
-                cols = [np.full(size, pid), np.arange(pos, pos + size), part.column(0), hashes, n, raw]
-                pos += size
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["pid", "pos", "doc_id", "hash", "n", "ids"])
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            n = [-(-(len(packing.token_ids(t, encoding)) + 1) // length) for t in texts]
+            cols = [np.full(len(n), pid), np.arange(pos, pos + len(n)), batch.column(0), [_hash(t) for t in texts], n]
+            pos += len(n)
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["pid", "pos", "doc_id", "hash", "n"])
 
     return run
 
 
 def _write_starts(out: str):
-    """First numbers of the documents of each scan partition, in the order of the scan, a file a partition."""
+    """First numbers and hashes of the documents of each scan partition, in the order of the scan, a file a partition."""
 
     def run(batches):
-        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
         for pid, group in groupby(rows, key=lambda r: r[0]):
             held = io.BytesIO()
-            np.save(held, np.fromiter((start for _, start in group), np.int64))
+            np.save(held, np.fromiter((x for r in group for x in r[1:]), np.int64).reshape(-1, 2))
             _save(out, f"{pid}.npy", held.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32())], ["pid"])
 
     return run
 
 
-def _starts(tokens: DataFrame, out: str) -> int:
+def _starts(counted: DataFrame, out: str) -> int:
     """Number all sequences, write the side files, and return how many there are."""
     order = ["none", "doc_id", "hash", "pid", "pos"]
-    keyed = tokens.select(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "pid", "pos", "n")
+    keyed = counted.select(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "pid", "pos", "n")
     ranged = common.durable(keyed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "token-order")
     before, total = {}, 0
     for r in sorted(ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # a row a range
@@ -162,37 +160,43 @@ def _starts(tokens: DataFrame, out: str) -> int:
     if total:
         offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part"))
         inner = F.sum("n").over(Window.partitionBy("part").orderBy(*order)) - F.col("n")
-        starts = ranged.select("pid", "pos", (inner + offset).cast("long").alias("start"))
+        starts = ranged.select("pid", "pos", (inner + offset).cast("long").alias("start"), "hash")
         fs, path = _open(out)
         fs.create_dir(path, recursive=True)
-        starts.repartition("pid").sortWithinPartitions("pid", "pos").select("pid", "start").mapInArrow(_write_starts(out), "pid int").count()
+        starts.repartition("pid").sortWithinPartitions("pid", "pos").select("pid", "start", "hash").mapInArrow(_write_starts(out), "pid int").count()
     return total
 
 
-def _sequences(starts: str, length: int, size: int, per: int, key: int):
-    """Rows (shard, slot, doc_id, piece, start, compressed ids) of the documents of the durable table."""
+def _sequences(tokenizer: str, starts: str, length: int, size: int, per: int, key: int):
+    """Rows (shard, slot, doc_id, piece, compressed ids) of the documents of one scan partition."""
 
     def run(batches):
         fs, path = _open(starts)
-        pack, held = zstandard.ZstdCompressor(level=1), (-1, np.zeros(0, np.int64))
+        encoding, pid, pos = packing.fast_encoding(tokenizer), TaskContext.get().partitionId(), 0
+        pack = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        first = None
         for batch in batches:
+            if first is None:
+                with fs.open_input_stream(f"{path}/{pid}.npy") as f:
+                    first = np.load(io.BytesIO(f.read()))
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                index, doc_ids, piece, start, raw = [], [], [], [], []
-                for pid, pos, doc, ids in zip(*(part.column(c).to_pylist() for c in ("pid", "pos", "doc_id", "ids")), strict=True):
-                    if pid != held[0]:
-                        with fs.open_input_stream(f"{path}/{pid}.npy") as f:
-                            held = pid, np.load(io.BytesIO(f.read()))
-                    number = int(held[1][pos])
+                index, doc_ids, piece, raw = [], [], [], []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    t = text.as_py() or ""
+                    if pos >= len(first) or int(first[pos, 1]) != _hash(t):
+                        raise RuntimeError("the table did not scan as it was counted; give a stable table")
+                    ids = np.append(packing.token_ids(t, encoding), packing.END).astype("<u2").tobytes()
+                    number = int(first[pos, 0])
+                    pos += 1
                     for j, s in enumerate(range(0, len(ids), 2 * length)):
                         index.append(number + j)
                         doc_ids.append(doc)
                         piece.append(j)
-                        start.append(s // 2)
                         raw.append(pack.compress(ids[s : s + 2 * length]))
                 slot = permute(np.array(index, np.int64), size, key)
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([slot // per, slot, doc_ids, piece, start, raw], kinds, strict=True)], ["shard", "slot", "doc_id", "piece", "start", "raw"])
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([slot // per, slot, doc_ids, piece, raw], kinds, strict=True)], ["shard", "slot", "doc_id", "piece", "raw"])
 
     return run
 
@@ -208,17 +212,17 @@ def _write(out: str, length: int, per: int):
         fs, path = _open(out)
         pad = np.full(length, PAD, "<u2").tobytes()
         unpack = zstandard.ZstdDecompressor()
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("shard", "slot", "doc_id", "piece", "start", "raw")), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("shard", "slot", "doc_id", "piece", "raw")), strict=True))
         for shard, group in groupby(rows, key=lambda r: r[0]):
             temporary, place, held = f"{path}/.{shard:08d}-{uuid.uuid4().hex}", 0, []
             with fs.open_output_stream(temporary) as f:
-                for _, slot, doc, piece, start, packed in group:
+                for _, slot, doc, piece, packed in group:
                     if slot != shard * per + place:
-                        raise RuntimeError(f"slot {slot} stands where {shard * per + place} belongs; the token table changed between its reads")
+                        raise RuntimeError(f"slot {slot} stands where {shard * per + place} belongs and not another")
                     raw = unpack.decompress(packed)
                     n = len(raw) // 2
                     f.write(struct.pack("<H", n) + raw + pad[len(raw) :])
-                    held.append((slot, shard, place, doc, piece, start, n, zlib.crc32(raw)))
+                    held.append((slot, shard, place, doc, piece, piece * length, n, zlib.crc32(raw)))
                     place += 1
                     if len(held) == 4096:
                         yield _index_batch(held)
@@ -241,22 +245,21 @@ def materialise(docs: DataFrame, out: str | None = None, tokenizer: str = packin
     Index: slot (global, gapless from 0), shard, place (in the shard), doc_id, piece, start (ids of the document
     before it), length, ids_crc32 (of the little-endian 16-bit ids). A document's ids end with id 0; a null text is
     empty and still has that id. Repeated rows and null ids have sequences of their own; other columns are not read.
-    Empty input writes a manifest without shards. The same rows and key give the same slots in any file layout (rows
+    Empty input writes a manifest without shards. docs must scan alike twice (a table). The same rows and key give the same slots in any file layout (rows
     equal in doc_id and text may stand for each other). The path of the shards is the result's attribute `shards_path`.
     """
     spark = docs.sparkSession
     out = out or common.scratch_path(spark, "token-shards")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = common.durable(common.lean(rows).mapInArrow(_tokenise(tokenizer, length), _TOKENS), "tokens", "zstd")
+    counted = common.durable(common.lean(rows).mapInArrow(_count(tokenizer, length), _COUNTS), "token-counts")
     starts = common.scratch_path(spark, "token-starts")
-    size = _starts(tokens, starts)
+    size = _starts(counted, starts)
     fs, path = _open(out)
     fs.create_dir(path, recursive=True)
     shards = -(-size // shard)
-    made = common.lean(tokens.select("pid", "pos", "doc_id", "ids")).mapInArrow(_sequences(starts, length, size, shard, key), "shard int, slot long, doc_id long, piece int, start long, raw binary")
+    made = rows.mapInArrow(_sequences(tokenizer, starts, length, size, shard, key), "shard int, slot long, doc_id long, piece int, raw binary")
     dealt = made.repartitionById(max(1, shards), "shard").sortWithinPartitions("shard", "slot")
     index = common.durable(dealt.mapInArrow(_write(out, length, shard), _INDEX), "token-index")
-    common.release(tokens)
     manifest = {"length": length, "stride": 2 + 2 * length, "pad": PAD, "key": key, "rounds": ROUNDS, "size": size, "shard": shard, "shards": shards, "order": ["doc_id, nulls last", "xxh64 of the text", "piece"]}
     with fs.open_output_stream(f"{path}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
