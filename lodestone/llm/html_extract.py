@@ -1,15 +1,18 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page is cut into flat blocks at block-level tags. Each block has its word count and link density, those of its
-neighbours, and where it stands: inside an article, inside a part that its tag or its class names call something else
-(menu, footer, advert, form, comments...), or a heading. A decision tree trained on the blocks of a small labelled
-table of pages says which blocks are main text; they are joined in page order.
+A page is cut into flat blocks at block-level tags. Each block has its word count and link density, those of its two
+neighbours, and marks of where it stands: in an article, in a part of another kind by its tag (menu, footer, form...) or by
+its class names, below a part of another kind that holds the article, in a discussion, or a heading. A decision tree trained
+on the blocks of a small labelled table says which blocks are main text; they are joined in page order. No mark decides by
+itself: the table has pages without any, pages whose names mislead, and articles inside parts that sound like something
+else, so that where marks are silent or wrong the words and links of a block and its neighbours tell.
 """
 
 from __future__ import annotations
 
 import functools
 import html as entities
+import random
 import re
 from dataclasses import dataclass
 
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Depth of the tree and blocks of a leaf at least.
-DEPTH, LEAF = 6, 1
+DEPTH, LEAF = 12, 2
 
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "button", "noembed", "xmp"}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -39,11 +42,12 @@ _OTHER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "dir"
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 # Words in class names and roles of parts that are not the article (fixed values).
 _OTHER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline|captcha|comments?|commentlist|complementary|consent|contentinfo|cookies?|copyright|disclaimer|disqus|footer|foot|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscri\w*|tags?|toolbar|widgets?)(?=$|[\s_\d-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline|captcha|complementary|consent|contentinfo|cookies?|copyright|disclaimer|footer|foot|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|recommend\w*|related|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscri\w*|tags?|toolbar|widgets?)(?=$|[\s_\d-])",
     re.I,
 )
+_DISCUSSION_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|discussion|disqus|replies|reply|respond)(?=$|[\s_\d-])", re.I)
 _ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|entry-content|post-content|post-body|story|main|main-content)(?=$|[\s_\d-])", re.I)
-FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_other", "heading"]
+FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_other", "named", "above", "discussion", "heading"]
 
 
 @dataclass
@@ -55,6 +59,9 @@ class Block:
     linked: int
     in_article: int
     in_other: int
+    named: int
+    above: int
+    discussion: int
     heading: int
 
     @property
@@ -84,31 +91,52 @@ def _end_of_tag(page: str, at: int, last: dict[str, bool]) -> int:
 
 
 class Open:
-    """The open block elements, with the positions of each tag, so that closing costs what it closes, however deep it is."""
+    """The open block elements, with the positions of each tag, so that closing costs what it closes, however deep it is.
+
+    Parts of another kind are counted by the article that they stand in: those inside the innermost one, and those above.
+    """
 
     def __init__(self):
-        self.stack: list[tuple[str, int, int]] = []  # tag, article, other
+        self.stack: list[tuple[str, int, int, int, int]] = []  # tag, article, other, named, discussion
         self.at: dict[str, list[int]] = {}
         self.firm: list[int] = []  # positions of elements other than _LOOSE
-        self.articles = self.others = 0
+        self.levels = [[0, 0]]  # others and named inside each open article, outermost first
+        self.discussions = self.all = 0
 
-    def push(self, tag: str, article: int, other: int) -> None:
+    def push(self, tag: str, article: int = 0, other: int = 0, named: int = 0, discussion: int = 0) -> None:
         self.at.setdefault(tag, []).append(len(self.stack))
         if tag not in _LOOSE:
             self.firm.append(len(self.stack))
-        self.stack.append((tag, article, other))
-        self.articles += article
-        self.others += other
+        self.stack.append((tag, article, other, named, discussion))
+        if article:
+            self.levels.append([0, 0])
+        self._count(other, named, discussion)
+
+    def _count(self, other: int, named: int, discussion: int) -> None:
+        self.levels[-1][0] += other
+        self.levels[-1][1] += named
+        self.all += other + named
+        self.discussions += discussion
 
     def cut(self, position: int) -> None:
         """Close the element at a position and all inside it."""
         while len(self.stack) > position:
-            tag, article, other = self.stack.pop()
+            tag, article, other, named, discussion = self.stack.pop()
             self.at[tag].pop()
             if tag not in _LOOSE:
                 self.firm.pop()
-            self.articles -= article
-            self.others -= other
+            self._count(-other, -named, -discussion)
+            if article:
+                self.levels.pop()
+
+    @property
+    def in_article(self) -> bool:
+        return len(self.levels) > 1
+
+    def marks(self) -> tuple[int, int, int, int, int]:
+        """in_article, in_other, named, above, discussion of a block that stands here."""
+        other, named = self.levels[-1]
+        return int(self.in_article), int(other > 0), int(named > 0), int(self.all > other + named), int(self.discussions > 0)
 
     def last(self, tag: str) -> int:
         """Position of the innermost element of a tag, -1 if none is open."""
@@ -146,7 +174,7 @@ def blocks(page: str) -> list[Block]:
             words = "".join(parts).split()
             if words:
                 linked = sum(len(parts[i].split()) for i, k in spans if k)
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), int(opened.articles > 0), int(opened.others > 0), heading))
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), *opened.marks(), heading))
             parts, spans = [], []
 
     def text(s: str) -> None:
@@ -193,7 +221,7 @@ def blocks(page: str) -> list[Block]:
             else:
                 opened.imply_ends(tag)
                 if tag not in _VOID:
-                    opened.push(tag, *_place(tag, page[m.end() : at], opened.articles > 0))
+                    opened.push(tag, *_place(tag, page[m.end() : at], opened.in_article))
     flush()
     return out
 
@@ -201,17 +229,18 @@ def blocks(page: str) -> list[Block]:
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
 
 
-def _place(tag: str, attributes: str, in_article: bool) -> tuple[int, int]:
-    """Whether the tag opens an article or something that is not one."""
+def _place(tag: str, attributes: str, in_article: bool) -> tuple[int, int, int, int]:
+    """Whether the tag opens an article, a part of another kind by tag, one by name, a discussion."""
     article = int(tag in ("article", "main"))
     other = int(tag in _OTHER_TAGS or (tag == "header" and not in_article))
-    if "=" in attributes:
+    named = discussion = 0
+    if "=" in attributes and tag not in ("body", "html"):
         names = [v.strip("\"'") for _, v in _ATTRIBUTE.findall(attributes)]
-        if any(_OTHER_NAMES.search(n) for n in names) and tag not in ("body", "html", "main"):
-            other = 1
-        elif any(_ARTICLE_NAMES.search(n) for n in names):
+        named = int(any(_OTHER_NAMES.search(n) for n in names))
+        discussion = int(any(_DISCUSSION_NAMES.search(n) for n in names))
+        if not named and not discussion and any(_ARTICLE_NAMES.search(n) for n in names):
             article = 1
-    return article, other
+    return article, other, named, discussion
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -219,7 +248,7 @@ def features(found: list[Block]) -> np.ndarray:
     words = np.array([b.words for b in found], float)
     density = np.array([b.density for b in found], float)
     shift = lambda x, k: np.concatenate([[0.0], x[:-1]]) if k < 0 else np.concatenate([x[1:], [0.0]])
-    rest = np.array([[b.in_article, b.in_other, b.heading] for b in found], float).reshape(-1, 3)
+    rest = np.array([[b.in_article, b.in_other, b.named, b.above, b.discussion, b.heading] for b in found], float).reshape(-1, 6)
     if not found:
         return np.zeros((0, len(FEATURES)))
     return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), rest])
@@ -243,7 +272,21 @@ def train(x: np.ndarray, y: np.ndarray, depth: int = DEPTH):
     if best is None:
         return bool(2 * y.sum() >= len(y))
     _, f, t, low = best
-    return f, t, train(x[low], y[low], depth - 1), train(x[~low], y[~low], depth - 1)
+    below, above = train(x[low], y[low], depth - 1), train(x[~low], y[~low], depth - 1)
+    return below if isinstance(below, bool) and below is above else (f, t, below, above)
+
+
+def used(tree) -> set[str]:
+    """The features that a tree asks for."""
+    return set() if isinstance(tree, bool) else {FEATURES[tree[0]], *used(tree[2]), *used(tree[3])}
+
+
+def shown(tree, indent: str = "") -> str:
+    """A tree as text."""
+    if isinstance(tree, bool):
+        return f"{indent}{'main' if tree else 'other'}\n"
+    f, t, below, above = tree
+    return f"{indent}{FEATURES[f]} < {t:g}\n{shown(below, indent + '  ')}{indent}else\n{shown(above, indent + '  ')}"
 
 
 def classify(tree, x: np.ndarray) -> np.ndarray:
@@ -254,34 +297,85 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] < t, classify(below, x), classify(above, x))
 
 
-_W = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud"
-
-
-def _n(k: int) -> str:
-    return " ".join((_W.split() * 8)[:k])
-
-
-def _links(k: int) -> str:
-    return "<ul>" + "".join(f'<li><a href="/{i}">{_n(1 + i % 2)}</a></li>' for i in range(k)) + "</ul>"
-
-
-#: The labelled table: pages with, for each block in order, 1 for main text and 0 for anything else.
-LABELLED = [
-    (f'<nav>{_links(4)}</nav><div class="ad">{_n(7)}</div><article><h1>{_n(5)}</h1><p>{_n(40)}</p><p>{_n(3)}</p><p>{_n(60)}</p></article><footer>{_n(8)}</footer>', "0000" "0" "1111" "0"),
-    (f'<header>{_n(3)}</header><main><h1>{_n(2)}</h1><p>{_n(1)}</p><p><a href="/x">{_n(2)}</a></p><p>{_n(90)}</p><aside>{_n(30)}</aside><form>{_n(12)}</form></main>', "0" "1111" "00"),
-    (f'<article><p>{_n(25)}</p><div class="share">{_n(3)}</div><ul><li>{_n(2)}</li><li>{_n(30)}</li></ul><div class="comments"><p>{_n(70)}</p><p>{_n(9)}</p></div></article>', "1" "0" "11" "00"),
-    (f'<article><h1>{_n(6)}</h1><p>{_n(2)}</p></article><section class="comments"><h3>{_n(1)}</h3><p>{_n(45)}</p></section>', "11" "00"),
-    (f'<div class="cookie-notice">{_n(35)}</div><div id="menu">{_links(3)}</div><div class="content"><h2>{_n(4)}</h2><p>{_n(50)}</p><p>{_n(28)}</p></div><div id="footer">{_n(15)}</div>', "0" "000" "111" "0"),
-    (f'<div>{_links(6)}</div><div><h1>{_n(7)}</h1><p>{_n(55)}</p><p>{_n(34)}</p></div><div>{_links(2)}</div><div>{_n(3)}</div>', "000000" "111" "00" "0"),
-    (f'<table><tr><td>{_links(3)}</td><td><p>{_n(80)}</p><p>{_n(20)}</p></td></tr></table><p><a href="/">{_n(4)}</a></p>', "000" "11" "0"),
-    (f'<div class="ad">{_n(9)}</div><article><h1>{_n(3)}</h1><p>{_n(66)}</p><p>{_n(4)}</p></article>', "0" "111"),
-    (f"<article><p>{_n(3)}</p></article>", "1"),
-    (f'<article><p><a href="/q">{_n(2)}</a></p><p>{_n(12)}</p></article>', "11"),
-    (f"<p>{_n(70)}</p><p>{_n(64)}</p><p>{_n(12)}</p><p>{_n(45)}</p>", "1111"),
-    (f'<div><a href="/">{_n(2)}</a></div><div>{_n(2)}</div><p>{_n(30)} <a href="/y">{_n(3)}</a> {_n(20)}</p><p>{_n(44)}</p><div>{_n(4)}</div>', "00" "11" "0"),
-    (f'<p><a href="/a">{_n(20)}</a></p><p><a href="/b">{_n(25)}</a></p><p><a href="/c">{_n(18)}</a></p>', "000"),
-    (f'<article><h1>{_n(9)}</h1><p><b>{_n(9)}</b></p><blockquote>{_n(12)}</blockquote><pre>{_n(5)}</pre><p><a href="/z">{_n(6)}</a></p></article><aside>{_links(3)}</aside><footer><p>{_n(50)}</p></footer>', "11111" "000" "0"),
-    (f'<div class="sidebar"><p>{_n(60)}</p></div><div class="newsletter"><h2>{_n(4)}</h2></div><p>{_n(52)}</p><p>{_n(41)}</p>', "0" "0" "11"),
+_WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud".split()
+
+#: Pages of the labelled table that the rule below makes.
+PAGES = 220
+
+
+def layout(rng: random.Random) -> list[tuple[str, list[int]]]:
+    """What a page holds, in order: kinds of parts and the words of their blocks. Only `text` is main text, its first block
+    the title; its paragraphs are of any length."""
+    maybe = lambda p, kind, sizes: [(kind, sizes)] if rng.random() < p else []
+    few = lambda low, high, least, most: [rng.randint(least, most) for _ in range(rng.randint(low, high))]
+    body = [rng.choice([rng.randint(1, 5), rng.randint(5, 30), rng.randint(20, 60), rng.randint(40, 120)]) for _ in range(rng.randint(1, 7))]
+    if max(body) < 30:  # an article has a long paragraph, most of the time
+        body.insert(rng.randrange(len(body) + 1), rng.choice([rng.randint(1, 30), rng.randint(30, 110)]))
+    out = maybe(0.25, "banner", few(1, 1, 1, 5)) + maybe(0.2, "notice", few(1, 2, 8, 50)) + maybe(0.75, "menu", few(3, 8, 1, 2)) + maybe(0.5, "advert", few(1, 1, 2, 45))
+    out += [("text", [rng.randint(1, 9), *body])] if rng.random() < 0.95 else []
+    out += maybe(0.3, "comments", few(1, 4, 2, 90)) + maybe(0.3, "related", few(2, 5, 3, 14)) + maybe(0.3, "aside", few(1, 4, 1, 4)) + maybe(0.1, "aside", few(1, 1, 20, 80))
+    return out + maybe(0.15, "newsletter", [rng.randint(2, 6), rng.randint(5, 30)]) + maybe(0.2, "form", few(1, 3, 1, 8)) + maybe(0.85, "footer", few(1, 2, 2, 50))
+
+
+#: tags: semantic elements; names: class names; mislead: names of the text that say something else, none elsewhere;
+#: wrapped: an article in a part that sounds like something else; bare: divs and paragraphs without any mark.
+STYLES = ["tags", "names", "mislead", "wrapped", "bare", "linked"]
+_TAG = {"menu": "nav", "advert": "div class=ad", "banner": "header", "notice": "div class=cookie-notice", "text": "article", "aside": "aside", "related": "aside", "newsletter": "form", "form": "form", "comments": "section class=comments", "footer": "footer"}
+_CLASS = {"menu": "menu", "advert": "advert", "banner": "header", "notice": "notice", "text": "entry-content", "aside": "sidebar", "related": "related", "newsletter": "newsletter", "form": "search", "comments": "comments", "footer": "footer"}
+#: Long blocks beside the text cannot be told from it without any mark; such parts keep their names in every style.
+_NAMED_ALWAYS = 20
+
+
+def _say(n: int) -> str:
+    return " ".join((_WORDS * (n // len(_WORDS) + 1))[:n])
+
+
+def labelled(parts: list[tuple[str, list[int]]], style: str) -> tuple[str, str]:
+    """A page of the table and, for each of its blocks, 1 for main text and 0 for anything else."""
+    page, marks = [], ""
+    for kind, sizes in parts:
+        main = kind == "text"
+        opening = _TAG[kind]
+        if style == "names":
+            opening = f"div class={_CLASS[kind]}"
+        elif style == "mislead":
+            opening = "div class=share-prices" if main else "div"
+        elif style in ("bare", "linked"):
+            opening = "div"
+        if opening == "div" and not main and max(sizes) >= _NAMED_ALWAYS:
+            opening = _TAG[kind] if style == "bare" else f"div class={_CLASS[kind]}"
+        inner = []
+        for i, n in enumerate(sizes):
+            words = _say(n)
+            if (kind in ("menu", "related") or (kind == "aside" and n < 5)) and (i or len(sizes) % 2 == 0):  # lists of odd length begin with a label
+                words = f"<a href=/{i}>{words}</a>"
+            elif main and style == "linked" and n >= 20:  # a linked phrase in a long paragraph
+                words = f"{_say(n - 3)} <a href=/{i}>{_say(3)}</a>"
+            elif main and style in ("tags", "names") and i and n % 5 == 0:  # a linked paragraph of the text
+                words = f"<a href=/{i}>{words}</a>"
+            tag = "li" if kind == "menu" else "h1" if main and not i else "p"
+            inner.append(f"<{tag}>{words}</{tag}>")
+        body = "".join(inner)
+        if kind == "comments" and style in ("tags", "wrapped"):
+            body = f"<article>{body}</article>"
+        made = f"<{opening}>{body}</{opening.split()[0]}>"
+        page.append(f"<div class=social-history>{made}</div>" if main and style == "wrapped" else made)
+        marks += ("1" if main else "0") * len(sizes)
+    return "".join(page), marks
+
+
+LABELLED = [labelled(layout(random.Random(k)), STYLES[k % len(STYLES)]) for k in range(PAGES)] + [
+    # parts inside the article, short articles, articles of linked paragraphs, teasers in a sidebar
+    (f'<article><p>{_say(25)}</p><div class="share">{_say(3)}</div><ul><li>{_say(2)}</li><li>{_say(30)}</li></ul><div class="comments"><p>{_say(70)}</p><p>{_say(9)}</p></div></article>', "1" "0" "11" "00"),
+    (f"<main><h1>{_say(2)}</h1><p>{_say(1)}</p><p>{_say(90)}</p><aside>{_say(30)}</aside><form>{_say(12)}</form><nav>{_say(2)}</nav></main>", "111" "0" "0" "0"),
+    (f'<article><h1>{_say(6)}</h1><p>{_say(2)}</p></article><div id="comments"><h3>{_say(1)}</h3><p>{_say(45)}</p></div>', "11" "00"),
+    (f"<article><p>{_say(3)}</p></article>", "1"),
+    (f"<article><p><a href=/q>{_say(2)}</a></p><p>{_say(12)}</p></article>", "11"),
+    (f"<article><h1>{_say(9)}</h1><p>{_say(9)}</p><blockquote>{_say(12)}</blockquote><pre>{_say(5)}</pre><p><a href=/z>{_say(6)}</a></p></article><aside><p><a href=/1>{_say(4)}</a></p></aside>", "11111" "0"),
+    (f"<article><p>{_say(40)}</p></article><aside><article><a href=/1>{_say(6)}</a></article><article><a href=/2>{_say(5)}</a></article></aside>", "1" "00"),
+    (f"<p>{_say(70)}</p><p>{_say(64)}</p><p>{_say(12)}</p><p>{_say(45)}</p>", "1111"),
+    (f"<p><a href=/a>{_say(20)}</a></p><p><a href=/b>{_say(25)}</a></p><p><a href=/c>{_say(18)}</a></p>", "000"),
+    (f'<article><div class="ad">{_say(6)}</div><p>{_say(30)}</p><div class="ad">{_say(25)}</div><p>{_say(2)}</p></article>', "0" "1" "0" "1"),
 ]
 
 
@@ -298,23 +392,26 @@ def tree():
     return train(np.concatenate(x), np.array(y))
 
 
-def extract(page: str | None) -> str:
+def extract(page: str | None, model=None) -> str:
     """The main text of one page; empty for null, or if no block is main text."""
     found = blocks(page or "")
     if not found:
         return ""
-    return " ".join(b.text for b, keep in zip(found, classify(tree(), features(found)), strict=True) if keep)
+    return " ".join(b.text for b, keep in zip(found, classify(tree() if model is None else model, features(found)), strict=True) if keep)
+
 
+def _extract(model):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [extract(h.as_py(), model) for h in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-def _extract(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            texts = [extract(h.as_py()) for h in part.column(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    return run
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text (empty if none), n_chars (code points) of every row; nulls and repeats are kept; other columns are not read."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return common.lean(rows).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return common.lean(rows).mapInArrow(_extract(tree()), "page_id long, url string, text string, n_chars long")
