@@ -173,9 +173,12 @@ def best(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int
     ids, x = ids[order], x[order]
     _, lead, which = np.unique(x.view(np.dtype((np.void, x.shape[1] * 8))).ravel() if len(x) else np.zeros(0), return_index=True, return_inverse=True)
     group: list[list[int]] = [[] for _ in lead]
-    for i, g in enumerate(which.ravel().tolist()):
-        if len(group[g]) <= k:  # one more than k: the query itself may be among them
+    of_id: list[dict[int, int]] = [{} for _ in lead]
+    for i, (g, v) in enumerate(zip(which.ravel().tolist(), ids.tolist(), strict=True)):
+        held = of_id[g]
+        if held.get(v, 0) < k and len(group[g]) - max(held.values(), default=0) < k:  # k are left whichever id is the query's own
             group[g].append(i)
+            held[v] = held.get(v, 0) + 1
     reps = x[lead]
     rough = q @ reps.T
     slack = 1e-12 * np.sqrt((q * q).sum(axis=1)) * (np.sqrt((reps * reps).sum(axis=1).max()) if len(reps) else 0.0)
@@ -234,7 +237,8 @@ def calibrate(vectors: DataFrame, queries: DataFrame, tree: Tree, k: int, target
     qids, q = _local(queries.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION))
     if not len(qids):
         return 0.0
-    truth = exact(vectors, qids, q, k).join(vectors.select("vec_id", "embedding"), "vec_id").select("query_id", "embedding", "score").collect()  # CALIBRATION * k rows
+    best_ = F.broadcast(common.durable(exact(vectors, qids, q, k), "truth"))  # CALIBRATION * k rows
+    truth = vectors.select("vec_id", "embedding").join(best_, "vec_id").groupBy("query_id", "vec_id", "score").agg(F.min("embedding").alias("embedding")).collect()
     if not truth:
         return 0.0
     at = {int(i): n for n, i in enumerate(qids)}
@@ -252,36 +256,43 @@ def calibrate(vectors: DataFrame, queries: DataFrame, tree: Tree, k: int, target
 def search(table: DataFrame, queries: Column | str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", target: float = TARGET) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row for which `queries` (of id_col) holds.
 
-    Candidates are all rows but the query's own id; scores are inner products in double precision; ties go to the
-    smaller vec_id; with fewer candidates all are returned. Null, zero and non-finite vectors, null ids and vectors
-    whose length is not the most usual one take no part. Rows repeated with one id are one vector: the first of them
-    by content. Without rows or queries the result is empty.
+    Candidates are all rows with other ids; scores are inner products in double precision; ties go to the smaller
+    vec_id; with fewer candidates all are returned. Null, zero and non-finite vectors and null ids take no part. Rows
+    repeated with one id are candidates each for itself; as a query such an id asks once, with the first of its vectors
+    by content. Vectors of different lengths have no product: each length is searched for itself (the usual table has
+    one). Without rows or queries the result is empty.
     """
-    spark = table.sparkSession
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).where(F.col("vec_id").isNotNull() & _usable("embedding"))
-    rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = common.durable(rows.withColumn("size", F.size("embedding")).withColumn("square", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), "vectors")
-    sizes = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("square")).orderBy(F.desc("n"), "size").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, longest = sizes[0]["size"], sizes[0].n, math.sqrt(sizes[0].square) * (1 + 1e-9)
-    vectors = rows.where(F.col("size") == dim).select("vec_id", "embedding")
-    asked = vectors.where(queries)
-    _, sample = _local(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE))
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("square")).orderBy("size").collect()  # a row a length
+    out = None
+    for r in sizes:
+        found = _search(rows.where(F.size("embedding") == r["size"]), queries, k, target, r.n, math.sqrt(r.square) * (1 + 1e-9))
+        out = found if out is None else out.unionByName(found)
+    return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _search(rows: DataFrame, queries: Column | str, k: int, target: float, n: int, longest: float) -> DataFrame:
+    """The search among n rows (vec_id, embedding) of one length, none longer than `longest`."""
+    asked = common.durable(rows.where(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "asked")
+    _, sample = _local(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE))
     tree = build(sample, longest, n)
-    reach = tree.reach(calibrate(vectors, asked, tree, k, target))
 
     def leaf_of(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(tree.assign(_matrix(batch.column(1))), pa.int64())], ["leaf"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.assign(_matrix(batch.column(1))), pa.int32())], ["vec_id", "embedding", "leaf"])
+
+    kind = rows.schema["embedding"].dataType.simpleString()
+    vectors = common.durable(rows.mapInArrow(leaf_of, f"vec_id long, embedding {kind}, leaf int"), "vectors")  # leaves are assigned once
+    reach = tree.reach(calibrate(vectors, asked, tree, k, target))
 
     def per_leaf(df, size):
         count = np.zeros(tree.leaves, np.int64)
         for r in df.groupBy("leaf").count().collect():  # a row a leaf
             count[r.leaf] = r["count"]
-        return np.maximum(1, -(-count // size))
+        return -(-count // size)
 
-    chunks = per_leaf(vectors.mapInArrow(leaf_of, "leaf long"), CHUNK)
+    chunks = per_leaf(vectors, CHUNK)
     found, visited = common.durable(asked.select(F.col("vec_id").alias("query_id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("score")).limit(0), "found"), 0
     while visited < tree.leaves:
         upto = FIRST if not visited else 4 * visited
@@ -289,7 +300,7 @@ def search(table: DataFrame, queries: Column | str, k: int = 20, id_col: str = "
         live = common.durable(asked.join(kth, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))).mapInArrow(_visits(tree, reach, visited, upto), _LIVE), "visits")
         if live.isEmpty():
             break
-        merged = found.select("query_id", "vec_id", "score").unionByName(_round(vectors, live, tree, chunks, per_leaf(live.select(F.explode("leaves").alias("leaf")), BLOCK), k))
+        merged = found.select("query_id", "vec_id", "score").unionByName(_round(vectors, live, chunks, per_leaf(live.select(F.explode("leaves").alias("leaf")), BLOCK), k))
         after = common.durable(_top(merged, k), "found")
         common.release(found)
         common.release(live)
@@ -320,8 +331,11 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
 
 
-def _round(vectors: DataFrame, live: DataFrame, tree: Tree, chunks: np.ndarray, blocks: np.ndarray, k: int) -> DataFrame:
-    """Scores of the live queries in their leaves: every chunk of a leaf meets every block of its queries once."""
+def _round(vectors: DataFrame, live: DataFrame, chunks: np.ndarray, blocks: np.ndarray, k: int) -> DataFrame:
+    """Scores of the live queries in their leaves: every chunk of a leaf meets every block of its queries once.
+
+    A leaf without live queries has no blocks, so its vectors do not leave the scan.
+    """
     start = np.concatenate([[0], np.cumsum(chunks * blocks)])
 
     def spread(ids, row, leaf, own, others):
@@ -334,8 +348,9 @@ def _round(vectors: DataFrame, live: DataFrame, tree: Tree, chunks: np.ndarray,
     def cells_of_vectors(batches):
         for batch in batches:
             ids = np.asarray(batch.column(0), np.int64)
-            row, leaf, chunk, block = spread(ids, np.arange(len(ids)), tree.assign(_matrix(batch.column(1))), chunks, blocks)
-            yield _cells(batch, row, start[leaf] + chunk * blocks[leaf] + block)
+            row, leaf, chunk, block = spread(ids, np.arange(len(ids)), np.asarray(batch.column(2), np.int64), chunks, blocks)
+            if len(row):
+                yield _cells(batch, row, start[leaf] + chunk * blocks[leaf] + block)
 
     def cells_of_queries(batches):
         for batch in batches:

@@ -11,14 +11,11 @@ SCHEMA = "vec_id long, embedding array<float>, score string, leaf int"
 
 def brute(rows, k=20, every=20):
     """query -> [(vec_id, score)] with exactly rounded scores."""
-    good = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
-            good[i] = np.array(v, np.float32).astype(float)
+    good = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}
-    for q in good:
-        if q % every == 0:
-            s = sorted((-math.fsum((good[q] * v).tolist()), i) for i, v in good.items() if i != q)
+    for q, x in good:
+        if q % every == 0 and q not in out:
+            s = sorted((-math.fsum((x * v).tolist()), i) for i, v in good if i != q and len(v) == len(x))
             out[q] = [(i, -x) for x, i in s[:k]]
     return out
 
@@ -68,12 +65,34 @@ def test_hot_vector_and_ties(spark, monkeypatch):
 
 def test_few_and_broken_rows(spark):
     rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (20, [0.5, 0.5]), (40, None), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]), (100, [float("inf"), 1.0]), (120, [None, 1.0]), (None, [1.0, 1.0]), (140, [1.0]), (1, [2.0, 1.0])]
-    assert run(spark, rows) == brute([r for r in rows if r[0] != 140])
+    assert run(spark, rows) == {q: w for q, w in brute(rows).items() if w}
+    assert [i for i, _ in run(spark, rows)[0]] == [1, 1, 20]
     assert run(spark, [(0, [1.0, 2.0])]) == {}
     assert run(spark, []) == {}
     assert run(spark, [(1, [1.0, 2.0]), (2, [1.0, 0.0])]) == {}
 
 
+def test_repeated_rows_and_lengths(spark):
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 60), [float(rng.randint(-3, 3)) for _ in range(rng.choice([2, 3]))]) for _ in range(400)]
+    rows = [(i, v if any(v) else [1.0] * len(v)) for i, v in rows] + [(20, [9.0, 9.0])] * 50
+    first = {}
+    for i, v in rows:
+        key = (i, len(v))
+        first[key] = min(first.get(key, v), v)
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], SCHEMA)
+    got = {}
+    for r in ann.search(df, "vec_id % 20 = 0", target=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in (0, 20, 40, 60):
+        want = []
+        for n in (2, 3):
+            if (q, n) in first:
+                s = sorted((-math.fsum(a * b for a, b in zip(first[(q, n)], v, strict=True)), i) for i, v in rows if i != q and len(v) == n)
+                want += [(i, -x) for x, i in s[:20]]
+        assert sorted(got.get(q, [])) == sorted(want)
+
+
 @pytest.mark.parametrize("n", [1, 5, 300])
 def test_walk_reaches_every_leaf(n):
     x = clustered(n, dim=5, seed=n)
