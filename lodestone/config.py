@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -38,3 +40,15 @@ class Settings:
 
 
 DEFAULTS = Settings()
+
+#: Bytes of an Arrow batch of texts.
+BATCH = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are at most BATCH bytes (at least a row); a smaller limit of its own stays."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    held = conf.get(key, None)
+    if held is None or not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH:
+        conf.set(key, f"{BATCH}b")
+    return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold, occurrences
+from .text import fold, occurrences, white_tokens
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -106,11 +106,11 @@ def stable_fraction(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(float(2**64 - 1))
 
 
-def deterministic_rerank(query: Column, candidate_id: Column, text: Column, tokens: Column) -> Column:
-    """Token occurrences plus the stable fraction."""
+def deterministic_rerank(query: Column, candidate_id: Column, text: Column) -> Column:
+    """Occurrences of the query's words between white space, repeats counted again, plus the stable fraction."""
     low = F.lower(text)
-    hits = F.aggregate(tokens, F.lit(0), lambda s, t: s + occurrences(low, t))
-    return hits + stable_fraction(query, candidate_id.cast("string"), text)
+    hits = F.aggregate(white_tokens(query), F.lit(0), lambda s, t: s + occurrences(low, t))
+    return hits + stable_fraction(query, candidate_id, text)
 
 
 def deterministic_embedding(text: Column, dimensions: int = 1536) -> Column:

@@ -13,6 +13,17 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Trimmed of white space of any kind."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def clipped(c: Column, chars: Column) -> Column:
+    """Text cut to so many characters, the last three of them dots if there is room."""
+    cut = F.when(chars <= 3, F.substring(c, F.lit(1), chars)).otherwise(F.concat(F.substring(c, F.lit(1), chars - 3), F.lit("...")))
+    return F.when(chars <= 0, "").when(F.length(c) <= chars, c).otherwise(cut)
+
+
 def fold(c: Column) -> Column:
     """Case folding: lower case, sharp s as ss."""
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
@@ -72,23 +83,23 @@ def truncated(c: Column, chars: int, suffix: str = "...") -> Column:
     return F.when(F.length(c) <= chars, c).otherwise(F.concat(F.rtrim(F.substring(c, 1, chars - len(suffix))), F.lit(suffix)))
 
 
+def _parts(contents: Column) -> Column:
+    return F.filter(F.transform(contents, strip), lambda t: t != "")
+
+
 def merge_texts(contents: Column) -> Column:
     """Trimmed non-blank parts joined by blank lines."""
-    return F.array_join(F.filter(F.transform(contents, lambda x: F.trim(x)), lambda t: t != ""), "\n\n")
+    return F.array_join(_parts(contents), "\n\n")
 
 
 def merge_tables(contents: Column) -> Column:
-    """Table parts with the same header joined: the header's two lines once, then all data rows.
-
-    A later part with fewer than three lines is added whole.
-    """
-    parts = F.filter(F.transform(contents, lambda x: F.trim(x)), lambda t: t != "")
+    """Non-blank lines of table parts; of a later part with three lines or more, without its two header lines."""
 
-    def tail(t: Column, i: Column) -> Column:
-        lines = F.split(t, "\n")
-        return F.when((i == 0) | (F.size(lines) < 3), t).otherwise(F.array_join(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(1))), "\n"))
+    def lines(t: Column, i: Column) -> Column:
+        held = F.filter(F.transform(F.split(t, "\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x85\\u2028\\u2029]"), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: x != "")
+        return F.when((i == 0) | (F.size(held) < 3), held).otherwise(F.slice(held, 3, F.greatest(F.size(held) - 2, F.lit(1))))
 
-    return F.array_join(F.transform(parts, tail), "\n")
+    return strip(F.array_join(F.flatten(F.transform(_parts(contents), lines)), "\n"))
 
 
 def merge_contents(kind: Column, contents: Column) -> Column:
@@ -102,7 +113,7 @@ def handle(document_id: Column) -> Column:
 
 def from_handle(h: Column) -> Column:
     """The id of a handle; null if it is not one."""
-    body = F.translate(F.substring(h, 5, 10_000), "-_", "+/")
+    body = F.translate(F.substring(h, F.lit(5), F.length(h)), "-_", "+/")
     padded = F.rpad(body, F.length(body) + F.pmod(-F.length(body), F.lit(4)), F.lit("="))
     return F.when(h.startswith("doc_") & body.rlike("^[A-Za-z0-9+/]+$"), F.try_to_binary(padded, F.lit("base64")).cast("string"))
 
@@ -111,6 +122,7 @@ def context_label(index: Column) -> Column:
     return F.concat(F.lit("C"), (index + 1).cast("string"))
 
 
+#: Version marks at the end of a file name (fixed values).
 _VERSION = r"(?:\s*(?:\(\s*(?:\d{2,4}年\d{1,2}月版|\d{2,4}年版|v\d+|V\d+|\d{4}版)\s*\)|(?:v|V)\d+|\d{4}版)\s*)+$"
 
 
@@ -121,6 +133,7 @@ def document_name(file_name: Column) -> Column:
     return squeeze(F.regexp_replace(fold(bare), r"[_\-./()\[\]{}]+", " "))
 
 
+#: Leading instructions of a query (fixed values).
 _INSTRUCTION = r"(?i)^\s*(?:請|幫我|麻煩|請幫我)?\s*(?:摘要(?:一下)?|總結(?:一下)?|整理(?:一下)?|概述(?:一下)?|比較(?:一下)?|compare|summarize|summary of|overview of)\s*"
 
 
@@ -174,3 +187,8 @@ def answer_blocks(answer: Column) -> Column:
         return F.struct(F.trim(F.regexp_replace(t, r"\s*" + marks, "")).alias("text"), labels.alias("labels"))
 
     return F.transform(paragraphs, block)
+
+
+def anchor_tokens(query: Column) -> Column:
+    """Distinct folded tokens of two characters or more between white space and marks."""
+    return F.array_distinct(F.filter(F.split(fold(query), r"(?U)[\s,.;:!?()\[\]{}\"'`/\\|]+"), lambda t: F.length(t) >= 2))

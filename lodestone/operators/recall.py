@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import bounded
 from ..functions import scoring
 
 #: Queries that one pass over the chunks scores, at most.
@@ -16,6 +17,8 @@ QUERY_BLOCK = 10_000
 SHORT = 3
 #: Chunks whose token counts are held at a time.
 _ROWS = 2048
+#: Queries whose distances to a batch of vectors are held at a time.
+_TILE = 256
 
 
 def gate(chunks: DataFrame, areas: list[str] | None = None, document_ids: list[int] | None = None, parent_ids: list[int] | None = None) -> DataFrame:
@@ -58,13 +61,17 @@ def vector_recall(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chu
                 continue
             x = np.asarray(vectors.flatten(), np.float64).reshape(len(ids), -1)
             norm = np.sqrt((x * x).sum(axis=1))
-            d = np.round(1 - (x / np.where(norm == 0, 1, norm)[:, None]) @ unit.T, 12) + 0.0
-            for i in range(len(qids)):
-                near = np.flatnonzero(d[:, i] <= np.partition(d[:, i], k - 1)[k - 1]) if len(ids) > k else np.arange(len(ids))
-                best = near[np.lexsort((ids[near], d[near, i]))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[i])), pa.array(ids[best]), pa.array(d[best, i])], ["query_id", key, "distance"])
-
-    found = chunks.where("embedding is not null").select(F.col(key).cast("long"), "embedding").mapInArrow(run, f"query_id long, {key} long, distance double")
+            x /= np.where(norm == 0, 1, norm)[:, None]
+            for first in range(0, len(qids), _TILE):  # a tile of queries at a time bounds the matrix of distances
+                d = np.round(1 - unit[first : first + _TILE] @ x.T, 12) + 0.0
+                out = []
+                for i, row in enumerate(d):
+                    near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(ids) > k else np.arange(len(ids))
+                    best = near[np.lexsort((ids[near], row[near]))[:k]]
+                    out.append((np.full(len(best), qids[first + i]), ids[best], row[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", key, "distance"])
+
+    found = bounded(chunks.where("embedding is not null").select(F.col(key).cast("long"), "embedding")).mapInArrow(run, f"query_id long, {key} long, distance double")
     return ranked(found, ["query_id"], ["distance", key], "vector_rank", k)
 
 
@@ -115,7 +122,7 @@ def text_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", te
                     if len(rows):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), query)), pa.array(ids[rows]), pa.array(score[rows].astype(np.int32))], ["query_id", key, "score"])
 
-    return chunks.select(F.col(key).cast("long"), text).mapInArrow(run, f"query_id long, {key} long, score int")
+    return bounded(chunks.select(F.col(key).cast("long"), text)).mapInArrow(run, f"query_id long, {key} long, score int")
 
 
 def text_recall(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", text: str = "content") -> DataFrame:
@@ -128,7 +135,8 @@ def fuse(vector: DataFrame, text: DataFrame, details: DataFrame, k: int = 60, li
 
     Order: score, best rank, then `ties` (default position and key). Scores are compared at twelve decimals.
     """
-    both = vector.join(text, ["query_id", key], "full_outer").join(details, key)
+    found = vector.join(text, ["query_id", key], "full_outer")
+    both = F.broadcast(found).join(details, key)  # at most two lists of k rows for QUERY_BLOCK queries; chunks stay where they are
     score = F.round(scoring.rrf(F.col("vector_rank"), F.col("fts_rank"), k=k), 12)
     both = both.withColumn("rrf_score", score).withColumn("best_rank", scoring.best_rank(F.col("vector_rank"), F.col("fts_rank")))
     source = F.when(F.col("vector_rank").isNotNull() & F.col("fts_rank").isNotNull(), "hybrid").when(F.col("vector_rank").isNotNull(), "vector").otherwise("fts")

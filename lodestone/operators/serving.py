@@ -59,7 +59,7 @@ def planned(ready: DataFrame, hits: DataFrame, key: str = "area_id", first: int
 def prefixed(source: Column, prefix: str) -> Column:
     """Values of the lines that start with a prefix, blank ones left out."""
     lines = F.filter(F.split(source, "\n"), lambda x: x.startswith(prefix))
-    return F.filter(F.transform(lines, lambda x: squeeze(F.substring(x, len(prefix) + 1, 1_000_000))), lambda x: x != "")
+    return F.filter(F.transform(lines, lambda x: squeeze(F.substring(x, F.lit(len(prefix) + 1), F.length(x)))), lambda x: x != "")
 
 
 def shortened(c: Column, chars: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..operators import assemble, metrics, recall, rerank, selection
 from ..sources import adapters
+from ..sources.scratch import once
 from .catalog import register
 
 _READY = """
@@ -61,14 +62,28 @@ policy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY policy_sc
 _GROUPS = (
     _POLICY.strip()
     + """,
-groups0 AS (SELECT query_id, document_id, parent_id, min(policy_rank) AS first_order, any_value(query_text) AS query_text, any_value(toks) AS toks, any_value(heading) AS heading,
-  count(*) AS hits, list(chunk_id ORDER BY policy_rank) AS hit_ids, string_agg(content, chr(10) || chr(10) ORDER BY policy_rank) AS body FROM policy GROUP BY ALL),
-groups1 AS (SELECT *, substr('Header: ' || coalesce(heading, '') || chr(10) || 'Content:' || chr(10) || body, 1, CASE WHEN hits >= 3 THEN 5000 WHEN hits = 2 THEN 4000 ELSE 2000 END) AS rerank_text FROM groups0
-  ),
-groups2 AS (SELECT query_id, document_id, parent_id, first_order, hits, hit_ids, round(
-    list_sum(list_transform(toks, lambda t: (length(lower(rerank_text)) - length(replace(lower(rerank_text), t, ''))) // length(t)))
-    + ('0x' || substr(sha256(query_text || chr(0) || parent_id || chr(0) || rerank_text), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615::DOUBLE, 12) AS rerank_score FROM groups1),
-reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, first_order, document_id, parent_id) AS group_rank FROM groups2)
+groups0 AS (SELECT query_id, document_id, parent_id, structure_kind, min(policy_rank) AS first_order, any_value(query_text) AS query_text, count(*) AS hits,
+  list(chunk_id ORDER BY child_index, position, chunk_id) AS hit_ids,
+  coalesce(list_filter(list(heading ORDER BY child_index, position, chunk_id), lambda h: h IS NOT NULL AND h <> '')[1], '') AS heading,
+  list_filter(list(trim(content, E' \\t\\n\\r') ORDER BY child_index, position, chunk_id), lambda t: t <> '') AS kids FROM policy GROUP BY ALL),
+groups1 AS (SELECT *, trim(CASE WHEN structure_kind = 'table' THEN array_to_string(flatten(list_transform(list_transform(kids, lambda t: list_filter(list_transform(string_split(t, chr(10)), lambda l: rtrim(l)), lambda l: l <> '')),
+    lambda ls, i: CASE WHEN i = 1 OR len(ls) < 3 THEN ls ELSE ls[3:] END)), chr(10)) ELSE array_to_string(kids, chr(10) || chr(10)) END, E' \\t\\n\\r') AS content,
+  CASE WHEN len(kids) >= 3 THEN 5000 WHEN len(kids) = 2 THEN 4000 ELSE 2000 END AS budget, trim('Header: ' || trim(heading, E' \\t\\n\\r')) AS prefix,
+  array_to_string(list_transform(kids, lambda t, i: '[Hit child ' || i || ']' || chr(10) || t), chr(10) || chr(10)) AS bundle FROM groups0),
+groups2 AS (SELECT *, budget - length(prefix) - 10 AS room,
+  budget - length(prefix) - 10 - list_sum(list_transform(kids, lambda t, i: 13 + length(i::VARCHAR))) - 2 * (len(kids) - 1) AS free FROM groups1),
+shares AS (SELECT query_id, document_id, parent_id, structure_kind, kids, len(kids) AS n, 0 AS i, free::BIGINT AS free, ''::VARCHAR AS made FROM groups2 WHERE length(content) > room AND len(kids) > 1 AND length(bundle) > room AND free > 0
+  UNION ALL SELECT query_id, document_id, parent_id, structure_kind, kids, n, i + 1, free - length(cut), made || CASE WHEN i > 0 THEN chr(10) || chr(10) ELSE '' END || '[Hit child ' || (i + 1) || ']' || chr(10) || cut
+  FROM (SELECT *, CASE WHEN length(kids[i + 1]) <= share THEN kids[i + 1] WHEN share <= 3 THEN substr(kids[i + 1], 1, share) ELSE substr(kids[i + 1], 1, share - 3) || '...' END AS cut
+    FROM (SELECT *, greatest(1, free // (n - i)) AS share FROM shares WHERE i < n))),
+groups3 AS (SELECT g.*, substr(trim(prefix || chr(10) || 'Content:' || chr(10) || CASE WHEN room <= 0 THEN '' WHEN length(content) <= room THEN content WHEN len(g.kids) <= 1 THEN substr(content, 1, room) WHEN length(bundle) <= room THEN bundle
+    WHEN length(coalesce(s.made, bundle)) <= room THEN coalesce(s.made, bundle) ELSE substr(coalesce(s.made, bundle), 1, room - 3) || '...' END, E' \\t\\n\\r'), 1, budget) AS rerank_text
+  FROM groups2 g LEFT JOIN (SELECT * FROM shares WHERE i = n) s ON g.query_id = s.query_id AND g.document_id = s.document_id AND g.parent_id = s.parent_id AND g.structure_kind = s.structure_kind),
+groups4 AS (SELECT query_id, document_id, parent_id, structure_kind, first_order, hits, hit_ids, md5(rerank_text) AS text_md5, round(
+    list_sum(list_transform(list_filter(string_split_regex(lower(query_text), '\\s+'), lambda t: t <> ''), lambda t: (length(lower(rerank_text)) - length(replace(lower(rerank_text), t, ''))) // length(t)))
+    + ('0x' || substr(sha256(query_text || chr(0) || document_id || ':' || parent_id || ':' || structure_kind || chr(0) || rerank_text), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615::DOUBLE, 12) AS rerank_score FROM groups3),
+kinds AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, first_order) AS group_rank FROM groups4),
+reranked AS (SELECT query_id, document_id, parent_id, min(group_rank) AS group_rank, sum(hits) AS hits FROM kinds GROUP BY ALL)
 """
 )
 _ROUNDS = (
@@ -80,8 +95,8 @@ selected AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id O
 """
 )
 _PARENTS = """
-parents AS (SELECT document_id, parent_id, min(start_offset) AS start_offset, max(end_offset) AS end_offset, string_agg(content, chr(10) || chr(10) ORDER BY child_index) AS parent_text,
-  list(chunk_id ORDER BY child_index) AS child_ids FROM children GROUP BY ALL)
+spans AS (SELECT document_id, parent_id, min(start_offset) AS start_offset, max(end_offset) AS end_offset, list(chunk_id ORDER BY child_index) AS child_ids FROM children GROUP BY ALL),
+parents AS (SELECT p.*, substr(d.display_text, p.start_offset + 1, p.end_offset - p.start_offset) AS parent_text FROM spans p JOIN docs d USING (document_id))
 """
 
 
@@ -121,8 +136,12 @@ def _policy(spark: SparkSession, sf: str) -> DataFrame:
     return rerank.apply_policy(_fused(spark, sf).join(F.broadcast(texts), "query_id"))  # a bounded query set, see recall.QUERY_BLOCK
 
 
+def _kinds(policy: DataFrame) -> DataFrame:
+    return rerank.apply_rerank(rerank.parent_groups(policy))
+
+
 def _reranked(spark: SparkSession, sf: str) -> DataFrame:
-    return rerank.apply_rerank(rerank.parent_groups(_policy(spark, sf)))
+    return rerank.by_parent(_kinds(_policy(spark, sf)))
 
 
 def _compare(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,18 +152,18 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.gold_spans(_docs(spark, sf), spark, sf)
 
 
-def _stage_rows(spark: SparkSession, sf: str) -> DataFrame:
+def _stage_rows(spark: SparkSession, sf: str, gold: DataFrame) -> DataFrame:
     """Relevance of the candidates of the three stages: recall by child, rerank by hit group, assembled by parent."""
-    gold = _gold(spark, sf).persist()  # a few rows a question; read by every stage
     cols = ["query_id", "document_id", "item", "rank", "start_offset", "end_offset"]
-    policy = _policy(spark, sf).persist()  # at most max_candidates rows a question; read by every stage
+    policy = once(_policy(spark, sf), "policy")  # at most max_candidates rows a question, read by every stage
     first = policy.select("query_id", "document_id", F.col("chunk_id").alias("item"), F.col("policy_rank").alias("rank"), "start_offset", "end_offset", F.lit("recall").alias("stage"))
-    groups = selection.select_compare(rerank.apply_rerank(rerank.parent_groups(policy)), 9)
+    groups = once(selection.select_compare(rerank.by_parent(_kinds(policy)), 9), "groups")
     second = groups.select("query_id", "document_id", F.explode("hits").alias("h"), F.col("select_rank").alias("rank"), F.lit("rerank").alias("stage")).select(
         "query_id", "document_id", F.col("h.chunk_id").alias("item"), "rank", "h.start_offset", "h.end_offset", "stage"
     )
-    spans = recall.gate(adapters.children(_docs(spark, sf))).groupBy("document_id", "parent_id").agg(F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"))
-    third = groups.join(spans, ["document_id", "parent_id"]).select("query_id", "document_id", F.col("parent_id").alias("item"), F.col("select_rank").alias("rank"), "start_offset", "end_offset", F.lit("assembled").alias("stage"))
+    spans = adapters.parents(_docs(spark, sf)).select("document_id", "parent_id", "start_offset", "end_offset")
+    chosen = groups.select("query_id", "document_id", F.col("parent_id").alias("item"), F.col("select_rank").alias("rank"), "parent_id")
+    third = F.broadcast(chosen).join(spans, ["document_id", "parent_id"]).withColumn("stage", F.lit("assembled"))  # nine parents a question
     rows = first.select(*cols, "stage").unionByName(second.select(*cols, "stage")).unionByName(third.select(*cols, "stage"))
     scored = metrics.relevance(rows, gold, ["query_id", "stage", "item"])
     # several hits of one group share its rank: the group's relevance is their best
@@ -158,7 +177,7 @@ _STAGES = (
     + """,
 stage_rows AS (
   SELECT query_id, document_id, chunk_id AS item, policy_rank AS rank, start_offset, end_offset, 'recall' AS stage FROM policy
-  UNION ALL SELECT s.query_id, s.document_id, p.chunk_id, s.select_rank, p.start_offset, p.end_offset, 'rerank' FROM selected s JOIN policy p ON p.query_id = s.query_id AND p.parent_id = s.parent_id
+  UNION ALL SELECT s.query_id, s.document_id, p.chunk_id, s.select_rank, p.start_offset, p.end_offset, 'rerank' FROM selected s JOIN policy p ON p.query_id = s.query_id AND p.document_id = s.document_id AND p.parent_id = s.parent_id
   UNION ALL SELECT s.query_id, s.document_id, s.parent_id, s.select_rank, p.start_offset, p.end_offset, 'assembled' FROM selected s JOIN parents p USING (document_id, parent_id)),
 stage_ranked AS (SELECT query_id, stage, document_id, rank, max(relevance) AS relevance FROM (SELECT r.*, coalesce((SELECT max(g.grade) FROM gold g WHERE g.query_id = r.query_id AND g.document_id = r.document_id
   AND r.start_offset < g.end_offset AND g.start_offset < r.end_offset), 0) AS relevance FROM stage_rows r) GROUP BY ALL)
@@ -183,7 +202,7 @@ flag_ranked AS (SELECT f.query_id, 'recall' AS stage, f.document_id, f.rrf_rank
 @register("hybrid_retrieval_eval", adapters.sql(f"SELECT query_id, {_METRIC_COLUMNS} FROM stage_metrics", _FLAG.strip() + ",\n" + _metric_sql("flag_ranked").strip()))
 def hybrid_retrieval_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: gated hybrid recall of all questions, fused and scored against gold spans at 10."""
-    gold = _gold(spark, sf)
+    gold = once(_gold(spark, sf), "gold")
     ranked = metrics.relevance(_fused(spark, sf).withColumn("rank", F.col("rrf_rank")).withColumn("stage", F.lit("recall")), gold, ["query_id", "chunk_id"])
     return _rounded(metrics.stage_metrics(ranked, gold, 10, ["query_id", "stage"]), "query_id")
 
@@ -208,9 +227,11 @@ def ranking_policy(spark: SparkSession, sf: str) -> DataFrame:
     return _policy(spark, sf).select("query_id", "chunk_id", "rrf_rank", F.round("policy_score", 6).alias("policy_score"), "policy_rank")
 
 
-@register("parent_rerank", adapters.sql("SELECT query_id, document_id, parent_id, first_order, hits, round(rerank_score, 6) AS rerank_score, group_rank FROM reranked", _GROUPS))
+@register("parent_rerank", adapters.sql("SELECT query_id, document_id, parent_id, structure_kind, first_order, hits, hit_ids, text_md5, round(rerank_score, 6) AS rerank_score, group_rank FROM kinds", _GROUPS))
 def parent_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    return _reranked(spark, sf).select("query_id", "document_id", "parent_id", "first_order", F.size("hits").cast("long").alias("hits"), F.round("rerank_score", 6).alias("rerank_score"), "group_rank")
+    """Groups of hit children by parent and kind, with the text to rerank, scored and ordered."""
+    ids = F.transform("hits", lambda h: h["chunk_id"]).alias("hit_ids")
+    return _kinds(_policy(spark, sf)).select("query_id", "document_id", "parent_id", "structure_kind", "first_order", F.size("hits").cast("long").alias("hits"), ids, F.md5("rerank_text").alias("text_md5"), F.round("rerank_score", 6).alias("rerank_score"), "group_rank")
 
 
 @register("select_compare", adapters.sql("SELECT query_id, document_id, parent_id, doc_round, select_rank FROM selected", _ROUNDS))
@@ -220,11 +241,11 @@ def select_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("select_dropped", adapters.sql("SELECT query_id, document_id, parent_id, 'context_budget_exhausted' AS reason FROM rounds ANTI JOIN selected USING (query_id, parent_id)", _ROUNDS))
 def select_dropped(spark: SparkSession, sf: str) -> DataFrame:
-    groups = _reranked(spark, sf)
+    groups = once(_reranked(spark, sf), "groups")
     return selection.dropped(groups, selection.select_compare(groups, 9)).select("query_id", "document_id", "parent_id", "reason")
 
 
-@register("select_fact_lookup", adapters.sql("SELECT query_id, parent_id, group_rank AS select_rank FROM reranked WHERE group_rank <= 9", _GROUPS))
+@register("select_fact_lookup", adapters.sql("SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY group_rank) AS select_rank FROM reranked QUALIFY select_rank <= 9", _GROUPS))
 def select_fact_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return selection.select_ranked(_reranked(spark, sf), 9).select("query_id", "parent_id", "select_rank")
 
@@ -235,17 +256,23 @@ def select_summary(spark: SparkSession, sf: str) -> DataFrame:
     return selection.select_summary(_reranked(spark, sf), 9).select("query_id", "document_id", "parent_id", "select_rank")
 
 
+def _contexts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(selected parents, their contexts)."""
+    docs = _docs(spark, sf)
+    selected = once(_compare(spark, sf), "selected")
+    return selected, assemble.contexts(selected, recall.gate(adapters.parents(docs)), recall.gate(adapters.children(docs)))
+
+
 @register("assembled_contexts")
 def assembled_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    """Contexts with text, span and children; growth of long parents is tested in Python."""
-    policy = _policy(spark, sf)
-    selected = selection.select_compare(rerank.apply_rerank(rerank.parent_groups(policy)), 9)
-    parent_rows = assemble.parents(recall.gate(adapters.children(_docs(spark, sf))))
-    return assemble.contexts(selected, assemble.anchors(policy), parent_rows).select("query_id", "document_id", "parent_id", "context_index", "context_label", "context_text", "start_offset", "end_offset", F.size("child_ids").alias("n_children"), "truncated")
+    """Contexts with text, span and children; tested against an independent sequential version."""
+    return _contexts(spark, sf)[1].select(
+        "query_id", "document_id", "parent_id", "context_index", "context_label", "structure_kind", "heading", "source", "context_text", "start_offset", "end_offset", F.size("child_ids").alias("n_children"), "truncated"
+    )
 
 
 _FULL = adapters.sql(
-    "SELECT s.query_id, s.parent_id, (s.select_rank - 1)::INT AS context_index, 'C' || s.select_rank AS context_label, md5(p.parent_text) AS text_md5, p.start_offset, p.end_offset, len(p.child_ids)::INT AS n_children"
+    "SELECT s.query_id, s.parent_id, (s.select_rank - 1)::INT AS context_index, 'C' || s.select_rank AS context_label, md5(trim(p.parent_text, E' \\t\\n\\r')) AS text_md5, p.start_offset, p.end_offset, len(p.child_ids)::INT AS n_children"
     " FROM selected s JOIN parents p USING (document_id, parent_id) WHERE length(p.parent_text) <= 3000",
     _ROUNDS.strip() + ",\n" + _PARENTS.strip(),
 )
@@ -254,31 +281,47 @@ _FULL = adapters.sql(
 @register("assembled_full_parents", _FULL)
 def assembled_full_parents(spark: SparkSession, sf: str) -> DataFrame:
     """The contexts whose whole parent fits the budget."""
-    whole = assemble.parents(recall.gate(adapters.children(_docs(spark, sf)))).where("char_count <= 3000").select("document_id", "parent_id")
-    rows = assembled_contexts(spark, sf).join(whole, ["document_id", "parent_id"])
+    short = adapters.parents(_docs(spark, sf)).where("char_count <= 3000").select("document_id", "parent_id")
+    rows = F.broadcast(assembled_contexts(spark, sf)).join(short, ["document_id", "parent_id"])  # nine contexts a question
     return rows.select("query_id", "parent_id", "context_index", "context_label", F.md5("context_text").alias("text_md5"), "start_offset", "end_offset", "n_children")
 
 
 _ANCHOR = (
-    _POLICY.strip()
+    _ROUNDS.strip()
     + """,
-anchored AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY anchor_score DESC, rrf_rank, coalesce(vector_rank, 1000000), coalesce(fts_rank, 1000000), child_index, chunk_id) AS anchor_rank FROM (
+anchor_words AS (SELECT query_id, replace(lower(trim(query_text)), 'ß', 'ss') AS q, list_distinct(list_filter(string_split_regex(replace(lower(query_text), 'ß', 'ss'), '[\\s,.;:!?()\\[\\]{}"''`/\\\\|]+'), lambda t: length(t) >= 2)) AS toks FROM questions),
+anchored AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, parent_id ORDER BY anchor_score DESC, rerank_rank, rrf_rank, coalesce(vector_rank, 1000000), coalesce(fts_rank, 1000000), child_index, chunk_id) AS anchor_rank FROM (
   SELECT *, (CASE WHEN q <> '' AND contains(h, q) THEN 10 ELSE 0 END + CASE WHEN q <> '' AND contains(c, q) THEN 8 ELSE 0 END
     + 2 * least(len(list_filter(toks, lambda t: contains(h, t))), 6) + least(len(list_filter(toks, lambda t: contains(c, t))), 12))::INT AS anchor_score
-  FROM (SELECT *, replace(lower(trim(query_text)), 'ß', 'ss') AS q, replace(lower(heading), 'ß', 'ss') AS h, replace(lower(content), 'ß', 'ss') AS c FROM policy)))
+  FROM (SELECT p.query_id, p.document_id, p.parent_id, p.chunk_id, p.rrf_rank, p.vector_rank, p.fts_rank, p.child_index, p.start_offset, p.end_offset, p.content, p.heading, p.source, p.structure_kind, s.select_rank, k.group_rank AS rerank_rank, w.q, w.toks,
+    replace(lower(p.heading), 'ß', 'ss') AS h, replace(lower(p.content), 'ß', 'ss') AS c
+    FROM policy p JOIN selected s USING (query_id, document_id, parent_id) JOIN kinds k USING (query_id, document_id, parent_id, structure_kind) JOIN anchor_words w USING (query_id))))
 """
 )
 
 
-@register("anchor_records", adapters.sql("SELECT query_id, parent_id, chunk_id, anchor_score, anchor_rank FROM anchored WHERE anchor_rank <= 7", _ANCHOR))
+@register("anchor_records", adapters.sql("SELECT query_id, parent_id, chunk_id, anchor_score, anchor_rank, anchor_rank <= 7 AS kept FROM anchored", _ANCHOR))
 def anchor_records(spark: SparkSession, sf: str) -> DataFrame:
-    return assemble.anchors(_policy(spark, sf)).select("query_id", "parent_id", "chunk_id", F.col("anchor_score").cast("int").alias("anchor_score"), "anchor_rank")
+    """Hit children of the selected parents by how well they anchor the context."""
+    rows = assemble.anchors(assemble.hits(_compare(spark, sf)))
+    return rows.select("query_id", "parent_id", "chunk_id", F.col("anchor_score").cast("int").alias("anchor_score"), "anchor_rank", "kept")
+
+
+@register(
+    "chat_citations",
+    adapters.sql("SELECT query_id, (select_rank - 1)::INT AS context_index, 'C' || select_rank AS context_label, anchor_rank, document_id, chunk_id, heading, structure_kind, start_offset, end_offset, md5(content) AS excerpt_md5 FROM anchored WHERE anchor_rank <= 7", _ANCHOR),
+)
+def chat_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """What an answer may cite: the kept hits of every context."""
+    rows = assemble.citations(_compare(spark, sf)).withColumn("context_label", text.context_label(F.col("context_index")))
+    return rows.select("query_id", "context_index", "context_label", "anchor_rank", "document_id", "chunk_id", "heading", "structure_kind", "start_offset", "end_offset", F.md5("excerpt").alias("excerpt_md5"))
 
 
 @register("stage_metrics", adapters.sql(f"SELECT query_id, stage, {_METRIC_COLUMNS}, first_hit_rank, max_relevance FROM stage_metrics", _STAGES.strip() + ",\n" + _metric_sql("stage_ranked").strip()))
 def stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of every question at each of the three stages."""
-    m = metrics.stage_metrics(_stage_rows(spark, sf), _gold(spark, sf), 10, ["query_id", "stage"])
+    gold = once(_gold(spark, sf), "gold")
+    m = metrics.stage_metrics(_stage_rows(spark, sf, gold), gold, 10, ["query_id", "stage"])
     return m.select("query_id", "stage", *[F.round(c, 6).alias(c) for c in metrics.METRICS], "first_hit_rank", "max_relevance")
 
 
@@ -292,7 +335,8 @@ def stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
 )
 def metric_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     """Means per stage and per stage and dataset, by grouping sets."""
-    m = metrics.stage_metrics(_stage_rows(spark, sf), _gold(spark, sf), 10, ["query_id", "stage"])
+    gold = once(_gold(spark, sf), "gold")
+    m = metrics.stage_metrics(_stage_rows(spark, sf, gold), gold, 10, ["query_id", "stage"])
     m = m.join(F.broadcast(adapters.questions(spark, sf).select("query_id", "dataset")), "query_id")
     return metrics.averages(m, ["dataset"]).select("stage", "dataset", *[F.round(c, 6).alias(c) for c in metrics.METRICS], "n")
 

@@ -27,10 +27,10 @@ def insufficient_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return a.agg(F.count(F.when(serving.says_insufficient(F.col("a")), 1)).alias("checkpoint"), F.count(F.when(serving.says_insufficient(F.col("a"), serving.RUNTIME_INSUFFICIENT), 1)).alias("runtime"))
 
 
-@register("context_source", "SELECT user_id, CASE WHEN list_contains(s, 'hybrid') OR len(list_distinct(s)) > 1 THEN 'hybrid' ELSE coalesce(s[1], 'fts') END AS source FROM (SELECT user_id, list(CASE event_type WHEN 'view' THEN 'vector' WHEN 'error' THEN 'hybrid' ELSE 'fts' END) AS s FROM events WHERE event_id % 50 = 0 GROUP BY ALL)")
+@register("context_source", "SELECT user_id, CASE WHEN list_contains(s, 'hybrid') OR len(list_distinct(s)) > 1 THEN 'hybrid' ELSE coalesce(s[1], 'fts') END AS source FROM (SELECT user_id, list(CASE event_type WHEN 'view' THEN 'vector' WHEN 'error' THEN 'hybrid' ELSE 'fts' END) AS s FROM events GROUP BY ALL)")
 def context_source(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "vector").when(F.col("event_type") == "error", "hybrid").otherwise("fts")
-    g = _T(spark, sf, "events").where("event_id % 50 = 0").groupBy("user_id").agg(F.collect_list(kind).alias("s"))
+    g = _T(spark, sf, "events").groupBy("user_id").agg(F.collect_set(kind).alias("s"))  # three kinds at most
     return g.select("user_id", serving.group_source(F.col("s")).alias("source"))
 
 

@@ -118,12 +118,12 @@ def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(other, "vec_id").select("vec_id", (F.round(s, 9) + 0.0).alias("cosine"), F.round(scoring.confidence(s), 9).alias("confidence"))
 
 
-@register("prototype_labels", "SELECT vec_id, label, round(best, 6) + 0.0 AS best FROM (SELECT q.vec_id, p.label, max(1 - list_cosine_distance(q.embedding::DOUBLE[], p.embedding::DOUBLE[])) AS best FROM embeddings q, (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3) p WHERE q.vec_id % 50 = 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(best, 12) DESC, label) <= 2")
+@register("prototype_labels", "SELECT vec_id, label, round(best, 6) + 0.0 AS best FROM (SELECT q.vec_id, p.label, max(1 - list_cosine_distance(q.embedding::DOUBLE[], p.embedding::DOUBLE[])) AS best FROM embeddings q, (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3) p GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(best, 12) DESC, label) <= 2")
 def prototype_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Best and second label of queries by the nearest of three prototypes a label (30 rows, fixed)."""
+    """Best and second label of every vector by the nearest of three prototypes a label (30 rows, fixed)."""
     e = _T(spark, sf, "embeddings")
     protos = recall.ranked(e, ["label"], ["vec_id"], "rn", 3).select("label", F.col("embedding").alias("p"))
-    scored = e.where("vec_id % 50 = 0").drop("label").crossJoin(F.broadcast(protos)).groupBy("vec_id", "label").agg(F.max(scoring.cosine_similarity(F.col("embedding"), F.col("p"))).alias("best"))
+    scored = e.drop("label").crossJoin(F.broadcast(protos)).groupBy("vec_id", "label").agg(F.max(scoring.cosine_similarity(F.col("embedding"), F.col("p"))).alias("best"))
     top = recall.ranked(scored, ["vec_id"], [F.desc(F.round("best", 12)), "label"], "rn", 2)
     return top.select("vec_id", "label", (F.round("best", 6) + 0.0).alias("best"))
 
@@ -195,19 +195,18 @@ def offset_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("chunks"), F.count(F.when(same, 1)).alias("exact"))
 
 
-@register("document_recall", adapters.sql("SELECT query_id, document_id, score, fts_rank FROM (SELECT t.query_id, d.document_id, sum((length(d.low) - length(replace(d.low, t.token, ''))) // length(t.token))::INT AS score FROM (SELECT document_id, lower(substr(display_text, 1, 400)) AS low FROM docs WHERE status = 'ready') d, (SELECT query_id, unnest(list_filter(string_split_regex(lower(query_text), '\\s+'), lambda x: x <> '')) AS token FROM questions) t WHERE contains(d.low, t.token) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) <= 6".replace("SELECT query_id, document_id, score, fts_rank FROM", "SELECT query_id, document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS fts_rank FROM").replace("QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) <= 6", "QUALIFY fts_rank <= 6")))
+@register("document_recall", adapters.sql("SELECT query_id, document_id, score, fts_rank FROM (SELECT t.query_id, d.document_id, sum((length(d.low) - length(replace(d.low, t.token, ''))) // length(t.token))::INT AS score FROM (SELECT document_id, lower(display_text) AS low FROM docs WHERE status = 'ready') d, (SELECT query_id, unnest(list_filter(string_split_regex(lower(query_text), '\\s+'), lambda x: x <> '')) AS token FROM questions) t WHERE contains(d.low, t.token) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) <= 6".replace("SELECT query_id, document_id, score, fts_rank FROM", "SELECT query_id, document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS fts_rank FROM").replace("QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) <= 6", "QUALIFY fts_rank <= 6")))
 def document_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Text recall at document level over synopses (here the first 400 characters)."""
-    syn = adapters.documents(spark, sf).where("status = 'ready'").select("document_id", F.substring("display_text", 1, 400).alias("synopsis"))
+    """Text recall at document level over whole texts."""
+    syn = adapters.documents(spark, sf).where("status = 'ready'").select("document_id", F.col("display_text").alias("synopsis"))
     return recall.text_recall(syn, adapters.questions(spark, sf), 6, "document_id", "synopsis")
 
 
 @register("section_recall", adapters.sql("SELECT query_id, parent_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS fts_rank FROM (SELECT t.query_id, d.parent_id, sum((length(d.low) - length(replace(d.low, t.token, ''))) // length(t.token))::INT AS score FROM (SELECT parent_id, lower(string_agg(content, chr(10) ORDER BY child_index)) AS low FROM children WHERE status = 'ready' GROUP BY ALL) d, (SELECT query_id, unnest(list_filter(string_split_regex(lower(query_text), '\\s+'), lambda x: x <> '')) AS token FROM questions) t WHERE contains(d.low, t.token) GROUP BY ALL) QUALIFY fts_rank <= 10"))
 def section_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Text recall at parent level."""
-    kids = recall.gate(adapters.children(adapters.documents(spark, sf)))
-    text_of = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("child_index", "content"))), lambda s: s["content"]), "\n")
-    return recall.text_recall(kids.groupBy("parent_id").agg(text_of.alias("synopsis")), adapters.questions(spark, sf), 10, "parent_id", "synopsis")
+    rows = recall.gate(adapters.parents(adapters.documents(spark, sf))).select("parent_id", F.col("content").alias("synopsis"))
+    return recall.text_recall(rows, adapters.questions(spark, sf), 10, "parent_id", "synopsis")
 
 
 @register("set_operations", adapters.sql("SELECT 'shared' AS kind, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'missing', count(*) FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM labels)"))

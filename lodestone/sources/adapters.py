@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lines of a parent; parents' numbers within a document start here.
-GROUP, PARENT_BASE = 4, 50_000
+from ..config import bounded
+
+#: Lines of a parent. Ids are the document's times SPAN, plus twice the place: even for children, odd for parents, so that
+#: none meet in documents of up to SPAN / 2 lines; beyond 3.4e10 documents the product overflows and Spark raises.
+GROUP, SPAN = 4, 1 << 28
 #: Rows of embeddings that the oracle SQL counts on (those of sf0.001 and sf0.01); the queries use all rows there are.
 VECTORS = 500
-#: Characters of a passage that make its question.
-QUESTION = 60
 #: Bytes up to which a scan is dealt over all cores.
 SMALL = 64 << 20
 #: Passages that one automaton holds, at most.
@@ -70,10 +71,10 @@ def _lines(batches):
 
 def children(docs: DataFrame) -> DataFrame:
     """Child chunks of documents(): one per non-blank line, offsets in code points; no shuffle."""
-    lines = docs.select("document_id", "area_id", "status", "heading", "display_text").mapInArrow(_lines, _LINES)
+    lines = bounded(docs.select("document_id", "area_id", "status", "heading", "display_text")).mapInArrow(_lines, _LINES)
     section = F.floor(F.col("position") / GROUP).cast("int")
     return lines.select(
-        (F.col("document_id") * 100_000 + F.col("position")).alias("chunk_id"),
+        (F.col("document_id") * SPAN + 2 * F.col("position")).alias("chunk_id"),
         "document_id",
         "area_id",
         "status",
@@ -81,7 +82,7 @@ def children(docs: DataFrame) -> DataFrame:
         "position",
         section.alias("section_index"),
         (F.col("position") % GROUP).alias("child_index"),
-        (F.col("document_id") * 100_000 + PARENT_BASE + section).alias("parent_id"),
+        (F.col("document_id") * SPAN + 2 * section + 1).alias("parent_id"),
         F.when(F.contains("content", F.lit(" | ")), "table").otherwise("text").alias("structure_kind"),
         "content",
         "start_offset",
@@ -90,6 +91,35 @@ def children(docs: DataFrame) -> DataFrame:
     )
 
 
+_SECTIONS = "document_id long, area_id string, status string, heading string, section_index int, start_offset int, end_offset int, structure_kind string, content string"
+
+
+def _sections(batches):
+    for batch in batches:
+        out: list[list] = [[] for _ in range(9)]
+        for doc, area, status, heading, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            at, lines = 0, (text or "").split("\n")
+            for first in range(0, len(lines), GROUP):
+                kept, kind = [], ""
+                for line in lines[first : first + GROUP]:
+                    if line.strip(" "):
+                        kept += [at, at + len(line)]
+                        kind = kind or ("table" if " | " in line else "text")
+                    at += len(line) + 1
+                if kept:
+                    row = (doc, area, status, heading, first // GROUP, kept[0], kept[-1], kind, text[kept[0] : kept[-1]])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in _SECTIONS.split(", ")])
+
+
+def parents(docs: DataFrame) -> DataFrame:
+    """Parent chunks of documents() with their own content: the text from the first to the last child; no shuffle."""
+    rows = bounded(docs.select("document_id", "area_id", "status", "heading", "display_text")).mapInArrow(_sections, _SECTIONS)
+    return rows.withColumn("parent_id", F.col("document_id") * SPAN + 2 * F.col("section_index") + 1).withColumn("char_count", F.length("content"))
+
+
 def with_vectors(chunks: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks or questions with their embedding: vec_key modulo the number of rows of embeddings is its vec_id."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -102,7 +132,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, query_text, dataset, vec_key."""
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        F.substring("text", 1, QUESTION).alias("query_text"),
+        F.col("text").alias("query_text"),
         F.when(F.col("item_id") % 2 == 0, "drcd-gold").otherwise("nq-open").alias("dataset"),
         F.col("item_id").alias("vec_key"),
     )
@@ -136,7 +166,7 @@ def exact_matches(texts: DataFrame, id_col: str, text_col: str, passages: list[t
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["id", "passage_id", "start_offset", "end_offset"])
 
-    return texts.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, passage_id long, start_offset int, end_offset int")
+    return bounded(texts.select(F.col(id_col).cast("long"), F.col(text_col))).mapInArrow(run, "id long, passage_id long, start_offset int, end_offset int")
 
 
 def passages(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
@@ -163,13 +193,13 @@ split_lines AS (SELECT document_id, area_id, status, heading, l, unnest(range(le
 offset_lines AS (SELECT document_id, area_id, status, heading, position, l[position + 1] AS content,
   sum(length(l[position + 1]) + 1) OVER (PARTITION BY document_id ORDER BY position) - length(l[position + 1]) - 1 AS s
   FROM split_lines),
-children AS (SELECT document_id * 100000 + position AS chunk_id, document_id, area_id, status, heading,
+children AS (SELECT document_id * {SPAN} + 2 * position AS chunk_id, document_id, area_id, status, heading,
   position::INT AS position, (position // {GROUP})::INT AS section_index, (position % {GROUP})::INT AS child_index,
-  document_id * 100000 + {PARENT_BASE} + position // {GROUP} AS parent_id,
+  document_id * {SPAN} + 2 * (position // {GROUP}) + 1 AS parent_id,
   CASE WHEN contains(content, ' | ') THEN 'table' ELSE 'text' END AS structure_kind, content,
   s::INT AS start_offset, (s + length(content))::INT AS end_offset, (document_id * 31 + position) % {VECTORS} AS vec_id
   FROM offset_lines WHERE trim(content) <> ''),
-questions AS (SELECT item_id AS query_id, substr(text, 1, {QUESTION}) AS query_text,
+questions AS (SELECT item_id AS query_id, text AS query_text,
   CASE WHEN item_id % 2 = 0 THEN 'drcd-gold' ELSE 'nq-open' END AS dataset, item_id % {VECTORS} AS vec_id FROM benchmark),
 gold AS (SELECT b.item_id AS query_id, d.document_id, (instr(d.display_text, b.text) - 1)::INT AS start_offset,
   (instr(d.display_text, b.text) - 1 + length(b.text))::INT AS end_offset,
@@ -180,4 +210,4 @@ gold AS (SELECT b.item_id AS query_id, d.document_id, (instr(d.display_text, b.t
 
 def sql(body: str, extra: str = "") -> str:
     """A query over the expressions above."""
-    return f"WITH {SQL.strip()}{', ' + extra.strip() if extra else ''} {body.strip()}"
+    return f"WITH RECURSIVE {SQL.strip()}{', ' + extra.strip() if extra else ''} {body.strip()}"

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -103,8 +104,121 @@ def test_growth():
     assert assemble.grow(kinds, texts, [2], [], 1000) == [0, 1, 2, 3, 4]
     assert assemble.grow(kinds, texts, [2], [], 25) == [1, 2]
     assert assemble.grow(kinds, texts, [2], [1], 1000) == [2, 3, 4]
+    assert assemble.grow(kinds, texts, [0, 3], [], 1000) == [0, 3, 4]  # outwards only: the gap stays open
     assert assemble.grow(["text", "table", "table", "text", "text"], texts, [1], [], 22) == [1, 2]
     assert assemble.grow(["table", "text", "text"], texts[:3], [1], [], 22) == [1, 2]
+    assert assemble.grow(["table"] * 5, texts, [0], [2], 1000) == [0, 1, 3, 4]  # a blocked table is left out, the run goes on
+    assert assemble.grow(["table"] * 3, texts[:3], [1], [], 5) == [0, 1, 2]  # a run that is too long stays
+    table = ["| a |\n| --- |\n| 1 |", "| a |\n| --- |\n| 2 |"]
+    assert assemble.merged(["table", "table", "text"], [*table, " t "]) == "| a |\n| --- |\n| 1 |\n| 2 |\n\nt"
+
+
+def _rerank_text(heading, contents, kind, base=2000):
+    """What the reference's rules give for one group, step by step."""
+    kids = [c.strip() for c in contents if c and c.strip()]
+    limit = base if len(kids) <= 1 else min(5000, max(base, int(base * (2.5 if len(kids) >= 3 else 2.0))))
+    content = assemble.merged([kind] * len(contents), contents)
+    prefix = f"Header: {(heading or '').strip()}".strip()
+    room = limit - len(prefix) - len("\nContent:\n")
+    whole = "\n\n".join(f"[Hit child {i}]\n{c}" for i, c in enumerate(kids, 1))
+    cut = lambda v, n: "" if n <= 0 else v if len(v) <= n else v[:n] if n <= 3 else v[: n - 3] + "..."
+    if room <= 0:
+        body = ""
+    elif len(content) <= room:
+        body = content
+    elif len(kids) <= 1:
+        body = content[:room]
+    elif len(whole) <= room:
+        body = whole
+    else:
+        labels = [f"[Hit child {i}]\n" for i in range(1, len(kids) + 1)]
+        left, parts = room - sum(map(len, labels)) - 2 * (len(kids) - 1), []
+        for i, (label, kid) in enumerate(zip(labels, kids, strict=True)):
+            part = cut(kid, max(1, left // (len(kids) - i)))
+            parts.append(label + part)
+            left -= len(part)
+        body = cut("\n\n".join(parts), room)
+    return f"{prefix}\nContent:\n{body}".strip()[:limit]
+
+
+def test_rerank_text(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        kind = rng.choice(["text", "table"])
+        make = lambda n: "| a |\n| --- |\n" + "| x y |\n" * n if kind == "table" else "w" * n + " \n"  # noqa: B023, E731
+        rows.append((i, rng.choice([None, "", " ", "Head"]), [make(rng.choice([0, 3, 40, 900, 1500, 2600])) for _ in range(rng.randint(1, 5))], kind))
+    df = spark.createDataFrame(rows, "i int, heading string, contents array<string>, kind string")
+    got = {r.i: r.t for r in df.select("i", rerank.rerank_text(F.col("heading"), text.merge_contents(F.col("kind"), F.col("contents")), F.col("contents")).alias("t")).collect()}
+    for i, heading, contents, kind in rows:
+        assert got[i] == _rerank_text(heading, contents, kind), (i, heading, kind)
+
+
+def test_contexts_like_the_sequential_version(spark):
+    """Whole parents, grown parents, dropped hits and tables against a version that walks one parent at a time."""
+    rng = random.Random(5)
+    children, parents = [], []
+    for parent in range(40):
+        at, kids = 0, []
+        for k in range(rng.randint(1, 14)):
+            kind = rng.choice(["text", "text", "table"])
+            body = "| a |\n| --- |\n| 1 |" if kind == "table" else "w" * rng.choice([5, 200, 900])
+            kids.append((7, parent, 100 * parent + k, k, at, at + len(body), kind, body))
+            at += len(body) + 1
+        children += kids
+        whole = "\n".join(c[-1] for c in kids)
+        parents.append((7, parent, 0, len(whole), "text", "H", whole, len(whole)))
+    kids_of = {p: [c for c in children if c[1] == p] for p in range(40)}
+    hit = "struct<chunk_id:long,child_index:int,content:string,heading:string,start_offset:int,end_offset:int,rrf_rank:int,vector_rank:int,fts_rank:int,source:string,structure_kind:string,rerank_rank:int>"
+    selected, want = [], {}
+    for rank, p in enumerate(rng.sample(range(40), 30), 1):
+        hits = rng.sample(kids_of[p], rng.randint(1, len(kids_of[p])))
+        rows = [(c[2], c[3], c[7], "H", c[4], c[5], i, i, None, rng.choice(["vector", "fts"]), c[6], 1) for i, c in enumerate(hits, 1)]
+        selected.append((1, "nothing in common", 7, p, rank, rows))
+        ids = [c[2] for c in kids_of[p]]
+        kept, lost = [ids.index(r[0]) for r in rows[:3]], [ids.index(r[0]) for r in rows[3:]]
+        if parents[p][-1] <= 3000:
+            want[p] = (parents[p][6].strip(), 0, parents[p][3], len(ids), False)
+        else:
+            kinds, texts = [c[6] for c in kids_of[p]], [c[7] for c in kids_of[p]]
+            chosen = set(kept)
+            for a in kept:
+                if kinds[a] == "table":
+                    run = [a]
+                    while run[0] > 0 and kinds[run[0] - 1] == "table":
+                        run.insert(0, run[0] - 1)
+                    while run[-1] + 1 < len(kinds) and kinds[run[-1] + 1] == "table":
+                        run.append(run[-1] + 1)
+                    chosen |= {r for r in run if r not in lost}
+            fits = lambda s: len(assemble.merged([kinds[i] for i in sorted(s)], [texts[i] for i in sorted(s)])) <= 3000  # noqa: B023, E731
+            left, right = min(chosen) - 1, max(chosen) + 1
+            while fits(chosen):
+                options = [x for x in (left, right) if 0 <= x < len(kinds) and x not in lost]
+                options.sort(key=lambda x: 0 if kinds[x] == "text" else 1)  # noqa: B023
+                pick = next((x for x in options if fits(chosen | {x})), None)
+                if pick is None:
+                    break
+                chosen.add(pick)
+                left, right = (left - 1, right) if pick == left else (left, right + 1)
+            order = sorted(chosen)
+            whole = assemble.merged([kinds[i] for i in order], [texts[i] for i in order])
+            want[p] = (whole[:3000], kids_of[p][order[0]][4], kids_of[p][order[-1]][5], len(order), len(whole) > 3000)
+    made = assemble.contexts(
+        spark.createDataFrame(selected, f"query_id long, query_text string, document_id long, parent_id long, select_rank int, hits array<{hit}>"),
+        spark.createDataFrame(parents, "document_id long, parent_id long, start_offset int, end_offset int, structure_kind string, heading string, content string, char_count int"),
+        spark.createDataFrame(children, "document_id long, parent_id long, chunk_id long, child_index int, start_offset int, end_offset int, structure_kind string, content string"),
+        max_children=3,
+    )
+    got = {r.parent_id: (r.context_text, r.start_offset, r.end_offset, len(r.child_ids), r.truncated) for r in made.collect()}
+    assert got == want
+
+
+def test_fusion_leaves_chunks_where_they_are(spark):
+    from lodestone.plans import retrieval
+
+    plan = retrieval._fused(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    joins = [x for x in plan.splitlines() if "SortMergeJoin" in x and "content" in x]
+    assert "BroadcastHashJoin" in plan and not joins
 
 
 def test_text_scores_count_repeats(spark):
