@@ -32,6 +32,7 @@ class Settings:
     child_overlap: int = 120
     preview_length: int = 120
     txt_parent_group_size: int = 4
+    fact_heavy_refinement: bool = False
     table_preserve_chars: int = 4000
     table_rows_per_child: int = 20
     synopsis_max_input_chars: int = 6000

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, Settings
+from ..config import DEFAULTS, Settings, bounded
 from .parsing import PARSERS, Block, cells, placed
 
 _GAP = "\n\n"
@@ -151,6 +151,31 @@ def split_text(text: str, size: int = DEFAULTS.target_child_length, overlap: int
     return trimmed
 
 
+#: Headings of sections that state facts, and the least length that is refined (fixed values).
+FACT_HEADINGS, FACT_LEAST = re.compile(r"(dataset|experimental setup|evaluation metrics|metrics|setup)", re.I), 240
+_SENTENCE_END = re.compile(r"[。！？.!?](?:\s+|$)|\n\n")
+
+
+def sentence_windows(text: str) -> list[tuple[int, int]]:
+    """Trimmed spans between the ends of sentences (a mark before white space or the end) and blank lines."""
+    out, at = [], 0
+    for end in [*(m.end() for m in _SENTENCE_END.finditer(text)), len(text)]:
+        body = text[at:end]
+        if body.strip():
+            out.append((at + len(body) - len(body.lstrip()), at + len(body.rstrip())))
+        at = end
+    return out
+
+
+def text_spans(text: str, heading: str | None, s: Settings = DEFAULTS) -> list[tuple[int, int]]:
+    """Child spans of a text section: of fact-heavy sections, where that is asked for, its sentences; else split_text()."""
+    if s.fact_heavy_refinement and FACT_HEADINGS.search(heading or "") and len(text) >= FACT_LEAST:
+        windows = sentence_windows(text)
+        if len(windows) > 1:
+            return windows
+    return split_text(text, s.target_child_length, s.child_overlap)
+
+
 def split_table(text: str, s: Settings = DEFAULTS) -> list[tuple[int, int, str]]:
     """(start, end, content) of a table's children: whole if short, else groups of rows under the repeated header;
     offsets cover the data rows only."""
@@ -195,7 +220,7 @@ def build(blocks: list[Block], plain: bool, s: Settings = DEFAULTS) -> tuple[str
         chunks.append(Chunk("parent", section.kind, len(chunks), index, None, section.heading, section.path or f"Section {index + 1}", section.text, begin, body + len(section.text)))
         n = 0
         for kind, heading, offset, text in section.pieces():
-            spans = split_table(text, s) if kind == "table" else [(a, b, text[a:b]) for a, b in split_text(text, s.target_child_length, s.child_overlap)]
+            spans = split_table(text, s) if kind == "table" else [(a, b, text[a:b]) for a, b in text_spans(text, heading or section.heading, s)]
             for a, b, content in spans:
                 chunks.append(Chunk("child", kind, len(chunks), index, n, heading or section.heading, None, content, body + offset + a, body + offset + b))
                 n += 1
@@ -226,7 +251,7 @@ def chunk_files(files: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _TREE.split(", ")])
 
-    return files.select(F.col("document_id").cast("long"), "file_name", "content").mapInArrow(run, _TREE)
+    return bounded(files.select(F.col("document_id").cast("long"), "file_name", "content")).mapInArrow(run, _TREE)
 
 
 def with_settings(**changes) -> Settings:

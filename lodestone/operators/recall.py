@@ -147,3 +147,26 @@ def hybrid(chunks: DataFrame, queries: DataFrame, vector_k: int = 30, text_k: in
     """Gated chunks (with embedding, content, position...) to fused candidates of all queries (query_id, query_text, embedding)."""
     details = chunks.drop("embedding", "vec_id")
     return fuse(vector_recall(chunks, queries, vector_k), text_recall(chunks, queries, text_k), details, rrf_k, limit)
+
+
+def by_synopsis(items: DataFrame, queries: DataFrame, k: int, key: str, ties: list[str], rrf_k: int = 60) -> DataFrame:
+    """Documents or sections by their synopsis: both recalls of k over items (key, synopsis, embedding, columns of ties), fused, the k best."""
+    details = items.drop("embedding", "synopsis", "vec_id")
+    return fuse(vector_recall(items, queries, k, key), text_recall(items, queries, k, key, "synopsis"), details, rrf_k, k, key, ties)
+
+
+def select_documents(found: DataFrame, mentions: DataFrame, k: int, key: str = "document_id") -> DataFrame:
+    """(query_id, key, select_rank, strategy): the documents that a query names, in their order, then recalled ones up to k.
+
+    found: by_synopsis(); mentions: query_id, query_type, summary_scope, resolved (array of keys). Fact lookups select nothing
+    (no rows); a single-document summary that names one document takes it alone; at least one recalled document follows
+    the named ones even if these are k already.
+    """
+    asked = mentions.where("query_type <> 'fact_lookup'")
+    alone = (F.coalesce(F.col("summary_scope") == "single_document", F.lit(False))) & (F.size("resolved") == 1)
+    named = asked.select("query_id", F.posexplode("resolved").alias("at", key)).select("query_id", key, F.lit(0).alias("stage"), F.col("at").alias("o"))
+    recalled = found.join(F.broadcast(asked.where(~alone).select("query_id")), "query_id").select("query_id", key, F.lit(1).alias("stage"), F.col("rrf_rank").alias("o"))
+    first = named.unionByName(recalled).groupBy("query_id", key).agg(F.min(F.struct("stage", "o")).alias("m"))
+    rank = ranked(first, ["query_id"], ["m"], "select_rank")
+    rule = F.broadcast(asked.select("query_id", F.greatest(F.lit(k), F.size("resolved") + 1).alias("most"), F.when(alone, "mention_resolved_single_document_v1").otherwise("synopsis_rrf_v1").alias("strategy")))
+    return rank.join(rule, "query_id").where("select_rank <= most").select("query_id", key, "select_rank", "strategy")

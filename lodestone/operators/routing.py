@@ -16,7 +16,9 @@ COMPARE_HAN, COMPARE_LATIN = ["比較", "差異", "相比", "不同", "優缺點
 SECTION_HAN, SECTION_LATIN = ["章節", "段落", "部分", "聚焦", "著重"], ["section", "chapter", "part", "focus on"]
 #: Confidence by the number of phrases hit, and what the embedding classifier must reach (fixed values).
 ONE_HIT, MORE_HITS, MIN_CONFIDENCE, MIN_MARGIN = 0.84, 0.92, 0.78, 0.05
-MULTI_PATTERN = r"(?i)(?:\bbetween\b|\bacross\b|\bcompare\b|\bversus\b|\bvs\.?\b|\band\b|與|和|及|跟)"
+#: The same for the summary strategy, and the confidence of its scope rule (fixed values).
+STRATEGY_CONFIDENCE, STRATEGY_MARGIN, SCOPE_RULE = 0.8, 0.06, 0.9
+OVERVIEW, SECTION, THEME = "document_overview", "section_focused", "multi_document_theme"
 # Scores of document mentions: single (with its margin), several, and candidates of an explicit scope (fixed values).
 SINGLE, MARGIN, SEVERAL, CANDIDATE = 0.8, 0.12, 0.8, 0.55
 
@@ -42,6 +44,36 @@ def decide(explicit: Column, rule: Column, embedded: Column, confidence: Column,
     return F.struct(label.alias("label"), source.alias("source"))
 
 
+def summary_strategy(query: Column, query_type: Column, resolved: Column, scope: Column, explicit: Column, embedded: Column, confidence: Column, margin: Column) -> Column:
+    """struct(label, source, confidence, reason) of a summary's strategy.
+
+    Explicit, then rules (several documents or a multi-document scope: theme; one document and a section phrase: section),
+    then a confident embedding label that does not conflict with the documents named, then the safe fallback. `resolved` is
+    how many documents the query names. Other query types have no strategy.
+    """
+    several = (resolved >= 2) | F.coalesce(scope == "multi_document", F.lit(False))
+    hits = text.phrase_hits(query, SECTION_HAN, SECTION_LATIN)
+    rule = F.when(several, THEME).when((resolved == 1) & (F.size(hits) > 0), SECTION)
+    rule_score = F.when(several, SCOPE_RULE).otherwise(rule_confidence(hits))
+    conflict = F.when((resolved >= 2) & (embedded != THEME), "multi_document_scope_conflict").when((resolved == 1) & (embedded == THEME), "single_document_scope_conflict")
+    sure = (confidence >= STRATEGY_CONFIDENCE) & (margin >= STRATEGY_MARGIN) & conflict.isNull()
+    safe = F.when((scope == "single_document") & (resolved == 1), OVERVIEW).otherwise(THEME)
+    made = lambda label, source, score, reason=None: F.struct(label.alias("label"), F.lit(source).alias("source"), score.cast("double").alias("confidence"), F.lit(reason).cast("string").alias("reason"))
+    return (
+        F.when(query_type != "document_summary", made(F.lit(""), "not_applicable", F.lit(0.0)))
+        .when(explicit.isNotNull(), made(explicit, "explicit", F.lit(1.0)))
+        .when(rule.isNotNull(), made(rule, "rule", rule_score))
+        .when(sure, made(embedded, "embedding", confidence))
+        .otherwise(made(safe, "fallback", F.lit(0.0), "llm_fallback_unavailable"))
+    )
+
+
+def summary_scope(query_type: Column, resolved: Column, scope: Column, strategy: Column) -> Column:
+    """single_document or multi_document for summaries, null for other queries."""
+    single = (strategy != THEME) & (scope == "single_document") & (resolved == 1)
+    return F.when(query_type == "document_summary", F.when(single, "single_document").otherwise("multi_document"))
+
+
 def document_scope(resolved: Column, hint: Column) -> Column:
     n = F.size(resolved)
     return F.when(n == 1, "single_document").when(n >= 2, "multi_document").otherwise(F.coalesce(hint, F.lit("area")))

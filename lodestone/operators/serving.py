@@ -140,3 +140,20 @@ def mapped_language(c: Column) -> Column:
 
 def blank_as(c: Column, default: str) -> Column:
     return F.coalesce(optional(c), F.lit(default))
+
+
+def context_payload(contexts: DataFrame, documents: DataFrame) -> DataFrame:
+    """Contexts as an answering tool gets them: label, document's name (empty if unknown), heading, text, source, span, children.
+
+    documents: document_id, file_name. Contexts are few a query; they are broadcast to the documents' scan.
+    """
+    names = documents.join(F.broadcast(contexts.select("document_id").distinct()), "document_id", "left_semi")
+    rows = contexts.join(names, "document_id", "left").withColumn("document_name", F.coalesce("file_name", F.lit("")))
+    return rows.select(
+        "query_id", "context_index", "context_label", "document_id", "document_name", "parent_id", F.col("child_ids").alias("child_chunk_ids"), "structure_kind", "heading", F.col("context_text").alias("assembled_text"), "source", "start_offset", "end_offset", "truncated"
+    )
+
+
+def tool_contexts(payload: DataFrame) -> DataFrame:
+    """The short form for a tool call: label, index, document's name, heading, text."""
+    return payload.select("query_id", "context_label", "context_index", "document_name", "heading", "assembled_text")

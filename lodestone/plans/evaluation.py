@@ -289,7 +289,15 @@ def routing_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return routing.profiles(spark).select("query_type", "vector_top_k", "max_contexts", "max_chars", "max_children", "document_recall_top_k")
 
 
-@register("routing_decision")
+_DECIDED = f"""
+WITH h AS (SELECT conv_id, turn, {_hits_sql(routing.COMPARE_HAN, routing.COMPARE_LATIN)} AS c, {_hits_sql(routing.SUMMARY_HAN, routing.SUMMARY_LATIN)} AS s FROM (SELECT *, text AS q FROM conversations)),
+r AS (SELECT *, CASE WHEN c > 0 THEN 'cross_document_compare' WHEN s > 0 THEN 'document_summary' END AS rule, conv_id % 100 >= 78 AS sure FROM h)
+SELECT conv_id, turn, CASE WHEN turn = 7 THEN 'fact_lookup' WHEN rule IS NOT NULL THEN rule WHEN sure THEN 'document_summary' ELSE 'fact_lookup' END AS label,
+  CASE WHEN turn = 7 THEN 'explicit' WHEN rule IS NOT NULL THEN 'rule' WHEN sure THEN 'embedding' ELSE 'fallback' END AS source FROM r
+"""
+
+
+@register("routing_decision", _DECIDED)
 def routing_decision(spark: SparkSession, sf: str) -> DataFrame:
     """Explicit, rule, embedding and fallback stages of each turn's label; tested on hand-made cases."""
     c = _T(spark, sf, "conversations").withColumn("t", routing.task_type(F.col("text")))
@@ -298,6 +306,32 @@ def routing_decision(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", d.alias("d")).select("conv_id", "turn", "d.*")
 
 
+_STRATEGY = f"""
+WITH c AS (SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN 'focus on the ' WHEN 1 THEN '請聚焦章節 ' WHEN 2 THEN 'partial ' ELSE '' END || text AS q, conv_id % 3 AS resolved, CASE turn % 3 WHEN 0 THEN 'single_document' WHEN 1 THEN 'multi_document' ELSE 'area' END AS scope,
+  CASE WHEN turn % 7 = 6 THEN 'section_focused' END AS explicit, CASE WHEN conv_id % 9 = 8 THEN 'fact_lookup' ELSE 'document_summary' END AS query_type, CASE conv_id % 2 WHEN 0 THEN 'multi_document_theme' ELSE 'document_overview' END AS embedded, conv_id % 100 / 100.0 AS confidence FROM conversations),
+h AS (SELECT *, {_hits_sql(routing.SECTION_HAN, routing.SECTION_LATIN)} AS n, resolved >= 2 OR scope = 'multi_document' AS several FROM c),
+r AS (SELECT *, CASE WHEN several THEN 'multi_document_theme' WHEN resolved = 1 AND n > 0 THEN 'section_focused' END AS rule, CASE WHEN several THEN 0.9 WHEN n >= 2 THEN 0.92 ELSE 0.84 END AS rule_score,
+  confidence >= 0.8 AND NOT (resolved = 1 AND embedded = 'multi_document_theme') AND NOT (resolved >= 2 AND embedded <> 'multi_document_theme') AS sure FROM h),
+d AS (SELECT *, CASE WHEN query_type <> 'document_summary' THEN 'not_applicable' WHEN explicit IS NOT NULL THEN 'explicit' WHEN rule IS NOT NULL THEN 'rule' WHEN sure THEN 'embedding' ELSE 'fallback' END AS source FROM r),
+l AS (SELECT *, CASE source WHEN 'not_applicable' THEN '' WHEN 'explicit' THEN explicit WHEN 'rule' THEN rule WHEN 'embedding' THEN embedded ELSE CASE WHEN scope = 'single_document' AND resolved = 1 THEN 'document_overview' ELSE 'multi_document_theme' END END AS label FROM d)
+SELECT conv_id, turn, label, source, round(CASE source WHEN 'explicit' THEN 1 WHEN 'rule' THEN rule_score WHEN 'embedding' THEN confidence ELSE 0 END::DOUBLE, 6) AS confidence, CASE WHEN source = 'fallback' THEN 'llm_fallback_unavailable' END AS reason,
+  CASE WHEN query_type = 'document_summary' THEN CASE WHEN label <> 'multi_document_theme' AND scope = 'single_document' AND resolved = 1 THEN 'single_document' ELSE 'multi_document' END END AS summary_scope FROM l
+"""
+
+
+@register("summary_strategy", _STRATEGY)
+def summary_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    """Strategy and scope of a summary for each turn, with made-up mentions, scopes and embedding labels."""
+    c = F.col("conv_id")
+    cue = F.when(c % 6 == 0, "focus on the ").when(c % 6 == 1, "請聚焦章節 ").when(c % 6 == 2, "partial ").otherwise("")
+    kind = F.when(c % 9 == 8, "fact_lookup").otherwise("document_summary")
+    scope = F.when(F.col("turn") % 3 == 0, "single_document").when(F.col("turn") % 3 == 1, "multi_document").otherwise("area")
+    embedded = F.when(c % 2 == 0, "multi_document_theme").otherwise("document_overview")
+    s = routing.summary_strategy(F.concat(cue, "text"), kind, c % 3, scope, F.when(F.col("turn") % 7 == 6, "section_focused"), embedded, c % 100 / 100, F.lit(0.06))
+    out = _T(spark, sf, "conversations").select("conv_id", "turn", s.alias("s"), kind.alias("kind"), scope.alias("scope"))
+    return out.select("conv_id", "turn", "s.label", "s.source", F.round("s.confidence", 6).alias("confidence"), "s.reason", routing.summary_scope(F.col("kind"), c % 3, F.col("scope"), F.col("s.label")).alias("summary_scope"))
+
+
 @register("mention_resolution")
 def mention_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that questions name (here: questions made from every document's name)."""

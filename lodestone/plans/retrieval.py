@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import assemble, metrics, recall, rerank, selection
+from ..operators import assemble, metrics, recall, rerank, selection, serving
 from ..sources import adapters
 from ..sources.scratch import once
 from .catalog import register
@@ -363,3 +363,94 @@ def gold_scope_recall(spark: SparkSession, sf: str) -> DataFrame:
     scope = _gold(spark, sf).select("query_id", "document_id").distinct().join(F.broadcast(asked), "query_id")  # a bounded query set
     found = kids.join(scope, "document_id").withColumn("score", scoring.fts_score(F.col("tokens"), F.col("content"))).where("score > 0")
     return recall.ranked(found, ["query_id"], [F.desc("score"), "chunk_id"], "fts_rank", 10).select("query_id", "chunk_id", "score", "fts_rank")
+
+
+_CHOSEN = """
+wide AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, parent_id ORDER BY anchor_rank) AS w FROM anchored WHERE anchor_rank <= 7),
+facts AS (SELECT query_id, document_id, parent_id, any_value(select_rank) AS select_rank, arg_min(heading, anchor_rank) AS hit_heading,
+  CASE WHEN count(DISTINCT source) > 1 OR max(CASE WHEN source = 'hybrid' THEN 1 ELSE 0 END) = 1 THEN 'hybrid' ELSE any_value(source) END AS source FROM wide GROUP BY ALL),
+kind_of AS (SELECT parent_id, arg_min(structure_kind, child_index) AS structure_kind FROM children GROUP BY ALL)
+"""
+
+
+@register(
+    "context_payloads",
+    adapters.sql(
+        "SELECT f.query_id, (f.select_rank - 1)::INT AS context_index, 'C' || f.select_rank AS context_label, f.document_id, d.file_name AS document_name, f.parent_id, k.structure_kind, f.hit_heading AS heading, f.source, md5(trim(p.parent_text, E' \\t\\n\\r')) AS excerpt_md5,"
+        " p.start_offset, p.end_offset, array_to_string(p.child_ids, ',') AS child_chunk_ids, false AS truncated FROM facts f JOIN parents p USING (document_id, parent_id) JOIN docs d USING (document_id) JOIN kind_of k USING (parent_id) WHERE length(p.parent_text) <= 3000",
+        _ANCHOR.strip() + ",\n" + _PARENTS.strip() + ",\n" + _CHOSEN.strip(),
+    ),
+)
+def context_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Contexts as an answering tool gets them, with the document's name; those that are whole parents."""
+    made = serving.context_payload(_contexts(spark, sf)[1], adapters.documents(spark, sf).select("document_id", "file_name"))
+    short = adapters.parents(_docs(spark, sf)).where("char_count <= 3000").select("document_id", "parent_id")
+    rows = F.broadcast(made).join(short, ["document_id", "parent_id"])  # nine contexts a question
+    return rows.select(
+        "query_id", "context_index", "context_label", "document_id", "document_name", "parent_id", "structure_kind", "heading", "source", F.md5("assembled_text").alias("excerpt_md5"), "start_offset", "end_offset", F.array_join("child_chunk_ids", ",").alias("child_chunk_ids"), "truncated"
+    )
+
+
+def _synopsis_sql(items: str, key: str, ties: str, k: int) -> str:
+    return f"""
+items AS ({items}),
+item_vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) AS vector_rank FROM (SELECT q.query_id, i.key, round(list_cosine_distance(i.v, q.v), 12) + 0.0 AS distance FROM items i, asked q) QUALIFY vector_rank <= {k}),
+item_tokens AS (SELECT query_id, unnest(list_filter(string_split_regex(lower(query_text), '\\s+'), lambda t: t <> '')) AS token FROM questions),
+item_scores AS (SELECT t.query_id, i.key, sum((length(i.low) - length(replace(i.low, t.token, ''))) // length(t.token))::INT AS score FROM (SELECT key, lower(synopsis) AS low FROM items) i, item_tokens t WHERE contains(i.low, t.token) GROUP BY ALL),
+item_fts AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS fts_rank FROM item_scores QUALIFY fts_rank <= {k}),
+item_fused AS (SELECT b.*, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, best_rank, {ties}, key) AS rrf_rank FROM (
+  SELECT coalesce(v.query_id, f.query_id) AS query_id, coalesce(v.key, f.key) AS key, vector_rank, fts_rank, round(coalesce(1.0 / (60 + vector_rank), 0.0) + coalesce(1.0 / (60 + fts_rank), 0.0), 12) AS rrf_score, least(vector_rank, fts_rank) AS best_rank
+  FROM item_vec v FULL JOIN item_fts f ON v.query_id = f.query_id AND v.key = f.key) b JOIN items i USING (key) QUALIFY rrf_rank <= {k})
+"""
+
+
+_DOC_ITEMS = "SELECT document_id AS key, file_name, display_text AS synopsis, e.embedding::DOUBLE[] AS v FROM docs d JOIN embeddings e ON e.vec_id = (d.document_id * 7) % 500 WHERE status = 'ready'"
+_FUSED_ITEMS = "SELECT query_id, key AS {key}, vector_rank, fts_rank, round(rrf_score, 9) AS rrf_score, rrf_rank FROM item_fused"
+
+
+def _documents_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf).where("status = 'ready'").select("document_id", F.lower("file_name").alias("name"), F.col("display_text").alias("synopsis"), (F.col("document_id") * 7).alias("vec_key"))
+    return recall.by_synopsis(adapters.with_vectors(docs, spark, sf), _asked(spark, sf), 6, "document_id", ["name", "document_id"])
+
+
+@register("document_recall_hybrid", adapters.sql(_FUSED_ITEMS.format(key="document_id"), _READY.strip() + "," + _synopsis_sql(_DOC_ITEMS, "document_id", "lower(i.file_name)", 6)))
+def document_recall_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by vector and text over their synopses (here the whole texts), fused."""
+    return _documents_found(spark, sf).select("query_id", "document_id", "vector_rank", "fts_rank", F.round("rrf_score", 9).alias("rrf_score"), "rrf_rank")
+
+
+@register(
+    "section_recall_hybrid",
+    adapters.sql(
+        _FUSED_ITEMS.format(key="parent_id"),
+        _READY.strip() + ",\n" + _PARENTS.strip() + "," + _synopsis_sql("SELECT p.parent_id AS key, p.document_id, p.start_offset, p.parent_text AS synopsis, e.embedding::DOUBLE[] AS v FROM parents p JOIN docs d USING (document_id) JOIN embeddings e ON e.vec_id = (p.document_id * 31 + (p.parent_id % 268435456) // 2) % 500 WHERE d.status = 'ready'", "parent_id", "i.document_id, i.start_offset", 10),
+    ),
+)
+def section_recall_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections by vector and text over their own content, fused."""
+    rows = recall.gate(adapters.parents(_docs(spark, sf))).select("parent_id", "document_id", "start_offset", F.col("content").alias("synopsis"), (F.col("document_id") * 31 + F.col("section_index")).alias("vec_key"))
+    found = recall.by_synopsis(adapters.with_vectors(rows, spark, sf), _asked(spark, sf), 10, "parent_id", ["document_id", "start_offset", "parent_id"])
+    return found.select("query_id", "parent_id", "vector_rank", "fts_rank", F.round("rrf_score", 9).alias("rrf_score"), "rrf_rank")
+
+
+_MENTIONS = """
+mentions AS (SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'fact_lookup' WHEN 1 THEN 'document_summary' ELSE 'cross_document_compare' END AS query_type,
+  CASE WHEN query_id % 4 = 1 THEN 'single_document' END AS summary_scope, CASE query_id % 4 WHEN 1 THEN [query_id + 1] WHEN 2 THEN [query_id + 2, query_id + 1] ELSE [] END AS resolved FROM questions),
+picks AS (SELECT query_id, document_id, min((stage, o)) AS m FROM (SELECT query_id, unnest(resolved) AS document_id, 0 AS stage, generate_subscripts(resolved, 1) - 1 AS o FROM mentions WHERE query_type <> 'fact_lookup'
+  UNION ALL SELECT query_id, key, 1, rrf_rank FROM item_fused JOIN mentions USING (query_id) WHERE query_type = 'cross_document_compare') GROUP BY ALL)
+"""
+
+
+@register(
+    "document_selection",
+    adapters.sql(
+        "SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY m) AS select_rank, CASE WHEN summary_scope IS NULL THEN 'synopsis_rrf_v1' ELSE 'mention_resolved_single_document_v1' END AS strategy FROM picks JOIN mentions USING (query_id) QUALIFY select_rank <= greatest(6, len(resolved) + 1)",
+        _READY.strip() + "," + _synopsis_sql(_DOC_ITEMS, "document_id", "lower(i.file_name)", 6).rstrip() + ",\n" + _MENTIONS.strip(),
+    ),
+)
+def document_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of each question: those that it names, then recalled ones."""
+    q, kind = F.col("query_id"), F.col("query_id") % 4
+    ids = F.when(kind == 1, F.array(q + 1)).when(kind == 2, F.array(q + 2, q + 1)).otherwise(F.array().cast("array<long>"))
+    mentions = adapters.questions(spark, sf).select("query_id", F.when(kind == 0, "fact_lookup").when(kind == 1, "document_summary").otherwise("cross_document_compare").alias("query_type"), F.when(kind == 1, "single_document").alias("summary_scope"), ids.alias("resolved"))
+    return recall.select_documents(_documents_found(spark, sf), mentions, 6)

@@ -193,7 +193,10 @@ def first_hit_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.gold_spans(docs, spark, sf).alias("g").join(kids.alias("c"), on, "left").groupBy("query_id").agg(F.min("c.place").alias("first_hit_rank"))
 
 
-@register("stable_uuids")
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@register("stable_uuids", f"SELECT page_id, {_UUID} AS uuid FROM (SELECT page_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)")
 def stable_uuids(spark: SparkSession, sf: str) -> DataFrame:
     """Version-5 UUIDs of page addresses; tested against Python's."""
     return _T(spark, sf, "pages").select("page_id", serving.stable_uuid(F.col("url")).alias("uuid"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .scratch import once
+
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """document_id, file_name, content of the files of a folder; the id is a hash of the path."""
@@ -48,14 +50,22 @@ def reusable(files: DataFrame, artifacts: DataFrame, key: str = "document_id") -
 
 
 def write_artifacts(blocks: DataFrame, path: str, key: str = "document_id", buckets: int = 64) -> None:
-    """Parsed blocks by bucket of the document; writing documents again replaces their buckets only."""
-    out = blocks.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    """Parsed blocks by bucket of the document. Documents written again are replaced; all others of the buckets that are
+    rewritten stay, as they are merged in before."""
+    spark = blocks.sparkSession
+    bucketed = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    new = once(bucketed(blocks), "artifacts")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+        held = spark.read.option("mergeSchema", True).parquet(path).where(F.col("bucket").isin(touched))
+        new = new.unionByName(once(held.join(new.select(key).distinct(), key, "left_anti"), "artifacts"), allowMissingColumns=True)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-class _Page(InputPartition):
-    def __init__(self, offset: int, length: int):
-        self.offset, self.length = offset, length
+class _Pages(InputPartition):
+    def __init__(self, first: int, step: int):
+        self.first, self.step = first, step
 
 
 def http_pages(base: str) -> Callable[[int, int], list[dict]]:
@@ -69,9 +79,11 @@ def http_pages(base: str) -> Callable[[int, int], list[dict]]:
 
 
 class PagedRows(DataSource):
-    """Rows behind a paged source, a partition a page: spark.read.format("paged_rows").
+    """Rows behind a paged source, read to its end: spark.read.format("paged_rows").
 
-    Options: url (an endpoint for http_pages) or file (a JSON-lines file, for tests), pages, length.
+    Options: url (an endpoint for http_pages) or file (a JSON-lines file that all executors see, for tests), length (rows
+    of a page), readers (tasks: task i reads pages i, i + readers, ... until a page comes back short or empty), pages (at
+    most so many; default all).
     """
 
     @classmethod
@@ -90,17 +102,25 @@ class _PagedReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        length = int(self.options.get("length", "100"))
-        return [_Page(i * length, length) for i in range(int(self.options.get("pages", "1")))]
+        n = int(self.options.get("readers", "4"))
+        return [_Pages(i, n) for i in range(n)]
 
-    def read(self, partition: _Page):
+    def read(self, partition: _Pages):
+        length, last = int(self.options.get("length", "100")), self.options.get("pages")
         if "file" in self.options:
             with open(self.options["file"], encoding="utf-8") as f:
-                rows = [json.loads(x) for x in f if x.strip()][partition.offset : partition.offset + partition.length]
+                held = [json.loads(x) for x in f if x.strip()]
+            fetch = lambda offset, n: held[offset : offset + n]
         else:
-            rows = http_pages(self.options["url"])(partition.offset, partition.length)
-        for row in rows:
-            yield partition.offset // partition.length, json.dumps(row, ensure_ascii=False)
+            fetch = http_pages(self.options["url"])
+        page = partition.first
+        while last is None or page < int(last):
+            rows = fetch(page * length, length)
+            for row in rows:
+                yield page, json.dumps(row, ensure_ascii=False)
+            if len(rows) < length:
+                break
+            page += partition.step
 
 
 def hub_reference(reference: str) -> tuple[str, str, str] | None:

@@ -362,6 +362,10 @@ def test_readers(spark, tmp_path):
     spark.dataSource.register(readers.PagedRows)
     paged = spark.read.format("paged_rows").options(file=str(tmp_path / "c.jsonl"), pages="3", length="1").load()
     assert sorted((r.page, r.row) for r in paged.collect()) == [(0, '{"x": 1}'), (1, '{"x": 2}')]
+    (tmp_path / "many.jsonl").write_text("".join(f'{{"x": {i}}}\n' for i in range(1234)))
+    for length, n in (("100", "3"), ("1234", "2"), ("617", "4"), ("5000", "1")):
+        whole = spark.read.format("paged_rows").options(file=str(tmp_path / "many.jsonl"), length=length, readers=n).load()
+        assert sorted(json.loads(r.row)["x"] for r in whole.collect()) == list(range(1234))
     assert readers.hub_reference("hf://a/b/c/d") == ("a/b", "c", "d") and readers.hub_reference("x.csv") is None
     readers.write_jsonl(readers.read_rows(spark, f"{tmp_path}/c.jsonl"), f"{tmp_path}/out.jsonl")
     assert readers.read_rows(spark, f"{tmp_path}/out.jsonl").count() == 2
@@ -369,6 +373,76 @@ def test_readers(spark, tmp_path):
     assert files.first().file_name == "a.csv"
 
 
+def test_artifacts_of_other_documents_stay(spark, tmp_path):
+    path = f"{tmp_path}/artifacts"
+    rows = lambda ids, mark: spark.createDataFrame([(i, k, f"{mark}{i}") for i in ids for k in range(2)], "document_id long, block int, text string")
+    readers.write_artifacts(rows(range(1000), "a"), path)
+    readers.write_artifacts(rows(range(5, 15), "b").unionByName(rows(range(2000, 2003), "b")), path)
+    got = {(r.document_id, r.block): r.text for r in spark.read.parquet(path).collect()}
+    assert len(got) == 2006 and all(t == ("b" if 5 <= i < 15 or i >= 2000 else "a") + str(i) for (i, _), t in got.items())
+    files, held = rows(range(998, 1002), "x"), spark.read.parquet(path)
+    todo, reuse = readers.reusable(files.select("document_id").distinct(), held)
+    assert sorted(r.document_id for r in todo.collect()) == [1000, 1001] and reuse.count() == 4
+
+
+def test_upserts_survive_a_crash(spark, tmp_path):
+    from lodestone.streaming import ingest
+
+    target = f"{tmp_path}/state"
+    rows = lambda ids, mark: spark.createDataFrame([(i, mark) for i in ids], "document_id long, status string")
+    write = ingest.upsert_batches(target)
+    want = {}
+    for epoch, (ids, mark) in enumerate([(range(300), "a"), (range(20, 30), "b"), (range(25, 400, 5), "c"), ([7], "d"), ([7], "e")]):
+        write(rows(ids, mark), epoch)
+        want |= dict.fromkeys(ids, mark)
+        assert {r.document_id: r.status for r in ingest.current(spark, target).collect()} == want
+    write(rows([7], "e"), 4)  # the same epoch again
+    rows([1, 2], "half").write.parquet(f"{target}/v=5/bucket=3")  # a version that was never committed
+    (tmp_path / "state" / "v=5" / "bucket=3" / "_SUCCESS").unlink(missing_ok=True)
+    assert {r.document_id: r.status for r in ingest.current(spark, target).collect()} == want
+    write(rows([9], "f"), 5)
+    assert {r.document_id: r.status for r in ingest.current(spark, target).collect()} == want | {9: "f"}
+    kept = [p.parent.name for p in (tmp_path / "state").glob("v=*/bucket=*")]
+    assert len(kept) <= 2 * ingest.BUCKETS
+
+
+def test_fact_heavy_windows():
+    body = "We use 3 sets. 他們。都在! Version 1.5 is kept.\n\nNext part " + "x" * 240 + "? End"
+    spans = chunking.sentence_windows(body)
+    assert [body[a:b] for a, b in spans][:4] == ["We use 3 sets.", "他們。都在!", "Version 1.5 is kept.", "Next part " + "x" * 240 + "?"]
+    fine = chunking.with_settings(fact_heavy_refinement=True)
+    assert chunking.text_spans(body, "4.1 Experimental Setup", fine) == spans
+    assert chunking.text_spans(body, "Introduction", fine) == chunking.split_text(body) == chunking.text_spans(body, "Setup")
+    assert chunking.text_spans("Short. Text.", "Metrics", fine) == [(0, 12)]
+
+
+def test_document_selection(spark):
+    found = spark.createDataFrame([(q, d, r) for q in (1, 2, 3) for r, d in enumerate([10, 11, 12, 13], 1)], "query_id long, document_id long, rrf_rank int")
+    asked = spark.createDataFrame([(1, "fact_lookup", None, [10]), (2, "document_summary", "single_document", [12]), (3, "cross_document_compare", None, [12, 10])], "query_id long, query_type string, summary_scope string, resolved array<long>")
+    got = {}
+    for r in recall.select_documents(found, asked, 3).orderBy("query_id", "select_rank").collect():
+        got.setdefault(r.query_id, []).append(r.document_id)
+    assert got == {2: [12], 3: [12, 10, 11]}
+    assert sorted(r.document_id for r in recall.select_documents(found, asked.where("query_id = 3"), 1).collect()) == [10, 11, 12]
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parent.parent
+    shutil.copytree(root / "lodestone", tmp_path / "lodestone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}).returncode == 0
+    (tmp_path / "lodestone" / "llm").mkdir()
+    (tmp_path / "lodestone" / "llm" / "__init__.py").write_text("import no_such_module\n")
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True).returncode != 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from lodestone.streaming import ingest
 
@@ -379,8 +453,7 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     q = ingest.job_states(stream).writeStream.outputMode("update").foreachBatch(ingest.upsert_batches(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = sorted((tmp_path / "out").iterdir(), key=lambda p: int(p.name[1:]))[-1]
-    got = {r.document_id: (r.status, r.events) for r in spark.read.parquet(str(last)).collect()}
+    got = {r.document_id: (r.status, r.events) for r in ingest.current(spark, f"{tmp_path}/out").collect()}
     batch = events.groupBy("user_id").agg(ingest.job_status(F.max_by("event_type", F.struct("ts", "event_id"))).alias("s"), F.count("*").alias("n"))
     assert got == {r.user_id: (r.s, r.n) for r in batch.collect()}
 
