@@ -95,3 +95,31 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_edge_cases_of_every_stage(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and extra columns that clash with names used inside."""
+    rng = random.Random(3)
+    words = ["mon%d" % i for i in range(900)]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    body = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(8)]
+    schema = SCHEMA + ", __fp string, __row int, __count_n_words string, bucket string, `Bucket_` int, fp string, anchor string, piece string"
+    extra = ("f", 1, "c", "b", 2, "p", "a", "q")
+    rows = [(1, long, "en", "s", len(long)), (2, None, None, None, None), (3, "", "", "", 0), (None, body[0], "en", "s", 5), (4, body[1], "en", "s", 5), (4, body[1], "en", "s", 5), (5, body[2] + " password = abcdefghijkl", "en", None, 5), (6, body[2] + " password = abcdefghijkl", "en", "s", 5)]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], schema)
+    for table, kind in (("labels", "doc_id long, quality int, toxic int, __fp string"),):
+        spark.createDataFrame([(1, 1, 0, "x"), (None, 0, None, "x"), (4, None, 0, "x")], kind).write.parquet(f"{tmp_path}/{table}.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    good = stage["quality rules"](spark, docs, str(tmp_path))
+    assert good.columns == docs.columns and sorted(str(r.doc_id) for r in good.collect()) == ["1", "4", "4", "5", "6", "None"]
+    one = stage["simhash near-dedup"](spark, docs, str(tmp_path))
+    assert one.columns == docs.columns and sorted(str(r.doc_id) for r in one.collect()) == ["1", "2", "4", "5", "None"]
+    clean = stage["secret scans"](spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    got = sorted(((str(r.doc_id), r.text, r.n_chars, r.fp) for r in clean.collect()), key=str)
+    want = [(str(d), t if d not in (5, 6) else body[2] + " [SECRET]", None if t is None else len(t if d not in (5, 6) else body[2] + " [SECRET]"), "p") for d, t, *_ in rows]
+    assert got == sorted(want, key=str)
+    packed = stage["best-fit packing"](spark, docs, str(tmp_path)).collect()
+    tokenizer = Tokenizer.from_file(packing.TOKENIZER)
+    total = sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in rows)
+    assert sum(r.length for r in packed) == total and len([r for r in packed if r.doc_id == 1]) > 30

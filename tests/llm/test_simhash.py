@@ -105,6 +105,27 @@ def test_crowded_anchor_is_exact(spark, monkeypatch):
             assert (got[a] == got[b]) == (find(a) == find(b))
 
 
+def test_hot_keys_are_exact(spark, monkeypatch):
+    """A third of all rows with one text, a giant component and hubs go through the scan-side joins."""
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "HOT", 4)
+    rng = random.Random(6)
+    vocab = ["w%d" % i for i in range(300)]
+    rows = [(d, "the one text that a third of all rows share") for d in range(100, 200)] + [(d, "") for d in range(300, 340)]
+    base = [rng.choice(vocab) for _ in range(200)]
+    for d in range(400, 460):  # a chain of small changes
+        base[rng.randrange(200)] = rng.choice(vocab)
+        rows.append((d, " ".join(base)))
+    rows += [(d, " ".join(rng.choice(vocab) for _ in range(40))) for d in range(500, 560)]
+    rng.shuffle(rows)
+    got = simhash.near_duplicates(spark.createDataFrame([(*r, 5, "x") for r in rows], SCHEMA)).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == brute(rows)
+    edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 1000)]
+    root = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(root) == 261 and len(set(root.values())) == 1
+
+
 def test_components_of_chains(spark):
     from lodestone.llm import common
 
