@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -116,6 +117,28 @@ def normalise(sections: list[Section], least: int = DEFAULTS.min_parent_section_
     return folded
 
 
+def consolidate(sections: list[Section], least: int = DEFAULTS.min_parent_section_length) -> list[Section]:
+    """Of a PDF's fine sections, before normalise(), those under one heading together: a table with the short texts around
+    it is one parent of mixed parts; texts gather until they have `least` characters, what stays short joins the text
+    before it; tables in a row are one."""
+    out: list[Section] = []
+    rest = deque(sections)
+    while rest:
+        trio = [rest[i] for i in range(min(3, len(rest)))]
+        if [s.kind for s in trio] == ["text", "table", "text"] and len({s.heading for s in trio}) == 1 and max(len(trio[0].text), len(trio[2].text)) < least:
+            out.append(merge(trio, True))
+            for _ in trio:
+                rest.popleft()
+            continue
+        now = rest.popleft()
+        while now.kind == "text" and len(now.text) < least and rest and (rest[0].kind, rest[0].heading) == ("text", now.heading):
+            now = merge([now, rest.popleft()], False)
+        if out and (out[-1].kind, out[-1].heading) == (now.kind, now.heading) and (now.kind == "table" or len(now.text) < least):
+            now = merge([out.pop(), now], False, now.kind)
+        out.append(now)
+    return out
+
+
 def split_text(text: str, size: int = DEFAULTS.target_child_length, overlap: int = DEFAULTS.child_overlap) -> list[tuple[int, int]]:
     """Spans of at most `size` characters: cut at the coarsest separator that works (blank line, line, space, character),
     pieces gathered up to the size, the next span starting with as many last pieces as fit the overlap; trimmed."""
@@ -208,11 +231,13 @@ class Chunk:
     end_offset: int
 
 
-def build(blocks: list[Block], plain: bool, s: Settings = DEFAULTS) -> tuple[str, list[Chunk]]:
+def build(blocks: list[Block], plain: bool, s: Settings = DEFAULTS, pdf: bool = False) -> tuple[str, list[Chunk]]:
     """The display text and its parents with children; a heading is shown as `## heading` before its parent's text,
     and the parent's span includes it."""
     display, chunks = "", []
-    for index, section in enumerate(normalise(sections_of(blocks, plain, s), s.min_parent_section_length)):
+    drafts = sections_of(blocks, plain, s)
+    drafts = consolidate(drafts, s.min_parent_section_length) if pdf else drafts
+    for index, section in enumerate(normalise(drafts, s.min_parent_section_length)):
         begin = len(display) + (len(_GAP) if display else 0)
         prefix = f"## {section.heading}{_GAP}" if section.heading else ""
         body = begin + len(prefix)
@@ -244,7 +269,7 @@ def chunk_files(files: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
             for doc, name, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 extension = (name or "").rsplit(".", 1)[-1].lower()
                 blocks = [b for _, b, _, _ in placed(PARSERS[extension](data or b""))] if extension in PARSERS else []
-                display, chunks = build(blocks, extension == "txt", s)
+                display, chunks = build(blocks, extension == "txt", s, extension == "pdf")
                 for c in chunks:
                     preview = " ".join(c.content.split())[: s.preview_length]
                     rows.append((doc, c.chunk_type, c.structure_kind, c.position, c.section_index, c.child_index, c.heading, c.path, c.content, preview, len(c.content), c.start_offset, c.end_offset, display if not c.position else None))

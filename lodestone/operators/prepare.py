@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import bounded
 from .serving import slug, stable_uuid
 
 #: Context passages of a snippet bundle and characters around an answer (fixed values).
@@ -133,3 +137,87 @@ def token_window(tokens: Column, first: Column, last: Column, around: int = 48)
     """Tokens of an answer [first, last) with so many on either side, clamped to the stream."""
     a = F.greatest(first - around, F.lit(0))
     return F.slice(tokens, a + 1, F.greatest(F.least(last + around, F.size(tokens)) - a, F.lit(0)))
+
+
+#: Documents that a question keeps when none is marked, and what stands for a word between Latin words (fixed values).
+FIRST_DOCUMENTS, LATIN_TOKEN = 3, "^[A-Za-z0-9][A-Za-z0-9._:/+%-]*$"
+
+
+def marked_documents(documents: Column, answer_indexes: Column) -> Column:
+    """Of a question's documents (array of struct with is_selected) those marked or named by index (from 0), in order; the
+    first FIRST_DOCUMENTS if there is none. Null documents are left out, but count for the indexes."""
+    held = F.coalesce(answer_indexes, F.array().cast("array<int>"))
+    marks = F.transform(documents, lambda d, i: F.struct(d.alias("d"), (F.coalesce(d["is_selected"], F.lit(False)) | F.coalesce(F.array_contains(held, i), F.lit(False))).alias("m")))
+    chosen = F.filter(marks, lambda x: x["m"])
+    return F.filter(F.transform(F.when(F.size(chosen) > 0, chosen).otherwise(F.slice(marks, 1, FIRST_DOCUMENTS)), lambda x: x["d"]), lambda d: d.isNotNull())
+
+
+def segmented_text(tokens: Column) -> Column:
+    """Text of segmented tokens: a space between two Latin tokens and nowhere else (Han and punctuation stand close)."""
+    t = F.filter(F.transform(tokens, lambda x: F.trim(x)), lambda x: x != "")
+    latin = lambda x: x.rlike(LATIN_TOKEN)
+    before = F.concat(F.array(F.lit("")), t)  # one longer: the last pair has no token and is left out
+    spaced = F.zip_with(before, t, lambda p, x: F.when(latin(p) & latin(x), F.concat(F.lit(" "), x)).otherwise(x))
+    return F.array_join(spaced, "")
+
+
+#: Subsets of the table question benchmark with their files; keys that may hold an answer's, a text's or an evidence's
+#: text, in the order they are tried (fixed values).
+SUBSETS = {"feta": "bench_feta_qa.json", "fin": "bench_fin_qa.json", "nq": "bench_nq_qa.json", "paper_tab": "bench_paper_tab_qa.json", "paper_text": "bench_paper_text_qa.json", "tat": "bench_tat_qa.json"}
+ANSWER_KEYS = ["answer", "str_answer", "short_answer", "long_answer", "exe_answer"]
+ENTRY_ANSWER_KEYS = ["answer", "short_answer", "long_answer"]
+TEXT_KEYS = ["text", "paragraph", "content", "value", "sentence"]
+EVIDENCE_KEYS = ["highlighted_evidence", "raw_evidence", "facts", "table_1", "table_2", "table_3", "table_4", "table", "table_array", "pre_text", "post_text", "context", "value"]
+
+
+def subset_names(raw: str) -> list[str]:
+    """Subsets of a comma-separated list; none, or one that is not known, is an error."""
+    names = [n for n in (part.strip() for part in raw.split(",")) if n]
+    unknown = sorted(set(names) - set(SUBSETS))
+    if unknown or not names:
+        raise ValueError(f"unknown subsets: {', '.join(unknown)}" if unknown else "no subset is named")
+    return names
+
+
+def flat(v) -> str:
+    """Any JSON value as one text: lists by lines, objects by the first text key they have."""
+    if isinstance(v, list):
+        return "\n".join(t for t in map(flat, v) if t)
+    if isinstance(v, dict):
+        return next((flat(v[k]) for k in TEXT_KEYS if k in v), "")
+    return "" if v is None else str(v).strip()
+
+
+def _leaves(v) -> list[str]:
+    """Texts of an evidence value, depth first; objects by EVIDENCE_KEYS, else as one text."""
+    if isinstance(v, list):
+        return [t for x in v for t in _leaves(x)]
+    held = [t for k in EVIDENCE_KEYS if k in v for t in _leaves(v[k])] if isinstance(v, dict) else []
+    return held or [t for t in (flat(v),) if t]
+
+
+def entry_texts(entry: dict) -> tuple[str, str, str]:
+    """Question, short answer and evidence lines (each once) of a benchmark entry."""
+    a = entry.get("answers")
+    rows = [r.get("answer") for r in a if isinstance(r, dict)] if isinstance(a, list) else [a.get(k) for k in ANSWER_KEYS] if isinstance(a, dict) else []
+    answers = (t for t in map(flat, [*rows, *(entry.get(k) for k in ENTRY_ANSWER_KEYS)]) if t)
+    evidence = next((e for e in (_leaves(entry.get(k)) for k in ("evidence", "facts", "context")) if e), [])
+    lines = dict.fromkeys(t for t in (" ".join(e.split()) for e in evidence) if t)
+    return flat(entry.get("question")), next(answers, ""), "\n".join(lines)
+
+
+def table_question_rows(entries: DataFrame) -> DataFrame:
+    """entries (subset, document_id, source_file, item_index, entry as JSON) to rows with question, answer and evidence.
+
+    JSON of any nesting is walked where it is read, without a shuffle; an entry that is no JSON object is an error.
+    """
+    kept = ["subset", "document_id", "source_file", "item_index"]
+
+    def run(batches):
+        for b in batches:
+            texts = [entry_texts(json.loads(e)) for e in b.column("entry").to_pylist()]
+            made = [pa.array([t[i] for t in texts], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *made], [*kept, "question", "answer", "evidence"])
+
+    typed = entries.select("subset", F.col("document_id").cast("string"), "source_file", F.col("item_index").cast("long"), "entry")
+    return bounded(typed).mapInArrow(run, "subset string, document_id string, source_file string, item_index long, question string, answer string, evidence string")
