@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import datasets, prepare, review
+from ..operators import datasets, packages, prepare, review
 from ..sources import adapters
 from .catalog import register
 
@@ -196,3 +196,59 @@ def table_question_rows(spark: SparkSession, sf: str) -> DataFrame:
     d = _T(spark, sf, "documents").where(F.trim("text") != "")
     rows = prepare.table_question_rows(d.select(F.lit("fin").alias("subset"), F.col("doc_id").alias("document_id"), F.concat("source", F.lit(".pdf")).alias("source_file"), F.col("doc_id").alias("item_index"), entry.alias("entry")))
     return rows.withColumn("evidence_md5", F.md5("evidence")).drop("evidence")
+
+
+_FIRST = "(SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM documents ORDER BY doc_id LIMIT 10)"
+_CLAIMS = "array_to_string(CASE WHEN len({l}) > 0 THEN list_transform({l}[1:2], lambda x: substr(x, 1, 120)) ELSE [substr({t}, 1, 120)] END, '|')"
+_SENTENCES = r"list_filter(string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '')"
+_PARTS = "list_filter(list_transform(regexp_split_to_array({}, '{}'), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '')"
+
+
+@register(
+    "package_articles",
+    f"SELECT i::INT AS item_index, 'lcsts-summary-' || i AS id, 'lcsts-article-' || lpad(i::VARCHAR, 2, '0') || '.md' AS names, substr(h[1], 1, 240) AS quotes, {_CLAIMS.format(l='h', t='text')} AS claims, md5(text) AS answer_md5 FROM (SELECT *, {_PARTS.format('text', '[。！？]')} AS h FROM {_FIRST})",
+)
+def package_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """The first documents, behind the instruction, as articles of a summary package."""
+    d = _T(spark, sf, "documents").select("doc_id", F.concat(F.lit(packages.INSTRUCTION), "text").alias("article"), F.col("text").alias("summary"))
+    return _package(packages.article_items(d, ["doc_id"]))
+
+
+def _package(items: DataFrame) -> DataFrame:
+    return items.select(
+        "item_index",
+        "id",
+        F.array_join("expected_document_names", "|").alias("names"),
+        F.array_join(F.transform("gold_span_refs", lambda q: q["quote"]), "|").alias("quotes"),
+        F.array_join("required_claims_or_axes", "|").alias("claims"),
+        F.md5("reference_answer").alias("answer_md5"),
+    )
+
+
+@register(
+    "package_reports",
+    f"""SELECT i::INT AS item_index, 'multinews-summary-' || i AS id, array_to_string(list_transform(range(1, least(len(p), 3) + 1), lambda k: 'multinews-' || lpad(i::VARCHAR, 2, '0') || '-doc-' || k || '.md'), '|') AS names,
+    array_to_string(list_transform(p[1:3], lambda x: substr({_SENTENCES.format('x')}[1], 1, 240)), '|') AS quotes, {_CLAIMS.format(l=_SENTENCES.format('t'), t='t')} AS claims, md5(t) AS answer_md5
+    FROM (SELECT i, {_STRIP.format('text')} AS t, list_filter(list_transform(string_split(text || '|||||' || source || '|||||  |||||' || lang || '|||||x', '|||||'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS p FROM {_FIRST})""",
+)
+def package_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """The first documents as lines of several reports."""
+    line = F.concat_ws(packages.PARTED, F.replace(F.col("text"), F.lit("\n"), F.lit(packages.LINE_END)), "source", F.lit("  "), "lang", F.lit("x"))
+    return _package(packages.report_items(_T(spark, sf, "documents").select("doc_id", line.alias("source"), F.col("text").alias("summary")), ["doc_id"]))
+
+
+@register(
+    "run_report",
+    """SELECT '# Summary / Compare Benchmark' || chr(10) || chr(10) || '- Benchmark: `pilot` `1.0`' || chr(10) || '- Dataset Count: `' || count(*) || '`' || chr(10) || '- Item Count: `' || sum(n) || '`' || chr(10) || '- Summary Benchmark Score: `scored`' || chr(10)
+    || '- Compare Benchmark Score: `not_applicable`' || chr(10) || '- Parallel Workers: `1`' || chr(10) || '- Judge Failed Count: `0`' || chr(10) || '- Partial Item Count: `' || sum(bad) || '`' || chr(10) || chr(10) || '## Per Dataset Scores' || chr(10) || chr(10)
+    || string_agg('- `' || source || '`: metric=`bert_score_f1` value=`' || CASE WHEN n % 2 = 0 THEN n::VARCHAR ELSE 'judge_failed' END || '` partial=`' || CASE WHEN bad > 0 THEN 'True' ELSE 'False' END || '`', chr(10) ORDER BY source) || chr(10) || chr(10) || '## Baseline Delta' || chr(10) || chr(10) || '```json' || chr(10) || '{}' || chr(10) || '```' AS report
+    FROM (SELECT source, count(*) AS n, count(*) FILTER (quality = 0) AS bad FROM documents JOIN labels USING (doc_id) GROUP BY source)""",
+)
+def run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Report of a run whose datasets are the sources of the labelled documents."""
+    d = _T(spark, sf, "documents").select("doc_id", "source").join(_T(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    n = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("quality") == 0, 1)).alias("bad"))
+    scores = n.select(F.col("source").alias("dataset"), F.lit(datasets.SUMMARY_METRIC).alias("metric"), F.when(F.col("n") % 2 == 0, F.col("n")).alias("value"), F.lit("judge_failed").alias("status"), (F.col("bad") > 0).alias("partial"))
+    constants = {"name": "pilot", "version": "1.0", "workers": 1, "judge_failed": 0, "summary_score": "scored", "compare_score": "not_applicable", "deltas": "{}"}
+    run = n.agg(F.sum("n").alias("items"), F.sum("bad").alias("partial_items")).select("*", *[F.lit(v).alias(k) for k, v in constants.items()])
+    return packages.run_report(run, scores)

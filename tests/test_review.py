@@ -137,3 +137,34 @@ def test_pdf_sections():
     assert shape([s("text", "a" * 60), s("text", "b" * 60, "G")]) == [("text", 60, "H", 0), ("text", 60, "G", 0)]
     assert shape([s("table", "a"), s("table", "b"), s("table", "c", "G")]) == [("table", 4, "H", 0), ("table", 1, "G", 0)]
     assert shape([]) == []
+
+
+def test_packages(spark, tmp_path):
+    from lodestone.operators import packages
+
+    articles = spark.createDataFrame([(i, packages.INSTRUCTION + " 一。二！", "甲。乙？丙。") for i in range(12)] + [(99, "", "")], "k int, article string, summary string")
+    a = packages.article_items(articles, ["k"]).orderBy("item_index").collect()
+    assert len(a) == 10 and a[9].id == "lcsts-summary-10" and a[0].documents[0].content == "一。二！"
+    assert (a[0].required_claims_or_axes, a[0].gold_span_refs[0].quote, a[0].expected_document_names) == (["甲", "乙"], "一", ["lcsts-article-01.md"])
+    reports = spark.createDataFrame([(1, "A one. TwoNEWLINE_CHARx ||||| |||||B|||||C|||||D", " S one. S two! S three ")], "k int, source string, summary string")
+    r = packages.report_items(reports, ["k"]).first()
+    assert [d.content for d in r.documents] == ["A one. Two\nx", "B", "C"]
+    assert ([q.quote for q in r.gold_span_refs], r.required_claims_or_axes) == (["A one.", "B", "C"], ["S one.", "S two!"])
+    schema = "place int, turns array<struct<speaker:string,content:string>>, topics array<struct<topic:string,span:array<int>>>, queries array<struct<query:string,answer:string,span:array<int>>>"
+    turns = [("X", "hello"), ("Y", "there"), ("Z", "end")]
+    m = packages.meeting_items(spark.createDataFrame([(1, turns, None, [("q3", "c", [3, 3])]), (0, turns, [("T", [2, 3]), (None, [2, 3])], [("q1", "a.", None), ("q2", "b.", [2, 3])])], schema)).orderBy("item_index").collect()
+    assert [(x.question, [q.quote for q in x.gold_span_refs], x.expected_section_headings) for x in m] == [("q1", ["hello"], []), ("q2", ["there", "end"], ["T", "meeting topic"]), ("q3", ["end", "end"], [])]
+    assert m[2].expected_document_names == ["qmsum-meeting-02.md"] and m[0].documents[0].content.startswith("### X\nhello\n\n### Y")
+    c = packages.comparison_items(spark.createDataFrame([(1, ["p", "q"], ["r"], ["s"])], "k int, a array<string>, b array<string>, common array<string>"), ["k"]).first()
+    assert c.reference_answer == "Entity A: p Entity B: r Shared points: s" and c.documents[0].content == "# Entity A\n\np\n\nq"
+    packages.write_package(packages.report_items(reports, ["k"]), str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/questions").count() == 1 and spark.read.json(f"{tmp_path}/source_documents").count() == 3
+    assert packages.report_items(reports.limit(0), ["k"]).count() == 0
+
+
+def test_report_without_datasets(spark):
+    from lodestone.operators import packages
+
+    run = spark.createDataFrame([("p", "1", 0, 1, 0, 0, "scored", "scored", "{}")], "name string, version string, items int, workers int, judge_failed int, partial_items int, summary_score string, compare_score string, deltas string")
+    none = spark.createDataFrame([], "dataset string, metric string, value double, status string, partial boolean")
+    assert "## Per Dataset Scores\n\n- 無\n" in packages.run_report(run, none).first().report
