@@ -155,3 +155,12 @@ def resolve_mentions(scores: DataFrame, top: int = 5) -> DataFrame:
     one = F.slice("c", 1, 1)
     pick = F.when((first >= 0.9) & (first - second >= 0.05), one).when(F.size(several) >= 2, several).when((first >= SINGLE) & (first - second >= MARGIN), one).otherwise(F.slice("c", 1, 0))
     return lists.select("query_id", F.transform(pick, lambda s: s["id"]).alias("resolved"))
+
+
+def settings_trace(decisions: DataFrame, profile_rows: DataFrame) -> DataFrame:
+    """decisions (query_type, summary_scope, margin, fallback_used beside the question's own columns) with the settings
+    that its profile has for it. Profiles are a handful of rows and are broadcast."""
+    p = profile_rows.alias("p")
+    match = (F.col("d.query_type") == F.col("p.query_type")) & (F.col("p.summary_scope").isNull() | F.col("d.summary_scope").eqNullSafe(F.col("p.summary_scope")))
+    names = ["vector_top_k", "fts_top_k", "max_candidates", "document_recall", "document_recall_top_k", "rerank_top_n", "max_contexts", "max_chars", "max_children"]
+    return decisions.alias("d").join(F.broadcast(p), match, "left").select("d.*", *[F.col(f"p.{n}").alias(n) for n in names], F.col("p.max_contexts").alias("selection_max_contexts"))

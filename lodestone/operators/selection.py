@@ -69,3 +69,23 @@ def select_summary(groups: DataFrame, max_contexts: int) -> DataFrame:
 def dropped(groups: DataFrame, selected: DataFrame) -> DataFrame:
     """Groups that were not selected, each once, with the reason."""
     return groups.join(selected.select("query_id", "parent_id"), ["query_id", "parent_id"], "left_anti").withColumn("reason", F.lit("context_budget_exhausted"))
+
+
+def detail(groups: DataFrame, selected: DataFrame) -> DataFrame:
+    """One row a query: selected documents (in order of their first parent) and parents, their numbers, dropped parents.
+
+    groups hold at most a query's candidates; the lists are as long as those.
+    """
+    rows = groups.select("query_id", "document_id", "parent_id", "group_rank").join(selected.select("query_id", "parent_id", "select_rank"), ["query_id", "parent_id"], "left")
+    held = F.sort_array(F.collect_list(F.when(F.col("select_rank").isNotNull(), F.struct("select_rank", "document_id", "parent_id"))))
+    lost = F.sort_array(F.collect_list(F.when(F.col("select_rank").isNull(), F.struct("group_rank", "parent_id"))))
+    out = rows.groupBy("query_id").agg(held.alias("held"), lost.alias("lost"))
+    documents = F.array_distinct(F.transform("held", lambda h: h["document_id"]))
+    return out.select(
+        "query_id",
+        F.size(documents).alias("selected_document_count"),
+        F.size("held").alias("selected_parent_count"),
+        documents.alias("selected_document_ids"),
+        F.transform("held", lambda h: h["parent_id"]).alias("selected_parent_ids"),
+        F.transform("lost", lambda h: h["parent_id"]).alias("dropped_by_diversity"),
+    )

@@ -306,6 +306,21 @@ def routing_decision(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", d.alias("d")).select("conv_id", "turn", "d.*")
 
 
+
+@register(
+    "settings_trace",
+    f"""SELECT conv_id, turn, query_type, summary_scope, margin, fallback_used, CASE query_type WHEN 'fact_lookup' THEN 30 ELSE 45 END AS vector_top_k, CASE query_type WHEN 'fact_lookup' THEN 30 ELSE 45 END AS fts_top_k, CASE query_type WHEN 'fact_lookup' THEN 30 ELSE 45 END AS max_candidates,
+    query_type <> 'fact_lookup' AS document_recall, CASE WHEN query_type = 'cross_document_compare' THEN 8 WHEN summary_scope = 'single_document' THEN 1 ELSE 6 END AS document_recall_top_k, CASE query_type WHEN 'fact_lookup' THEN 30 ELSE 36 END AS rerank_top_n,
+    CASE query_type WHEN 'fact_lookup' THEN 9 ELSE 12 END AS max_contexts, CASE query_type WHEN 'fact_lookup' THEN 3000 WHEN 'document_summary' THEN 3600 ELSE 3200 END AS max_chars, CASE query_type WHEN 'cross_document_compare' THEN 5 ELSE 7 END AS max_children, max_contexts AS selection_max_contexts
+    FROM (SELECT conv_id, turn, label AS query_type, CASE WHEN label = 'document_summary' THEN CASE turn % 2 WHEN 0 THEN 'single_document' ELSE 'multi_document' END END AS summary_scope, 0.06::DOUBLE AS margin, source = 'fallback' AS fallback_used FROM ({_DECIDED}))""",
+)
+def settings_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """The settings in effect for every turn, with what its label rests on."""
+    scope = F.when(F.col("label") == "document_summary", F.when(F.col("turn") % 2 == 0, "single_document").otherwise("multi_document"))
+    d = routing_decision(spark, sf).select("conv_id", "turn", F.col("label").alias("query_type"), scope.alias("summary_scope"), F.lit(0.06).alias("margin"), (F.col("source") == "fallback").alias("fallback_used"))
+    return routing.settings_trace(d, routing.profiles(spark))
+
+
 _STRATEGY = f"""
 WITH c AS (SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN 'focus on the ' WHEN 1 THEN '請聚焦章節 ' WHEN 2 THEN 'partial ' ELSE '' END || text AS q, conv_id % 3 AS resolved, CASE turn % 3 WHEN 0 THEN 'single_document' WHEN 1 THEN 'multi_document' ELSE 'area' END AS scope,
   CASE WHEN turn % 7 = 6 THEN 'section_focused' END AS explicit, CASE WHEN conv_id % 9 = 8 THEN 'fact_lookup' ELSE 'document_summary' END AS query_type, CASE conv_id % 2 WHEN 0 THEN 'multi_document_theme' ELSE 'document_overview' END AS embedded, conv_id % 100 / 100.0 AS confidence FROM conversations),

@@ -245,6 +245,23 @@ def select_dropped(spark: SparkSession, sf: str) -> DataFrame:
     return selection.dropped(groups, selection.select_compare(groups, 9)).select("query_id", "document_id", "parent_id", "reason")
 
 
+@register(
+    "selection_detail",
+    adapters.sql(
+        """SELECT query_id, CAST(count(DISTINCT document_id) FILTER (select_rank IS NOT NULL) AS INT) AS selected_document_count, CAST(count(select_rank) AS INT) AS selected_parent_count, any_value(d.ids) AS selected_document_ids,
+        coalesce(string_agg(parent_id::VARCHAR, ',' ORDER BY select_rank) FILTER (select_rank IS NOT NULL), '') AS selected_parent_ids, coalesce(string_agg(parent_id::VARCHAR, ',' ORDER BY group_rank) FILTER (select_rank IS NULL), '') AS dropped_by_diversity
+        FROM (SELECT r.*, s.select_rank FROM rounds r LEFT JOIN selected s USING (query_id, parent_id)) JOIN (SELECT query_id, string_agg(document_id::VARCHAR, ',' ORDER BY place) AS ids FROM (SELECT query_id, document_id, min(select_rank) AS place FROM selected GROUP BY ALL) GROUP BY query_id) d USING (query_id) GROUP BY query_id""",
+        _ROUNDS,
+    ),
+)
+def selection_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """What the comparing selection took and left, one row a question."""
+    groups = once(_reranked(spark, sf), "groups")
+    d = selection.detail(groups, selection.select_compare(groups, 9))
+    lists = ["selected_document_ids", "selected_parent_ids", "dropped_by_diversity"]
+    return d.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in lists})
+
+
 @register("select_fact_lookup", adapters.sql("SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY group_rank) AS select_rank FROM reranked QUALIFY select_rank <= 9", _GROUPS))
 def select_fact_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return selection.select_ranked(_reranked(spark, sf), 9).select("query_id", "parent_id", "select_rank")
