@@ -36,6 +36,23 @@ def ranked(df: DataFrame, by: list[str], order: list, out: str, limit: int | Non
     return df if limit is None else df.where(F.col(out) <= limit)
 
 
+def numbered(df: DataFrame, by: list[str], id_col: str, order: list, out: str, width: int = 1 << 16) -> DataFrame:
+    """Row numbers within `by`, ordered by id_col (an integer), then `order`, where a key may hold most rows.
+
+    Rows are numbered within ranges of `width` ids, and the ranges of a key by their counts: a task sorts the rows of
+    `width` ids at most, and one window sees a row a range.
+    """
+    r = df.withColumn("__range", F.floor(F.col(id_col) / width))
+    counts = r.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__range")) - F.col("__n")
+    starts = counts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__at"), before.alias("__before"))
+    same = F.col("__range").eqNullSafe(F.col("__at"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    within = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(id_col, *order))
+    return r.withColumn("__within", within).join(starts, same).select(*df.columns, (F.col("__before") + F.col("__within")).alias(out))
+
+
 def _bounded(queries: DataFrame, columns: list[str]) -> list:
     rows = queries.select(*columns).limit(QUERY_BLOCK + 1).collect()
     if len(rows) > QUERY_BLOCK:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import optional, squeeze
+from .recall import ranked
 
 # Phrases by which an answer says that evidence is missing: of the checkpoint, and of the runtime (fixed values, two lists).
 CHECKPOINT_INSUFFICIENT = ["證據不足", "資訊不足", "無法確認", "需要回看", "insufficient evidence", "not enough evidence", "cannot confirm", "need to verify"]
@@ -49,11 +50,14 @@ def coverage_signals(resolved: Column, covered: Column) -> Column:
 
 
 def planned(ready: DataFrame, hits: DataFrame, key: str = "area_id", first: int = 5) -> DataFrame:
-    """Documents to plan with, per key: those hit, or where none is the first few by id."""
-    j = ready.join(hits.select("document_id", F.lit(True).alias("hit")).distinct(), "document_id", "left")
-    w = Window.partitionBy(key)
-    j = j.withColumn("any_hit", F.max(F.coalesce("hit", F.lit(False))).over(w)).withColumn("place", F.row_number().over(w.orderBy("document_id")))
-    return j.where(F.col("hit") | (~F.col("any_hit") & (F.col("place") <= first)))
+    """Documents to plan with, per key: those hit, or where none is the first few by id.
+
+    Only keys without a hit are ranked, and no more than the first few rows of a task leave it: no key's rows meet in one task.
+    """
+    held = ready.join(hits.select("document_id").distinct(), "document_id", "left_semi")
+    busy = held.select(F.col(key).alias("__busy")).distinct()
+    idle = ready.join(busy, F.col(key).eqNullSafe(F.col("__busy")), "left_anti")
+    return held.unionByName(ranked(idle, [key], ["document_id"], "__place", first).drop("__place"))
 
 
 def prefixed(source: Column, prefix: str) -> Column:

@@ -177,7 +177,7 @@ def document_preview(spark: SparkSession, sf: str) -> DataFrame:
 @register("ready_documents", adapters.sql("SELECT area_id, document_id, file_name, row_number() OVER (PARTITION BY area_id ORDER BY document_id, file_name) AS place FROM docs WHERE status = 'ready'"))
 def ready_documents(spark: SparkSession, sf: str) -> DataFrame:
     d = adapters.documents(spark, sf).where("status = 'ready'")
-    return recall.ranked(d, ["area_id"], ["document_id", "file_name"], "place").select("area_id", "document_id", "file_name", "place")
+    return recall.numbered(d, ["area_id"], "document_id", ["file_name"], "place").select("area_id", "document_id", "file_name", "place")
 
 
 @register("sql_gate", adapters.sql("SELECT area_id, count(*) AS n FROM children WHERE status = 'ready' AND area_id IN ('src0', 'src3') AND document_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144) GROUP BY ALL"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import scoring, text
 from lodestone.operators import assemble, chunking, curation, gates, metrics, parsing, recall, rerank, routing, selection
 from lodestone.operators import documents as ops
+from lodestone.operators import serving as serving_ops
 from lodestone.sources import adapters, readers
 
 
@@ -610,3 +611,19 @@ def test_every_name_is_resolved(spark, tmp_path):
     got = sorted((r.query_id, list(r.resolved)) for r in catalog.QUERIES["mention_resolution"](spark, str(tmp_path)).collect())
     want = [d for d in range(60) if d % 17]
     assert [q for q, _ in got] == want and all(q in found for q, found in got)
+
+
+def test_numbers_across_ranges(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(-40, 300)]), f"f{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "area_id string, document_id long, file_name string")
+    want = recall.ranked(df, ["area_id"], ["document_id", "file_name"], "place")
+    assert sorted(map(str, recall.numbered(df, ["area_id"], "document_id", ["file_name"], "place", 16).collect())) == sorted(map(str, want.collect()))
+    assert recall.numbered(df.limit(0), ["area_id"], "document_id", ["file_name"], "place").count() == 0
+
+
+def test_planned_documents(spark):
+    ready = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 10 + i) for i in range(9)] + [(None, 30)], "area_id string, document_id long")
+    hits = spark.createDataFrame([(3,), (3,), (99,)], "document_id long")
+    got = sorted((r.area_id or "", r.document_id) for r in serving_ops.planned(ready, hits).collect())
+    assert got == [("", 30), ("a", 3), *[("b", 10 + i) for i in range(5)]]
