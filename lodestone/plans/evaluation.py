@@ -248,10 +248,11 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("event_type").agg(gates.percentile(F.col("value"), 0.5).alias("p50"), gates.percentile(F.col("value"), 0.95).alias("p95"), F.count(F.when(F.col("status") == "warning", 1)).alias("warning"), F.count(F.when(F.col("status") == "degraded", 1)).alias("degraded"))
 
 
-@register("document_coverage", "SELECT conv_id, round(len(list_intersect(e, f)) / greatest(len(list_distinct(e)), 1), 4) AS coverage, len(list_filter(list_distinct(e), lambda x: NOT list_contains(f, x)))::INT AS missing FROM (SELECT conv_id, coalesce(list(left(text, 2)) FILTER (role = 'user'), []) AS e, coalesce(list(left(text, 2)) FILTER (role = 'assistant'), []) AS f FROM conversations GROUP BY ALL)")
+@register("document_coverage", "SELECT conv_id, round(len(list_intersect(e, f)) / greatest(len(list_distinct(e)), 1), 4) AS coverage, len(list_filter(list_distinct(e), lambda x: NOT list_contains(f, x)))::INT AS missing FROM (SELECT conv_id, coalesce(flatten(list(string_split(text, ' ')) FILTER (role = 'user')), []) AS e, coalesce(flatten(list(string_split(text, ' ')) FILTER (role = 'assistant')), []) AS f FROM conversations GROUP BY ALL)")
 def document_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Expected names found among the cited ones, and how many are missing."""
-    names = lambda r: F.collect_list(F.when(F.col("role") == r, F.substring("text", 1, 2)))
+    """Expected names (the words of a conversation's questions) found among the cited ones (those of its answers), and how
+    many are missing."""
+    names = lambda r: F.flatten(F.collect_list(F.when(F.col("role") == r, F.split("text", " "))))
     c = _T(spark, sf, "conversations").groupBy("conv_id").agg(names("user").alias("e"), names("assistant").alias("f"))
     return c.select("conv_id", gates.coverage(F.col("e"), F.col("f")).alias("coverage"), F.size(F.array_except("e", "f")).alias("missing"))
 

@@ -65,17 +65,14 @@ def planning_documents(spark: SparkSession, sf: str) -> DataFrame:
     return serving.planned(ready, adapters.gold_spans(docs, spark, sf)).select("area_id", "document_id")
 
 
-_SOURCE = "'Heading: ' || heading || chr(10) || 'Excerpt: ' || substr(display_text, 1, 60) || chr(10) || CASE WHEN contains(display_text, ' | ') THEN 'Table/Structure: rows' ELSE 'Excerpt:' END"
-
-
-@register("document_synopsis", adapters.sql(f"""SELECT document_id, 'Topic: ' || file_name || chr(10) || 'Key sections: ' || coalesce(nullif(trim(regexp_replace(split_part(src, chr(10), 1)[9:], '\\s+', ' ', 'g')), ''), 'No explicit section headings were detected.')
+@register("document_synopsis", adapters.sql(f"""SELECT document_id, CASE WHEN length(s) <= 1600 THEN s ELSE rtrim(substr(s, 1, 1599)) || '…' END AS synopsis FROM (SELECT document_id, 'Topic: ' || file_name || chr(10) || 'Key sections: ' || coalesce(nullif(trim(regexp_replace(split_part(src, chr(10), 1)[9:], '\\s+', ' ', 'g')), ''), 'No explicit section headings were detected.')
  || chr(10) || 'Main conclusions: ' || coalesce(nullif(trim(regexp_replace(list_filter(string_split(src, chr(10)), lambda x: starts_with(x, 'Excerpt:'))[1][9:], '\\s+', ' ', 'g')), ''), 'No sufficient body content was detected.')
- || chr(10) || 'Tables and structure: ' || CASE WHEN contains(display_text, ' | ') THEN 'rows' ELSE 'No explicit table highlights were detected.' END AS synopsis FROM (SELECT *, 'Heading: ' || replace(heading, chr(10), ' ') || chr(10) || 'Excerpt: ' || replace(substr(display_text, 1, 60), chr(10), ' ') || chr(10) || CASE WHEN contains(display_text, ' | ') THEN 'Table/Structure: rows' ELSE 'Excerpt:' END AS src FROM docs)"""))
+ || chr(10) || 'Tables and structure: ' || CASE WHEN contains(display_text, ' | ') THEN 'rows' ELSE 'No explicit table highlights were detected.' END AS s FROM (SELECT *, 'Heading: ' || replace(heading, chr(10), ' ') || chr(10) || 'Excerpt: ' || replace(display_text, chr(10), ' ') || chr(10) || CASE WHEN contains(display_text, ' | ') THEN 'Table/Structure: rows' ELSE 'Excerpt:' END AS src FROM docs))"""))
 def document_synopsis(spark: SparkSession, sf: str) -> DataFrame:
-    """Deterministic synopses from heading, excerpt and structure lines."""
+    """Deterministic synopses from heading, the whole text as its excerpt, and structure lines."""
     flat = lambda c: F.replace(c, F.lit("\n"), F.lit(" "))
     d = adapters.documents(spark, sf)
-    src = F.concat(F.lit("Heading: "), flat(F.col("heading")), F.lit("\nExcerpt: "), flat(F.substring("display_text", 1, 60)), F.when(F.contains("display_text", F.lit(" | ")), "\nTable/Structure: rows").otherwise("\nExcerpt:"))
+    src = F.concat(F.lit("Heading: "), flat(F.col("heading")), F.lit("\nExcerpt: "), flat(F.col("display_text")), F.when(F.contains("display_text", F.lit(" | ")), "\nTable/Structure: rows").otherwise("\nExcerpt:"))
     return d.select("document_id", serving.synopsis(F.col("file_name"), src).alias("synopsis"))
 
 
@@ -96,12 +93,12 @@ def distinct_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return serving.distinct_contexts(e, ["user_id"], "event_id").select("user_id", "event_id", "context_label")
 
 
-@register("deterministic_answer", "SELECT conv_id, '根據目前已授權且完成索引的內容，問題「' || q || '」可參考 ' || CASE WHEN len(h) > 0 THEN h[1] ELSE '相關段落' END || '。重點如下：' || substr(trim(array_to_string(list_transform(t[1:2], lambda x: trim(replace(x, chr(10), ' '))), ' ')), 1, 320) AS answer FROM (SELECT conv_id, substr(arg_min(text, turn), 1, 20) AS q, list(text ORDER BY turn) AS t, list_distinct(list(role)[1:1]) AS h FROM conversations GROUP BY ALL)".replace("list_distinct(list(role)[1:1])", "list(role ORDER BY turn)[1:1]"))
+@register("deterministic_answer", "SELECT conv_id, '根據目前已授權且完成索引的內容，問題「' || q || '」可參考 ' || CASE WHEN len(h) > 0 THEN h[1] ELSE '相關段落' END || '。重點如下：' || substr(trim(array_to_string(list_transform(t[1:2], lambda x: trim(replace(x, chr(10), ' '))), ' ')), 1, 320) AS answer FROM (SELECT conv_id, arg_min(text, turn) AS q, list(text ORDER BY turn) AS t, list_distinct(list(role)[1:1]) AS h FROM conversations GROUP BY ALL)".replace("list_distinct(list(role)[1:1])", "list(role ORDER BY turn)[1:1]"))
 def deterministic_answer(spark: SparkSession, sf: str) -> DataFrame:
     item = F.struct("turn", "text", "role")
     g = _T(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("l"))
     texts, heads = F.transform("l", lambda x: x["text"]), F.slice(F.transform("l", lambda x: x["role"]), 1, 1)
-    return g.select("conv_id", serving.answer(F.substring(F.element_at("l", 1)["text"], 1, 20), texts, heads).alias("answer"))
+    return g.select("conv_id", serving.answer(F.element_at("l", 1)["text"], texts, heads).alias("answer"))
 
 
 @register("offline_packets", "SELECT p.doc_id AS packet_id, coalesce(CASE WHEN p.doc_id % 6 = 0 THEN 'seeded' END, d.decision) AS result, coalesce(CASE WHEN p.doc_id % 6 = 0 THEN 'seeded' END, d.decision) IS NULL AS missing FROM labels p LEFT JOIN (SELECT user_id, event_type AS decision FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) d ON d.user_id = p.doc_id")

@@ -50,9 +50,9 @@ def document_handles(spark: SparkSession, sf: str) -> DataFrame:
     return h.withColumn("back", text.from_handle(F.col("handle")))
 
 
-@register("ordered_distinct_texts", "SELECT conv_id, array_to_string(" + _distinct("l") + ", '|') AS items FROM (SELECT conv_id, list_filter(list_transform(list(role || left(text, 3) ORDER BY turn), lambda x: trim(x)), lambda x: x <> '') AS l FROM conversations GROUP BY ALL)")
+@register("ordered_distinct_texts", "SELECT conv_id, array_to_string(" + _distinct("l") + ", '|') AS items FROM (SELECT conv_id, list_filter(list_transform(list(role || text ORDER BY turn), lambda x: trim(x)), lambda x: x <> '') AS l FROM conversations GROUP BY ALL)")
 def ordered_distinct_texts(spark: SparkSession, sf: str) -> DataFrame:
-    item = F.struct("turn", F.concat("role", F.substring("text", 1, 3)).alias("x"))
+    item = F.struct("turn", F.concat("role", "text").alias("x"))
     g = _T(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("l"))
     return g.select("conv_id", F.array_join(text.ordered_distinct(F.transform("l", lambda s: s["x"])), "|").alias("items"))
 
