@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_extract, packing, pii, quality, runs, secrets, sharding, simhash, token_shards
+from . import ann, bpe, html_extract, packing, phrases, pii, quality, runs, secrets, sharding, simhash, token_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language, from phrases grown over all documents."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, by block matching."""
     return runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
@@ -79,7 +84,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": op8_training_order,
     "op9_deobfuscated_pii": op9_deobfuscated_pii,
     "op10_linear_grouping": op10_linear_grouping,
+    "op11_prefix_growth": op11_prefix_growth,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLES: dict[str, str] = {}
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), x -> x <> '') AS w FROM pieces
+), sized AS (
+  SELECT lang, w, unnest(range(1, 5)) AS k FROM words WHERE len(w) > 0
+), placed AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized WHERE len(w) >= k
+), freq AS MATERIALIZED (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*)::HUGEINT AS f FROM placed GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), candidates AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM freq WHERE k > 1
+), cuts AS (
+  SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM candidates
+), cut_scores AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+  FROM cuts c
+  JOIN freq x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN freq y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+), lowest AS (
+  SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_sized AS (
+  SELECT lang, a, w, unnest(range(2, k)) AS m FROM candidates WHERE k > 2
+), inner_placed AS (
+  SELECT lang, a, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM inner_sized
+), around AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS a FROM inner_placed GROUP BY ALL
+), ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, b.score
+  FROM lowest b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE o.a IS NULL OR 100 * o.a < 80 * b.a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+#: Where SQL can express the operator; its numbers and patterns are the fixed values of the query.
+ORACLES: dict[str, str] = {"op11_prefix_growth": _PHRASES}
