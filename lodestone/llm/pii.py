@@ -22,7 +22,7 @@ KINDS = ["email", "ip", "card", "phone"]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}")  # a run of digits is tried once, however long
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9]){11,}")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -58,7 +58,7 @@ def addresses(text: str) -> list[tuple[int, int]]:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             end = at + sum(map(len, four)) + 3
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in four):
+            if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in four):
                 out.append((at, end))
             at = end + 1
     return out
@@ -123,8 +123,15 @@ _SPOKEN_DOT = re.compile(rf"\s{_DOT_WORD}\s", re.I)
 _DOT_BEFORE = re.compile(rf"\s{_DOT_WORD}\s$", re.I)
 #: The host's own dots may be real, one must be spelled or bracketed.
 _SPOKEN_HOST = re.compile(rf"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:(?:{_MARK}|\s{_DOT_WORD}\s)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)+", re.I)
+# Endings of hosts that a plain "at" with plain spelled dots must have (fixed values); without a mark, other words are prose.
+_ENDINGS = frozenset(
+    "com org net edu gov mil int info biz name pro app dev xyz online site shop store blog cloud tech email web mail example test invalid localhost local "
+    "ai au be br ca ch cn co cz de dk es eu fi fr gr hu ie io jp kr mx nl no nz pl pt ro ru se sk tr tv ua uk us za".split()
+)
 _IN_LABEL = _LOCAL - {"."}
 _SPOKEN_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\.|\s?{_DOT_WORD}\s?)[0-9]{{1,3}}){{3}}(?![\w])", re.I)
+_OCTET = rf"{_ONE}(?:[\s-]{_ONE}){{0,2}}"
+_SPELLED_IP = re.compile(rf"(?<![\w.]){_OCTET}(?:\s{_DOT_WORD}\s{_OCTET}){{3}}(?!\w)", re.I)
 _ANY_DOT = re.compile(rf"\s?{_DOT_WORD}\s?", re.I)
 _BRACKETED = re.compile(rf"[\[({{<]\s?(?:@|\.|{_AT_WORD}|{_DOT_WORD})\s?[\])}}>]", re.I)
 #: ASCII letters in lower case, other ASCII as space, bytes of other characters as they are.
@@ -225,6 +232,17 @@ def _unmask_digits(t: Traced) -> list[tuple[int, int]]:
     return runs
 
 
+def _unmask_octets(t: Traced) -> None:
+    """Rewrites four groups of at most three spelled digits with spelled dots between them."""
+    edits = []
+    for m in _SPELLED_IP.finditer(t.text):
+        parts = [re.sub(r"[\s-]+", "", _TOKEN.sub(lambda w: _SPELLED.get(w.group().lower(), w.group()), part)) for part in _SPOKEN_DOT.split(m.group())]
+        if any(w.group().lower() in _SPELLED for w in _TOKEN.finditer(m.group())) and all(len(x) <= 3 for x in parts):
+            edits.append((m.start(), m.end(), ".".join(parts)))
+    if edits:
+        t.rewrite(edits)
+
+
 def _spoken_local(text: str, end: int, floor: int) -> int:
     """Where the local part that ends at `end` starts: labels joined by real, bracketed or spelled dots, however many."""
     start = end
@@ -249,6 +267,8 @@ def _spoken(text: str) -> list[tuple[int, int, int, int]]:
         if at.start() < done:
             continue
         host = _SPOKEN_HOST.match(text, at.end())
+        if host and "@" not in at.group() and not any(c in host.group() for c in (".", _MARK)) and host.group().rsplit(None, 1)[-1].lower() not in _ENDINGS:
+            continue
         start = _spoken_local(text, at.start(), done) if host else at.start()
         if start < at.start():
             out.append((start, at.start(), at.end(), host.end()))
@@ -289,6 +309,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     if odd:
         _unmask_characters(t)
     found: set[Span] = set()
+    _unmask_octets(t)
     for s, e in _unmask_digits(t):
         number = t.text[s:e].lstrip("+")
         if 9 <= len(number) <= 15 and not (len(number) >= 12 and luhn(number)):  # such are cards
@@ -312,6 +333,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added) of every row.
 
-    A null text is empty; null ids and repeated rows are kept; other columns are not read; no rows give no rows.
+    A null text is empty; null ids and repeated rows are kept; texts of any length are read whole, in time that grows with
+    their length (runs of digits included); other columns are not read; no rows give no rows.
     """
     return scan_rows(docs, find, KINDS, KINDS, id_col, text_col)

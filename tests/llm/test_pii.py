@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -175,3 +176,19 @@ def test_query(spark):
     assert Counter(tuple(r)[:6] for r in got) == want
     assert [r.spans for r in got if r.doc_id == 3 and "email" in r.spans] == ["email:0:19,email:21:27"] * 2
     assert pii.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["9" * 1_000_000, "one " * 32_000, "1." * 300_000, "9" * 500_000 + ".1.2", "0" * 9000 + "1.2.3.4", "seven dot " * 30_000, "a at b dot " * 20_000, ("9" * 99 + " ") * 10_000])
+def test_long_runs_are_linear(text):
+    began = time.process_time()
+    pii.find(text)
+    assert time.process_time() - began < 4
+
+
+def test_spelled_octets_and_prose():
+    text = "host one nine two dot one six eight dot one dot one zero please"
+    assert pii.find(text) == ([], [("ip", 5, text.index(" please"))])
+    for clean in ("meet me at noon dot then", "come at seven dot nobody waits", "one dot two dot three", "look at this dot is"):
+        assert pii.find(clean) == ([], [])
+    for email in ("john at example dot com", "john dot doe at mail dot example dot org", "john [at] noon dot then", "john@noon dot then"):
+        assert [(k, s) for k, s, _ in pii.find(email)[1]] == [("email", 0)]
