@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_extract, packing, phrases, pii, quality, runs, secrets, sharding, simhash, token_shards
+from . import ann, bpe, html_extract, packing, phrases, pii, quality, runs, secrets, sharding, simhash, token_shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op11_prefix_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels with swapped names of groups."""
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, by block matching."""
     return runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_deobfuscated_pii": op9_deobfuscated_pii,
     "op10_linear_grouping": op10_linear_grouping,
     "op11_prefix_growth": op11_prefix_growth,
+    "op12_counterfactual": op12_counterfactual,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -94,7 +100,7 @@ WITH pieces AS (
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece
   FROM documents WHERE text IS NOT NULL
 ), words AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), x -> x <> '') AS w FROM pieces
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
 ), sized AS (
   SELECT lang, w, unnest(range(1, 5)) AS k FROM words WHERE len(w) > 0
 ), placed AS (
