@@ -7,8 +7,8 @@ by groups of characters, which short runs fill), Wald-Wolfowitz runs above and b
 serial correlation. Fisher's method combines them: small is random, large is not.
 
 A run is reported as a secret when the null hypothesis "natural text" is rejected. What the statistic is in natural text
-is counted on the corpus itself: all words of all documents, dealt over the cells (length class, kind of alphabet), are
-written in the cell's alphabet as natural names are (run together, capitalised, joined by marks), cut to the least length
+is counted on the corpus itself: all words of all documents, dealt over the cells (length class, kind of alphabet) by
+hash, are written in the cell's alphabet as natural names are (run together, capitalised, joined by marks), cut to the least length
 of the class and tested; a small fixed prose stands beside them so that tiny tables have a null as well. A candidate's
 p-value is the share of its cell's natural runs that look at least as random. Benjamini-Hochberg within each class of
 length then holds the expected share of natural runs among the reported ones at RATE; no run with a p-value over LEVEL is
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from functools import cache
 
@@ -75,7 +76,7 @@ _GROUP_OF = {a: np.array([_group(c) for c in ALPHABETS[name]]) for name, a in ((
 _OF_FAMILY = {f: e for e in reversed(_ENCODINGS) for f in [e[2]]}
 _CELLS = [(stratum, family) for stratum in range(BOTTOM, TOP + 1) for family in range(len(FAMILIES))]
 #: Words in a row that go to one cell.
-_DEAL = 24
+_DEAL = 64
 #: Natural prose beside the corpus (fixed values).
 _PROSE = """
 The harbour was quiet when the first boats came back in the morning, and nobody on the quay had expected them before noon.
@@ -219,42 +220,53 @@ _OTHERS = bytes(c for c in range(256) if c not in _TOKEN + _WHITE)
 _DROP = {f: bytes(c for c in range(256) if chr(c) not in e[0]) for f, e in _OF_FAMILY.items()}
 
 
-def _written(words: list[bytes], family: int) -> np.ndarray:
-    """Values of the words written in an alphabet the way natural names are."""
+def _written(words: list[bytes], family: int) -> bytes:
+    """The words written in an alphabet the way natural names are."""
     if family <= 3:
         text = b"".join(words)
         text = text.upper() if family == 2 else text.lower()
     else:
         text = (b"", b"/", b"-")[family - 4].join(map(bytes.capitalize, words))
-    return _OF_FAMILY[family][3][np.frombuffer(text.translate(None, _DROP[family]), np.uint8)]
+    return text.translate(None, _DROP[family])
 
 
-def _natural(words: list[bytes], cell: int, shift: int | None = None) -> np.ndarray:
-    """Steps of the statistic of natural runs of a cell, end to end or, with a shift, overlapping."""
-    stratum, family = _CELLS[cell]
-    n = math.ceil(2 ** (stratum / 4))
-    x = _written(words, family)
-    if len(x) < n:
+def _steps(text: bytes, cell: int, shift: int | None = None) -> np.ndarray:
+    """Steps of the statistic of the runs of a cell's length in text, end to end or, with a shift, overlapping."""
+    family, n = _CELLS[cell][1], _least(cell)
+    if len(text) < n:
         return np.zeros(0, np.int64)
+    x = _OF_FAMILY[family][3][np.frombuffer(text, np.uint8)]
     rows = np.lib.stride_tricks.sliding_window_view(x, n)[:: shift or n]
     return _step(statistic(rows, _OF_FAMILY[family][1]))
 
 
+def _least(cell: int) -> int:
+    """Characters of a cell's shortest run."""
+    return math.ceil(2 ** (_CELLS[cell][0] / 4))
+
+
 @cache
 def _prose() -> Counter:
     """(cell, step) counts of the fixed prose."""
     words = _PROSE.encode().translate(None, _OTHERS).split()
-    return Counter((c, s) for c in range(len(_CELLS)) for s in _natural(words, c, 5).tolist())
+    return Counter((c, s) for c, (_, family) in enumerate(_CELLS) for s in _steps(_written(words, family), c, 5).tolist())
 
 
-def natural(texts: list[str]) -> Counter:
-    """(cell, step) counts of natural runs from all words of the texts, each word in one cell."""
-    words = " ".join(texts).encode("utf-8", "surrogatepass").translate(None, _OTHERS).split()
-    out: Counter = Counter()
-    for cell in range(len(_CELLS)):
-        mine = [w for i in range(cell * _DEAL, len(words), len(_CELLS) * _DEAL) for w in words[i : i + _DEAL]]
-        out.update((cell, s) for s in _natural(mine, cell).tolist())
-    return out
+def natural(texts: list[str], ids: list[int | None] | None = None) -> Counter:
+    """(cell, step) counts of natural runs from all words of the texts.
+
+    Each _DEAL words in a row of a text go to the cell that their hash, seeded by the text's id, names, and make runs
+    among themselves only. So the counts of a table are the same in whatever files and batches it comes.
+    """
+    parts: list[list[bytes]] = [[] for _ in _CELLS]
+    for text, doc_id in zip(texts, ids or [0] * len(texts), strict=True):
+        words = text.encode("utf-8", "surrogatepass").translate(None, _OTHERS).split()
+        for i in range(0, len(words), _DEAL):
+            some = words[i : i + _DEAL]
+            cell = zlib.crc32(b" ".join(some), (doc_id or 0) & 0xFFFFFFFF) % len(_CELLS)
+            run = _written(some, _CELLS[cell][1])
+            parts[cell].append(run[: len(run) - len(run) % _least(cell)])
+    return Counter((cell, s) for cell, runs in enumerate(parts) for s in _steps(b"".join(runs), cell).tolist())
 
 
 def cuts(found: dict[tuple[int, int], int], seen: dict[tuple[int, int], int], rate: float = RATE, level: float = LEVEL) -> dict[int, int]:
@@ -306,7 +318,7 @@ def _scan(batches):
                 row += [[dict(start=s, kind=k, end=e) for s, k, e in base], [dict(start=s, end=e, cell=c, step=b) for (s, e, _), (c, b) in zip(mine, results, strict=False)], []]
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            out[-1][0] = [dict(cell=c, step=b, n=n) for (c, b), n in natural(texts).items()]  # of the whole slice, at its first row
+            out[-1][0] = [dict(cell=c, step=b, n=n) for (c, b), n in natural(texts, part.column(0).to_pylist()).items()]  # of the whole slice, at its first row
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "found", "natural"])
 
 
@@ -333,7 +345,8 @@ def _kept(cut: dict[int, int]) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end by start, then kind) of every row.
 
-    A null text is empty; null ids and repeated rows are kept; other columns are not read; no rows give no rows.
+    A null text is empty; null ids and repeated rows are kept; texts are read whole, however long; other columns are not read;
+    no rows give no rows. The result does not depend on how the table is laid out in files.
     """
     rows = common.durable(_texts(docs, id_col, text_col).mapInArrow(_scan, _SCANNED), "secrets")
     spans = F.array_sort(F.concat("base", _kept(_cuts(rows))))

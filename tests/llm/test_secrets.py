@@ -177,3 +177,16 @@ def test_redact(spark):
     assert any(r.text is None for r in got) and any(r.text == "nothing here" for r in got)
     clean = {r.doc_id: r.text for r in got}
     assert clean[2] == "[SECRET]\""
+
+
+def test_layout_does_not_matter(spark):
+    rng = random.Random(8)
+    words = secrets._PROSE.split()
+    texts_ = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 400))) for _ in range(300)]
+    ids = list(range(300))
+    parts = sum((secrets.natural(texts_[k : k + 37], ids[k : k + 37]) for k in range(0, 300, 37)), Counter())
+    assert parts == secrets.natural(texts_, ids)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.union(spark.createDataFrame([(10**6 + i, f"{t} {''.join(rng.choice(secrets.ALPHABETS['base62']) for _ in range(24 + i % 9))} end") for i, t in enumerate(texts_)], docs.schema))
+    one, seven = ({tuple(r) for r in secrets.scan(rows.repartition(n, "doc_id")).collect()} for n in (1, 7))
+    assert one == seven and any("random" in r[-1] for r in one)
