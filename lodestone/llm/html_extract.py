@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Depth of the tree and blocks of a leaf at least.
-DEPTH, LEAF = 12, 2
+DEPTH, LEAF = 12, 3
 
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "button", "noembed", "xmp"}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -38,7 +38,7 @@ _ENDS = {"td": _CELL, "th": _CELL, "tr": _ROW, "caption": _PART, "tbody": _PART,
 #: Open items that the start of another item ends, unless an element other than _LOOSE stands between.
 _ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _LOOSE = {"address", "div", "p", "dialog", "legend"}
-_OTHER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "dir", "fieldset", "label"}
+_OTHER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "dir", "fieldset"}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 # Words in class names and roles of parts that are not the article (fixed values).
 _OTHER_NAMES = re.compile(
@@ -47,7 +47,7 @@ _OTHER_NAMES = re.compile(
 )
 _DISCUSSION_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|discussion|disqus|replies|reply|respond)(?=$|[\s_\d-])", re.I)
 _ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|entry-content|post-content|post-body|story|main|main-content)(?=$|[\s_\d-])", re.I)
-FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_other", "named", "above", "discussion", "heading"]
+FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_other", "named", "above", "discussion", "heading", "marked", "article", "free", "unmarked", "rival", "share"]
 
 
 @dataclass
@@ -62,6 +62,7 @@ class Block:
     named: int
     above: int
     discussion: int
+    part: int
     heading: int
 
     @property
@@ -69,18 +70,26 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+_VALUE = re.compile(r"""=\s*(?:(["'])|[^\s>"'][^\s>]*)?""")
+
+
 def _end_of_tag(page: str, at: int, last: dict[str, bool]) -> int:
-    """Position after the tag that starts at `at`; quotes may hold >; len(page) if it never ends."""
+    """Position after the tag that starts at `at`; quoted values may hold >; len(page) if it never ends.
+
+    A quote counts only where a value begins, right after its equals sign: title=Bob's has none.
+    """
     end = page.find(">", at)
     if end < 0:
         return len(page)
-    quote = re.compile("[\"']")
-    while m := quote.search(page, at, end):
-        if last.get(m.group()):
+    while m := _VALUE.search(page, at, end):
+        at, quote = m.end(), m.group(1)
+        if not quote:
+            continue
+        if last.get(quote):
             return end + 1
-        close = page.find(m.group(), m.end())
+        close = page.find(quote, at)
         if close < 0:
-            last[m.group()] = True  # no such quote from here on; never look again
+            last[quote] = True  # no such quote from here on; never look again
             return end + 1
         at = close + 1
         if close > end:
@@ -102,6 +111,8 @@ class Open:
         self.firm: list[int] = []  # positions of elements other than _LOOSE
         self.levels = [[0, 0]]  # others and named inside each open article, outermost first
         self.discussions = self.all = 0
+        self.parts: list[int] = []  # numbers of the open parts that a mark calls something else, outermost first
+        self.last_part = 0
 
     def push(self, tag: str, article: int = 0, other: int = 0, named: int = 0, discussion: int = 0) -> None:
         self.at.setdefault(tag, []).append(len(self.stack))
@@ -110,6 +121,9 @@ class Open:
         self.stack.append((tag, article, other, named, discussion))
         if article:
             self.levels.append([0, 0])
+        if other or named or discussion:
+            self.last_part += 1
+            self.parts.append(self.last_part)
         self._count(other, named, discussion)
 
     def _count(self, other: int, named: int, discussion: int) -> None:
@@ -126,6 +140,8 @@ class Open:
             if tag not in _LOOSE:
                 self.firm.pop()
             self._count(-other, -named, -discussion)
+            if other or named or discussion:
+                self.parts.pop()
             if article:
                 self.levels.pop()
 
@@ -133,10 +149,10 @@ class Open:
     def in_article(self) -> bool:
         return len(self.levels) > 1
 
-    def marks(self) -> tuple[int, int, int, int, int]:
-        """in_article, in_other, named, above, discussion of a block that stands here."""
+    def marks(self) -> tuple[int, int, int, int, int, int]:
+        """in_article, in_other, named, above, discussion, part (0 for none) of a block that stands here."""
         other, named = self.levels[-1]
-        return int(self.in_article), int(other > 0), int(named > 0), int(self.all > other + named), int(self.discussions > 0)
+        return int(self.in_article), int(other > 0), int(named > 0), int(self.all > other + named), int(self.discussions > 0), self.parts[0] if self.parts else 0
 
     def last(self, tag: str) -> int:
         """Position of the innermost element of a tag, -1 if none is open."""
@@ -248,10 +264,20 @@ def features(found: list[Block]) -> np.ndarray:
     words = np.array([b.words for b in found], float)
     density = np.array([b.density for b in found], float)
     shift = lambda x, k: np.concatenate([[0.0], x[:-1]]) if k < 0 else np.concatenate([x[1:], [0.0]])
+    marked = np.array([b.in_other or b.named or b.discussion for b in found], bool)
+    inside = np.array([b.in_article for b in found], bool)
+    most = lambda keep: np.full(len(found), words[keep].max() if keep.any() else 0.0)
+    free = most(~marked & (density < 0.5))
+    part = np.array([b.part for b in found], int)
+    longest = np.zeros(part.max(initial=0) + 1)
+    np.maximum.at(longest, part, np.where(density < 0.5, words, 0.0))
+    first, second = np.sort(np.append(longest, 0.0))[:-3:-1] if len(longest) else (0.0, 0.0)
+    rival = np.where(longest[part] == first, second, first) if len(found) else words  # the longest block of other parts
+    page = [marked, most(inside & ~marked) > 0, free, np.where(marked, 0.0, np.round(words * (1 - density))), rival, words / np.maximum(rival, 1)]
     rest = np.array([[b.in_article, b.in_other, b.named, b.above, b.discussion, b.heading] for b in found], float).reshape(-1, 6)
     if not found:
         return np.zeros((0, len(FEATURES)))
-    return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), rest])
+    return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), rest, *page])
 
 
 def train(x: np.ndarray, y: np.ndarray, depth: int = DEPTH):
@@ -260,15 +286,18 @@ def train(x: np.ndarray, y: np.ndarray, depth: int = DEPTH):
         return bool(2 * y.sum() >= len(y)) if len(y) else False
     best = None
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for t in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] < t
-            n, m = low.sum(), (~low).sum()
-            if min(n, m) >= LEAF:
-                p, q = y[low].mean(), y[~low].mean()
-                g = (n * p * (1 - p) + m * q * (1 - q)) / len(y)
-                if best is None or g < best[0] - 1e-12:
-                    best = (g, f, float(t), low)
+        order = np.argsort(x[:, f], kind="stable")
+        values, hits = x[order, f], np.cumsum(y[order])
+        low = np.arange(1, len(y))  # rows below each cut
+        cut = (values[1:] > values[:-1]) & (low >= LEAF) & (len(y) - low >= LEAF)
+        if cut.any():
+            low, hit = low[cut], hits[:-1][cut]
+            high, rest = len(y) - low, hits[-1] - hit
+            g = (hit * (1 - hit / low) + rest * (1 - rest / high)) / len(y)
+            k = int(np.argmin(np.round(g, 12)))
+            if best is None or g[k] < best[0] - 1e-12:
+                t = float((values[1:][cut][k] + values[:-1][cut][k]) / 2)
+                best = (float(g[k]), f, t, x[:, f] < t)
     if best is None:
         return bool(2 * y.sum() >= len(y))
     _, f, t, low = best
@@ -300,7 +329,7 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
 _WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud".split()
 
 #: Pages of the labelled table that the rule below makes.
-PAGES = 220
+PAGES = 1920
 
 
 def layout(rng: random.Random) -> list[tuple[str, list[int]]]:
@@ -318,8 +347,10 @@ def layout(rng: random.Random) -> list[tuple[str, list[int]]]:
 
 
 #: tags: semantic elements; names: class names; mislead: names of the text that say something else, none elsewhere;
-#: wrapped: an article in a part that sounds like something else; bare: divs and paragraphs without any mark.
-STYLES = ["tags", "names", "mislead", "wrapped", "bare", "linked"]
+#: wrapped: an article in a part that sounds like something else; bare: divs and paragraphs without any mark; plain: one to
+#: four paragraphs, short ones too, and a menu, linked or not, nothing else; story: the same in a part that sounds like
+#: something else.
+STYLES = ["tags", "names", "mislead", "wrapped", "bare", "linked", "plain", "story"]
 _TAG = {"menu": "nav", "advert": "div class=ad", "banner": "header", "notice": "div class=cookie-notice", "text": "article", "aside": "aside", "related": "aside", "newsletter": "form", "form": "form", "comments": "section class=comments", "footer": "footer"}
 _CLASS = {"menu": "menu", "advert": "advert", "banner": "header", "notice": "notice", "text": "entry-content", "aside": "sidebar", "related": "related", "newsletter": "newsletter", "form": "search", "comments": "comments", "footer": "footer"}
 #: Long blocks beside the text cannot be told from it without any mark; such parts keep their names in every style.
@@ -330,8 +361,29 @@ def _say(n: int) -> str:
     return " ".join((_WORDS * (n // len(_WORDS) + 1))[:n])
 
 
+def _small(parts: list[tuple[str, list[int]]], style: str) -> tuple[str, str]:
+    """A page of one to four paragraphs of at least 12 words, perhaps with a title and a menu, and its marks."""
+    rng = random.Random(sum(n for _, sizes in parts for n in sizes))
+    sizes = [rng.choice([rng.randint(12, 40), rng.randint(12, 130)]) for _ in range(rng.randint(1, 4))]
+    kind = rng.choice(["", "linked", "plain", "nav"])
+    menu = [rng.randint(1, 3) for _ in range(rng.randint(1, 6))] if kind else []
+    items = "".join(f"<li><a href=/{i}>{_say(n)}</a></li>" if kind == "linked" else f"<li>{_say(n)}</li>" for i, n in enumerate(menu))
+    page = [f"<nav>{items}</nav>" if kind == "nav" else f"<ul>{items}</ul>"] if items else []
+    title = rng.random() < 0.5
+    body = (f"<h1>{_say(rng.randint(2, 9))}</h1>" if title else "") + "".join(f"<p>{_say(n)}</p>" for n in sizes)
+    name = rng.choice(["social-share-story", "promo-piece", "search-party", "side-notes"])
+    page.append(f"<div class={name}>{body}</div>" if style == "story" else rng.choice([body, f"<div>{body}</div>", f"<section>{body}</section>"]))
+    foot = rng.random() < 0.4
+    page += [f"<footer>{_say(rng.randint(2, 40))}</footer>"] if foot else []
+    return "".join(page), "0" * len(menu) + "1" * (len(sizes) + title) + "0" * foot
+
+
 def labelled(parts: list[tuple[str, list[int]]], style: str) -> tuple[str, str]:
     """A page of the table and, for each of its blocks, 1 for main text and 0 for anything else."""
+    if style in ("plain", "story"):
+        return _small(parts, style)
+    if all(kind != "text" for kind, _ in parts):  # where there is no text, marks say what the parts are
+        style = "tags"
     page, marks = [], ""
     for kind, sizes in parts:
         main = kind == "text"
@@ -349,6 +401,8 @@ def labelled(parts: list[tuple[str, list[int]]], style: str) -> tuple[str, str]:
             words = _say(n)
             if (kind in ("menu", "related") or (kind == "aside" and n < 5)) and (i or len(sizes) % 2 == 0):  # lists of odd length begin with a label
                 words = f"<a href=/{i}>{words}</a>"
+                if kind != "menu" and n % 2:  # a date or a name beside the link
+                    words = f"{_say(n // 2)} {words}"
             elif main and style == "linked" and n >= 20:  # a linked phrase in a long paragraph
                 words = f"{_say(n - 3)} <a href=/{i}>{_say(3)}</a>"
             elif main and style in ("tags", "names") and i and n % 5 == 0:  # a linked paragraph of the text
