@@ -1,14 +1,14 @@
-"""Query routing: trigger rules, label decisions, scopes, profiles, document mentions."""
+"""Query routing: trigger rules, label decisions, scopes, profiles."""
 
 from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions import scoring, text
+from ..functions import text
 
 # Trigger phrases (fixed values).
 SUMMARY_HAN, SUMMARY_LATIN = ["摘要", "總結", "整理", "概述", "重點"], ["summary", "summarize", "overview", "key points"]
@@ -19,8 +19,6 @@ ONE_HIT, MORE_HITS, MIN_CONFIDENCE, MIN_MARGIN = 0.84, 0.92, 0.78, 0.05
 #: The same for the summary strategy, and the confidence of its scope rule (fixed values).
 STRATEGY_CONFIDENCE, STRATEGY_MARGIN, SCOPE_RULE = 0.8, 0.06, 0.9
 OVERVIEW, SECTION, THEME = "document_overview", "section_focused", "multi_document_theme"
-# Scores of document mentions: single (with its margin), several, and candidates of an explicit scope (fixed values).
-SINGLE, MARGIN, SEVERAL, CANDIDATE = 0.8, 0.12, 0.8, 0.55
 
 
 def rule_confidence(hits: Column) -> Column:
@@ -121,42 +119,6 @@ def evaluation_settings(profile: str, s: Settings = DEFAULTS) -> tuple[Settings,
     raise ValueError(f"unknown evaluation profile {profile}")
 
 
-def mention_scores(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(query_id, document_id, score) of document names against queries.
-
-    queries: query_id, query_text; names: document_id, name. Documents meet a query only through a
-    token they share or, for whole names, through the name's first token, so no query meets every document.
-    """
-    q = queries.select("query_id", text.fold(text.reference_query(F.col("query_text"))).alias("q"))
-    q = q.withColumn("q_tokens", text.without_generic(text.query_tokens(F.col("q"))))
-    d = names.withColumn("d_tokens", text.without_generic(text.query_tokens(F.col("name"))))
-    frequency = d.select(F.explode(F.array_distinct("d_tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    shared = q.select("query_id", F.explode("q_tokens").alias("token")).join(d.select("document_id", F.explode(F.array_distinct("d_tokens")).alias("token")), "token").join(frequency, "token")
-    bonus = F.when(F.col("df") == 1, 0.12).when(F.col("df") == 2, 0.06).otherwise(0.01)
-    pairs = shared.groupBy("query_id", "document_id").agg(F.least(F.sum(bonus), F.lit(0.3)).alias("bonus"))
-    j = pairs.join(q, "query_id").join(d, "document_id")
-    specific = text.specific_phrase(F.col("name"))
-    score = F.greatest(
-        F.when(F.contains("q", F.col("name")) & specific, 0.96).otherwise(0.0),
-        F.when(F.contains("name", F.col("q")) & text.specific_phrase(F.col("q")), 0.86).otherwise(0.0),
-        0.42 + 0.18 * scoring.overlap_ratio(F.col("q_tokens"), F.col("d_tokens")) + F.col("bonus"),
-        0.4 + 0.22 * scoring.ordered_coverage(F.col("q_tokens"), F.col("d_tokens")),
-    )
-    return j.select("query_id", "document_id", F.when(F.col("q") == F.col("name"), 1.0).otherwise(F.least(score, F.lit(1.0))).alias("score"))
-
-
-def resolve_mentions(scores: DataFrame, top: int = 5) -> DataFrame:
-    """(query_id, resolved): one clear document, else all strong ones if several, else none."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id")
-    best = scores.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
-    lists = best.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "document_id", "score"))), lambda s: F.struct(s["document_id"].alias("id"), s["score"].alias("score"))).alias("c"))
-    first, second = F.try_element_at("c", F.lit(1))["score"], F.coalesce(F.try_element_at("c", F.lit(2))["score"], F.lit(0.0))
-    several = F.filter("c", lambda s: s["score"] >= SEVERAL)
-    one = F.slice("c", 1, 1)
-    pick = F.when((first >= 0.9) & (first - second >= 0.05), one).when(F.size(several) >= 2, several).when((first >= SINGLE) & (first - second >= MARGIN), one).otherwise(F.slice("c", 1, 0))
-    return lists.select("query_id", F.transform(pick, lambda s: s["id"]).alias("resolved"))
-
-
 def settings_trace(decisions: DataFrame, profile_rows: DataFrame) -> DataFrame:
     """decisions (query_type, summary_scope, margin, fallback_used beside the question's own columns) with the settings
     that its profile has for it. Profiles are a handful of rows and are broadcast."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import curation, gates, recall, routing
+from ..operators import curation, gates, mentions, recall, routing
 from ..operators import documents as ops
 from ..sources import adapters
 from .catalog import register
@@ -348,12 +348,67 @@ def summary_strategy(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("conv_id", "turn", "s.label", "s.source", F.round("s.confidence", 6).alias("confidence"), "s.reason", routing.summary_scope(F.col("kind"), c % 3, F.col("scope"), F.col("s.label")).alias("summary_scope"))
 
 
-@register("mention_resolution")
+_GENERIC = ", ".join(f"'{t}'" for t in text.GENERIC_TERMS)
+_MENTIONS = rf"""
+WITH stems AS (SELECT doc_id AS document_id, source AS area_id, lang, trim(regexp_replace(regexp_replace(substr(text, 1, 24), '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS heading FROM documents WHERE doc_id % 17 <> 0 AND text IS NOT NULL),
+files AS (SELECT *, lang || '-' || document_id || ' ' || heading AS stem FROM stems),
+named AS (SELECT *, stem || '.md' AS file_name, trim(regexp_replace(lower(stem), '[-_./()\[\]{{}} ]+', ' ', 'g')) AS name FROM files),
+names AS (SELECT *, list_filter(list_distinct(regexp_extract_all(name, '[a-z0-9][a-z0-9._/-]*')), lambda t: t NOT IN ({_GENERIC})) AS tokens FROM named),
+parts AS (SELECT DISTINCT area_id, document_id, trim(regexp_replace(unnest(regexp_split_to_array(lower(stem), '[-_/]+')), '[-_./()\[\]{{}} ]+', ' ', 'g')) AS part FROM files),
+owned AS (SELECT area_id, part, min(document_id) AS document_id FROM parts WHERE contains(part, ' ') OR length(part) >= 8 GROUP BY ALL HAVING count(*) = 1),
+df AS (SELECT area_id, token, count(*) AS df FROM (SELECT area_id, unnest(tokens) AS token FROM names) GROUP BY ALL),
+asked0 AS (ASKED),
+asked AS (SELECT *, list_filter(list_distinct(regexp_extract_all(q, '[a-z0-9][a-z0-9._/-]*')), lambda t: t NOT IN ({_GENERIC})) AS q_tokens FROM asked0 WHERE q <> ''),
+pairs AS (SELECT a.query_id, a.q, a.q_tokens, n.*, len(list_filter(a.q_tokens, lambda t: length(t) >= 4)) > 0 AS telling, list_filter(a.q_tokens, lambda t: list_contains(n.tokens, t)) AS shared FROM asked a JOIN names n ON a.area_id = n.area_id),
+bonus AS (SELECT query_id, document_id, least(sum(CASE df WHEN 1 THEN 12 WHEN 2 THEN 6 ELSE 1 END), 30) AS b FROM (SELECT query_id, document_id, area_id, unnest(shared) AS token FROM pairs) JOIN df USING (area_id, token) GROUP BY ALL),
+held AS (SELECT p.query_id, p.document_id, TRUE AS held FROM pairs p JOIN owned o USING (area_id, document_id) WHERE contains(p.q, o.part) GROUP BY ALL),
+scores AS (SELECT p.query_id, p.document_id, p.file_name, p.q = p.name OR (telling AND (coalesce(held, FALSE) OR (contains(q, name) AND (contains(name, ' ') OR length(name) >= 8)))) AS strong,
+  round(CASE WHEN q = name THEN 1.0 WHEN NOT telling THEN 0.0 ELSE greatest(CASE WHEN contains(q, name) AND (contains(name, ' ') OR length(name) >= 8) THEN 0.96 ELSE 0 END, CASE WHEN held THEN 0.94 ELSE 0 END,
+    CASE WHEN contains(name, q) AND (contains(q, ' ') OR length(q) >= 8) THEN 0.86 ELSE 0 END,
+    CASE WHEN len(shared) > 0 THEN least(0.42::DOUBLE + 0.18::DOUBLE * len(shared) / least(len(q_tokens), len(tokens)) + b / 100.0::DOUBLE, 1.0) ELSE 0 END) END::DOUBLE, 12) AS score
+  FROM pairs p LEFT JOIN held h USING (query_id, document_id) LEFT JOIN bonus USING (query_id, document_id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(file_name), document_id) AS place FROM scores WHERE score >= 0.68 QUALIFY place <= 5),
+lists AS (SELECT query_id, list(document_id ORDER BY place) AS ids, list(document_id ORDER BY place) FILTER (score >= 0.8) AS several, max(score) AS s1, coalesce(max(score) FILTER (place = 2), 0) AS s2, max(strong::INT) FILTER (place = 1) AS strong1, max(strong::INT) FILTER (place = 2) AS strong2 FROM top GROUP BY ALL)
+"""
+_OWN = "SELECT document_id AS query_id, area_id, name AS q FROM named"
+_ABOUT = """SELECT document_id AS query_id, area_id, trim(lower(CASE document_id % 4 WHEN 0 THEN 'tell me about ' || heading WHEN 1 THEN 'about ' || document_id || ' ' || heading WHEN 2 THEN heading
+  ELSE 'compare the ' || heading || ' files' END)) AS q FROM named WHERE heading <> ''"""
+_RESOLVE = """SELECT query_id, CASE WHEN s1 >= 0.9 AND strong1 = 1 AND (strong2 IS NULL OR (strong2 = 0 AND round(s1 - s2, 12) >= 0.05)) THEN ids[1:1] WHEN len(several) >= 2 THEN several WHEN s1 >= 0.8 AND round(s1 - s2, 12) >= 0.12 THEN ids[1:1] ELSE ids[1:0] END AS resolved, s1 AS confidence FROM lists"""
+
+
+def _named(spark: SparkSession, sf: str) -> DataFrame:
+    """Ready documents with file names of language, id and the words of their heading."""
+    words = F.trim(F.regexp_replace(F.regexp_replace("heading", "[^A-Za-z ]", ""), " +", " "))
+    docs = adapters.documents(spark, sf).where("status = 'ready' and display_text is not null").withColumn("words", words)
+    return docs.select("document_id", "area_id", "words", F.concat("lang", F.lit("-"), "document_id", F.lit(" "), "words", F.lit(".md")).alias("file_name"))
+
+
+@register("mention_resolution", _MENTIONS.replace("ASKED", _OWN) + _RESOLVE)
 def mention_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that questions name (here: questions made from every document's name)."""
-    docs = adapters.documents(spark, sf).where("status = 'ready'").select("document_id", text.document_name(F.col("file_name")).alias("name"))
-    asked = docs.select(F.col("document_id").alias("query_id"), F.concat(F.lit("summarize "), "name").alias("query_text"))
-    return routing.resolve_mentions(routing.mention_scores(asked, docs))
+    docs = _named(spark, sf)
+    own = docs.select(F.col("document_id").alias("query_id"), "area_id", F.concat(F.lit("summarize "), text.document_name(F.col("file_name"))).alias("query_text"))
+    return mentions.resolve_mentions(mentions.mention_scores(own, docs))
+
+
+def _about(docs: DataFrame) -> DataFrame:
+    kind, w = F.col("document_id") % 4, F.col("words")
+    q = F.when(kind == 0, F.concat(F.lit("tell me about "), w)).when(kind == 1, F.concat(F.lit("about "), F.col("document_id"), F.lit(" "), w)).when(kind == 2, w).otherwise(F.concat(F.lit("compare compare the "), w, F.lit(" files")))
+    return docs.where("words <> ''").select(F.col("document_id").alias("query_id"), "area_id", q.alias("query_text"))
+
+
+@register("mention_ranking", _MENTIONS.replace("ASKED", _ABOUT) + "SELECT query_id, document_id, score, strong, place FROM top")
+def mention_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The first documents of each question about a heading: names held, parts held, names that hold it, shared words."""
+    docs = _named(spark, sf)
+    return mentions.mention_scores(_about(docs), docs).drop("file_name")
+
+
+@register("mention_scope", _MENTIONS.replace("ASKED", _ABOUT) + _RESOLVE)
+def mention_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """What questions about headings resolve to."""
+    docs = _named(spark, sf)
+    return mentions.resolve_mentions(mentions.mention_scores(_about(docs), docs))
 
 
 @register("event_windows", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring, text
-from lodestone.operators import assemble, chunking, curation, gates, metrics, parsing, recall, rerank, routing, selection
+from lodestone.operators import assemble, chunking, curation, gates, mentions, metrics, parsing, recall, rerank, routing, selection
 from lodestone.operators import documents as ops
 from lodestone.operators import serving as serving_ops
 from lodestone.sources import adapters, readers
@@ -262,9 +262,9 @@ def test_routing(spark):
     none = F.lit(None).cast("string")
     d = one(spark, routing.decide(none, none, F.lit("e"), F.lit(0.8), F.lit(0.06), "f"), routing.decide(none, none, F.lit("e"), F.lit(0.8), F.lit(0.01), "f"), routing.decide(F.lit("x"), F.lit("r"), F.lit("e"), F.lit(0.9), F.lit(0.9), "f"))
     assert [(x.label, x.source) for x in d] == [("e", "embedding"), ("f", "fallback"), ("x", "explicit")]
-    names = spark.createDataFrame([(1, "travel expense rules"), (2, "holiday rules"), (3, "security handbook")], "document_id long, name string")
-    asked = spark.createDataFrame([(1, "summarize travel expense rules"), (2, "nothing of that kind"), (3, "compare travel expense rules and security handbook")], "query_id long, query_text string")
-    got = {r.query_id: r.resolved for r in routing.resolve_mentions(routing.mention_scores(asked, names)).collect()}
+    names = spark.createDataFrame([(1, "a", "travel expense rules.md"), (2, "a", "holiday rules.txt"), (3, "a", "security handbook.md")], "document_id long, area_id string, file_name string")
+    asked = spark.createDataFrame([(1, "a", "summarize travel expense rules"), (2, "a", "nothing of that kind"), (3, "a", "compare travel expense rules and security handbook"), (4, "b", "holiday rules")], "query_id long, area_id string, query_text string")
+    got = {r.query_id: r.resolved for r in mentions.resolve_mentions(mentions.mention_scores(asked, names)).collect()}
     assert got == {1: [1], 3: [1, 3]}
 
 
