@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring, text
-from ..functions.text import query_tokens
+from ..functions import text, vectorised
 from .recall import ranked
 
 
 def apply_policy(candidates: DataFrame) -> DataFrame:
     """candidates (query_id, query_text, rrf_score, rrf_rank, best_rank, heading, content) with policy_score and policy_rank."""
-    score = F.round(scoring.policy_score(F.col("rrf_score"), F.col("query_text"), query_tokens(F.col("query_text")), F.col("heading"), F.col("content")), 12)
+    score = F.round(vectorised.policy_scores("rrf_score", "query_text", "heading", "content"), 12)
     return ranked(candidates.withColumn("policy_score", score), ["query_id"], [F.desc("policy_score"), "rrf_rank", "best_rank", "chunk_id"], "policy_rank")
 
 
@@ -67,8 +66,7 @@ def parent_groups(candidates: DataFrame, order: str = "policy_rank", max_chars:
     groups = candidates.groupBy("query_id", "document_id", parent, "structure_kind").agg(F.min(order).alias("first_order"), F.first("query_text").alias("query_text"), F.sort_array(F.collect_list(hit)).alias("hits"))
     part = lambda name: F.transform("hits", lambda x: x[name])
     groups = groups.withColumn("heading", F.get(F.filter(part("heading"), lambda h: h != ""), F.lit(0)))
-    content = text.merge_contents(F.col("structure_kind"), part("content"))
-    return groups.withColumn("rerank_text", rerank_text(F.col("heading"), content, part("content"), max_chars))
+    return groups.withColumn("rerank_text", vectorised.rerank_texts(max_chars)("structure_kind", "heading", part("content")))
 
 
 def candidate_id() -> Column:
@@ -82,7 +80,7 @@ def apply_rerank(groups: DataFrame, top_n: int = 30, score: Column | None = None
     a null score is `missing_score` and keeps its place after them; groups beyond top_n keep their order at the end.
     """
     tried = F.col("tried") <= top_n
-    value = score if score is not None else scoring.deterministic_rerank(F.col("query_text"), candidate_id(), F.col("rerank_text"))
+    value = score if score is not None else vectorised.rerank_scores("query_text", candidate_id(), "rerank_text")
     out = ranked(groups, ["query_id"], ["first_order", "document_id", "parent_id"], "tried")
     out = out.withColumn("rerank_score", F.when(tried, F.round(value, 12))).withColumn("rerank_applied", F.col("rerank_score").isNotNull())
     out = out.withColumn("fallback_reason", F.when(tried & ~F.col("rerank_applied"), "missing_score"))

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import scoring, text
+from lodestone.functions import scoring, text, vectorised
 from lodestone.operators import assemble, chunking, curation, gates, mentions, metrics, parsing, recall, rerank, routing, selection
 from lodestone.operators import documents as ops
 from lodestone.operators import serving as serving_ops
@@ -155,6 +155,19 @@ def test_rerank_text(spark):
         assert got[i] == _rerank_text(heading, contents, kind), (i, heading, kind)
 
 
+def test_vectorised_scores_are_the_column_expressions(spark):
+    rng = random.Random(11)
+    bits = ["Head", "the quick", "策略 文件", "\u2003", "ÄÖß", "x.y/z-1", "\x1c", "....", "." * 70, "| a |", "\n", "a", "", "\r\n", "Straße", "123"]
+    make = lambda n: "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, n)))
+    rows = [(i, rng.random(), make(6), rng.choice([None, make(4)]), make(30), [make(rng.choice([3, 60, 700])) for _ in range(rng.randint(1, 4))], rng.choice(["text", "table"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, rrf double, q string, heading string, c string, contents array<string>, kind string")
+    q, h, c = F.col("q"), F.col("heading"), F.col("c")
+    left = scoring.policy_score(F.col("rrf"), q, text.query_tokens(q), h, c), rerank.rerank_text(h, text.merge_contents(F.col("kind"), F.col("contents")), F.col("contents")), scoring.deterministic_rerank(q, F.col("kind"), c)
+    right = vectorised.policy_scores("rrf", "q", "heading", "c"), vectorised.rerank_texts(2000)("kind", "heading", "contents"), vectorised.rerank_scores("q", "kind", "c")
+    for r in df.select(*[x.alias(f"l{i}") for i, x in enumerate(left)], *[x.alias(f"r{i}") for i, x in enumerate(right)]).collect():
+        assert (r.l0, r.l1, r.l2) == (r.r0, r.r1, r.r2)
+
+
 def test_contexts_like_the_sequential_version(spark):
     """Whole parents, grown parents, dropped hits and tables against a version that walks one parent at a time."""
     rng = random.Random(5)
