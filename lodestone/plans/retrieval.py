@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import assemble, metrics, recall, rerank, selection, serving
+from ..operators import assemble, metrics, recall, rerank, selection, serving, textindex
 from ..sources import adapters
 from ..sources.scratch import once
 from .catalog import register
@@ -217,6 +217,13 @@ def fts_topk(spark: SparkSession, sf: str) -> DataFrame:
     return recall.text_recall(recall.gate(adapters.children(_docs(spark, sf))), adapters.questions(spark, sf), 30)
 
 
+@register("fts_index", adapters.sql("SELECT query_id, chunk_id, score, fts_rank FROM fts", _TEXT))
+def fts_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of fts_topk from an inverted index of all chunks: texts are read once, to build it."""
+    index = textindex.build(recall.gate(adapters.children(_docs(spark, sf))))
+    return textindex.search(spark, index, adapters.questions(spark, sf), 30)
+
+
 @register("rrf_fusion", adapters.sql("SELECT query_id, chunk_id, vector_rank, fts_rank, round(rrf_score, 9) AS rrf_score, rrf_rank, source FROM fused", _FUSED))
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return _fused(spark, sf).select("query_id", "chunk_id", "vector_rank", "fts_rank", F.round("rrf_score", 9).alias("rrf_score"), "rrf_rank", "source")
