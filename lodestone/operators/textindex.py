@@ -26,7 +26,7 @@ from .recall import QUERY_BLOCK, ranked
 
 #: Chunks of a block, about, and buckets of the postings.
 BLOCK, BUCKETS = 4096, 64
-#: Words whose postings one matrix product holds.
+#: Tokens whose occurrences one matrix product holds.
 _TILE = 512
 
 
@@ -127,7 +127,7 @@ def search(spark: SparkSession, index: TextIndex, queries: DataFrame, k: int) ->
     ids, tokens, asked = _weights(queries)
     place = {t: i for i, t in enumerate(tokens)}
     pairs = [(q, place[t], n) for q, c in enumerate(asked) for t, n in c.items()]
-    weight = np.zeros((len(ids), len(tokens)), np.float32)
+    weight = np.zeros((len(ids), len(tokens)))
     for q, t, n in pairs:
         weight[q, t] = n
     # the words of a token are gathered beside it: one row a word that is asked for, the tokens it holds are few
@@ -136,19 +136,22 @@ def search(spark: SparkSession, index: TextIndex, queries: DataFrame, k: int) ->
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
         chunks, where = np.unique(np.concatenate(frame["chunk_ids"].to_list()), return_inverse=True)
-        length = frame["chunk_ids"].map(len).to_numpy()
-        word = np.repeat(np.arange(len(frame)), length)
         times = np.concatenate(frame["times"].to_list())
+        first = np.cumsum([0, *map(len, frame["chunk_ids"])])
+        word = np.repeat(np.arange(len(frame)), frame["tokens"].map(len).to_numpy())
+        token, held = np.concatenate(frame["tokens"].to_list()).astype(np.int64), np.concatenate(frame["held"].to_list())
+        order = np.argsort(token, kind="stable")
+        word, token, held = word[order], token[order], held[order]
         score = np.zeros((len(ids), len(chunks)))
-        for low in range(0, len(frame), _TILE):
-            part = frame.iloc[low : low + _TILE]
-            of_word = np.zeros((len(ids), len(part)))
-            for j, (t, n) in enumerate(zip(part["tokens"], part["held"], strict=True)):
-                of_word[:, j] = weight[:, np.asarray(t, np.int64)] @ np.asarray(n, np.float64)
-            dense = np.zeros((len(part), len(chunks)))
-            mine = (word >= low) & (word < low + _TILE)
-            dense[word[mine] - low, where[mine]] = times[mine]
-            score += of_word @ dense
+        for low in range(0, len(tokens), _TILE):  # occurrences of some tokens in all chunks of the block at a time
+            begin, end = np.searchsorted(token, [low, low + _TILE])
+            w = word[begin:end]
+            size = first[w + 1] - first[w]
+            at = np.repeat(first[w] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            cell = np.repeat(token[begin:end] - low, size) * len(chunks) + where[at]
+            count = np.bincount(cell, times[at] * np.repeat(held[begin:end], size), minlength=_TILE * len(chunks)).reshape(_TILE, -1)
+            some = weight[:, low : low + _TILE]
+            score += some @ count[: some.shape[1]]
         out = []
         for q, row in enumerate(score):
             near = np.flatnonzero(row)
