@@ -1,5 +1,5 @@
 """Query modules; importing the package fills the catalog."""
 
-from . import catalog, evaluation, ingest, retrieval, review, serving, texts
+from . import catalog, evaluation, ingest, retrieval, review, serving, suites, texts
 
-__all__ = ["catalog", "evaluation", "ingest", "retrieval", "review", "serving", "texts"]
+__all__ = ["catalog", "evaluation", "ingest", "retrieval", "review", "serving", "suites", "texts"]
