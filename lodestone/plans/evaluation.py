@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import curation, gates, mentions, recall, routing
+from ..operators import curation, fallback, gates, mentions, recall, routing
 from ..operators import documents as ops
 from ..sources import adapters
 from .catalog import register
@@ -285,11 +285,6 @@ def routing_rules(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", "t.label", "t.confidence")
 
 
-@register("routing_profiles", "SELECT 'fact_lookup' AS query_type, 30 AS vector_top_k, 9 AS max_contexts, 3000 AS max_chars, 7 AS max_children, 6 AS document_recall_top_k UNION ALL SELECT 'document_summary', 45, 12, 3600, 7, 1 UNION ALL SELECT 'document_summary', 45, 12, 3600, 7, 6 UNION ALL SELECT 'cross_document_compare', 45, 12, 3200, 7, 8")
-def routing_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    return routing.profiles(spark).select("query_type", "vector_top_k", "max_contexts", "max_chars", "max_children", "document_recall_top_k")
-
-
 _DECIDED = f"""
 WITH h AS (SELECT conv_id, turn, {_hits_sql(routing.COMPARE_HAN, routing.COMPARE_LATIN)} AS c, {_hits_sql(routing.SUMMARY_HAN, routing.SUMMARY_LATIN)} AS s FROM (SELECT *, text AS q FROM conversations)),
 r AS (SELECT *, CASE WHEN c > 0 THEN 'cross_document_compare' WHEN s > 0 THEN 'document_summary' END AS rule, conv_id % 100 >= 78 AS sure FROM h)
@@ -308,6 +303,36 @@ def routing_decision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+@register("routing_profiles", _DECIDED.rstrip().replace("WITH h AS", "WITH p(query_type, vector_top_k, max_contexts, max_chars, max_children, document_recall_top_k) AS (VALUES ('fact_lookup', 30, 9, 3000, 7, 6), ('document_summary', 45, 12, 3600, 7, 1), ('document_summary', 45, 12, 3600, 7, 6), ('cross_document_compare', 45, 12, 3200, 7, 8)), h AS", 1).replace("SELECT conv_id, turn, CASE WHEN turn = 7", ", d AS (SELECT conv_id, turn, CASE WHEN turn = 7", 1) + ") SELECT p.*, count(d.conv_id) AS turns FROM p LEFT JOIN d ON d.label = p.query_type GROUP BY ALL")
+def routing_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The settings of each profile and how many turns are decided for its kind of question."""
+    turns = routing_decision(spark, sf).groupBy(F.col("label").alias("query_type")).agg(F.count(F.lit(1)).alias("turns"))
+    p = routing.profiles(spark).select("query_type", "vector_top_k", "max_contexts", "max_chars", "max_children", "document_recall_top_k")
+    return p.join(turns, "query_type", "left").fillna(0, ["turns"])
+
+
+_MEANING = {k: [w for w in dict.fromkeys(v.replace(",", "").split())] for k, v in fallback.TASK_TYPES.items()}
+_SHARED_WORDS = ", ".join(f"len(list_intersect(w, [{', '.join(repr(x) for x in words)}]))" for words in _MEANING.values())
+
+
+@register(
+    "label_fallback",
+    f"""WITH dec AS ({_DECIDED}), w AS (SELECT dec.*, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> '')) AS w FROM dec JOIN conversations USING (conv_id, turn)),
+s AS (SELECT *, [{_SHARED_WORDS}] AS n FROM w),
+m AS (SELECT *, list_max(n) AS best, list_position(n, list_max(n)) AS best_at FROM s)
+SELECT conv_id, turn, CASE WHEN source <> 'fallback' OR best = 0 THEN label ELSE [{', '.join(repr(k) for k in _MEANING)}][best_at] END AS label, CASE WHEN source = 'fallback' AND best > 0 THEN 'llm_fallback' ELSE source END AS source,
+  round(CASE WHEN source <> 'fallback' THEN 1 WHEN best > 0 THEN best / len(w)::DOUBLE ELSE 0 END::DOUBLE, 9) AS confidence, source = 'fallback' AND best > 0 AS fallback_used,
+  CASE WHEN source = 'fallback' THEN CASE WHEN best > 0 THEN 'low_embedding_confidence' ELSE 'llm_fallback_unavailable' END END AS fallback_reason FROM m""",
+)
+def label_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn's task type with a deterministic model for the turns that rules and embeddings leave undecided."""
+    texts = _T(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("query_text"))
+    rows = routing_decision(spark, sf).join(texts, ["conv_id", "turn"]).withColumn("language", F.lit("en")).withColumn("context", F.lit("{}")).withColumn("confidence", F.lit(1.0))
+    label = fallback.label_udf(fallback.word_model, "task_type", fallback.TASK_TYPES)
+    out = fallback.with_fallback(rows, label, F.array(*map(F.lit, fallback.TASK_TYPES)), F.lit("fact_lookup"))
+    return out.select("conv_id", "turn", "label", "source", F.round("confidence", 9).alias("confidence"), "fallback_used", "fallback_reason")
+
+
 @register(
     "settings_trace",
     f"""SELECT conv_id, turn, query_type, summary_scope, margin, fallback_used, CASE query_type WHEN 'fact_lookup' THEN 30 ELSE 45 END AS vector_top_k, CASE query_type WHEN 'fact_lookup' THEN 30 ELSE 45 END AS fts_top_k, CASE query_type WHEN 'fact_lookup' THEN 30 ELSE 45 END AS max_candidates,
