@@ -252,6 +252,8 @@ PARSERS: dict[str, Callable[[bytes], list[Block]]] = {
     "pdf": _decoded(lambda s: parse_markdown(s, short_rules=True)),
 }
 
+#: What a file that cannot be read raises.
+UNREADABLE = (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError)
 _BLOCKS = "document_id long, block_index int, block_kind string, heading string, heading_level int, content string, start_offset int, end_offset int, error string"
 
 
@@ -280,7 +282,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                     if not found:
                         raise ValueError("no text")
                     rows += found
-                except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                except UNREADABLE as e:
                     rows.append((doc, 0, None, None, None, None, 0, 0, str(e) or type(e).__name__))
             cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _BLOCKS.split(", ")])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chunking, parsing
+from ..operators import artifacts, chunking, parsing
 from ..sources import adapters
 from .catalog import register
 
@@ -59,3 +59,22 @@ def answer_blocks(spark: SparkSession, sf: str) -> DataFrame:
     marked = F.concat("text", F.lit(" [[C1,C2]] [[C1]]\n\n"), "text", F.lit(" [[C3]]"))
     c = adapters.table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(text.answer_blocks(marked)).alias("i", "b"))
     return c.select("conv_id", "turn", "i", F.col("b.text").alias("text"), F.array_join("b.labels", ",").alias("labels"))
+
+
+@register(
+    "layout_artifacts",
+    "SELECT document_id, (i - 1)::INT AS block_index, 'L' || (i - 1) AS heading, md5(trim(l[i])) AS content_md5, ((i - 1) // 10 + 1)::INT AS page_start, ((i - 1) // 10 + 1)::INT AS page_end, 1 AS boxes, (i - 1)::DOUBLE AS top "
+    "FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id AS document_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#')) AS l FROM documents))",
+)
+def layout_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks with pages and boxes, rebuilt from JSON artifacts; the layout is made of the lines of every document."""
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
+    d = adapters.spread(adapters.table(spark, sf, "documents")).select(F.col("doc_id").alias("document_id"), lines.alias("l")).where(F.size("l") > 0)
+    markdown = F.array_join(F.transform("l", lambda x, i: F.concat(F.lit("# L"), i, F.lit("\n"), x)), "\n")
+    page = lambda i: F.floor(i / 10).cast("int") + 1
+    box = lambda i: F.struct(page(i).alias("page"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), i.cast("double").alias("y1"))
+    element = F.transform("l", lambda x, i: F.struct(F.lit("paragraph").alias("type"), x.alias("content"), page(i).alias("page"), F.array(box(i)).alias("bboxes")))
+    payload = F.to_json(F.struct(F.array(F.struct(F.transform(F.array(element), lambda e: e)[0].alias("kids"))).alias("pages")))
+    files = d.select("document_id", F.concat("document_id", F.lit(".pdf")).alias("file_name"), markdown.cast("binary").alias("content"), payload.alias("payload"))
+    rows = artifacts.rebuild(artifacts.make(files, "opendataloader"))
+    return rows.select("document_id", "block_index", "heading", F.md5("content").alias("content_md5"), "page_start", "page_end", F.size("regions").alias("boxes"), F.col("regions")[0]["top"].alias("top"))
