@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import scorers, suites
 from ..sources import adapters
 from ..sources.scratch import shared_dir
+from ..streaming import chat
 from .catalog import register
 from .evaluation import _JUDGED, _judged
 
@@ -122,3 +123,22 @@ def checkpoint_report(spark: SparkSession, sf: str) -> DataFrame:
     items = _judged(spark, sf).withColumnRenamed("doc_id", "item_id")
     run_row = spark.range(1).select(F.lit("labels").alias("benchmark_name"), F.lit("v1").alias("version"), F.lit("all").alias("area_id"), F.lit("words").alias("judge_model"), F.lit(False).alias("thinking_mode"), F.lit("deterministic").alias("answer_path"))
     return suites.checkpoint_lines(items, run_row)
+
+
+@register(
+    "chat_events",
+    "WITH w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations), "
+    "e AS (SELECT conv_id || '-' || turn AS thread_id, w, len(w) AS n, conv_id % 5 = 0 AND len(w) > 2 AS lost, w[2] AS gone FROM w) "
+    "SELECT thread_id, md5(CASE WHEN n = 0 THEN '' ELSE array_to_string(CASE WHEN lost THEN list_concat(w[1:1], w[3:]) ELSE w END, ' ') || ' ' END) AS answer_md5, n + 3 - lost::INT AS events, 0 AS tool_calls, 'done' AS phase, n::VARCHAR AS \"references\", lost::INT AS missing FROM e",
+)
+def chat_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers put together from events: each turn's words as tokens, delivered twice, one word of some turns lost."""
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    c = adapters.table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("thread_id"), (F.col("conv_id") % 5 == 0).alias("lossy"), words.alias("w"))
+    n = F.size("w")
+    row = lambda seq, kind, payload: F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("type"), payload.alias("payload"))
+    tokens = F.transform("w", lambda x, i: row(i + 2, chat.TOKEN, F.concat(x, F.lit(" "))))
+    told = F.concat(F.array(row(F.lit(0), chat.PHASE, F.lit("searching")), row(F.lit(1), chat.REFERENCES, n.cast("string"))), tokens, F.array(row(n + 2, chat.PHASE, F.lit("done"))))
+    events = c.select("thread_id", (F.col("lossy") & (n > 2)).alias("lossy"), F.explode(told).alias("e")).select("thread_id", "lossy", "e.*", F.lit(None).cast("timestamp").alias("ts")).where(~(F.col("lossy") & (F.col("seq") == 3)))
+    rows = chat.ordered_batch(events.unionByName(events))
+    return chat.answers(rows).select("thread_id", F.md5("answer").alias("answer_md5"), "events", "tool_calls", "phase", "references", "missing")
