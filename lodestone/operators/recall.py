@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -60,12 +63,27 @@ def _bounded(queries: DataFrame, columns: list[str]) -> list:
     return rows
 
 
+def in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """answer(queries), where it takes QUERY_BLOCK of them at most: larger sets are cut by a hash of the id, and each block is
+    a reading of the chunks of its own."""
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        return answer(queries)
+    blocks = -(-n * 5 // (4 * QUERY_BLOCK))  # four fifths full, so that none overflows
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return functools.reduce(DataFrame.unionByName, [answer(queries.where(part == k)) for k in range(blocks)])
+
+
 def vector_recall(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, distance, vector_rank): the k nearest by cosine distance, ties to the smaller key.
 
-    chunks: key, embedding; queries: query_id, embedding, a bounded set. Every Arrow batch is scored against all
+    chunks: key, embedding; queries: query_id, embedding; more than QUERY_BLOCK go in blocks. Every Arrow batch is scored against all
     queries by one matrix product and keeps its k best, so only query x batch x k rows meet in the ranking.
     """
+    return in_blocks(queries, lambda some: _vector_block(chunks, some, k, key))
+
+
+def _vector_block(chunks: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
     asked = _bounded(queries, ["query_id", "embedding"])
     qids = np.array([r[0] for r in asked], np.int64)
     q = np.array([list(r[1]) for r in asked], np.float64)
@@ -97,8 +115,12 @@ def text_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", te
 
     Occurrences of a token do not overlap. Tokens of all queries are counted in one reading of each chunk: long ones
     by one automaton, the few short ones that occur everywhere by a scan each. With k every batch of chunks returns
-    only its k best for each query, ties to the smaller key.
+    only its k best for each query, ties to the smaller key. More than QUERY_BLOCK queries go in blocks.
     """
+    return in_blocks(queries, lambda some: _text_block(chunks, some, key, text, k))
+
+
+def _text_block(chunks: DataFrame, queries: DataFrame, key: str, text: str, k: int | None) -> DataFrame:
     asked: dict[int, dict[str, int]] = {}
     for r in _bounded(queries, ["query_id", "query_text"]):
         mine = asked.setdefault(r[0], {})

@@ -33,6 +33,14 @@ def upload_error(file_name: Column, size: Column, most: int) -> Column:
     return F.when(F.coalesce(F.trim(file_name), F.lit("")) == "", "missing_name").when(~known, "unknown_extension").when(size < 1, "empty").when(size > most, "too_large")
 
 
+def page_ranges(regions: DataFrame, key: str) -> DataFrame:
+    """(key, page_start, page_end, regions) of region rows (key, page, left, bottom, right, top): those with all sides count;
+    a key without any has nulls. No key's regions are gathered."""
+    whole = F.col("left").isNotNull() & F.col("bottom").isNotNull() & F.col("right").isNotNull() & F.col("top").isNotNull()
+    page = F.when(whole, F.col("page"))
+    return regions.groupBy(key).agg(F.min(page).alias("page_start"), F.max(page).alias("page_end"), F.count(F.when(whole, 1)).cast("int").alias("regions"))
+
+
 def page_range(regions: Column) -> Column:
     """struct(page_start, page_end) of a list of regions."""
     pages = F.transform(regions, lambda r: r["page"])
@@ -149,9 +157,9 @@ def blank_as(c: Column, default: str) -> Column:
 def context_payload(contexts: DataFrame, documents: DataFrame) -> DataFrame:
     """Contexts as an answering tool gets them: label, document's name (empty if unknown), heading, text, source, span, children.
 
-    documents: document_id, file_name. Contexts are few a query; they are broadcast to the documents' scan.
+    documents: document_id, file_name. Contexts are few a query; how the names meet them is left to the planner, by size.
     """
-    names = documents.join(F.broadcast(contexts.select("document_id").distinct()), "document_id", "left_semi")
+    names = documents.join(contexts.select("document_id").distinct(), "document_id", "left_semi")
     rows = contexts.join(names, "document_id", "left").withColumn("document_name", F.coalesce("file_name", F.lit("")))
     return rows.select(
         "query_id", "context_index", "context_label", "document_id", "document_name", "parent_id", F.col("child_ids").alias("child_chunk_ids"), "structure_kind", "heading", F.col("context_text").alias("assembled_text"), "source", "start_offset", "end_offset", "truncated"

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..config import bounded
 from ..sources.scratch import shared_dir
-from .recall import QUERY_BLOCK, ranked
+from .recall import QUERY_BLOCK, in_blocks, ranked
 
 #: Chunks of a block, about, and buckets of the postings.
 BLOCK, BUCKETS = 4096, 64
@@ -122,8 +122,12 @@ def _weights(queries: DataFrame) -> tuple[list[int], list[str], list[dict[str, i
 def search(spark: SparkSession, index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, fts_rank): the k best by occurrences of the query's tokens, ties to the smaller key.
 
-    queries (query_id, query_text): a bounded set. The same rows as recall.text_recall over the chunks.
+    queries: query_id, query_text; more than QUERY_BLOCK go in blocks. The same rows as recall.text_recall over the chunks.
     """
+    return in_blocks(queries, lambda some: _search_block(spark, index, some, k))
+
+
+def _search_block(spark: SparkSession, index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     ids, tokens, asked = _weights(queries)
     place = {t: i for i, t in enumerate(tokens)}
     pairs = [(q, place[t], n) for q, c in enumerate(asked) for t, n in c.items()]

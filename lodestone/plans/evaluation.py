@@ -252,9 +252,12 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 def document_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Expected names (the words of a conversation's questions) found among the cited ones (those of its answers), and how
     many are missing."""
-    names = lambda r: F.flatten(F.collect_list(F.when(F.col("role") == r, F.split("text", " "))))
-    c = _T(spark, sf, "conversations").groupBy("conv_id").agg(names("user").alias("e"), names("assistant").alias("f"))
-    return c.select("conv_id", gates.coverage(F.col("e"), F.col("f")).alias("coverage"), F.size(F.array_except("e", "f")).alias("missing"))
+    c = _T(spark, sf, "conversations")
+    said = lambda r, name: c.where(F.col("role") == r).select("conv_id", F.explode(F.split("text", " ")).alias("word")).distinct().withColumn(name, F.lit(1))
+    words = said("user", "e").join(said("assistant", "f"), ["conv_id", "word"], "left").groupBy("conv_id")
+    counts = words.agg(F.count(F.lit(1)).alias("e"), F.count("f").alias("both"))  # no conversation's words are gathered
+    rows = c.select("conv_id").distinct().join(counts, "conv_id", "left").fillna(0, ["e", "both"])
+    return rows.select("conv_id", F.round(F.col("both") / F.greatest("e", F.lit(1)), 4).alias("coverage"), (F.col("e") - F.col("both")).cast("int").alias("missing"))
 
 
 @register("citation_coverage", adapters.sql("SELECT g.query_id, round(count(*) FILTER (EXISTS (SELECT 1 FROM children c WHERE c.document_id = g.document_id AND c.position % 2 = 0 AND c.start_offset < g.end_offset AND g.start_offset < c.end_offset)) / count(*), 4) AS coverage FROM gold g GROUP BY ALL"))
@@ -478,8 +481,8 @@ def evidence_alignment(spark: SparkSession, sf: str) -> DataFrame:
     flat = align.flat(docs, "document_id", "display_text")
     blocks = [adapters.exact_matches(flat, "document_id", "flat", anchors[k : k + adapters.PATTERNS]) for k in range(0, len(anchors) or 1, adapters.PATTERNS)]
     near = functools.reduce(DataFrame.union, blocks).select(F.col("id").alias("document_id"), F.col("passage_id").alias("item_id")).distinct()
-    pairs = near.join(docs.select("document_id", "display_text"), "document_id").join(F.broadcast(asked), "item_id")
-    return align.align(pairs.withColumn("signal", F.substring("evidence", 1, 60)))
+    pairs = near.join(docs.select("document_id", "display_text"), "document_id").join(asked, "item_id")
+    return align.align(pairs.withColumn("signal", F.col("evidence")))
 
 
 _SNIPPETS = "(SELECT conv_id AS query_id, arg_min(text, turn) AS query, CASE WHEN conv_id % 3 = 0 THEN ['[]'] WHEN conv_id % 3 = 1 THEN ['well ' || conv_id] ELSE [] END AS well_formed, CASE WHEN conv_id % 2 = 0 THEN ['No Answer Present.'] ELSE ['short'] END AS answers, list({text: text, selected: (turn % 2)::INT} ORDER BY turn) AS p FROM conversations GROUP BY ALL)"
@@ -499,13 +502,14 @@ def prepare_snippets(spark: SparkSession, sf: str) -> DataFrame:
     return prepare.snippet_bundles(rows).select("source_document_id", "file_name", "answer_type", "selected_passages", "context_passages")
 
 
-@register("prepare_reading", "SELECT doc_id AS source_document_id, s AS answer_start, substr(text, s + 1, 12) AS answer_text, trim(substr(text, greatest(s - 80, 0) + 1, least(s + 12 + 80, length(text)) - greatest(s - 80, 0))) AS evidence FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 100 ELSE 40 END::INT AS s FROM documents WHERE length(text) > 400)")
+@register("prepare_reading", "SELECT doc_id AS source_document_id, s AS answer_start, substr(text, s + 1, 12) AS answer_text, trim(substr(text, greatest(s - 80, 0) + 1, least(s + 12 + 80, length(text)) - greatest(s - 80, 0))) AS evidence FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN length(text) // 4 ELSE length(text) // 8 END::INT AS s FROM documents) WHERE trim(substr(text, s + 1, 12)) <> ''")
 def prepare_reading(spark: SparkSession, sf: str) -> DataFrame:
-    """Reading-comprehension questions: the answer by vote (100 twice against 40 once, or a tie to the earlier), evidence around it."""
+    """Reading-comprehension questions on every text: the answer by vote (a quarter in twice against an eighth in once, or a tie to the earlier), evidence around it."""
     from ..operators import prepare
 
-    a = lambda s: F.struct(F.substring("text", s + 1, 12).alias("text"), F.lit(s).alias("start"))
-    answers = F.when(F.col("doc_id") % 2 == 0, F.array(a(40), a(100), a(100))).otherwise(F.array(a(100), a(40)))
+    at = lambda part: F.floor(F.length("text") / part).cast("int")
+    a = lambda part: F.struct(F.substring("text", at(part) + 1, F.lit(12)).alias("text"), at(part).alias("start"))
+    answers = F.when(F.col("doc_id") % 2 == 0, F.array(a(8), a(4), a(4))).otherwise(F.array(a(4), a(8)))
     qas = F.array(F.struct(F.lit("q").alias("id"), F.lit("what?").alias("question"), answers.alias("answers")))
-    d = _T(spark, sf, "documents").where(F.length("text") > 400).select(F.col("doc_id").alias("article_id"), F.lit(0).alias("paragraph_id"), F.col("text").alias("context"), qas.alias("qas"))
+    d = _T(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), F.lit(0).alias("paragraph_id"), F.col("text").alias("context"), qas.alias("qas"))
     return prepare.reading_items(d).select("source_document_id", "answer_start", "answer_text", "evidence")

@@ -361,7 +361,7 @@ def metric_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     """Means per stage and per stage and dataset, by grouping sets."""
     gold = once(_gold(spark, sf), "gold")
     m = metrics.stage_metrics(_stage_rows(spark, sf, gold), gold, 10, ["query_id", "stage"])
-    m = m.join(F.broadcast(adapters.questions(spark, sf).select("query_id", "dataset")), "query_id")
+    m = m.join(adapters.questions(spark, sf).select("query_id", "dataset"), "query_id")
     return metrics.averages(m, ["dataset"]).select("stage", "dataset", *[F.round(c, 6).alias(c) for c in metrics.METRICS], "n")
 
 
@@ -379,12 +379,12 @@ def span_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
     return kids.join(_gold(spark, sf).alias("g"), on).groupBy("g.query_id", "c.chunk_id").agg(F.max("g.grade").alias("grade"))
 
 
-@register("gold_scope_recall", adapters.sql("SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS fts_rank FROM scores JOIN children USING (chunk_id) JOIN (SELECT DISTINCT query_id, document_id FROM gold) USING (query_id, document_id) JOIN questions USING (query_id) WHERE dataset = 'drcd-gold' QUALIFY fts_rank <= 10", _TEXT))
+@register("gold_scope_recall", adapters.sql("SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS fts_rank FROM scores JOIN children USING (chunk_id) JOIN (SELECT DISTINCT query_id, document_id FROM gold) USING (query_id, document_id) QUALIFY fts_rank <= 10", _TEXT))
 def gold_scope_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Text recall of the datasets that scope each question to its gold documents."""
+    """Text recall of every question in the scope of its gold documents."""
     kids = recall.gate(adapters.children(_docs(spark, sf))).select("document_id", "chunk_id", "content")
-    asked = adapters.questions(spark, sf).where("dataset = 'drcd-gold'").select("query_id", text.white_tokens(F.col("query_text")).alias("tokens"))
-    scope = _gold(spark, sf).select("query_id", "document_id").distinct().join(F.broadcast(asked), "query_id")  # a bounded query set
+    asked = adapters.questions(spark, sf).select("query_id", text.white_tokens(F.col("query_text")).alias("tokens"))
+    scope = _gold(spark, sf).select("query_id", "document_id").distinct().join(asked, "query_id")
     found = kids.join(scope, "document_id").withColumn("score", scoring.fts_score(F.col("tokens"), F.col("content"))).where("score > 0")
     return recall.ranked(found, ["query_id"], [F.desc("score"), "chunk_id"], "fts_rank", 10).select("query_id", "chunk_id", "score", "fts_rank")
 

@@ -46,14 +46,13 @@ _REGIONS = "(SELECT user_id, list({page: (event_id % 9)::INT, l: CASE WHEN event
 @register("page_ranges", f"SELECT user_id, list_min(list_transform(u, lambda x: x.page)) AS page_start, list_max(list_transform(u, lambda x: x.page)) AS page_end, len(u)::INT AS regions FROM (SELECT user_id, list_filter(r, lambda x: x.l IS NOT NULL) AS u FROM {_REGIONS})")
 def page_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Page span of the regions whose boxes are whole."""
-    box = F.struct((F.col("event_id") % 9).cast("int").alias("page"), F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("left"), F.col("value").alias("bottom"), F.col("value").alias("right"), F.col("value").alias("top"))
-    g = _T(spark, sf, "events").groupBy("user_id").agg(F.collect_list(box).alias("r")).withColumn("u", serving.usable_regions(F.col("r")))
-    return g.select("user_id", serving.page_range(F.col("u")).alias("p"), F.size("u").alias("regions")).select("user_id", "p.page_start", "p.page_end", "regions")
+    sides = [F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("left"), *[F.col("value").alias(x) for x in ("bottom", "right", "top")]]
+    return serving.page_ranges(_T(spark, sf, "events").select("user_id", (F.col("event_id") % 9).cast("int").alias("page"), *sides), "user_id")
 
 
 @register("coverage_signals", "SELECT conv_id, len(list_filter(list_distinct(e), lambda x: NOT list_contains(f, x)))::INT AS missing, len(list_distinct(f)) >= 2 AS supports_compare FROM (SELECT conv_id, list(turn % 5) AS e, coalesce(list(turn % 5) FILTER (turn % 2 = 0), []) AS f FROM conversations GROUP BY ALL)")
 def coverage_signals(spark: SparkSession, sf: str) -> DataFrame:
-    g = _T(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.col("turn") % 5).alias("e"), F.collect_list(F.when(F.col("turn") % 2 == 0, F.col("turn") % 5)).alias("f"))
+    g = _T(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_set(F.col("turn") % 5).alias("e"), F.collect_set(F.when(F.col("turn") % 2 == 0, F.col("turn") % 5)).alias("f"))
     return g.select("conv_id", serving.coverage_signals(F.col("e"), F.col("f")).alias("s")).select("conv_id", F.size("s.missing").alias("missing"), "s.supports_compare")
 
 

@@ -44,3 +44,19 @@ def test_lexicon(spark):
     empty = textindex.build(chunks.limit(0))
     assert textindex.search(spark, empty, _queries(spark), 3).count() == 0
     textindex.drop(spark, empty)
+
+
+def test_large_question_sets_go_in_blocks(spark, monkeypatch):
+    chunks = _chunks(spark, 200)
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(["the on", "a aa", "x-y", "person", "onion the", "été", "策略", "don't", "seldomword a"])], "query_id long, query_text string")
+    want = sorted(map(tuple, recall.text_recall(chunks, queries, 4).collect()))
+    vectors = chunks.selectExpr("chunk_id", "array(pmod(chunk_id, 7) - 3D, pmod(chunk_id, 5) - 2D) AS embedding")
+    asked = queries.selectExpr("query_id", "array(query_id + 1D, 3D - query_id) AS embedding")
+    near = sorted(map(tuple, recall.vector_recall(vectors, asked, 4).collect()))
+    index = textindex.build(chunks, block=50, buckets=2)
+    monkeypatch.setattr(recall, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(textindex, "QUERY_BLOCK", 4)
+    assert sorted(map(tuple, recall.text_recall(chunks, queries, 4).collect())) == want
+    assert sorted(map(tuple, recall.vector_recall(vectors, asked, 4).collect())) == near
+    assert sorted(map(tuple, textindex.search(spark, index, queries, 4).collect())) == want
+    textindex.drop(spark, index)
