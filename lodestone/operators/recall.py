@@ -96,7 +96,7 @@ def _vector_block(chunks: DataFrame, queries: DataFrame, k: int, key: str) -> Da
                 continue
             x = np.asarray(vectors.flatten(), np.float64).reshape(len(ids), -1)
             norm = np.sqrt((x * x).sum(axis=1))
-            x /= np.where(norm == 0, 1, norm)[:, None]
+            x = x / np.where(norm == 0, 1, norm)[:, None]
             for first in range(0, len(qids), _TILE):  # a tile of queries at a time bounds the matrix of distances
                 d = np.round(1 - unit[first : first + _TILE] @ x.T, 12) + 0.0
                 out = []

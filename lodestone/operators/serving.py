@@ -169,3 +169,58 @@ def context_payload(contexts: DataFrame, documents: DataFrame) -> DataFrame:
 def tool_contexts(payload: DataFrame) -> DataFrame:
     """The short form for a tool call: label, index, document's name, heading, text."""
     return payload.select("query_id", "context_label", "context_index", "document_name", "heading", "assembled_text")
+
+
+#: What an answer that compares is told to do, the state and reasons that need no trace (fixed values).
+COMPARE_TEMPLATE = ["先逐一說明每份文件的直接證據與立場。", "再整理共同點與差異；只有雙方都有直接證據時才能寫成共同點。", "若目前已具備雙邊直接證據，直接完成比較，不要加入 required documents 或 tool coverage 狀態前言；只有真的缺少其中一方證據時，才簡短說明證據不足。"]
+QUIET, UNTOLD = "normal", ["not_started", "continue"]
+
+
+def tool_payloads(contexts: DataFrame, planning: DataFrame, calls: DataFrame) -> DataFrame:
+    """One row a tool call: what the answering model gets, as columns that to_json turns into its payload.
+
+    contexts: rows of tool_contexts() with document_id; planning: query_id, place, document_id, document_name, mentioned, hit;
+    calls: query_id, query_type, tool_calls, followups, inspections, latency_status, stop_reason. A call has few contexts and
+    documents to plan with, by the limits that they were selected under. Without contexts the lists are empty.
+    """
+    shown = contexts.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("context_index", "context_label", "document_name", "heading", "assembled_text"))).alias("assembled_contexts"),
+        F.collect_set("document_id").alias("covered"),
+    )
+    order = F.sort_array(F.collect_list(F.struct("place", "document_id", "document_name", "mentioned", "hit")))
+    plans = planning.groupBy("query_id").agg(order.alias("planned"))
+    rows = calls.join(shown, "query_id", "left").join(plans, "query_id", "left")
+    none = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
+    kinds = dict(rows.dtypes)
+    rows = rows.select(*calls.columns, *[none(n, kinds[n]) for n in ("assembled_contexts", "covered", "planned")])
+    part = lambda c, name: F.transform(c, lambda x: x[name])
+    wanted = F.filter("planned", lambda x: x["mentioned"] | x["hit"])
+    compare = F.col("query_type") == "cross_document_compare"
+    contract = F.when(compare, F.struct(F.col("query_type").alias("task_type"), F.array_distinct(part(wanted, "document_name")).alias("required_document_names"), F.array(*map(F.lit, COMPARE_TEMPLATE)).alias("compare_answer_template")))
+    told = (F.col("followups") > 0) | (F.col("inspections") > 0) | (F.col("latency_status") != QUIET) | ~F.col("stop_reason").isin(UNTOLD)
+    trace = F.when(told, F.struct(F.col("tool_calls").alias("tool_call_count"), F.col("followups").alias("followup_call_count"), F.col("inspections").alias("synopsis_inspection_count"), F.col("latency_status").alias("latency_budget_status"), "stop_reason"))
+    return rows.select(
+        "query_id",
+        "query_type",
+        "assembled_contexts",
+        coverage_signals(part(F.filter("planned", lambda x: x["mentioned"]), "document_id"), F.col("covered")).alias("coverage_signals"),
+        F.transform("planned", lambda x: F.struct(x["document_name"].alias("document_name"), x["mentioned"].alias("mentioned_by_query"), x["hit"].alias("hit_in_current_round"))).alias("planning_documents"),
+        trace.alias("loop_trace_delta"),
+        contract.alias("response_contract"),
+    )
+
+
+def tool_summary(payloads: DataFrame, citations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row a tool call for its event: counts of contexts and citations, the routing decision, coverage and contract.
+
+    citations: query_id, one row each; decisions: query_id, label, source, confidence, fallback_used, fallback_reason.
+    """
+    cited = citations.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("citations_count"))
+    routed = decisions.select("query_id", F.col("source").alias("query_type_source"), F.col("confidence").alias("query_type_confidence"), F.col("fallback_used").alias("query_type_fallback_used"), F.col("fallback_reason").alias("query_type_fallback_reason"))
+    rows = payloads.join(cited, "query_id", "left").join(routed, "query_id", "left").fillna(0, ["citations_count"])
+    return rows.select("query_id", F.size("assembled_contexts").alias("contexts_count"), "citations_count", "query_type", *routed.columns[1:], "coverage_signals", "planning_documents", F.col("response_contract").isNotNull().alias("has_contract"))
+
+
+def citations(payload: DataFrame) -> DataFrame:
+    """Citations of context_payload() rows: label, document, span, and the text as excerpt."""
+    return payload.select("query_id", "context_index", "context_label", "document_id", "document_name", "parent_id", "child_chunk_ids", "heading", "structure_kind", "start_offset", "end_offset", F.col("assembled_text").alias("excerpt"), "source", "truncated")

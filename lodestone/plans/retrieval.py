@@ -478,3 +478,50 @@ def document_selection(spark: SparkSession, sf: str) -> DataFrame:
     ids = F.when(kind == 1, F.array(q + 1)).when(kind == 2, F.array(q + 2, q + 1)).otherwise(F.array().cast("array<long>"))
     mentions = adapters.questions(spark, sf).select("query_id", F.when(kind == 0, "fact_lookup").when(kind == 1, "document_summary").otherwise("cross_document_compare").alias("query_type"), F.when(kind == 1, "single_document").alias("summary_scope"), ids.alias("resolved"))
     return recall.select_documents(_documents_found(spark, sf), mentions, 6)
+
+
+_CALLS = """
+ctx AS (SELECT f.query_id, (f.fts_rank - 1)::INT AS context_index, c.document_id, d.file_name AS document_name, c.heading, c.content AS assembled_text FROM fts f JOIN children c USING (chunk_id) JOIN docs d ON d.document_id = c.document_id WHERE f.fts_rank <= 3),
+plan AS (SELECT query_id, document_id, document_name, min(context_index) AS place, query_id % 4 = 0 AS mentioned, min(context_index) < 2 AS hit FROM ctx GROUP BY ALL),
+calls AS (SELECT query_id, CASE query_id % 3 WHEN 0 THEN 'cross_document_compare' WHEN 1 THEN 'document_summary' ELSE 'fact_lookup' END AS query_type, query_id % 5 AS followups, CASE WHEN query_id % 7 = 0 THEN 'degraded' ELSE 'normal' END AS latency_status, CASE WHEN query_id % 10 = 3 THEN 'enough' ELSE 'continue' END AS stop_reason FROM questions)
+"""
+
+
+def _calls(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, asked = _docs(spark, sf), adapters.questions(spark, sf)
+    kids = recall.gate(adapters.children(docs))
+    found = once(recall.text_recall(kids, asked, 3).select("query_id", "chunk_id", "fts_rank"), "calls")
+    names = docs.select("document_id", F.col("file_name").alias("document_name"))
+    held = kids.select("chunk_id", "document_id", "heading", F.col("content").alias("assembled_text")).join(found, "chunk_id").join(names, "document_id")
+    index = (F.col("fts_rank") - 1).cast("int")
+    contexts = held.select("query_id", index.alias("context_index"), text.context_label(index).alias("context_label"), "document_id", "document_name", "heading", "assembled_text")
+    planning = contexts.groupBy("query_id", "document_id", "document_name").agg(F.min("context_index").alias("place")).withColumn("mentioned", F.col("query_id") % 4 == 0).withColumn("hit", F.col("place") < 2)
+    q = F.col("query_id")
+    kind = F.when(q % 3 == 0, "cross_document_compare").when(q % 3 == 1, "document_summary").otherwise("fact_lookup")
+    calls = asked.select("query_id", kind.alias("query_type"), F.lit(1).alias("tool_calls"), (q % 5).alias("followups"), F.lit(0).alias("inspections"), F.when(q % 7 == 0, "degraded").otherwise("normal").alias("latency_status"), F.when(q % 10 == 3, "enough").otherwise("continue").alias("stop_reason"))
+    return contexts, planning, calls
+
+
+@register(
+    "tool_payloads",
+    adapters.sql(
+        "SELECT c.query_id, c.query_type, coalesce((SELECT string_agg('C' || (x.context_index + 1) || ':' || x.document_name || ':' || md5(x.assembled_text), ',' ORDER BY x.context_index) FROM ctx x WHERE x.query_id = c.query_id), '') AS contexts, "
+        "(SELECT count(DISTINCT x.document_id) FROM ctx x WHERE x.query_id = c.query_id) >= 2 AS supports_compare, CASE WHEN followups > 0 OR latency_status <> 'normal' OR stop_reason <> 'continue' THEN stop_reason END AS stop_reason, "
+        "CASE WHEN query_type = 'cross_document_compare' THEN coalesce((SELECT string_agg(p.document_name, ',' ORDER BY p.place, p.document_id) FROM plan p WHERE p.query_id = c.query_id AND (p.mentioned OR p.hit)), '') END AS required FROM calls c",
+        _TEXT.strip() + "," + _CALLS,
+    ),
+)
+def tool_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """What a tool call gives the answering model, from the three best chunks of each question."""
+    rows = serving.tool_payloads(*_calls(spark, sf))
+    shown = F.array_join(F.transform("assembled_contexts", lambda x: F.concat(x["context_label"], F.lit(":"), x["document_name"], F.lit(":"), F.md5(x["assembled_text"]))), ",")
+    return rows.select("query_id", "query_type", shown.alias("contexts"), "coverage_signals.supports_compare", "loop_trace_delta.stop_reason", F.array_join("response_contract.required_document_names", ",").alias("required"))
+
+
+@register("tool_summaries", adapters.sql("SELECT query_id, (SELECT count(*) FROM ctx x WHERE x.query_id = c.query_id)::INT AS contexts_count, (SELECT count(*) FROM ctx x WHERE x.query_id = c.query_id)::INT AS citations_count, query_type, 'rule' AS query_type_source, query_type = 'cross_document_compare' AS has_contract FROM calls c", _TEXT.strip() + "," + _CALLS))
+def tool_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """The event of each tool call: counts, routing source and whether it holds a contract."""
+    contexts, planning, calls = _calls(spark, sf)
+    decided = calls.select("query_id", F.col("query_type").alias("label"), F.lit("rule").alias("source"), F.lit(0.92).alias("confidence"), F.lit(False).alias("fallback_used"), F.lit(None).cast("string").alias("fallback_reason"))
+    rows = serving.tool_summary(serving.tool_payloads(contexts, planning, calls), contexts, decided)
+    return rows.select("query_id", "contexts_count", "citations_count", "query_type", "query_type_source", "has_contract")
