@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import scorers, suites
+from ..operators import scorers, snapshots, suites
 from ..sources import adapters
 from ..sources.scratch import shared_dir
 from ..streaming import chat
@@ -142,3 +143,20 @@ def chat_events(spark: SparkSession, sf: str) -> DataFrame:
     events = c.select("thread_id", (F.col("lossy") & (n > 2)).alias("lossy"), F.explode(told).alias("e")).select("thread_id", "lossy", "e.*", F.lit(None).cast("timestamp").alias("ts")).where(~(F.col("lossy") & (F.col("seq") == 3)))
     rows = chat.ordered_batch(events.unionByName(events))
     return chat.answers(rows).select("thread_id", F.md5("answer").alias("answer_md5"), "events", "tool_calls", "phase", "references", "missing")
+
+
+@register("snapshot_round_trip", adapters.sql("SELECT query_id::VARCHAR AS item_id, (document_id + 1000000)::VARCHAR AS document_id, start_offset, end_offset, grade AS relevance_grade FROM gold"))
+def snapshot_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Gold spans exported as a snapshot and imported where the same files have other ids."""
+    docs = adapters.documents(spark, sf)
+    gold, now = adapters.gold_spans(docs, spark, sf), datetime(2024, 1, 1)
+    place = f"{shared_dir(spark).rstrip('/')}/lodestone-{spark.sparkContext.applicationId}/snapshot-{uuid.uuid4().hex[:12]}"
+    asked = adapters.questions(spark, sf).select(F.col("query_id").cast("string").alias("item_id"), F.lit("gold").alias("dataset_id"), F.lit("fact_lookup").alias("query_type"), "query_text", F.lit("en").alias("language"), F.lit(None).cast("string").alias("notes"), F.lit(now).alias("created_at"))
+    span = F.concat_ws("-", "query_id", "document_id", "start_offset")
+    spans = gold.select(span.alias("span_id"), F.col("query_id").cast("string").alias("item_id"), F.col("document_id").cast("string").alias("document_id"), "start_offset", "end_offset", F.col("grade").alias("relevance_grade"), F.lit(False).alias("is_retrieval_miss"), F.lit("a").alias("created_by"), F.lit(now).alias("created_at"))
+    head = spark.createDataFrame([("gold", "all", "gold", "fact_lookup", "a", now)], snapshots.TABLES["dataset"])
+    snapshots.commit(spark, f"{place}/from", "gold", {"dataset": head, "items": asked, "spans": spans})
+    snapshots.export_snapshot(spark, f"{place}/from", "gold", docs, f"{place}/files")
+    other = docs.select((F.col("document_id") + 1_000_000).alias("document_id"), F.lit("other").alias("area_id"), "file_name", "status", "display_text")
+    snapshots.import_snapshot(spark, f"{place}/files", f"{place}/to", "other", other, "b", now)
+    return snapshots.table(spark, f"{place}/to", "gold", "spans").select("item_id", "document_id", "start_offset", "end_offset", "relevance_grade")
