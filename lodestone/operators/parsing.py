@@ -192,12 +192,26 @@ def parse_docx(data: bytes) -> list[Block]:
                     heading, level = text, int(m.group(1) or 1)
                 out.append(Block("text", heading, text, level))
             elif _tag(e) == "tbl":
-                rows = [[_said(c) for c in r if _tag(c) == "tc"] for r in e.iter() if _tag(r) == "tr"]
-                if text := render(rows):
+                rows = [[c for c in r if _tag(c) == "tc"] for r in e.iter() if _tag(r) == "tr"]
+                if text := render(_word_grid(rows)):
                     out.append(Block("table", heading, text, level))
     return out
 
 
+def _word_grid(rows: list[list[ElementTree.Element]]) -> list[list[str]]:
+    """Cells of a Word table as a grid: a cell over several columns or rows says its text in each."""
+    grid: list[list[str]] = []
+    for row in rows:
+        line: list[str] = []
+        for cell in row:
+            marks = {_tag(x): next((v for k, v in x.attrib.items() if k.endswith("val")), None) for x in cell.iter() if _tag(x) in ("gridSpan", "vMerge")}
+            follows = "vMerge" in marks and marks["vMerge"] in (None, "continue")
+            above = grid[-1][len(line)] if grid and len(line) < len(grid[-1]) else ""
+            line += [above if follows else _said(cell)] * int(marks.get("gridSpan") or 1)
+        grid.append(line)
+    return grid
+
+
 def parse_pptx(data: bytes) -> list[Block]:
     """Slides: the first text is the heading and a text block; tables are table blocks."""
     out: list[Block] = []
@@ -214,24 +228,68 @@ def parse_pptx(data: bytes) -> list[Block]:
     return out
 
 
+def _column(letters: str) -> int:
+    """The place of a column, from 0."""
+    return sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1
+
+
+_REF = re.compile(r"([A-Z]+)(\d+)")
+
+
+def _sheet_grid(sheet: ElementTree.Element, shared: list[str]) -> tuple[list[list[str]], int]:
+    """(rows, header rows) of a worksheet. A merged range says its value in each of its cells; the header is as deep as the
+    ranges that begin in its first row."""
+    held: dict[tuple[int, int], str] = {}
+    for y, r in enumerate((e for e in sheet.iter() if _tag(e) == "row"), 1):
+        y = int(r.attrib.get("r", y))
+        for x, c in enumerate(e for e in r if _tag(e) == "c"):
+            m = _REF.match(c.attrib.get("r", ""))
+            x = _column(m.group(1)) if m else x
+            value = next((v.text or "" for v in c if _tag(v) == "v"), _said(c))
+            held[y, x] = shared[int(value)] if c.attrib.get("t") == "s" else {"1": "TRUE", "0": "FALSE"}.get(value, value) if c.attrib.get("t") == "b" else value
+    ranges = []
+    for e in sheet.iter():
+        if _tag(e) == "mergeCell" and len(ends := _REF.findall(e.attrib.get("ref", ""))) == 2:
+            (a, top), (b, bottom) = ends
+            ranges.append((int(top), _column(a), int(bottom), _column(b)))
+    for top, left, bottom, right in ranges:
+        for y in range(top, bottom + 1):
+            for x in range(left, right + 1):
+                held[y, x] = held.get((top, left), "")
+    lines = sorted({y for (y, _), v in held.items() if v.strip()})
+    if not lines:
+        return [], 0
+    width = 1 + max(x for _, x in held)
+    first = lines[0]
+    last = max([bottom for top, _, bottom, _ in ranges if top == first] + [first + 1 if any(top == first and right > left for top, left, _, right in ranges) else first])
+    return [[held.get((y, x), "") for x in range(width)] for y in lines], sum(y <= last for y in lines)
+
+
+def _one_header(rows: list[list[str]], depth: int) -> list[list[str]]:
+    """Header rows as one: the different names above a column, from the top."""
+    if depth < 2 or depth >= len(rows):
+        return rows
+    names = [" / ".join(dict.fromkeys(v.strip() for v in column if v.strip())) for column in zip(*rows[:depth], strict=True)]
+    return [names, *rows[depth:]]
+
+
+def _sheets(z: zipfile.ZipFile) -> Iterator[tuple[str, str]]:
+    """(name, path) of the worksheets in the workbook's order; by its relations where it has them."""
+    relations = {}
+    if "xl/_rels/workbook.xml.rels" in z.namelist():
+        relations = {e.attrib.get("Id"): e.attrib.get("Target", "").removeprefix("/xl/") for e in _xml(z, "xl/_rels/workbook.xml.rels")}
+    for i, e in enumerate((e for e in _xml(z, "xl/workbook.xml").iter() if _tag(e) == "sheet"), 1):
+        own = next((v for k, v in e.attrib.items() if k.endswith("}id")), None)
+        yield e.attrib["name"], f"xl/{relations.get(own, f'worksheets/sheet{i}.xml')}"
+
+
 def parse_xlsx(data: bytes) -> list[Block]:
-    """Worksheets: the sheet's name is the heading of its table."""
+    """Worksheets: the sheet's name is the heading of its table. Merged ranges are filled, header rows become one."""
     out: list[Block] = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = [_said(e) for e in _xml(z, "xl/sharedStrings.xml") if _tag(e) == "si"] if "xl/sharedStrings.xml" in z.namelist() else []
-        names = [e.attrib["name"] for e in _xml(z, "xl/workbook.xml").iter() if _tag(e) == "sheet"]
-        for i, name in enumerate(names, 1):
-            rows = []
-            for r in (e for e in _xml(z, f"xl/worksheets/sheet{i}.xml").iter() if _tag(e) == "row"):
-                row: list[str] = []
-                for c in (x for x in r if _tag(x) == "c"):
-                    letters = re.match(r"[A-Z]*", c.attrib.get("r", "")).group()
-                    at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1
-                    row += [""] * (at - len(row))
-                    value = next((x.text or "" for x in c if _tag(x) == "v"), _said(c))
-                    row.append(shared[int(value)] if c.attrib.get("t") == "s" else value)
-                rows.append(row)
-            if text := render(rows):
+        for name, path in _sheets(z):
+            if text := render(_one_header(*_sheet_grid(_xml(z, path), shared))):
                 out.append(Block("table", name, text, 1))
     return out
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import bounded
-from ..sources.scratch import shared_dir
+from ..sources.scratch import folder
 from .recall import QUERY_BLOCK, in_blocks, ranked
 
 #: Chunks of a block, about, and buckets of the postings.
@@ -63,9 +63,7 @@ def build(chunks: DataFrame, name: str | None = None, key: str = "chunk_id", tex
     """
     spark = chunks.sparkSession
     name = name or f"text_index_{uuid.uuid4().hex[:12]}"
-    at = f"{shared_dir(spark).rstrip('/')}/lodestone-{spark.sparkContext.applicationId}/{name}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(at)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    at = folder(spark, name)
     rows = bounded(chunks.select(F.col(key).cast("long").alias("chunk_id"), F.col(text).cast("string")))
     n_blocks = max(1, -(-rows.count() // block))
     words = rows.mapInArrow(_words, "chunk_id long, word string, n int").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(n_blocks)).cast("int"))

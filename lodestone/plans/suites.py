@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scorers, snapshots, suites
 from ..sources import adapters
-from ..sources.scratch import shared_dir
+from ..sources.scratch import folder
 from ..streaming import chat
 from .catalog import register
 from .evaluation import _JUDGED, _judged
@@ -90,8 +89,7 @@ def suite_run(spark: SparkSession, sf: str) -> DataFrame:
         summary = F.col("family") == "summary"
         return both.select("item_id", "family", F.when(summary, F.col("s.f1")).otherwise(F.col("v.score")).alias("value"), F.when(summary, F.col("s.status")).otherwise(F.col("v.status")).alias("status"))
 
-    folder = f"{shared_dir(spark).rstrip('/')}/lodestone-{spark.sparkContext.applicationId}/run-{uuid.uuid4().hex[:12]}"
-    held = suites.run(_items(spark, sf), work, folder, {"judge": "words"}, wave=2000)
+    held = suites.run(_items(spark, sf), work, folder(spark, "run"), {"judge": "words"}, wave=2000)
     return held.groupBy("family").agg(F.count(F.lit(1)).alias("items"), F.round(F.avg("value"), 4).alias("value"), F.count_distinct("wave").alias("waves"))
 
 
@@ -150,7 +148,7 @@ def snapshot_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Gold spans exported as a snapshot and imported where the same files have other ids."""
     docs = adapters.documents(spark, sf)
     gold, now = adapters.gold_spans(docs, spark, sf), datetime(2024, 1, 1)
-    place = f"{shared_dir(spark).rstrip('/')}/lodestone-{spark.sparkContext.applicationId}/snapshot-{uuid.uuid4().hex[:12]}"
+    place = folder(spark, "snapshot")
     asked = adapters.questions(spark, sf).select(F.col("query_id").cast("string").alias("item_id"), F.lit("gold").alias("dataset_id"), F.lit("fact_lookup").alias("query_type"), "query_text", F.lit("en").alias("language"), F.lit(None).cast("string").alias("notes"), F.lit(now).alias("created_at"))
     span = F.concat_ws("-", "query_id", "document_id", "start_offset")
     spans = gold.select(span.alias("span_id"), F.col("query_id").cast("string").alias("item_id"), F.col("document_id").cast("string").alias("document_id"), "start_offset", "end_offset", F.col("grade").alias("relevance_grade"), F.lit(False).alias("is_retrieval_miss"), F.lit("a").alias("created_by"), F.lit(now).alias("created_at"))

@@ -19,11 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def once(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back; deleted when the driver ends."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder's path in the shared one; deleted when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/lodestone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back; deleted when the driver ends."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
