@@ -320,10 +320,14 @@ def shown(tree, indent: str = "") -> str:
 
 def classify(tree, x: np.ndarray) -> np.ndarray:
     """Which rows are main text."""
-    if isinstance(tree, bool):
-        return np.full(len(x), tree)
-    f, t, below, above = tree
-    return np.where(x[:, f] < t, classify(below, x), classify(above, x))
+    out = np.zeros(len(x), bool)
+    for i, row in enumerate(x.tolist()):
+        node = tree
+        while not isinstance(node, bool):
+            f, t, below, above = node
+            node = below if row[f] < t else above
+        out[i] = node
+    return out
 
 
 _WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud".split()
@@ -418,7 +422,8 @@ def labelled(parts: list[tuple[str, list[int]]], style: str) -> tuple[str, str]:
     return "".join(page), marks
 
 
-LABELLED = [labelled(layout(random.Random(k)), STYLES[k % len(STYLES)]) for k in range(PAGES)] + [
+#: Pages beside those of the rule.
+_MORE = [
     # parts inside the article, short articles, articles of linked paragraphs, teasers in a sidebar
     (f'<article><p>{_say(25)}</p><div class="share">{_say(3)}</div><ul><li>{_say(2)}</li><li>{_say(30)}</li></ul><div class="comments"><p>{_say(70)}</p><p>{_say(9)}</p></div></article>', "1" "0" "11" "00"),
     (f"<main><h1>{_say(2)}</h1><p>{_say(1)}</p><p>{_say(90)}</p><aside>{_say(30)}</aside><form>{_say(12)}</form><nav>{_say(2)}</nav></main>", "111" "0" "0" "0"),
@@ -433,11 +438,18 @@ LABELLED = [labelled(layout(random.Random(k)), STYLES[k % len(STYLES)]) for k in
 ]
 
 
+def __getattr__(name: str):
+    """LABELLED, the labelled table: made where it is asked for, as executors do without."""
+    if name != "LABELLED":
+        raise AttributeError(name)
+    return [labelled(layout(random.Random(k)), STYLES[k % len(STYLES)]) for k in range(PAGES)] + _MORE
+
+
 @functools.cache
 def tree():
     """The tree trained on the labelled table."""
     x, y = [], []
-    for page, marks in LABELLED:
+    for page, marks in __getattr__("LABELLED"):
         found = blocks(page)
         if len(found) != len(marks):
             raise ValueError(f"{len(found)} blocks, {len(marks)} labels")
