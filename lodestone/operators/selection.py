@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .recall import ranked
 from .rerank import document_rounds
 
-#: Groups of one query that the greedy pass takes, at most.
-GREEDY_GROUPS = 4096
-
-
 def select_ranked(groups: DataFrame, max_contexts: int) -> DataFrame:
     """The first groups in order: fact lookup and single-document summary."""
     return ranked(groups, ["query_id"], ["group_rank"], "select_rank", max_contexts)
@@ -27,43 +22,11 @@ def select_compare(groups: DataFrame, max_contexts: int, passes: int = 2) -> Dat
     return ranked(rounds, ["query_id"], keys, "select_rank", max_contexts)
 
 
-def _greedy(max_contexts: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("group_rank", kind="stable")
-        if len(pdf) > GREEDY_GROUPS:
-            raise ValueError(f"more than {GREEDY_GROUPS} groups of one query")
-        docs, orders = pdf["document_id"].tolist(), list(range(len(pdf)))
-        chosen: list[int] = []
-        for i in orders:  # one group of each document first
-            if docs.index(docs[i]) == i and len(chosen) < max_contexts:
-                chosen.append(i)
-        left = [i for i in orders if i not in set(chosen)]
-        progress = True
-        while progress and len(chosen) < max_contexts:
-            progress = False
-            for i in left:
-                taken = {d: sum(docs[c] == d for c in chosen) for d in {docs[j] for j in left} | {docs[i]}}
-                waiting = any(taken[docs[j]] < 2 for j in left if docs[j] != docs[i])
-                if taken[docs[i]] >= 2 and waiting:
-                    continue  # no third group while another document that has groups left has fewer than two
-                chosen.append(i)
-                left.remove(i)
-                progress = True
-                break
-        chosen += left[: max_contexts - len(chosen)]
-        out = pdf.iloc[chosen][["query_id", "document_id", "parent_id"]].copy()
-        out["select_rank"] = range(1, len(out) + 1)
-        return out
-
-    return run
-
-
 def select_summary(groups: DataFrame, max_contexts: int) -> DataFrame:
-    """One group of each document, then greedy filling under the guardrail, a bounded list per query in pandas."""
-    chosen = groups.select("query_id", "document_id", "parent_id", "group_rank").groupBy("query_id").applyInPandas(
-        _greedy(max_contexts), "query_id long, document_id long, parent_id long, select_rank int"
-    )
-    return groups.join(chosen, ["query_id", "document_id", "parent_id"])
+    """One group of each document, then greedy filling with no third group of a document while another one that has groups
+    left has fewer than two. In closed form: first groups by order, second groups by order, then all others by order."""
+    rounds = document_rounds(groups)
+    return ranked(rounds, ["query_id"], [F.least("doc_round", F.lit(3)), "group_rank"], "select_rank", max_contexts).drop("doc_round", "doc_first")
 
 
 def dropped(groups: DataFrame, selected: DataFrame) -> DataFrame:

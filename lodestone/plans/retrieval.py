@@ -274,9 +274,9 @@ def select_fact_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return selection.select_ranked(_reranked(spark, sf), 9).select("query_id", "parent_id", "select_rank")
 
 
-@register("select_summary")
+@register("select_summary", adapters.sql("SELECT query_id, document_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY least(doc_round, 3), group_rank)::INT AS select_rank FROM rounds QUALIFY select_rank <= 9", _ROUNDS))
 def select_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Coverage and guarded greedy filling; tested against hand-made cases."""
+    """Coverage and guarded greedy filling; tested against the greedy loop."""
     return selection.select_summary(_reranked(spark, sf), 9).select("query_id", "document_id", "parent_id", "select_rank")
 
 

@@ -90,6 +90,31 @@ def test_selection(spark):
     assert {r.parent_id for r in selection.dropped(two, chosen).collect()}.isdisjoint(_picked(chosen))
 
 
+def test_summary_selection_is_the_greedy_loop(spark):
+    rng = random.Random(8)
+
+    def greedy(docs, most):
+        order = list(range(len(docs)))
+        chosen = [i for i in order if docs.index(docs[i]) == i][:most]
+        left = [i for i in order if i not in chosen]
+        while len(chosen) < most:
+            taken = {d: sum(docs[c] == d for c in chosen) for d in docs}
+            able = [i for i in left if taken[docs[i]] < 2 or not any(taken[docs[j]] < 2 for j in left if docs[j] != docs[i])]
+            if not able:
+                break
+            chosen.append(able[0])
+            left.remove(able[0])
+        return [i + 1 for i in chosen + left[: most - len(chosen)]]
+
+    rows, want = [], {}
+    for q in range(150):
+        docs = [rng.randint(1, rng.choice([1, 2, 4, 8])) for _ in range(rng.randint(0, 24))]
+        rows += [(q, d, i, i) for i, d in enumerate(docs, 1)]
+        want[q] = greedy(docs, 9)
+    chosen = selection.select_summary(spark.createDataFrame(rows, "query_id long, document_id long, parent_id long, group_rank int"), 9).orderBy("query_id", "select_rank").collect()
+    assert {q: [r.parent_id for r in chosen if r.query_id == q] for q in want} == want
+
+
 def test_rerank(spark):
     r = one(spark, *[rerank.budget(2000, F.lit(n)) for n in (1, 2, 3)])
     assert list(r) == [2000, 4000, 5000]
