@@ -285,7 +285,7 @@ def pieces(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, id_
 def pack(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (in tokens, gapless from 0).
 
-    A null text is empty and still has its end id. Repeated rows are packed each for itself; null ids are kept;
+    A null text is empty and still has its end id; a text of any length is tokenised whole. Repeated rows are packed each for itself; null ids are kept;
     other columns are not read. Empty input gives no rows.
     """
     rows = common.durable(pieces(docs, path, capacity, id_col, text_col).withColumn("bucket", common.by_row(BUCKETS)), "pieces")

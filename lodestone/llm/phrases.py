@@ -16,7 +16,7 @@ of such a prefix are dealt by its extensions instead, word by word, so no task g
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from itertools import count
 
 import numpy as np
@@ -36,8 +36,6 @@ COVERED = 80
 SCALE = 2_000_000
 #: Hash buckets of pairs, as a power of two.
 BUCKETS = 24
-#: Characters of a block, about: a worker holds one as numbers and a few arrays of its length.
-BLOCK = 3 << 20
 #: A prefix with more than one of so many occurrences is dealt by its extensions.
 SHARE = 2048
 
@@ -77,27 +75,19 @@ class _Block:
 
 
 def _blocks(batch: pa.RecordBatch):
-    """The texts of a batch by language, in blocks of about BLOCK characters (a longer text is a block of its own)."""
-    held: defaultdict[str, list[str]] = defaultdict(list)
-    size: Counter[str] = Counter()
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        text = text.as_py()
-        if size[lang] and size[lang] + len(text) > BLOCK:
-            yield lang, _Block(lang, held.pop(lang))
-            size[lang] = 0
-        held[lang].append(text)
-        size[lang] += len(text)
-    while held:
-        lang, texts = held.popitem()
-        yield lang, _Block(lang, texts)
+    by_lang: defaultdict[str, list[str]] = defaultdict(list)
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        by_lang[lang].append(text)
+    for lang, texts in by_lang.items():
+        block = _Block(lang, texts)
+        if block.size > 1:
+            yield lang, block
 
 
 def _counts(batches, share: int, bits: int):
     """Rows of _COUNT: all words, pairs by bucket, and pairs and triples with a large share of their block."""
     for batch in batches:
         for lang, b in _blocks(batch):
-            if b.size < 2:
-                continue
             times = np.bincount(b.ids, minlength=b.size)
             out = [(1, b.words[1:], None, times[1:])]
             at = np.flatnonzero(b.pair)

@@ -112,7 +112,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     """Assign every row to one of `shards` shards of near equal bytes, equal texts together.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law ("bytes"), shard, slot (gapless from 0 in each
-    shard), grown_shard (null under this law). A null text counts as no bytes and shares the group of the empty
+    shard), grown_shard (null under this law). A text of any length is counted whole. A null text counts as no bytes and shares the group of the empty
     text. Repeated rows each get a slot; null ids are kept; other columns are not read. No rows, no result rows.
     With fewer groups than shards some shards stay empty.
     """

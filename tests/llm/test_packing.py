@@ -105,3 +105,15 @@ def test_query(spark, tokenizer):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_long_texts(spark, tokenizer):
+    rng = random.Random(9)
+    long = " ".join(rng.choice(["alpha", "été", "gamma.\n", "1234", "zz"]) for _ in range(300_000))
+    docs = [(1, long, "x", 1, 1), (2, "short", "x", 1, 1), (3, "a" * 200_000, "x", 1, 1)]
+    rows = packing.pack(spark.createDataFrame(docs, SCHEMA)).collect()
+    layout(rows, 2048)
+    for d, t, *_ in docs:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want = {(k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 2048))}
+        assert {(r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == d} == want

@@ -88,3 +88,13 @@ def test_empty_and_repeated(spark):
     assert sharding.shard(spark.createDataFrame([], SCHEMA)).count() == 0
     docs = [(1, "a b", "x", 1)] * 5
     assert sorted(r.slot for r in sharding.shard(spark.createDataFrame(docs, SCHEMA)).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_very_long_texts(spark):
+    """One text far above an even share: the capacity is its size, and all is kept."""
+    docs = [(1, "é" * 4_000_000, "x", 1), (2, "b" * 1_000_000, "x", 1)] + [(10 + i, f"text {i}", "x", 1) for i in range(50)]
+    rows = sharding.shard(spark.createDataFrame(docs, SCHEMA)).collect()
+    load = check(rows, docs, 8)
+    assert max(load.values()) == 8_000_001
+    got = {r.doc_id: r for r in rows}
+    assert got[1].size == 8_000_001 and got[1].text_crc32 == zlib.crc32(("é" * 4_000_000).encode()) and got[2].size == 1_000_001
