@@ -7,6 +7,8 @@ exactly, the gold spans.
 
 from __future__ import annotations
 
+import uuid
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -138,6 +140,26 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The automaton that a worker holds, by the list it was made of: the tasks of a worker make it once.
+_HELD: dict[str, ahocorasick.Automaton] = {}
+
+
+def _automaton(key: str, held) -> ahocorasick.Automaton:
+    """The automaton over the passages of a broadcast list; a worker keeps the last one."""
+    if key not in _HELD:
+        same: dict[str, list[int]] = {}
+        for i, p in held.value:
+            same.setdefault(p, []).append(i)
+        made = ahocorasick.Automaton()
+        for p, ids in same.items():
+            made.add_word(p, (len(p), ids))
+        if same:
+            made.make_automaton()
+        _HELD.clear()
+        _HELD[key] = made
+    return _HELD[key]
+
+
 def exact_matches(texts: DataFrame, id_col: str, text_col: str, passages: list[tuple[int, str]]) -> DataFrame:
     """(id, passage_id, start_offset, end_offset) of all, also overlapping, occurrences of a bounded passage list.
 
@@ -145,21 +167,14 @@ def exact_matches(texts: DataFrame, id_col: str, text_col: str, passages: list[t
     """
     if len(passages) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} passages: match them in blocks")
+    key, held = uuid.uuid4().hex, texts.sparkSession.sparkContext.broadcast([(i, p) for i, p in passages if p])  # at most PATTERNS, checked
 
     def run(batches):
-        automaton = ahocorasick.Automaton()
-        same: dict[str, list[int]] = {}
-        for i, p in passages:
-            if p:
-                same.setdefault(p, []).append(i)
-        for p, ids in same.items():
-            automaton.add_word(p, (len(p), ids))
-        if same:
-            automaton.make_automaton()
+        automaton = _automaton(key, held)
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for end, (n, ids) in automaton.iter(text.as_py() or "") if same else ():
+                for end, (n, ids) in automaton.iter(text.as_py() or "") if len(automaton) else ():
                     for i in ids:
                         for column, value in zip(out, (doc, i, end + 1 - n, end + 1), strict=True):
                             column.append(value)
