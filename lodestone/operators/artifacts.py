@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import bounded
 from ..sources.readers import reusable, write_artifacts
 from . import layout, parsing
 
@@ -143,7 +144,7 @@ def make(files: DataFrame, provider: str = "local") -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _ARTIFACT.split(", ")])
 
-    return files.select(F.col("document_id").cast("long"), "file_name", "content", "payload").mapInArrow(run, _ARTIFACT)
+    return bounded(files.select(F.col("document_id").cast("long"), "file_name", "content", "payload")).mapInArrow(run, _ARTIFACT)
 
 
 def rebuild(artifacts: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def rebuild(artifacts: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _REBUILT.split(", ")])
 
-    return artifacts.select(F.col("document_id").cast("long"), "artifact_name", "payload").mapInArrow(run, _REBUILT)
+    return bounded(artifacts.select(F.col("document_id").cast("long"), "artifact_name", "payload")).mapInArrow(run, _REBUILT)
 
 
 def ingest(files: DataFrame, path: str, provider: str = "local") -> DataFrame:
