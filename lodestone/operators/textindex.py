@@ -67,13 +67,13 @@ def build(chunks: DataFrame, name: str | None = None, key: str = "chunk_id", tex
     rows = bounded(chunks.select(F.col(key).cast("long").alias("chunk_id"), F.col(text).cast("string")))
     n_blocks = max(1, -(-rows.count() // block))
     words = rows.mapInArrow(_words, "chunk_id long, word string, n int").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(n_blocks)).cast("int"))
-    held = words.groupBy("block", "word", "chunk_id").agg(F.sum("n").alias("n"))
-    lists = held.groupBy("block", "word").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "n"))).alias("p"))  # at most a block's chunks
-    postings = lists.select("block", "word", F.col("p.chunk_id").alias("chunk_ids"), F.col("p.n").alias("times"))
     buckets = min(buckets, n_blocks)
-    postings.repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block", "word").option("path", f"{at}/postings").saveAsTable(f"{name}_postings")
+    # one shuffle, by block: what is grouped after it and the buckets it is written to are dealt by the same hash
+    lists = words.repartition(buckets, "block").groupBy("block", "word").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "n"))).alias("p"))  # at most a block's chunks
+    postings = lists.select("block", "word", F.col("p.chunk_id").alias("chunk_ids"), F.col("p.n").alias("times"))
+    postings.write.bucketBy(buckets, "block").sortBy("block", "word").option("path", f"{at}/postings").saveAsTable(f"{name}_postings")
     one = F.aggregate("times", F.lit(0).cast("long"), lambda s, x: s + x)
-    lexicon = spark.table(f"{name}_postings").groupBy("word").agg(F.sum(F.size("chunk_ids").cast("long")).alias("chunks"), F.sum(one).alias("occurrences"))
+    lexicon = spark.table(f"{name}_postings").groupBy("word").agg(F.sum(F.size(F.array_distinct("chunk_ids")).cast("long")).alias("chunks"), F.sum(one).alias("occurrences"))
     lexicon.write.option("path", f"{at}/lexicon").saveAsTable(f"{name}_lexicon")
     return TextIndex(f"{name}_postings", f"{name}_lexicon")
 
