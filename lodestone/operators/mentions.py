@@ -11,15 +11,19 @@ has an equality join of its own:
 * they share words: by the weights that needs a word of at most two documents, or at least COMMON words; such a pair
   shares one of the rarest words of either side, all but the COMMON - 1 most frequent ones.
 
-All is per area. Each distinct query text is resolved once.
+All is per area. Each distinct query text is resolved once. Names, queries and what each of the four ways finds are
+written once: one plan over all of them held 250 MB of the driver's heap, however few rows there were.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.scratch import once
 
 # Scores of a match and what a resolution needs (fixed values).
 EXACT, HOLDS_NAME, HOLDS_PART, NAME_HOLDS, SHARED, SHARE, GENERIC = 1.0, 0.96, 0.94, 0.86, 0.42, 0.18, 0.55
@@ -40,13 +44,13 @@ def grams(c: Column) -> Column:
 
 
 def pieces(c: Column) -> Column:
-    """Distinct pieces of SHORT to GRAM - 1 characters."""
+    """Distinct pieces of SHORT to GRAM - 1 characters that may be a phrase: specific, no space at either end."""
 
     def of(size: int) -> Column:
         n = F.length(c) - size + 1
         return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(n > 0, F.substring(c, i, F.lit(size))))
 
-    return F.array_distinct(F.concat(*[of(size) for size in range(SHORT, GRAM)]))
+    return F.array_distinct(F.filter(F.concat(*[of(size) for size in range(SHORT, GRAM)]), lambda x: (F.trim(x) == x) & text.specific_phrase(x)))
 
 
 def generic_only(tokens: Column) -> Column:
@@ -133,12 +137,13 @@ def mention_scores(queries: DataFrame, documents: DataFrame) -> DataFrame:
     the name or a part of its own. A query of generic words alone scores at most GENERIC unless it is the name. Null areas
     and empty queries or names give no rows.
     """
-    names, q = canonical(documents), asked(queries)
+    names, q = once(canonical(documents), "names"), once(asked(queries), "asked")
     exact = q.join(names, (q.area_id == names.area_id) & (q.q == names.name)).select(q.area_id, "q", "document_id", F.lit(EXACT).alias("score"), F.lit(True).alias("strong"))
     telling = q.where(~generic_only(F.col("tokens")))
-    found = exact.unionByName(holding(telling, phrases(names)).withColumn("strong", F.lit(True)))
-    for weak in (held_by(telling, names), sharing(telling, names)):
-        found = found.unionByName(weak.withColumn("strong", F.lit(False)))
+    held = once(phrases(names), "phrases")
+    ways = {"exact": exact, "holding": holding(telling, held).withColumn("strong", F.lit(True))}
+    ways |= {"held_by": held_by(telling, names).withColumn("strong", F.lit(False)), "sharing": sharing(telling, names).withColumn("strong", F.lit(False))}
+    found = functools.reduce(DataFrame.unionByName, [once(rows, name) for name, rows in ways.items()])
     best = found.groupBy("area_id", "q", "document_id").agg(F.round(F.max("score"), 12).alias("score"), F.max("strong").alias("strong")).where(F.col("score") >= FLOOR)
     order = [F.desc("score"), text.fold(F.col("file_name")), "document_id"]
     rows = best.join(documents.select("area_id", "document_id", "file_name"), ["area_id", "document_id"])

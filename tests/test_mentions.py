@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from lodestone.functions.text import GENERIC_TERMS
 from lodestone.operators import mentions
 
@@ -99,6 +101,21 @@ def test_pairs_do_not_grow_with_common_words(spark):
     assert mentions.held_by(asked, names).count() == 3000
 
 
+def test_plan_stays_small(spark, tmp_path):
+    """Names, queries and what each way finds are written once: one plan over all of them filled the driver."""
+    from lodestone.plans import catalog
+
+    spark.createDataFrame([(d, "src", "en", "some text") for d in range(20)], "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("mention_resolution", "mention_ranking", "mention_scope"):
+        assert len(catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()) < 30_000  # 150,000 before
+
+
+def test_pieces_that_may_be_phrases(spark):
+    r = spark.createDataFrame([("ab cd e",), ("abcdefgh",), ("",)], "q string").select(mentions.pieces(F.col("q")).alias("p")).collect()
+    every = ["ab cd e"[i:j] for i in range(7) for j in range(i + 3, 8)]
+    assert sorted(r[0].p) == sorted({x for x in every if x == x.strip() and " " in x}) and r[1].p == r[2].p == []
+
+
 def test_empty(spark):
     q = spark.createDataFrame([], "query_id long, area_id string, query_text string")
     d = spark.createDataFrame([], "area_id string, document_id long, file_name string")
