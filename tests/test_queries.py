@@ -3,8 +3,10 @@
 import os
 import re
 
+import duckdb
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.plans import catalog
 
@@ -21,6 +23,20 @@ def test_oracle(spark, con, name):
     assert oracle.compare(spark, con, SF, catalog.QUERIES[name], catalog.ORACLES[name]) == ""
 
 
+@pytest.mark.parametrize("name", ["vector_topk", "rrf_fusion", "document_recall_hybrid", "section_recall_hybrid"])
+def test_oracle_with_more_vectors(spark, tmp_path, name):
+    """Embeddings beyond those that the SQL reaches change no row."""
+    for t in "documents", "benchmark":
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    more = e.withColumns({"vec_id": F.col("vec_id") + 500, "embedding": F.reverse("embedding")})
+    e.unionByName(more).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in "documents", "benchmark", "embeddings":
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert oracle.compare(spark, con, str(tmp_path), catalog.QUERIES[name], catalog.ORACLES[name]) == ""
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
