@@ -11,9 +11,11 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder as scratch_folder
+from ..sources.scratch import once
 from . import gates
 
 #: Items of a wave.
@@ -77,28 +79,49 @@ def run(items: DataFrame, work: Callable[[DataFrame], DataFrame], folder: str, s
 
     items has each key once. work gives one row with `status` for each item it gets; one that it leaves out gets the status
     `missing`. With retry_failed, items whose last state is in FAILED are worked once more. Other settings than those
-    the folder was begun with raise. An empty table of items gives work's columns and no rows.
+    the folder was begun with raise. An empty table of items gives work's columns and no rows. Items and committed results
+    are read once a run, not once a wave.
     """
     spark = items.sparkSession
     _same_settings(spark, folder, settings or {})
     _, began = waves(spark, folder)
-    while True:
-        held = results(spark, folder, key)
-        todo = items
-        if held is not None:
-            settled = held.where(~F.col("status").isin(FAILED) | (F.col("wave") >= began)) if retry_failed else held
-            todo = items.join(settled.select(key), key, "left_anti")
-        part = todo.orderBy(key).limit(wave)
-        if held is not None and part.isEmpty():
-            return held
-        number = waves(spark, folder)[1]
-        made = work(part)
-        rows = part.select(key).join(made, key, "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    held, todo = results(spark, folder, key), items
+    if held is not None:
+        settled = held.where(~F.col("status").isin(FAILED)) if retry_failed else held
+        todo = items.join(settled.select(key), key, "left_anti")
+    parts = _dealt(todo, wave, key)
+    if held is None and not parts:
+        parts = [todo.limit(0)]
+    for number, part in enumerate(parts, began):
+        part = part.repartition(spark.sparkContext.defaultParallelism, key)
+        rows = part.select(key).join(work(part), key, "left").withColumn("status", F.coalesce("status", F.lit("missing")))
         rows.write.parquet(f"{folder}/waves/{number:06d}")
         if progress is not None:
             progress({"type": "wave_completed", "wave": number, "items": spark.read.parquet(f"{folder}/waves/{number:06d}").count()})
-        if held is None and items.isEmpty():
-            return results(spark, folder, key)
+    return results(spark, folder, key)
+
+
+def _dealt(items: DataFrame, wave: int, key: str) -> list[DataFrame]:
+    """The waves of items, in the order of their keys, each from a folder of its own: a wave reads its items only.
+
+    Items are sorted and numbered within ranges of keys; the ranges' counts, one row a range, say where each begins.
+    """
+    spark = items.sparkSession
+    at = F.monotonically_increasing_id()
+    ordered = once(items.repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", at), "ordered")
+    ordered = ordered.withColumn("__range", F.shiftright("__at", 33))
+    counts = ordered.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before")
+    total = F.sum("__n").over(Window.partitionBy()).alias("__total")
+    starts = once(counts.select("__range", before, total), "starts")  # a row a range
+    first = starts.first()
+    if first is None:
+        return []
+    place = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)
+    path = scratch_folder(spark, "waves")
+    numbered = ordered.join(F.broadcast(starts), "__range").withColumn("__wave", F.floor(place / wave).cast("int"))
+    numbered.select(*items.columns, "__wave").write.partitionBy("__wave").parquet(path)
+    return [spark.read.schema(items.schema).parquet(f"{path}/__wave={k}") for k in range(-(-first["__total"] // wave))]
 
 
 def manifest(spark: SparkSession, folder: str, key: str = "item_id") -> DataFrame:

@@ -104,6 +104,20 @@ def test_a_run_goes_on_where_it_stopped(spark, tmp_path):
         suites.run(items, _work([]), f"{tmp_path}/run", {"v": 2})
 
 
+def test_items_are_read_once_a_run(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    items = spark.range(60).toDF("item_id").mapInArrow(counted, "item_id long")
+    out = suites.run(items, _work([]), f"{tmp_path}/r", wave=5).collect()
+    assert sorted((r.item_id, r.wave) for r in out) == [(i, i // 5) for i in range(60)]
+    assert seen.value <= 3 * 60  # ranges, then rows; once or twice a wave before
+
+
 def test_failed_items_once_more(spark, tmp_path):
     items = spark.range(10).toDF("item_id")
     suites.run(items, _work([]), f"{tmp_path}/r", wave=4)
