@@ -682,3 +682,18 @@ def test_planned_documents(spark):
     hits = spark.createDataFrame([(3,), (3,), (99,)], "document_id long")
     got = sorted((r.area_id or "", r.document_id) for r in serving_ops.planned(ready, hits).collect())
     assert got == [("", 30), ("a", 3), *[("b", 10 + i) for i in range(5)]]
+
+
+def test_parsed_batches_are_bounded(spark):
+    from lodestone.config import BATCH
+    from lodestone.operators import parsing
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(1 << 30))
+        files = spark.createDataFrame([(1, "a.txt", bytearray(b" some text "))], "document_id long, file_name string, content binary")
+        assert [r.content for r in parsing.parse_files(files).collect()] == ["some text"]
+        assert spark.conf.get(key) == f"{BATCH}b"
+    finally:
+        spark.conf.set(key, held)
