@@ -60,3 +60,29 @@ def test_large_question_sets_go_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, recall.vector_recall(vectors, asked, 4).collect())) == near
     assert sorted(map(tuple, textindex.search(spark, index, queries, 4).collect())) == want
     textindex.drop(spark, index)
+
+
+def test_text_recall_sends_the_best_of_a_task_only(spark):
+    """k rows a query and task, however many batches and parts it reads; texts of any length are counted in bounded steps."""
+    rows = [(i, "aa" * (i % 7) + " the aaaa that thathat " + "...." * (i % 3)) for i in range(3000)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string").coalesce(1)
+    queries = spark.createDataFrame([(1, "aa that .. THE"), (2, "aaa"), (3, "thathat a")], "query_id long, query_text string")
+    got = recall.text_scores(chunks, queries, k=4).collect()
+    assert len(got) == 3 * 4
+    want = sorted((q, -sum(x.lower().count(t) for t in text.lower().split()), i) for q, text in queries.collect() for i, x in rows)
+    best = [r for q in (1, 2, 3) for r in [w for w in want if w[0] == q][:4]]
+    assert sorted((r.query_id, -r.score, r.chunk_id) for r in got) == best
+    assert len(recall.text_scores(chunks, queries).collect()) == sum(s < 0 for _, s, _ in want)
+
+
+def test_texts_are_counted_in_steps(spark, monkeypatch):
+    """Whatever the steps of matches, counts are those of str.count."""
+    every = ["a", "aa", "aba", "b", "that", "é", "xy", "éé", "th"]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aab thé") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["thathathat", "", "\u3000a\x0baa"]
+    for step, tokens in ((1, every), (7, every), (1 << 20, every), (7, ["a", "aa"]), (7, ["that", "aba"])):
+        monkeypatch.setattr(recall, "_CHARS", step)
+        counter = recall._Counter(tokens)
+        for some in (texts, texts[:5], [""], texts):
+            used, count = counter.counts(some)
+            assert {tokens[u]: c.tolist() for u, c in zip(used, count, strict=True)} == {t: n for t in tokens if any(n := [x.count(t) for x in some])}
