@@ -37,6 +37,12 @@ def test_oracle_with_more_vectors(spark, tmp_path, name):
     assert oracle.compare(spark, con, str(tmp_path), catalog.QUERIES[name], catalog.ORACLES[name]) == ""
 
 
+@pytest.mark.parametrize("name", ["tool_payloads", "tool_summaries"])
+def test_tool_calls_read_documents_beforehand(spark, name):
+    """The three chunks a question are written once; what is made of them reads no document again."""
+    assert not [f for f in catalog.QUERIES[name](spark, SF).inputFiles() if "documents.parquet" in f]
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
