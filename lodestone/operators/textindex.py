@@ -1,10 +1,10 @@
 """Text recall from an inverted index, without reading chunk texts again.
 
 A token of a query has no white space, so all its occurrences in a text lie inside the words between white space. The
-index therefore keeps words only: the lexicon (word, chunks that hold it, occurrences), and the postings (block, word, chunk
-ids, occurrences in each), a table bucketed and sorted by block, where a block is some thousands of chunks. A search finds the
-words that hold a token in the lexicon, reads the postings of these words, and scores a block at a time by matrix
-products; only the k best of each block and query are shuffled.
+index therefore keeps words only: the postings (block, words, chunk ids and occurrences of each), a table bucketed by
+block, where a block is some thousands of chunks, and the lexicon (word, chunks that hold it, occurrences). A search finds the
+words of a block that hold a token, and scores the block by matrix products; nothing but the k best of each block and query
+is shuffled.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from ..config import bounded
 from ..sources.scratch import folder
-from .recall import QUERY_BLOCK, in_blocks, ranked
+from .recall import QUERY_BLOCK, TokenCounter, in_blocks, ranked
 
 #: Chunks of a block, about, and buckets of the postings.
 BLOCK, BUCKETS = 4096, 64
-#: Tokens whose occurrences one matrix product holds.
-_TILE = 512
+#: Tokens whose occurrences one matrix product holds, and words that a row of the postings holds.
+_TILE, _ROW = 512, 64
 
 
 @dataclass(frozen=True)
@@ -44,16 +44,37 @@ class TextIndex:
         return spark.table(self.lexicon)
 
 
-def _words(batches):
+_POSTINGS = "block int, words string, sizes array<int>, chunk_ids array<long>, times array<int>"
+
+
+def _postings(table: pa.Table) -> pa.Table:
+    """The postings of a block from its texts, _ROW words a row."""
+    held = Counter()
+    for chunk, text in zip(table.column("chunk_id").to_pylist(), table.column("text"), strict=True):
+        for word, n in Counter((text.as_py() or "").lower().split()).items():
+            held[word, chunk] += n
+    where: dict[str, list[int]] = {}
+    for word, chunk in held:
+        where.setdefault(word, []).append(chunk)
+    words, out = sorted(where), [[], [], [], []]
+    for at in range(0, len(words), _ROW):
+        some = words[at : at + _ROW]
+        lists = [sorted(where[w]) for w in some]
+        for column, value in zip(out, (" ".join(some), [len(x) for x in lists], [c for x in lists for c in x], [held[w, c] for w, x in zip(some, lists, strict=True) for c in x]), strict=True):
+            column.append(value)
+    kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    block = pa.array([table.column("block")[0].as_py()] * len(out[0]), pa.int32())
+    return pa.table([block, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [x.split()[0] for x in _POSTINGS.split(", ")])
+
+
+def _totals(batches):
     for batch in batches:
-        chunks, words, times = [], [], []
-        for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = Counter((text.as_py() or "").lower().split())
-            chunks.append(np.full(len(found), chunk, np.int64))
-            words += found.keys()
-            times += found.values()
-        ids = np.concatenate(chunks) if chunks else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(words, pa.string()), pa.array(times, pa.int32())], ["chunk_id", "word", "n"])
+        out: list[tuple] = []
+        for words, sizes, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            ends = np.cumsum([0, *sizes])
+            out += zip(words.split(" "), sizes, np.add.reduceat(times, ends[:-1]).tolist(), strict=True)
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.int64()], strict=True)], ["word", "chunks", "occurrences"])
 
 
 def build(chunks: DataFrame, name: str | None = None, key: str = "chunk_id", text: str = "content", block: int = BLOCK, buckets: int = BUCKETS) -> TextIndex:
@@ -64,16 +85,15 @@ def build(chunks: DataFrame, name: str | None = None, key: str = "chunk_id", tex
     spark = chunks.sparkSession
     name = name or f"text_index_{uuid.uuid4().hex[:12]}"
     at = folder(spark, name)
-    rows = bounded(chunks.select(F.col(key).cast("long").alias("chunk_id"), F.col(text).cast("string")))
+    rows = bounded(chunks.select(F.col(key).cast("long").alias("chunk_id"), F.col(text).cast("string").alias("text")))
     n_blocks = max(1, -(-rows.count() // block))
-    words = rows.mapInArrow(_words, "chunk_id long, word string, n int").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(n_blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(n_blocks)).cast("int"))
     buckets = min(buckets, n_blocks)
-    # one shuffle, by block: what is grouped after it and the buckets it is written to are dealt by the same hash
-    lists = words.repartition(buckets, "block").groupBy("block", "word").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "n"))).alias("p"))  # at most a block's chunks
-    postings = lists.select("block", "word", F.col("p.chunk_id").alias("chunk_ids"), F.col("p.n").alias("times"))
-    postings.write.bucketBy(buckets, "block").sortBy("block", "word").option("path", f"{at}/postings").saveAsTable(f"{name}_postings")
-    one = F.aggregate("times", F.lit(0).cast("long"), lambda s, x: s + x)
-    lexicon = spark.table(f"{name}_postings").groupBy("word").agg(F.sum(F.size(F.array_distinct("chunk_ids")).cast("long")).alias("chunks"), F.sum(one).alias("occurrences"))
+    # one shuffle, of the texts, which are a fraction of their words' rows; blocks and buckets are dealt by the same hash
+    postings = dealt.repartition(buckets, "block").groupBy("block").applyInArrow(_postings, _POSTINGS)  # at most a block's chunks
+    postings.write.bucketBy(buckets, "block").option("path", f"{at}/postings").saveAsTable(f"{name}_postings")
+    totals = bounded(spark.table(f"{name}_postings").select("words", "sizes", "times")).mapInArrow(_totals, "word string, chunks long, occurrences long")
+    lexicon = totals.groupBy("word").agg(F.sum("chunks").alias("chunks"), F.sum("occurrences").alias("occurrences"))
     lexicon.write.option("path", f"{at}/lexicon").saveAsTable(f"{name}_lexicon")
     return TextIndex(f"{name}_postings", f"{name}_lexicon")
 
@@ -132,16 +152,15 @@ def _search_block(spark: SparkSession, index: TextIndex, queries: DataFrame, k:
     weight = np.zeros((len(ids), len(tokens)))
     for q, t, n in pairs:
         weight[q, t] = n
-    # the words of a token are gathered beside it: one row a word that is asked for, the tokens it holds are few
-    held = matching_words(index.words(spark), tokens).groupBy("word").agg(F.collect_list("token").alias("tokens"), F.collect_list("n").alias("held"))
-    rows = index.rows(spark).join(held, "word")
+    made: list[TokenCounter] = []  # a task's
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
+        if tokens and not made:
+            made.append(TokenCounter(tokens))
         chunks, where = np.unique(np.concatenate(frame["chunk_ids"].to_list()), return_inverse=True)
         times = np.concatenate(frame["times"].to_list())
-        first = np.cumsum([0, *map(len, frame["chunk_ids"])])
-        word = np.repeat(np.arange(len(frame)), frame["tokens"].map(len).to_numpy())
-        token, held = np.concatenate(frame["tokens"].to_list()).astype(np.int64), np.concatenate(frame["held"].to_list())
+        first = np.cumsum([0, *np.concatenate(frame["sizes"].to_list())])
+        token, word, held = made[0].cells(" ".join(frame["words"]).split(" ")) if tokens else [np.zeros(0, np.int64)] * 3
         order = np.argsort(token, kind="stable")
         word, token, held = word[order], token[order], held[order]
         score = np.zeros((len(ids), len(chunks)))
@@ -163,5 +182,5 @@ def _search_block(spark: SparkSession, index: TextIndex, queries: DataFrame, k:
             out.append(pd.DataFrame({"query_id": ids[q], "chunk_id": chunks[near], "score": row[near].astype(np.int32)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
 
-    found = rows.groupBy("block").applyInPandas(best, "query_id long, chunk_id long, score int")
+    found = index.rows(spark).groupBy("block").applyInPandas(best, "query_id long, chunk_id long, score int")
     return ranked(found, ["query_id"], [F.desc("score"), "chunk_id"], "fts_rank", k)

@@ -82,7 +82,23 @@ def test_texts_are_counted_in_steps(spark, monkeypatch):
     texts = ["".join(rng.choice("aab thé") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["thathathat", "", "\u3000a\x0baa"]
     for step, tokens in ((1, every), (7, every), (1 << 20, every), (7, ["a", "aa"]), (7, ["that", "aba"])):
         monkeypatch.setattr(recall, "_CHARS", step)
-        counter = recall._Counter(tokens)
+        counter = recall.TokenCounter(tokens)
         for some in (texts, texts[:5], [""], texts):
             used, count = counter.counts(some)
             assert {tokens[u]: c.tolist() for u, c in zip(used, count, strict=True)} == {t: n for t in tokens if any(n := [x.count(t) for x in some])}
+
+
+def test_index_is_built_from_texts_dealt_by_block(spark):
+    """Postings of a block are made from its texts: few rows, many words each; no word row is shuffled."""
+    chunks = spark.createDataFrame([(i % 2900, f"the w{i % 50} THE x{i} é{i % 9}") for i in range(3000)], "chunk_id long, content string")
+    index = textindex.build(chunks, block=1000, buckets=2)
+    rows = index.rows(spark)
+    words = index.words(spark)
+    assert rows.count() * 8 < words.count()  # a row a block and word before
+    want = {}
+    for i in range(3000):
+        for w in f"the w{i % 50} the x{i} é{i % 9}".split():
+            n, held = want.setdefault(w, [0, set()])
+            want[w] = [n + 1, held | {i % 2900}]
+    assert {tuple(r) for r in words.collect()} == {(w, len(held), n) for w, (n, held) in want.items()}
+    textindex.drop(spark, index)
