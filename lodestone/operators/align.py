@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import bounded
+
 #: A fuzzy line is accepted from this score on, if it leads by this margin (fixed values).
 ACCEPT, MARGIN = 0.92, 0.05
 #: Characters around a match that its context score reads.
@@ -43,6 +45,14 @@ def normalised(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
+def flattened(text: str) -> str:
+    """The text of normalised(), without positions: each distinct character is normalised once."""
+    text = re.sub(r"\u00ad|-[\n\r][\n\r ]*", "", text)
+    if not text.isascii():
+        return " ".join(text.translate({ord(c): unicodedata.normalize("NFKC", c).lower() for c in set(text)}).split())
+    return " ".join(text.lower().split())
+
+
 def anchors(evidence: str) -> list[str]:
     """Runs of ANCHOR words of the normalised evidence that cover all of it; a text that aligns well holds one of them."""
     w = normalised(evidence)[0].strip().split(" ")
@@ -55,10 +65,10 @@ def flat(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [normalised(t.as_py() or "")[0] for t in batch.column(1)]
+            texts = [flattened(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "flat"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"{id_col} long, flat string")
+    return bounded(docs.select(F.col(id_col).cast("long").alias(id_col), text_col)).mapInArrow(run, f"{id_col} long, flat string")
 
 
 def words(text: str) -> frozenset[str]:
