@@ -8,7 +8,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.plans import catalog
+from lodestone.plans import catalog, retrieval
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
@@ -43,6 +43,23 @@ def test_tool_calls_read_documents_beforehand(spark, name):
     assert not [f for f in catalog.QUERIES[name](spark, SF).inputFiles() if "documents.parquet" in f]
 
 
+@pytest.mark.parametrize("name", ["hybrid_retrieval_eval"])
+def test_evaluation_reads_documents_beforehand(spark, name):
+    """Candidates, and the documents of those that are selected, are written once; what is made of them reads no other document."""
+    assert not [f for f in catalog.QUERIES[name](spark, SF).inputFiles() if "documents.parquet" in f]
+
+
+def test_chunks_stay_where_they_are_for_their_vectors(spark):
+    """However large embeddings are: only those that the modulus reaches are sent."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = retrieval._chunks(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0

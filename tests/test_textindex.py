@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from lodestone.operators import recall, textindex
 
 
@@ -102,3 +104,21 @@ def test_index_is_built_from_texts_dealt_by_block(spark):
             want[w] = [n + 1, held | {i % 2900}]
     assert {tuple(r) for r in words.collect()} == {(w, len(held), n) for w, (n, held) in want.items()}
     textindex.drop(spark, index)
+
+
+def test_texts_left_out_cannot_be_among_the_best():
+    """reach() keeps every text that scores something and not less than the k-th best, however few the classes of characters."""
+    rng = random.Random(3)
+    bits = ["a", "aa", "aba", "b", "that", "hat", "at", "é", "xyz", "策略", "th"]
+    for classes in (64, 3, 2):
+        for _ in range(60):
+            asked = [{t: rng.randint(1, 3) for t in rng.sample(bits, rng.randint(1, 6))} for _ in range(3)]
+            texts = ["".join(rng.choice(["a", "b", "that", " ", "é", "xyz", "策略", "q\n"]) for _ in range(rng.randint(0, 12))) for _ in range(20)]
+            score = np.array([[sum(n * x.count(t) for t, n in mine.items()) for x in texts] for mine in asked])
+            least = np.array([rng.choice([0, 1, 3, 6]) for _ in asked])
+            must = ((score > 0) & (score >= least[:, None])).any(axis=0)
+            assert not (must & ~recall.ScoreBound(asked, classes).reach(texts, least)).any()
+    bound = recall._bound([{"the": 1, "he": 1, "cat": 2}])
+    assert bound.reach(["the cat", "the the", "cat", "", "dog"], np.array([3])).tolist() == [True, True, False, False, False]
+    assert bound.reach(["the", "cat", "dog"], np.array([0])).tolist() == [True, True, False]
+    assert recall._bound([{f"{i:03}": 1 for i in range(1000)}, *[{"a": 1}] * 10000]) is None
