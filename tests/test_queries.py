@@ -43,7 +43,7 @@ def test_tool_calls_read_documents_beforehand(spark, name):
     assert not [f for f in catalog.QUERIES[name](spark, SF).inputFiles() if "documents.parquet" in f]
 
 
-@pytest.mark.parametrize("name", ["hybrid_retrieval_eval", "assembled_contexts"])
+@pytest.mark.parametrize("name", ["hybrid_retrieval_eval", "assembled_contexts", "metric_breakdown"])
 def test_evaluation_reads_documents_beforehand(spark, name):
     """Candidates, and the documents of those that are selected, are written once; what is made of them reads no other document."""
     assert not [f for f in catalog.QUERIES[name](spark, SF).inputFiles() if "documents.parquet" in f]
