@@ -37,6 +37,29 @@ def test_oracle_with_more_vectors(spark, tmp_path, name):
     assert oracle.compare(spark, con, str(tmp_path), catalog.QUERIES[name], catalog.ORACLES[name]) == ""
 
 
+@pytest.fixture(scope="module")
+def far_vectors(spark, tmp_path_factory):
+    """The tables with embeddings beyond those that the SQL reaches: of a key's own number, modulo as many as there are, each chunk
+    would take the vector of some question."""
+    sf = str(tmp_path_factory.mktemp("far"))
+    for t in "documents", "benchmark":
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{sf}/{t}.parquet")
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    asked = e.where("vec_id < 40").select((F.col("vec_id") + 1).alias("at"), "embedding", "label")
+    more = spark.range(500, 20_000).withColumn("at", 40 - F.col("id") % 40).join(asked, "at").select(F.col("id").alias("vec_id"), "embedding", "label")
+    e.unionByName(more).write.parquet(f"{sf}/embeddings.parquet")
+    return sf
+
+
+@pytest.mark.parametrize("name", ["ranking_policy"])
+def test_later_stages_with_more_vectors(spark, far_vectors, name):
+    """Embeddings beyond those that the SQL reaches change no row of what is made of the candidates."""
+    con = duckdb.connect()
+    for t in "documents", "benchmark", "embeddings":
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{far_vectors}/{t}.parquet/*.parquet'")
+    assert oracle.compare(spark, con, far_vectors, catalog.QUERIES[name], catalog.ORACLES[name]) == ""
+
+
 @pytest.mark.parametrize("name", ["tool_payloads", "tool_summaries"])
 def test_tool_calls_read_documents_beforehand(spark, name):
     """The three chunks a question are written once; what is made of them reads no document again."""
