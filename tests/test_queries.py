@@ -51,7 +51,7 @@ def far_vectors(spark, tmp_path_factory):
     return sf
 
 
-@pytest.mark.parametrize("name", ["assembled_full_parents", "context_payloads", "document_selection", "parent_rerank", "ranking_policy", "select_compare"])
+@pytest.mark.parametrize("name", ["assembled_full_parents", "chat_citations", "context_payloads", "document_selection", "parent_rerank", "ranking_policy", "select_compare"])
 def test_later_stages_with_more_vectors(spark, far_vectors, name):
     """Embeddings beyond those that the SQL reaches change no row of what is made of the candidates."""
     con = duckdb.connect()
