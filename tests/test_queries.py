@@ -60,6 +60,22 @@ def test_later_stages_with_more_vectors(spark, far_vectors, name):
     assert oracle.compare(spark, con, far_vectors, catalog.QUERIES[name], catalog.ORACLES[name]) == ""
 
 
+def test_stage_metrics_with_more_vectors(spark, tmp_path):
+    """Two documents hold the passage; the vector that the SQL gives each decides which comes first, and so nDCG: those beyond would turn it."""
+    passage = "alpha beta gamma delta epsilon"
+    docs = [(33, passage), (35, passage), *((d, "other words") for d in range(36, 42))]
+    away = {33 * 31 % 500, 35 * 31}
+    spark.createDataFrame([(d, t, "en", "web", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, [-1.0 if i in away else 1.0, 0.0], 0) for i in range(2000)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in "documents", "benchmark", "embeddings":
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    name = "stage_metrics"
+    assert oracle.compare(spark, con, str(tmp_path), catalog.QUERIES[name], catalog.ORACLES[name]) == ""
+    assert [r.ndcg for r in catalog.QUERIES[name](spark, str(tmp_path)).where("stage = 'recall'").collect()] == [1.0]
+
+
 @pytest.mark.parametrize("name", ["tool_payloads", "tool_summaries"])
 def test_tool_calls_read_documents_beforehand(spark, name):
     """The three chunks a question are written once; what is made of them reads no document again."""
